@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +22,20 @@ CLEAN_DATE_FORMATS = (
 # The explorer's five formats (first with success > 90 % wins).
 EXPLORE_DATE_FORMATS = CLEAN_DATE_FORMATS[:5]
 
-# pandas' free-form parser has no Spark twin.  "auto" is this documented list,
-# tried in order; "auto_dayfirst" puts the day-first patterns before the
-# month-first ones.
-AUTO_PATTERNS = (
-    "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d", "yyyy/M/d",
-    "M/d/yyyy", "M-d-yyyy", "M/d/yy", "M-d-yy", "d MMM yyyy", "MMM d yyyy", "d-MMM-yyyy",
-    "d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy",
-)
-AUTO_DAYFIRST_PATTERNS = (
-    "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d", "yyyy/M/d",
-    "d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy", "d MMM yyyy", "MMM d yyyy", "d-MMM-yyyy",
-    "M/d/yyyy", "M-d-yyyy", "M/d/yy", "M-d-yy",
+# pandas' free-form parser has no Spark twin.  "auto" is this documented list
+# of (strftime, Spark pattern) pairs, tried in order; "auto_dayfirst" puts the
+# day-first patterns before the month-first ones.
+_ISO = (
+    ("%Y-%m-%d %H:%M:%S", "yyyy-M-d H:m:s"), ("%Y-%m-%dT%H:%M:%S", "yyyy-M-d'T'H:m:s"),
+    ("%Y-%m-%d", "yyyy-M-d"), ("%Y/%m/%d", "yyyy/M/d"),
 )
+_MONTH_FIRST = (("%m/%d/%Y", "M/d/yyyy"), ("%m-%d-%Y", "M-d-yyyy"), ("%m/%d/%y", "M/d/yy"), ("%m-%d-%y", "M-d-yy"))
+_DAY_FIRST = (("%d/%m/%Y", "d/M/yyyy"), ("%d-%m-%Y", "d-M-yyyy"), ("%d/%m/%y", "d/M/yy"), ("%d-%m-%y", "d-M-yy"))
+_NAMED = (("%d %b %Y", "d MMM yyyy"), ("%b %d %Y", "MMM d yyyy"), ("%d-%b-%Y", "d-MMM-yyyy"))
+AUTO_FORMATS = _ISO + _MONTH_FIRST + _NAMED + _DAY_FIRST
+AUTO_DAYFIRST_FORMATS = _ISO + _DAY_FIRST + _NAMED + _MONTH_FIRST
+AUTO_PATTERNS = tuple(p for _, p in AUTO_FORMATS)
+AUTO_DAYFIRST_PATTERNS = tuple(p for _, p in AUTO_DAYFIRST_FORMATS)
 
 
 def safe_date(c) -> Column:
@@ -48,10 +51,38 @@ def fix_two_digit_year(ts: Column, pattern: str) -> Column:
     return ts
 
 
+def pattern_shape(pattern: str) -> str:
+    """Anchored regex of the text a Spark date pattern can parse.  Checked
+    before ``try_to_timestamp``: a failed parse costs an exception per row, a
+    failed ``rlike`` does not."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        j = i
+        while j < len(pattern) and pattern[j] == ch:
+            j += 1
+        run = j - i
+        if ch == "'":
+            k = pattern.index("'", i + 1)
+            out.append(re.escape(pattern[i + 1:k]))
+            j = k + 1
+        elif ch == "y":
+            out.append("[0-9]{4}" if run >= 4 else "[0-9]{2}")
+        elif ch == "M" and run >= 3:
+            out.append("[A-Za-z]{3,9}")
+        elif ch in "MdHms":
+            out.append("[0-9]{1,2}")
+        else:
+            out.append(re.escape(pattern[i:j]))
+        i = j
+    return "^" + "".join(out) + "$"
+
+
 def parse_with(c, pattern: str) -> Column:
     """Parse a string with one Spark pattern; unparsable -> null (timestamp_ntz)."""
-    col = F.col(c) if isinstance(c, str) else c
-    ts = F.try_to_timestamp(col.cast("string"), F.lit(pattern)).cast("timestamp_ntz")
+    col = (F.col(c) if isinstance(c, str) else c).cast("string")
+    ts = F.when(col.rlike(pattern_shape(pattern)),
+                F.try_to_timestamp(col, F.lit(pattern))).cast("timestamp_ntz")
     return fix_two_digit_year(ts, pattern)
 
 

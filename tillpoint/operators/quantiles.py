@@ -32,7 +32,7 @@ def _candidates(base: DataFrame, lo, hi, lo_open: bool) -> DataFrame:
     return base.where(low & (F.col("v") <= hi))
 
 
-def select_ranks(base: DataFrame, ranks, n: int, fanout: int = 1024, direct_rows: int = 20000) -> dict:
+def select_ranks(base: DataFrame, ranks, n: int, fanout: int = 1024, direct_rows: int = 100_000) -> dict:
     """Values at the given 0-based ranks of column ``v`` of ``base`` (sorted ascending)."""
     pending = {r: (None, None, False, 0, n) for r in set(ranks)}
     out: dict[int, float] = {}
@@ -81,7 +81,7 @@ def select_ranks(base: DataFrame, ranks, n: int, fanout: int = 1024, direct_rows
     return out
 
 
-def exact_quantiles(df: DataFrame, column: str, probs, fanout: int = 1024, direct_rows: int = 20000):
+def exact_quantiles(df: DataFrame, column: str, probs, fanout: int = 1024, direct_rows: int = 100_000):
     """Exact linear-interpolated quantiles of ``column`` (list of floats or None)."""
     base = df.select(F.col(column).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
