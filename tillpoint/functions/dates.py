@@ -44,17 +44,10 @@ def safe_date(c) -> Column:
     return col.try_cast("date")
 
 
-def fix_two_digit_year(ts: Column, pattern: str) -> Column:
-    """Spark's ``yy`` maps to 2000-2099; Python and DuckDB map 69-99 to the 1900s."""
-    if "yy" in pattern and "yyyy" not in pattern:
-        return F.when(F.year(ts) >= 2069, F.add_months(ts, -1200).cast("timestamp_ntz")).otherwise(ts)
-    return ts
-
-
-def pattern_shape(pattern: str) -> str:
-    """Anchored regex of the text a Spark date pattern can parse.  Checked
-    before ``try_to_timestamp``: a failed parse costs an exception per row, a
-    failed ``rlike`` does not."""
+def _pattern_regex(pattern: str, year_group: bool = False) -> str:
+    """Anchored regex of the text a Spark date pattern can parse; with
+    ``year_group`` the text before, the two-digit year and the text after are
+    captured as groups 1-3."""
     out, i = [], 0
     while i < len(pattern):
         ch = pattern[i]
@@ -67,7 +60,7 @@ def pattern_shape(pattern: str) -> str:
             out.append(re.escape(pattern[i + 1:k]))
             j = k + 1
         elif ch == "y":
-            out.append("[0-9]{4}" if run >= 4 else "[0-9]{2}")
+            out.append("[0-9]{4}" if run >= 4 else (")([0-9]{2})(" if year_group else "[0-9]{2}"))
         elif ch == "M" and run >= 3:
             out.append("[A-Za-z]{3,9}")
         elif ch in "MdHms":
@@ -75,15 +68,39 @@ def pattern_shape(pattern: str) -> str:
         else:
             out.append(re.escape(pattern[i:j]))
         i = j
-    return "^" + "".join(out) + "$"
+    body = "".join(out)
+    return "^(" + body + ")$" if year_group else "^" + body + "$"
+
+
+def pattern_shape(pattern: str) -> str:
+    """Anchored regex of the text a Spark date pattern can parse.  Checked
+    before ``try_to_timestamp``: a failed parse costs an exception per row, a
+    failed ``rlike`` does not."""
+    return _pattern_regex(pattern)
+
+
+def _two_digit_year(pattern: str) -> bool:
+    return bool(re.search(r"(?<!y)yy(?!y)", pattern.replace("'", "")))
 
 
 def parse_with(c, pattern: str) -> Column:
-    """Parse a string with one Spark pattern; unparsable -> null (timestamp_ntz)."""
+    """Parse a string with one Spark pattern; unparsable -> null (timestamp_ntz).
+
+    Two-digit years follow Python and DuckDB (69-99 -> 1900s, 00-68 -> 2000s;
+    Spark's ``yy`` would give 2000-2099): the text is rewritten to a four-digit
+    year first, so the parse runs once per row and is never repeated inside a
+    conditional."""
     col = (F.col(c) if isinstance(c, str) else c).cast("string")
-    ts = F.when(col.rlike(pattern_shape(pattern)),
-                F.try_to_timestamp(col, F.lit(pattern))).cast("timestamp_ntz")
-    return fix_two_digit_year(ts, pattern)
+    if _two_digit_year(pattern):
+        rx = _pattern_regex(pattern, year_group=True)
+        yy = F.regexp_extract(col, rx, 2)
+        century = F.when(yy >= F.lit("69"), F.lit("19")).otherwise(F.lit("20"))
+        text = F.regexp_replace(col, F.lit(rx), F.concat(F.lit("$1"), century, F.lit("$2$3")))
+        p4 = re.sub(r"(?<!y)yy(?!y)", "yyyy", pattern)
+        return F.when(col.rlike(pattern_shape(pattern)),
+                      F.try_to_timestamp(text, F.lit(p4))).cast("timestamp_ntz")
+    return F.when(col.rlike(pattern_shape(pattern)),
+                  F.try_to_timestamp(col, F.lit(pattern))).cast("timestamp_ntz")
 
 
 def parse_any(c, patterns=AUTO_PATTERNS) -> Column:

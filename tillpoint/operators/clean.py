@@ -55,6 +55,13 @@ def trim_strings(df: DataFrame, columns=None) -> DataFrame:
     return df.select(*[T.collapse_ws(_q(c)).alias(c) if c in cols else _q(c) for c in df.columns])
 
 
+def trim_and_standardize(df: DataFrame, columns=None) -> DataFrame:
+    """B4 then B5 as two projections: Catalyst keeps them apart (it does not
+    inline a regex result that the null test reads twice), so every value is
+    scanned by the regex once."""
+    return standardize_nulls(trim_strings(df, columns), columns)
+
+
 def standardize_nulls(df: DataFrame, columns=None) -> DataFrame:
     """B5 on every string column (other types cannot hold the tokens)."""
     cols = set(columns if columns is not None else string_columns(df))
@@ -95,10 +102,15 @@ def drop_junk_index(df: DataFrame, col: str = "INDEX") -> DataFrame:
 
 def header_like(df: DataFrame) -> Column:
     """C3 predicate: some value contains 'heads' and some value contains
-    'price' (case-insensitive, values as text)."""
-    vals = F.array(*[F.lower(F.trim(_q(c).cast("string"))) for c in df.columns])
-    return (F.coalesce(F.exists(vals, lambda v: v.contains("heads")), F.lit(False))
-            & F.coalesce(F.exists(vals, lambda v: v.contains("price")), F.lit(False)))
+    'price' (case-insensitive).  "Some value contains x" equals "the values
+    joined by a separator that cannot occur in x contain x", so this is two
+    ``contains`` on one lower-cased string, not a lambda per value.  Only text
+    columns can contain the words."""
+    cols = string_columns(df)
+    if not cols:
+        return F.lit(False)
+    joined = F.lower(F.concat_ws("\u0001", *[_q(c) for c in cols]))
+    return joined.contains("heads") & joined.contains("price")
 
 
 def split_header_like(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,4 +142,6 @@ def normalize_size_column(df: DataFrame, col: str, out: str = "size_normalized")
 def to_numeric_columns(df: DataFrame, columns) -> DataFrame:
     """B6 for string columns; numeric columns stay as they are."""
     cols = {c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, StringType)}
-    return df.select(*[T.to_number(_q(c)).alias(c) if c in cols else _q(c) for c in df.columns])
+    # two projections: the cleaned text is computed once and tested, then cast
+    df = df.select(*[T.number_text(_q(c)).alias(c) if c in cols else _q(c) for c in df.columns])
+    return df.select(*[T.parse_number_text(_q(c)).alias(c) if c in cols else _q(c) for c in df.columns])

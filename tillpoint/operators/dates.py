@@ -28,14 +28,19 @@ def _candidate_exprs(col: str, with_dayfirst: bool):
 
 def format_stats(df: DataFrame, col: str, candidates) -> DataFrame:
     """Per candidate: success rate over ALL rows (nulls in the denominator),
-    distinct parsed months, and span in days – one aggregate, unpivoted.
-    Distinct months are a ``collect_set`` of month starts, bounded by the
-    calendar span, not by the row count."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+    distinct parsed months, and span in days.
+
+    The text is first reduced to its distinct values with their row counts (a
+    partial aggregate: dates repeat, so this is small) and every candidate
+    parses each distinct value once; the rates are count-weighted.  Distinct
+    months are a ``collect_set`` of month starts, bounded by the calendar."""
+    vals = df.groupBy(F.col(f"`{col}`").alias(col)).agg(F.count(F.lit(1)).alias("_w"))
+    aggs = [F.sum("_w").alias("n")]
     for i, (_, e) in enumerate(candidates):
-        aggs += [F.count(e).alias(f"ok{i}"), F.size(F.collect_set(F.trunc(e, "MM"))).alias(f"m{i}"),
+        aggs += [F.sum(F.when(e.isNotNull(), F.col("_w")).otherwise(0)).alias(f"ok{i}"),
+                 F.size(F.collect_set(F.trunc(e, "MM"))).alias(f"m{i}"),
                  F.datediff(F.max(e), F.min(e)).alias(f"s{i}")]
-    wide = df.agg(*aggs)
+    wide = vals.agg(*aggs)
     rows = ", ".join(f"{i}, '{f}', ok{i} / n, m{i}, s{i}" for i, (f, _) in enumerate(candidates))
     return wide.selectExpr(
         f"stack({len(candidates)}, {rows}) AS (idx, format, success_rate, distinct_months, span_days)"

@@ -8,9 +8,9 @@ at scale.  ``exact_quantiles`` instead narrows each target rank by rounds of
 2. ``Bucketizer`` (binary search per row) and a ``groupBy(bucket)`` count,
 
 keeping only the bucket that holds the rank, until the candidate range holds at
-most ``direct_rows`` rows or a single value; the last step is a bounded
-``orderBy().offset().limit()``.  Only bucket counts (<= ``fanout`` rows) reach
-the driver.  Interpolation is linear between the neighbouring ranks (pandas
+most ``direct_rows`` values or a single value; those few ranges are fetched in
+one job.  Only bucket counts (<= ``fanout`` rows) and at most ``direct_rows``
+values per target rank reach the driver, whatever the table size.  Interpolation is linear between the neighbouring ranks (pandas
 ``quantile``, DuckDB ``quantile_cont``, Spark ``percentile``).  NaN and null are
 skipped.
 """
@@ -19,81 +19,98 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _candidates(base: DataFrame, lo, hi, lo_open: bool) -> DataFrame:
-    if lo is None:
-        return base
-    low = (F.col("v") > lo) if lo_open else (F.col("v") >= lo)
-    return base.where(low & (F.col("v") <= hi))
+def _range_cond(lo, hi):
+    return (F.col("v") >= lo) & (F.col("v") <= hi)
 
 
-def select_ranks(base: DataFrame, ranks, n: int, fanout: int = 1024, direct_rows: int = 100_000) -> dict:
-    """Values at the given 0-based ranks of column ``v`` of ``base`` (sorted ascending)."""
-    pending = {r: (None, None, False, 0, n) for r in set(ranks)}
+def _bucket_stats(cand: DataFrame, splits) -> list:
+    return (Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(cand)
+            .groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+            .orderBy("b").collect())
+
+
+def select_ranks(base: DataFrame, ranks, n: int, fanout: int = 1024, direct_rows: int = 50_000) -> dict:
+    """Values at the given 0-based ranks of column ``v`` of ``base`` (ascending)."""
+    # state: (lo, hi, offset = values below lo, count in [lo, hi]); lo None = everything
+    pending = {r: (None, None, 0, n) for r in set(ranks)}
     out: dict[int, float] = {}
     while pending:
         groups = defaultdict(list)
         for r, state in pending.items():
             groups[state].append(r)
         nxt = {}
-        for (lo, hi, lo_open, off, cnt), rs in groups.items():
-            cand = _candidates(base, lo, hi, lo_open)
-            if cnt <= direct_rows:
-                k0, k1 = min(rs) - off, max(rs) - off
-                vals = [row.v for row in cand.orderBy("v").offset(k0).limit(k1 - k0 + 1).collect()]
-                for r in rs:
-                    out[r] = vals[r - off - k0]
+        small = [st for st in groups if st[3] <= direct_rows]
+        if small:
+            # one bounded fetch for every small range (at most len(small) * direct_rows values)
+            if any(st[0] is None for st in small):
+                vals = sorted(row.v for row in base.collect())
+                fetched = {st: vals for st in small}
+            else:
+                cond = reduce(lambda x, y: x | y, [_range_cond(st[0], st[1]) for st in small])
+                allv = sorted(row.v for row in base.where(cond).collect())
+                fetched = {st: [v for v in allv if st[0] <= v <= st[1]] for st in small}
+            for st in small:
+                for r in groups[st]:
+                    out[r] = fetched[st][r - st[2]]
+        for st in groups:
+            if st in small:
                 continue
+            lo, hi, off, cnt = st
+            cand = base if lo is None else base.where(_range_cond(lo, hi))
             probs = [i / fanout for i in range(1, fanout)]
-            split_pts = cand.agg(F.percentile_approx("v", probs, fanout * 10).alias("q")).first()["q"]
-            pts = sorted(set(split_pts))
-            splits = [-math.inf] + pts + [math.inf]
-            stats = (Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(cand)
-                     .groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"),
-                                       F.max("v").alias("mx"))
-                     .orderBy("b").collect())
+            pts = cand.agg(F.percentile_approx("v", probs, fanout * 10).alias("q")).first()["q"]
+            stats = _bucket_stats(cand, [-math.inf] + sorted(set(pts)) + [math.inf])
             if len(stats) == 1:
-                # no split separated the values: cut off the extremes explicitly
+                # no split separated the values: cut off the two extremes explicitly
                 mn, mx = stats[0]["mn"], stats[0]["mx"]
-                splits = [-math.inf, mn, math.nextafter(mn, math.inf), mx, math.inf] if mx > math.nextafter(mn, math.inf) \
-                    else [-math.inf, mn, math.nextafter(mn, math.inf), math.inf]
-                stats = (Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(cand)
-                         .groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"),
-                                           F.max("v").alias("mx"))
-                         .orderBy("b").collect())
-            for r in rs:
-                local = r - off
-                below = 0
+                nx = math.nextafter(mn, math.inf)
+                stats = _bucket_stats(cand, [-math.inf, mn, nx, mx, math.inf] if mx > nx
+                                      else [-math.inf, mn, nx, math.inf])
+            for r in groups[st]:
+                local, below = r - off, 0
                 for s in stats:
                     if local < below + s["c"]:
                         if s["mn"] == s["mx"]:
                             out[r] = s["mn"]
                         else:
-                            nxt[r] = (s["mn"], s["mx"], False, off + below, s["c"])
+                            nxt[r] = (s["mn"], s["mx"], off + below, s["c"])
                         break
                     below += s["c"]
         pending = nxt
     return out
 
 
-def exact_quantiles(df: DataFrame, column: str, probs, fanout: int = 1024, direct_rows: int = 100_000):
-    """Exact linear-interpolated quantiles of ``column`` (list of floats or None)."""
-    base = df.select(F.col(column).cast("double").alias("v")).where(
+def exact_quantiles(df: DataFrame, column: str, probs, fanout: int = 1024, direct_rows: int = 50_000,
+                    persist: bool = True):
+    """Exact linear-interpolated quantiles of ``column`` (list of floats or None).
+
+    The single double column is persisted during the search (several passes
+    read it; 8 bytes a row, recomputed from lineage if an executor is lost)."""
+    base = df.select(F.col(f"`{column}`").cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
-    n = base.count()
-    if n == 0:
-        return [None for _ in probs]
-    pos = [p * (n - 1) for p in probs]
-    need = set()
-    for x in pos:
-        need.add(int(math.floor(x)))
-        need.add(min(int(math.floor(x)) + 1, n - 1))
-    vals = select_ranks(base, need, n, fanout, direct_rows)
+    if persist:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = base.count()
+        if n == 0:
+            return [None for _ in probs]
+        pos = [p * (n - 1) for p in probs]
+        need = set()
+        for x in pos:
+            need.add(int(math.floor(x)))
+            need.add(min(int(math.floor(x)) + 1, n - 1))
+        vals = select_ranks(base, need, n, fanout, direct_rows)
+    finally:
+        if persist:
+            base.unpersist()
     res = []
     for x in pos:
         lo = int(math.floor(x))

@@ -6,6 +6,7 @@ as false.  "Now" is the ``as_of`` parameter so results are reproducible.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,67 +75,91 @@ def add_flags(df: DataFrame, roles, bounds=None, date_col: str | None = None, as
     return df, names
 
 
-def _issue(seq: int, kind: str, severity: str, n: Column, details: Column) -> Column:
-    return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("type"), details.alias("details"),
-                    F.lit(severity).alias("severity"), n.cast("bigint").alias("n"))
+@dataclass(frozen=True)
+class IssueSpec:
+    """One candidate quality issue: counted by ``n`` (an aggregate Column),
+    reported with ``template`` (``{n}`` is the count) when ``n > 0``."""
 
+    seq: int
+    type: str
+    severity: str
+    n: Column
+    template: str
 
-def _fmt(template: str, *args: Column) -> Column:
-    return F.format_string(template, *args)
 
-
-def issue_table(candidates: list[Column], df: DataFrame) -> DataFrame:
-    """Evaluate issue structs (one aggregate row), explode, keep n > 0."""
-    row = df.agg(F.array(*candidates).alias("issues"))
-    return (row.select(F.explode("issues").alias("i")).select("i.*")
-               .where(F.col("n") > 0).drop("n"))
-
-
-def validation_issue_exprs(roles, date_col, as_of, start_seq: int = 100) -> list[Column]:
-    """Count expressions for E1-E8 over a frame that already has the flags
-    (counted before E7 nulls the dates: pass the pre-E7 date column name)."""
+def validation_issue_specs(roles, date_col, as_of, start_seq: int = 100) -> list[IssueSpec]:
+    """E1-E8 counts over a frame that already has the flags (the date column
+    still holds implausible years, i.e. before E7 nulls them)."""
     now = as_of_col(as_of)
     out = []
     s = start_seq
     if roles.quantity:
-        n = F.count_if(F.col("flag_negative_qty"))
-        out.append(_issue(s, "Negative Values", "ERROR", n, _fmt(f"{roles.quantity}: %d negative quantities", n)))
+        out.append(IssueSpec(s, "Negative Values", "ERROR", F.count_if(F.col("flag_negative_qty")),
+                             f"{roles.quantity}: {{n}} negative quantities"))
     if roles.rate:
-        n = F.count_if(F.col("flag_negative_rate"))
-        out.append(_issue(s + 1, "Negative Values", "ERROR", n, _fmt(f"{roles.rate}: %d negative rates", n)))
+        out.append(IssueSpec(s + 1, "Negative Values", "ERROR", F.count_if(F.col("flag_negative_rate")),
+                             f"{roles.rate}: {{n}} negative rates"))
     if roles.quantity and roles.rate and roles.amount:
-        n = F.count_if(F.col("flag_amount_mismatch"))
-        out.append(_issue(s + 2, "Business Logic", "WARNING", n,
-                          _fmt("%d rows where amount ≠ qty × rate (±1.0)", n)))
+        out.append(IssueSpec(s + 2, "Business Logic", "WARNING", F.count_if(F.col("flag_amount_mismatch")),
+                             "{n} rows where amount ≠ qty × rate (±1.0)"))
     if roles.amount:
-        n = F.count_if(F.col("flag_amount_outlier"))
-        out.append(_issue(s + 3, "Outliers", "INFO", n, _fmt(f"%d extreme outliers in {roles.amount}", n)))
+        out.append(IssueSpec(s + 3, "Outliers", "INFO", F.count_if(F.col("flag_amount_outlier")),
+                             f"{{n}} extreme outliers in {roles.amount}"))
     if date_col:
-        n = F.count_if(F.col("flag_future_date"))
-        out.append(_issue(s + 4, "Date Range", "WARNING", n, _fmt("%d future dates found", n)))
-        n = F.count_if(_q(date_col) < F.add_months(now, -120))
-        out.append(_issue(s + 5, "Date Range", "INFO", n, _fmt("%d dates older than 10 years", n)))
-        n = F.count_if(F.col("flag_invalid_date"))
-        out.append(_issue(s + 6, "Date Range", "WARNING", n,
-                          _fmt("%d dates beyond year %d", n, (F.year(now) + 1))))
+        out.append(IssueSpec(s + 4, "Date Range", "WARNING", F.count_if(F.col("flag_future_date")),
+                             "{n} future dates found"))
+        out.append(IssueSpec(s + 5, "Date Range", "INFO", F.count_if(_q(date_col) < F.add_months(now, -120)),
+                             "{n} dates older than 10 years"))
+        out.append(IssueSpec(s + 6, "Date Range", "WARNING", F.count_if(F.col("flag_invalid_date")),
+                             "{n} dates beyond year {max_year}"))
     if roles.customer:
-        n = F.count_if(F.col("flag_invalid_customer"))
-        out.append(_issue(s + 7, "Data Quality", "ERROR", n, _fmt("%d customer entries are month names", n)))
+        out.append(IssueSpec(s + 7, "Data Quality", "ERROR", F.count_if(F.col("flag_invalid_customer")),
+                             "{n} customer entries are month names"))
     return out
 
 
-def security_issue_exprs(columns, start_seq: int = 200) -> list[Column]:
+def security_issue_specs(columns, start_seq: int = 200) -> list[IssueSpec]:
     """Per string column and SQL pattern, rows that match (data unchanged)."""
     out = []
     s = start_seq
     for c in columns:
         for _, pat in T.SQL_PATTERNS:
-            n = F.count_if(T.sql_pattern(_q(c), pat))
-            out.append(_issue(s, "Security", "WARNING", n, _fmt(f"{c}: %d potential SQL patterns detected", n)))
+            out.append(IssueSpec(s, "Security", "WARNING", F.count_if(T.sql_pattern(_q(c), pat)),
+                                 f"{c}: {{n}} potential SQL patterns detected"))
             s += 1
     return out
 
 
+def issue_rows(specs, counts: dict, **fmt) -> list[tuple]:
+    """(seq, type, details, severity) for the specs whose observed count is > 0."""
+    rows = []
+    for sp in specs:
+        n = counts.get(f"i{sp.seq}", 0) or 0
+        if n > 0:
+            rows.append((sp.seq, sp.type, sp.template.format(n=n, **fmt), sp.severity))
+    return rows
+
+
+def issue_table(specs, df: DataFrame, **fmt) -> DataFrame:
+    """E10 as a lazy table: one aggregate of all counts over ``df``, unpivoted,
+    rows with n > 0 kept."""
+    if not specs:
+        return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
+    structs = []
+    for sp in specs:
+        details = F.lit(sp.template)
+        for k, v in fmt.items():
+            details = F.replace(details, F.lit("{" + k + "}"), F.lit(str(v)))
+        details = F.replace(details, F.lit("{n}"), sp.n.cast("string"))
+        structs.append(F.struct(F.lit(sp.seq).alias("seq"), F.lit(sp.type).alias("type"), details.alias("details"),
+                                F.lit(sp.severity).alias("severity"), sp.n.cast("bigint").alias("n")))
+    row = df.agg(F.array(*structs).alias("issues"))
+    return row.select(F.explode("issues").alias("i")).select("i.*").where(F.col("n") > 0).drop("n")
+
+
+ISSUE_SCHEMA = "seq int, type string, details string, severity string"
+
+
 def sql_pattern_counts(df: DataFrame, columns) -> DataFrame:
     """C12 as a table: ``(column_name, pattern, matches)`` from one aggregate."""
     aggs, rows = [], []

@@ -1,30 +1,35 @@
-"""P: the seven-step cleaning job as one Spark plan with few small actions.
+"""P: the seven-step cleaning job as one Spark plan with few, small actions.
 
 ingest -> clean (B1, B2, B4, B5, C1, B3, C2, C3) -> de-duplicate (D1) ->
 normalize (J11a, B6, B7+B9, B10, B11) -> validate (E1-E9) -> sanitize (C12, B13,
 B14) -> summarize (E10, G12).
 
-Actions, all returning a handful of numbers to the driver:
+Passes over the data:
 
-1. one aggregate after the row-local cleaning: row counts for C1/C2/C3 and
-   non-null counts per column for B3;
-2. the reliable checkpoint after de-duplication (lineage cut: every later pass
-   reads it, and it survives executor loss) and its row count;
-3. the date-format statistics (B7);
-4. the exact amount quartiles for E4 (distributed rank search).
+1. source -> clean -> de-duplicate, written to the shared checkpoint folder
+   (``materialize``).  The C1/C2/C3 row counts and the per-column non-null
+   counts of B3 are *observed* during that write, not computed by a scan of
+   their own.
+2. date-format statistics over the distinct date texts (B7, small).
+3. exact amount quartiles and median (distributed rank search on one column).
+4. normalize -> validate -> sanitize, written once more; conversion, flag,
+   SQL-pattern and summary counts are observed during that write.
+5. distinct customers of the written result (G7 part of G12).
+
+The issue list and the summary are built from those observed numbers.
 
 Deliberate deviations, all documented: null tokens and whitespace are handled
 before C1/B3 (pandas' CSV reader had already turned the tokens into NaN); the
 output schema is fixed (every flag whose role exists is present, see
-``drop_empty_flags``); nulls stay null through the sanitize step; derived time
-columns that collide with a source column rename the *source* to ``<name>_src``.
+``drop_empty_flags``); nulls stay null through the sanitize step; a source
+column whose name clashes with a derived time column is renamed ``<name>_src``.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillpoint.functions import text as T
@@ -36,7 +41,7 @@ from tillpoint.operators.dedup import deduplicate
 from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.roles import detect_roles_clean
 from tillpoint.plans.sales_wide import Roles
-from tillpoint.session import reliable_checkpoint
+from tillpoint.session import materialize, spread
 
 NUMERIC_NAME_TOKENS = ("rate", "price", "amount", "amt", "gross", "total")
 TIME_COLUMNS = ("year", "quarter", "month", "month_name", "day_of_week", "week_of_year")
@@ -44,7 +49,7 @@ TIME_COLUMNS = ("year", "quarter", "month", "month_name", "day_of_week", "week_o
 
 @dataclass
 class Preprocessed:
-    data: DataFrame
+    data: DataFrame            # cleaned rows (read back from the checkpoint folder)
     issues: DataFrame          # seq, type, details, severity
     summary: DataFrame         # one row
     header_rows: DataFrame     # up to 3 header-like rows, as found
@@ -58,121 +63,138 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
-def _issue_row(df: DataFrame, seq: int, kind: str, severity: str, n: int, details: str) -> list:
-    return [V._issue(seq, kind, severity, F.lit(n), F.lit(details))] if n > 0 else []
-
-
 def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col: str = "INDEX",
-               size_col: str | None = None, drop_empty_flags: bool = False,
-               checkpoint: bool = True) -> Preprocessed:
+               size_col: str | None = None, drop_empty_flags: bool = False) -> Preprocessed:
+    spark = df.sparkSession
     # ---- 2. clean ----------------------------------------------------------
-    df = C.drop_unnamed(C.clean_headers(df))
-    df = C.standardize_nulls(C.trim_strings(df))
+    df = spread(C.drop_unnamed(C.clean_headers(df)))
+    strings = set(C.string_columns(df))
+    df = C.trim_and_standardize(df)
     empty = C.all_null(df)
-    junk = C.junk_index(index_col) if index_col in df.columns and \
-        dict(df.dtypes)[index_col] == "string" else F.lit(False)
+    junk = C.junk_index(index_col) if index_col in strings else F.lit(False)
     head = C.header_like(df)
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("empty"),
-                   F.count_if(~empty & junk).alias("junk"), F.count_if(~empty & ~junk & head).alias("head"),
-                   *[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    empty_cols = [c for i, c in enumerate(df.columns) if stats[f"c{i}"] == 0]
-    header_rows = (df.where(~empty & ~junk & head).drop(*empty_cols)
-                     .orderBy(*[_q(c).asc_nulls_last() for c in df.columns if c not in empty_cols]).limit(3))
-    df = df.where(~empty & ~junk & ~head).drop(*empty_cols)
-
-    # ---- 3. de-duplicate ---------------------------------------------------
-    df = deduplicate(df)
-    if checkpoint:
-        df = reliable_checkpoint(df)
-    n_dedup = df.count()
-    n_dups = stats["n"] - stats["empty"] - stats["junk"] - stats["head"] - n_dedup
+    obs_clean = Observation("clean")
+    observed = df.observe(obs_clean, F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("empty"),
+                          F.count_if(~empty & junk).alias("junk"),
+                          F.count_if(~empty & ~junk & head).alias("head"),
+                          *[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    header_rows = df.where(~empty & ~junk & head).orderBy(*[_q(c).asc_nulls_last() for c in df.columns]).limit(3)
+
+    # ---- 3. de-duplicate (pass 1, materialized) ----------------------------
+    stage = materialize(deduplicate(observed.where(~empty & ~junk & ~head)), "dedup")
+    s1 = obs_clean.get
+    empty_cols = [c for i, c in enumerate(df.columns) if s1[f"c{i}"] == 0]
+    stage = stage.drop(*empty_cols)
+    header_rows = header_rows.drop(*empty_cols)
+    n_dedup = stage.count()
+    n_dups = s1["n"] - s1["empty"] - s1["junk"] - s1["head"] - n_dedup
 
     # ---- 4. normalize ------------------------------------------------------
-    roles = roles or detect_roles_clean(df.columns)
-    if roles.date and roles.date in df.columns:
-        # derived names never change: a clashing source column becomes <name>_src
-        clash = {c for c in df.columns if c.lower() in TIME_COLUMNS + ("date_parsed",)}
+    roles = roles or detect_roles_clean(stage.columns)
+    if roles.date and roles.date in stage.columns:
+        clash = {c for c in stage.columns if c.lower() in TIME_COLUMNS + ("date_parsed",)}
         if clash:
             ren = {c: c + "_src" for c in clash}
-            df = df.toDF(*[ren.get(c, c) for c in df.columns])
+            stage = stage.toDF(*[ren.get(c, c) for c in stage.columns])
             roles = replace(roles, **{k: ren[v] for k, v in asdict(roles).items() if v in ren})
-    numeric = [c for c in (roles.quantity, roles.rate, roles.amount) if c and c in df.columns]
-    numeric += [c for c in df.columns if c not in numeric and any(t in c.lower() for t in NUMERIC_NAME_TOKENS)]
-    string_numeric = [c for c in numeric if dict(df.dtypes)[c] == "string"]
-    conv_issues = []
-    for i, c in enumerate(string_numeric):
-        n = F.count_if(_q(c).isNotNull() & T.to_number(_q(c)).isNull())
-        conv_issues.append(V._issue(50 + i, "Numeric Conversion", "WARNING", n,
-                                    V._fmt(f"{c}: %d values couldn't be converted", n)))
-    base = df
-    df = C.to_numeric_columns(df, numeric)
-
-    date_col = None
-    choice = None
-    if roles.date and roles.date in df.columns:
-        choice = choose_date_format(base, roles.date)
+    types = dict(stage.dtypes)
+    numeric = [c for c in (roles.quantity, roles.rate, roles.amount) if c and c in stage.columns]
+    numeric += [c for c in stage.columns if c not in numeric and any(t in c.lower() for t in NUMERIC_NAME_TOKENS)]
+    conv_specs = [V.IssueSpec(50 + i, "Numeric Conversion", "WARNING",
+                              F.count_if(_q(c).isNotNull() & T.to_number(_q(c)).isNull()),
+                              f"{c}: {{n}} values couldn't be converted")
+                  for i, c in enumerate(c for c in numeric if types[c] == "string")]
+    obs_conv = Observation("convert")
+    work = stage.observe(obs_conv, F.count(F.lit(1)).alias("rows"),
+                         *[sp.n.alias(f"i{sp.seq}") for sp in conv_specs]) if conv_specs else stage
+    work = C.to_numeric_columns(work, numeric)
+
+    date_col, choice = None, None
+    if roles.date and roles.date in stage.columns:
+        choice = choose_date_format(stage, roles.date)
         date_col = "date_parsed"
-        df = df.withColumn(date_col, choice.expr)
-        df = df.withColumns(time_dimensions(F.col(date_col)))
-    if roles.customer and roles.customer in df.columns:
-        df = C.normalize_text_column(df, roles.customer)
-    size = size_col or ("SIZE" if "SIZE" in df.columns else roles.size)
-    if size and size in df.columns:
-        df = C.normalize_size_column(df, size)
+        work = work.withColumn(date_col, choice.expr).withColumns(time_dimensions(F.col(date_col)))
+    if roles.customer and roles.customer in stage.columns:
+        work = C.normalize_text_column(work, roles.customer)
+    size = size_col or ("SIZE" if "SIZE" in stage.columns else roles.size)
+    if size and size in stage.columns:
+        work = C.normalize_size_column(work, size)
 
     # ---- 5. validate -------------------------------------------------------
-    quart = exact_quantiles(df, roles.amount, [0.25, 0.5, 0.75]) if roles.amount in df.columns else None
-    bounds = (quart[0], quart[2]) if quart else None
-    df, flags = V.add_flags(df, roles, bounds, date_col, as_of)
-    val_issues = V.validation_issue_exprs(roles, date_col, as_of)
+    quart = None
+    if roles.amount and roles.amount in stage.columns:
+        amounts = stage.select(T.to_number(_q(roles.amount)).alias("a")) if types[roles.amount] == "string" \
+            else stage.select(_q(roles.amount).cast("double").alias("a"))
+        quart = exact_quantiles(amounts, "a", [0.25, 0.5, 0.75])
+    work, flags = V.add_flags(work, roles, (quart[0], quart[2]) if quart else None, date_col, as_of, time_dims=False)
+    val_specs = V.validation_issue_specs(roles, date_col, as_of)
 
     # ---- 6. sanitize -------------------------------------------------------
-    strings = C.string_columns(df)
-    sec_issues = V.security_issue_exprs(strings)
-    pre_sanitize = df
-    df = V.sanitize(df, strings)
+    str_cols = C.string_columns(work)
+    sec_specs = V.security_issue_specs(str_cols)
+    obs_val = Observation("validate")
+    work = work.observe(obs_val, F.count(F.lit(1)).alias("rows"),
+                        *[sp.n.alias(f"i{sp.seq}") for sp in val_specs + sec_specs])
+    if date_col:
+        # E7 has nulled implausible dates: derive the time columns from the cleaned date
+        work = work.withColumns(time_dimensions(F.col(date_col)))
+        order = [c for c in work.columns if c not in TIME_COLUMNS]
+        at = order.index(date_col) + 1
+        work = work.select(*[_q(c) for c in order[:at] + list(TIME_COLUMNS) + order[at:]])
+    work = V.sanitize(work, C.string_columns(work))
+
+    sum_aggs = [F.count(F.lit(1)).alias("rows")]
+    if date_col:
+        sum_aggs += [F.min(date_col).alias("date_start"), F.max(date_col).alias("date_end")]
+    if quart:
+        a = _q(roles.amount)
+        sum_aggs += [F.sum(a).alias("total_sales"), F.avg(a).alias("avg_transaction"),
+                     F.max(a).alias("max_transaction"), F.min(a).alias("min_transaction")]
+    sum_aggs += [F.count_if(_q(c).isNull()).alias(f"null{i}") for i, c in enumerate(work.columns)]
+    sum_aggs += [F.count_if(F.col(f)).alias(f"flag{i}") for i, f in enumerate(flags)]
+    obs_sum = Observation("summary")
+    out_cols = work.columns
+    work = work.observe(obs_sum, *sum_aggs)
+
+    # ---- pass 4: write the result once, every count observed on the way ----
+    data = materialize(work, "preprocessed")
+    sv = obs_sum.get
+    counts = {**(obs_conv.get if conv_specs else {}), **obs_val.get}
 
     if drop_empty_flags and flags:
-        counts = df.agg(*[F.count_if(F.col(f)).alias(f) for f in flags]).first()
-        gone = [f for f in flags if counts[f] == 0]
+        gone = [f for i, f in enumerate(flags) if sv[f"flag{i}"] == 0]
         flags = [f for f in flags if f not in gone]
-        df = df.drop(*gone)
-        if not flags:
-            df = df.drop("has_quality_issues")
-        else:
-            df = df.withColumn("has_quality_issues", F.greatest(*[F.col(f) for f in flags]))
+        data = data.drop(*gone)
+        data = data.drop("has_quality_issues") if not flags else \
+            data.withColumn("has_quality_issues", F.greatest(*[F.col(f) for f in flags]))
 
     # ---- 7. issues and summary ---------------------------------------------
-    fixed = []
-    fixed += _issue_row(df, 10, "Empty Rows", "INFO", stats["empty"],
-                        f"Removed {stats['empty']} completely empty rows")
-    fixed += _issue_row(df, 20, "Data Quality", "WARNING", stats["junk"],
-                        f"Found {stats['junk']} rows with text in INDEX column")
-    fixed += _issue_row(df, 30, "Duplicates", "WARNING", n_dups, f"Found {n_dups} exact duplicate records")
-    issues = V.issue_table(fixed + conv_issues, base)
-    issues = issues.unionByName(V.issue_table(val_issues + sec_issues, pre_sanitize))
-
-    summary = summarize(df, roles, date_col, flags, median=quart[1] if quart else None)
-    return Preprocessed(df, issues, summary, header_rows, roles,
-                        choice.format if choice else None, choice.stats if choice else None, flags)
-
-
-def summarize(df: DataFrame, roles: Roles, date_col: str | None, flags, median=None) -> DataFrame:
-    """G12 as one row: rows, columns, date range, business metrics of the
-    amount, unique customers outside flagged rows, and nulls per column."""
-    aggs = [F.count(F.lit(1)).alias("total_rows_processed"), F.lit(len(df.columns)).alias("columns")]
+    now_year = (spark.range(1).select(F.year(V.as_of_col(as_of))).first()[0])
+    rows = []
+    if s1["empty"] > 0:
+        rows.append((10, "Empty Rows", f"Removed {s1['empty']} completely empty rows", "INFO"))
+    if s1["junk"] > 0:
+        rows.append((20, "Data Quality", f"Found {s1['junk']} rows with text in INDEX column", "WARNING"))
+    if n_dups > 0:
+        rows.append((30, "Duplicates", f"Found {n_dups} exact duplicate records", "WARNING"))
+    rows += V.issue_rows(conv_specs + val_specs + sec_specs, counts, max_year=now_year + 1)
+    issues = spark.createDataFrame(rows, V.ISSUE_SCHEMA)
+
+    summary = {"total_rows_processed": sv["rows"], "columns": len(data.columns)}
     if date_col:
-        aggs += [F.min(date_col).alias("date_start"), F.max(date_col).alias("date_end")]
-    if roles.amount and roles.amount in df.columns:
-        a = _q(roles.amount)
-        med = median if median is not None else exact_quantiles(df, roles.amount, [0.5])[0]
-        aggs += [F.sum(a).alias("total_sales"), F.avg(a).alias("avg_transaction"),
-                 F.lit(med).cast("double").alias("median_transaction"),
-                 F.max(a).alias("max_transaction"), F.min(a).alias("min_transaction")]
-    if roles.customer and roles.customer in df.columns:
-        keep = ~F.col("flag_invalid_customer") if "flag_invalid_customer" in df.columns else F.lit(True)
-        aggs.append(F.count_distinct(F.when(keep, _q(roles.customer))).alias("unique_customers"))
-    aggs.append(F.create_map(*[x for c in df.columns for x in (F.lit(c), F.count_if(_q(c).isNull()))])
-                .alias("missing_values"))
-    aggs.append(F.array(*[F.lit(f) for f in flags]).cast("array<string>").alias("validation_flags"))
-    return df.agg(*aggs)
+        summary.update(date_start=sv["date_start"], date_end=sv["date_end"])
+    if quart:
+        summary.update(total_sales=sv["total_sales"], avg_transaction=sv["avg_transaction"],
+                       median_transaction=quart[1], max_transaction=sv["max_transaction"],
+                       min_transaction=sv["min_transaction"])
+    summary_df = spark.createDataFrame([summary]).select(*summary.keys())
+    if roles.customer and roles.customer in data.columns:
+        keep = ~F.col("flag_invalid_customer") if "flag_invalid_customer" in data.columns else F.lit(True)
+        uc = data.agg(F.count_distinct(F.when(keep, _q(roles.customer))).alias("unique_customers"))
+        summary_df = summary_df.crossJoin(uc)
+    missing = {c: sv[f"null{i}"] for i, c in enumerate(out_cols) if c in data.columns}
+    summary_df = summary_df.withColumn(
+        "missing_values", F.create_map(*[x for k, v in missing.items() for x in (F.lit(k), F.lit(v))])
+    ).withColumn("validation_flags", F.array(*[F.lit(f) for f in flags]).cast("array<string>"))
+    return Preprocessed(data, issues, summary_df, header_rows, roles,
+                        choice.format if choice else None, choice.stats if choice else None, flags)

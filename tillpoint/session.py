@@ -63,3 +63,29 @@ def reliable_checkpoint(df):
     """Cut lineage with a reliable (shared-folder) checkpoint; never localCheckpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Give CPU-heavy row-local work at least ``defaultParallelism`` partitions.
+
+    A scan of one small file (or one row group) is a single task; a cluster scan
+    of large data already has thousands of partitions and is left alone, so this
+    never adds a shuffle where the work is already parallel.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as parquet under the session's shared checkpoint folder and
+    read it back: a lineage cut that survives executor loss and, unlike an
+    eager ``checkpoint()``, runs as a Dataset action, so ``observe()`` metrics
+    placed anywhere in ``df``'s plan are filled by this one pass."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tillpoint-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
