@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tillpoint.operators.quantiles import exact_quantiles
+from tillpoint.operators.quantiles import exact_quantiles_many
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -41,7 +41,7 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"av{i}"), F.stddev_samp(c).alias(f"sd{i}"),
                  F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}")]
     wide = df.agg(*aggs)
-    quant = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
+    quant = exact_quantiles_many(df, cols, [0.25, 0.5, 0.75])
     parts = []
     for i, c in enumerate(cols):
         q = quant[c]
