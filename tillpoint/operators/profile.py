@@ -54,3 +54,67 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _kind(dt) -> str:
+    from pyspark.sql.types import StringType
+    if isinstance(dt, NumericType):
+        return "numeric"
+    if isinstance(dt, StringType):
+        return "string"
+    return "other"
+
+
+def column_profile(df: DataFrame, table: str) -> DataFrame:
+    """G9 (+ numeric min/max for J3): one row per column with ``table,
+    column_name, ordinal, dtype, kind, n, null_count, null_pct, unique_count,
+    unique_pct, min_num, max_num``.
+
+    Plain counts and min/max come from one aggregate.  Distinct counts come
+    from an unpivot to ``(ordinal, value-as-text)`` and two grouped counts, so
+    every column's distinct values are spread over the shuffle by value; no
+    column is gathered into one task.  Nulls do not count as a value (pandas
+    ``nunique``)."""
+    fields = df.schema.fields
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(fields):
+        c = F.col(f"`{f.name}`")
+        aggs.append(F.count(c).alias(f"nn{i}"))
+        if isinstance(f.dataType, NumericType):
+            aggs += [F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}")]
+    wide = df.agg(*aggs)
+    rows = []
+    for i, f in enumerate(fields):
+        mn = f"mn{i}" if isinstance(f.dataType, NumericType) else "CAST(NULL AS DOUBLE)"
+        mx = f"mx{i}" if isinstance(f.dataType, NumericType) else "CAST(NULL AS DOUBLE)"
+        rows.append(f"{i + 1}, n, n - nn{i}, {mn}, {mx}")
+    counts = wide.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS (ordinal, n, null_count, min_num, max_num)")
+    vals = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i + 1).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("v"))
+        for i, f in enumerate(fields)])).alias("x")).select("x.*").where(F.col("v").isNotNull())
+    distinct = vals.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
+    meta = df.sparkSession.createDataFrame(
+        [(table, f.name, i + 1, f.dataType.simpleString(), _kind(f.dataType)) for i, f in enumerate(fields)],
+        "table_name string, column_name string, ordinal int, dtype string, kind string")
+    out = (meta.join(counts, "ordinal").join(distinct, "ordinal", "left")
+               .withColumn("unique_count", F.coalesce(F.col("unique_count"), F.lit(0)).cast("bigint")))
+    return out.select("table_name", "column_name", "ordinal", "dtype", "kind", F.col("n").cast("bigint").alias("n"),
+                      F.col("null_count").cast("bigint").alias("null_count"),
+                      (F.try_divide(F.col("null_count"), F.col("n")) * 100).alias("null_pct"),
+                      "unique_count", (F.try_divide(F.col("unique_count"), F.col("n")) * 100).alias("unique_pct"),
+                      "min_num", "max_num")
+
+
+def sample_values(df: DataFrame, k: int = 5, order_by=None) -> DataFrame:
+    """The first ``k`` non-null values per column, "first" by ``order_by``
+    (default: the value itself), as ``(column_name, rank, value)``.  Planned as
+    a partial ``WindowGroupLimit`` per column before the shuffle."""
+    from pyspark.sql import Window
+    order = list(order_by) if order_by else []
+    fields = df.schema.fields
+    vals = df.select(*[F.col(c) for c in order], F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").cast("string").alias("value"))
+        for f in fields])).alias("x")).select(*order, "x.*").where(F.col("value").isNotNull())
+    w = Window.partitionBy("column_name").orderBy(*([F.col(c) for c in order] or [F.col("value")]))
+    return (vals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select("column_name", "rank", "value"))
