@@ -189,3 +189,22 @@ def fact_columns(columns: DataFrame) -> DataFrame:
                        .select("table_name", F.lit("metric").alias("use"), "column_name",
                                (F.col("ordinal") + 1000).alias("priority")))
     return hit.unionByName(fallback)
+
+
+def compare_prices(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
+    """Price comparison of two providers.  Header-like labels (C4) are
+    dropped, prices parsed as the first number in the text (B12), rows with no
+    price at all dropped (C5); then per provider avg/min/max, how often each is
+    cheaper (diff = b - a: > 0 -> a cheaper, < 0 -> b cheaper, 0 -> tie; a null
+    diff counts nowhere) and the mean diff.  No row cap."""
+    from tillpoint.functions.text import first_number
+    from tillpoint.operators.clean import drop_label_headers, drop_rows_without
+
+    d = drop_label_headers(df, label).select(F.col(label), first_number(a).alias("a"), first_number(b).alias("b"))
+    d = drop_rows_without(d, ["a", "b"])
+    diff = F.col("b") - F.col("a")
+    return d.agg(F.count(F.lit(1)).alias("row_count"),
+                 F.avg("a").alias("avg_a"), F.min("a").alias("min_a"), F.max("a").alias("max_a"),
+                 F.avg("b").alias("avg_b"), F.min("b").alias("min_b"), F.max("b").alias("max_b"),
+                 F.count_if(diff > 0).alias("cheaper_a"), F.count_if(diff < 0).alias("cheaper_b"),
+                 F.count_if(diff == 0).alias("ties"), F.avg(diff).alias("avg_diff_b_minus_a"))
