@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 
 from tillpoint.operators.roles import FACT_DIMENSIONS, FACT_METRICS
 
-_NAME = F.lower(F.col("column_name"))
-
-
 def _has(*words) -> Column:
-    return reduce(lambda a, b: a | b, [_NAME.contains(w) for w in words])
+    name = F.lower(F.col("column_name"))
+    return reduce(lambda a, b: a | b, [name.contains(w) for w in words])
 
 
 def semantic_type(unique_count="unique_count", n="n") -> Column:

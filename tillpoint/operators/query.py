@@ -156,7 +156,7 @@ def describe_schemas(spark: SparkSession, databases=("raw", "mart")) -> DataFram
         if db not in existing:
             continue
         for t in spark.catalog.listTables(db):
-            for i, c in enumerate(spark.catalog.listColumns(t.name, db)):
+            for i, c in enumerate(spark.catalog.listColumns(f"{db}.{t.name}")):
                 rows.append((db, t.name, i + 1, c.name, c.dataType))
     return spark.createDataFrame(rows, "table_schema string, table_name string, ordinal int, column_name string, "
                                        "data_type string").orderBy("table_schema", "table_name", "ordinal")

@@ -22,7 +22,7 @@ def discover(spark: SparkSession, directory: str, pattern: str = "*.csv", recurs
 
 def file_encodings(spark: SparkSession, paths, encoding: str = "utf-8") -> dict:
     """A1: the encoding per file.  The requested encoding, then utf-8, then
-    latin-1 (which decodes any byte string, so iso-8859-1 and cp1252 are never
+    latin-1, i.e. ISO-8859-1 (which decodes any byte string, so iso-8859-1 and cp1252 are never
     reached).  UTF-8 validity is checked line by line with ``is_valid_utf8``
     over the text source, so large files are read in parallel splits."""
     enc = encoding.lower().replace("_", "-")
@@ -36,7 +36,7 @@ def file_encodings(spark: SparkSession, paths, encoding: str = "utf-8") -> dict:
     out = {}
     for p in paths:
         key = norm[p]
-        out[p] = "latin-1" if any(key.endswith(b.split("file:")[-1]) or b == key for b in bad) else "utf-8"
+        out[p] = "ISO-8859-1" if any(key.endswith(b.split("file:")[-1]) or b == key for b in bad) else "utf-8"
     return out
 
 
