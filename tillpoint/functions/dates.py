@@ -79,6 +79,41 @@ def pattern_shape(pattern: str) -> str:
     return _pattern_regex(pattern)
 
 
+def _precheck(col: Column, pattern: str) -> Column:
+    """Cheap tests a text must pass before the shape regex: its length range
+    and the separators the pattern contains."""
+    lo = hi = 0
+    i = 0
+    seps = set()
+    while i < len(pattern):
+        ch = pattern[i]
+        j = i
+        while j < len(pattern) and pattern[j] == ch:
+            j += 1
+        run = j - i
+        if ch == "'":
+            k = pattern.index("'", i + 1)
+            lo += k - i - 1
+            hi += k - i - 1
+            j = k + 1
+        elif ch == "y":
+            n = 4 if run >= 4 else 2
+            lo, hi = lo + n, hi + n
+        elif ch == "M" and run >= 3:
+            lo, hi = lo + 3, hi + 9
+        elif ch in "MdHms":
+            lo, hi = lo + 1, hi + 2
+        else:
+            lo, hi = lo + run, hi + run
+            seps.update(pattern[i:j])
+        i = j
+    n = F.length(col)
+    cond = (n >= lo) & (n <= hi)
+    for sep in sorted(seps):
+        cond = cond & col.contains(sep)
+    return cond
+
+
 def _two_digit_year(pattern: str) -> bool:
     return bool(re.search(r"(?<!y)yy(?!y)", pattern.replace("'", "")))
 
@@ -97,9 +132,9 @@ def parse_with(c, pattern: str) -> Column:
         century = F.when(yy >= F.lit("69"), F.lit("19")).otherwise(F.lit("20"))
         text = F.regexp_replace(col, F.lit(rx), F.concat(F.lit("$1"), century, F.lit("$2$3")))
         p4 = re.sub(r"(?<!y)yy(?!y)", "yyyy", pattern)
-        return F.when(col.rlike(pattern_shape(pattern)),
+        return F.when(_precheck(col, pattern) & col.rlike(pattern_shape(pattern)),
                       F.try_to_timestamp(text, F.lit(p4))).cast("timestamp_ntz")
-    return F.when(col.rlike(pattern_shape(pattern)),
+    return F.when(_precheck(col, pattern) & col.rlike(pattern_shape(pattern)),
                   F.try_to_timestamp(col, F.lit(pattern))).cast("timestamp_ntz")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tillpoint.operators.quantiles import exact_quantiles_many
+from tillpoint.session import spread
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -66,42 +67,36 @@ def _kind(dt) -> str:
 
 
 def column_profile(df: DataFrame, table: str) -> DataFrame:
-    """G9 (+ numeric min/max for J3): one row per column with ``table,
+    """G9 (+ numeric min/max for J3): one row per column with ``table_name,
     column_name, ordinal, dtype, kind, n, null_count, null_pct, unique_count,
     unique_pct, min_num, max_num``.
 
-    Plain counts and min/max come from one aggregate.  Distinct counts come
-    from an unpivot to ``(ordinal, value-as-text)`` and two grouped counts, so
-    every column's distinct values are spread over the shuffle by value; no
-    column is gathered into one task.  Nulls do not count as a value (pandas
-    ``nunique``)."""
+    One aggregate computes every count.  The distinct counts are Spark's
+    multi-distinct plan (Expand + two-level aggregation): each column's values
+    are shuffled by value, so no column is gathered into one task.  Nulls are
+    not a value (pandas ``nunique``)."""
+    df = spread(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"nn{i}"))
+        aggs += [F.count(c).alias(f"nn{i}"), F.count_distinct(c).alias(f"u{i}")]
         if isinstance(f.dataType, NumericType):
             aggs += [F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}")]
     wide = df.agg(*aggs)
     rows = []
     for i, f in enumerate(fields):
-        mn = f"mn{i}" if isinstance(f.dataType, NumericType) else "CAST(NULL AS DOUBLE)"
-        mx = f"mx{i}" if isinstance(f.dataType, NumericType) else "CAST(NULL AS DOUBLE)"
-        rows.append(f"{i + 1}, n, n - nn{i}, {mn}, {mx}")
-    counts = wide.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS (ordinal, n, null_count, min_num, max_num)")
-    vals = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i + 1).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("v"))
-        for i, f in enumerate(fields)])).alias("x")).select("x.*").where(F.col("v").isNotNull())
-    distinct = vals.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
-    meta = df.sparkSession.createDataFrame(
-        [(table, f.name, i + 1, f.dataType.simpleString(), _kind(f.dataType)) for i, f in enumerate(fields)],
-        "table_name string, column_name string, ordinal int, dtype string, kind string")
-    out = (meta.join(counts, "ordinal").join(distinct, "ordinal", "left")
-               .withColumn("unique_count", F.coalesce(F.col("unique_count"), F.lit(0)).cast("bigint")))
-    return out.select("table_name", "column_name", "ordinal", "dtype", "kind", F.col("n").cast("bigint").alias("n"),
-                      F.col("null_count").cast("bigint").alias("null_count"),
+        num = isinstance(f.dataType, NumericType)
+        rows.append(f"'{table}', '{f.name}', {i + 1}, '{f.dataType.simpleString()}', '{_kind(f.dataType)}', n, "
+                    f"n - nn{i}, u{i}, {f'mn{i}' if num else 'CAST(NULL AS DOUBLE)'}, "
+                    f"{f'mx{i}' if num else 'CAST(NULL AS DOUBLE)'}")
+    out = wide.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS "
+                          "(table_name, column_name, ordinal, dtype, kind, n, null_count, unique_count, min_num, max_num)")
+    return out.select("table_name", "column_name", F.col("ordinal").cast("int").alias("ordinal"), "dtype", "kind",
+                      F.col("n").cast("bigint").alias("n"), F.col("null_count").cast("bigint").alias("null_count"),
                       (F.try_divide(F.col("null_count"), F.col("n")) * 100).alias("null_pct"),
-                      "unique_count", (F.try_divide(F.col("unique_count"), F.col("n")) * 100).alias("unique_pct"),
+                      F.col("unique_count").cast("bigint").alias("unique_count"),
+                      (F.try_divide(F.col("unique_count"), F.col("n")) * 100).alias("unique_pct"),
                       "min_num", "max_num")
 
 

@@ -77,28 +77,27 @@ def contains_matches(texts: DataFrame, text_id: str, text_col: str, patterns: Da
                      batch_bytes: int = 64 << 20) -> DataFrame:
     """Every (pattern, text) pair where the text contains the pattern exactly.
 
-    The patterns are broadcast as an Aho-Corasick automaton in batches of at
-    most ``batch_bytes`` of pattern text (sizes are measured first); each batch
-    is one pass of ``mapInPandas`` over the text partitions, so the work is
-    linear in the text and no pair of rows is ever formed."""
+    The patterns are broadcast as an Aho-Corasick automaton in batches of
+    about ``batch_bytes`` of pattern text: one aggregate measures the total,
+    patterns are split into that many hash batches, and each batch is
+    collected, broadcast and run as one pass of ``mapInPandas`` over the text
+    partitions.  The work is linear in the text, no pair of rows is formed, and
+    the driver never holds more than one batch."""
     import ahocorasick
 
-    sizes = patterns.select(pid, pcol, F.octet_length(pcol).alias("_b")).where(F.col("_b") > 0) \
-        .orderBy(pid).collect()
-    batches, cur, used = [], [], 0
-    for r in sizes:
-        if cur and used + r["_b"] > batch_bytes:
-            batches.append(cur)
-            cur, used = [], 0
-        cur.append((r[pid], r[pcol]))
-        used += r["_b"]
-    if cur:
-        batches.append(cur)
+    pats = patterns.select(pid, pcol).where(F.octet_length(pcol) > 0)
+    total = pats.agg(F.sum(F.octet_length(pcol))).first()[0] or 0
+    n_batches = max(1, -(-int(total) // batch_bytes))
+    # batches by hash of the pattern id: only one batch's texts are on the driver at a time
+    batches = [pats.where(F.pmod(F.hash(pid), F.lit(n_batches)) == b) for b in range(n_batches)]
     id_type = dict(texts.dtypes)[text_id]
     p_type = dict(patterns.dtypes)[pid]
     sc = texts.sparkSession.sparkContext
     out = None
-    for batch in batches:
+    for batch_df in batches:
+        batch = [(r[0], r[1]) for r in batch_df.collect()]
+        if not batch:
+            continue
         b = sc.broadcast(batch)
 
         def scan(frames, b=b):
