@@ -19,11 +19,11 @@ from tillpoint.session import local_session  # noqa: E402
 
 HEADLINE = [
     "h1_top_category", "h1_top_region", "g1_g4_kpi_totals", "h2_monthly_totals", "i1_month_deltas",
-    "i2_yoy_growth", "h6_quarterly_recent_year", "g5_numeric_profile", "g8_describe_lineitem",
-    "n7_top_customer_purchases", "n13_category_by_channel", "p_preprocess_rows",
+    "i2_yoy_growth", "h4_value_counts_orders", "h6_quarterly_recent_year", "g5_numeric_profile",
+    "g8_describe_lineitem", "n7_top_customer_purchases", "n13_category_by_channel", "p_preprocess_rows",
     "g9_column_profile_lineitem", "j3_semantic_types", "i3_rolling_memory", "i5_qa_pairs",
-    "l1_extract_json_events", "r1_chunk_documents", "r2_top3_neighbours", "c12_sql_patterns_documents",
-    "a15_new_documents",
+    "l1_extract_json_events", "l2_normalize_plans", "r1_chunk_documents", "r2_top3_neighbours",
+    "r3_context_for_benchmark", "c12_sql_patterns_documents", "a15_new_documents",
 ]
 LARGE = {"p_preprocess_rows", "r1_chunk_documents", "b4_collapse_whitespace_documents"}
 

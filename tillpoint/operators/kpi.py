@@ -151,3 +151,20 @@ def sample_rows(df: DataFrame, order_by, n: int = 3) -> DataFrame:
     """H8: ``n`` sample rows in an explicit order (the reference's LIMIT has none)."""
     cols = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     return df.orderBy(*[_c(c).asc_nulls_last() for c in cols]).limit(n)
+
+
+def value_counts_top(df: DataFrame, columns, k: int = 10) -> DataFrame:
+    """H4: per column, the ``k`` most frequent values with their count and %
+    of ALL rows (nulls left out of the groups, kept in the denominator); ties
+    by value.  One unpivot to ``(column, value)``, one grouped count (partial
+    aggregation), and ``row_number() <= k`` planned as a partial
+    WindowGroupLimit – no column is gathered into one task."""
+    cols = list(columns)
+    total = df.select(F.count(F.lit(1))).scalar()
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
+        .alias("x")).select("x.*").where(F.col("value").isNotNull())
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value"))
+    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                  .withColumn("pct", F.try_divide(F.col("count"), total) * 100))

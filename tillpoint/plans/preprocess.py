@@ -190,8 +190,8 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
     summary_df = spark.createDataFrame([summary]).select(*summary.keys())
     if roles.customer and roles.customer in data.columns:
         keep = ~F.col("flag_invalid_customer") if "flag_invalid_customer" in data.columns else F.lit(True)
-        uc = data.agg(F.count_distinct(F.when(keep, _q(roles.customer))).alias("unique_customers"))
-        summary_df = summary_df.crossJoin(uc)
+        uc = data.agg(F.count_distinct(F.when(keep, _q(roles.customer))))
+        summary_df = summary_df.withColumn("unique_customers", uc.scalar())
     missing = {c: sv[f"null{i}"] for i, c in enumerate(out_cols) if c in data.columns}
     summary_df = summary_df.withColumn(
         "missing_values", F.create_map(*[x for k, v in missing.items() for x in (F.lit(k), F.lit(v))])

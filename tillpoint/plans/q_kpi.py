@@ -313,3 +313,42 @@ def n14_monthly_avg_order_value(spark, sf_dir):
 SELECT month, round(total, 2) AS total FROM ({_MONTHLY_SQL}) ORDER BY total DESC, month LIMIT 1""")
 def n15_best_month(spark, sf_dir):
     return rounded(qs.best_period(_monthly(spark, sf_dir)))
+
+
+@register("h4_value_counts_orders", """
+WITH t AS (SELECT count(*) AS n FROM orders),
+l AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM orders
+      UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders
+      UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders),
+c AS (SELECT column_name, value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rank FROM c)
+SELECT column_name, value, count, CAST(rank AS INTEGER) AS rank, round(count / (SELECT n FROM t) * 100, 2) AS pct
+FROM r WHERE rank <= 10""")
+def h4_value_counts_orders(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return rounded(kpi.value_counts_top(o, ["o_orderstatus", "o_orderpriority", "o_custkey"], 10)
+                   .withColumn("rank", F.col("rank").cast("int")))
+
+
+@register("n_example_questions", """
+WITH y AS (SELECT max(y) AS y2, min(y) AS y1, count(*) AS ny FROM (
+             SELECT DISTINCT year(o_orderdate) AS y FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
+             WHERE year(o_orderdate) IS NOT NULL ORDER BY y DESC LIMIT 2)),
+c AS (SELECT c_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+      WHERE c_name IS NOT NULL GROUP BY c_name ORDER BY count(*) DESC, c_name LIMIT 1),
+q AS (SELECT * FROM (VALUES
+  (1, 'What is the total sales amount?'), (2, 'Show me the top 10 transactions by amount'),
+  (3, 'What were the total sales in 2021?'), (4, 'Show me sales trend by month'), (5, 'Compare Q1 vs Q2 sales')) t(seq, question)
+  UNION ALL SELECT 6, 'What is the year-over-year growth from ' || y1 || ' to ' || y2 || '?' FROM y WHERE ny >= 2
+  UNION ALL SELECT 7, 'Show me all purchases by ' || c_name FROM c
+  UNION ALL SELECT * FROM (VALUES (8, 'Who are the top 5 customers by sales amount?'),
+    (9, 'How many unique customers do we have?'), (10, 'Which products generated the most revenue?'),
+    (11, 'What is the average price per product style?'), (12, 'Show me sales breakdown by p_type'),
+    (13, 'Compare p_type performance across different o_orderpriority'),
+    (14, 'What is the monthly average order value trend?'), (15, 'Which month had the highest sales?')) t(seq, question))
+SELECT CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS seq, question FROM q""")
+def n_example_questions(spark, sf_dir):
+    from tillpoint.plans.explore import example_questions
+    from tillpoint.plans.sales_wide import SALES_WIDE_ROLES
+    sw = sales_wide(spark, sf_dir, ["o_orderdate", "c_name", "l_extendedprice"])
+    return example_questions(sw, SALES_WIDE_ROLES, ["p_type", "o_orderpriority"])
