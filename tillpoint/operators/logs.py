@@ -59,13 +59,33 @@ def _text_list(v: Column, path: str) -> Column:
     return F.filter(F.transform(lst, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
+def normalize_plans(df: DataFrame, reply_col: str, out: str = "plan") -> DataFrame:
+    """L2 over a log table: the reply is parsed once in its own projection (a
+    variant referenced by every field would otherwise be parsed per field),
+    then the fields are read from the parsed value."""
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(reply_col)))
+    return parsed.withColumn(out, _normalize_variant(F.col("_v"))).drop("_v")
+
+
+def extract_json_column(df: DataFrame, text_col: str, out: str = "extracted") -> DataFrame:
+    """L1 over a log table with the candidate span computed once."""
+    t = F.trim(F.col(text_col))
+    fenced = F.regexp_extract(t, r"(?is)```json\s*(\{.*?\})\s*```", 1)
+    greedy = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    step = df.withColumn("_c", F.when(fenced != "", fenced).when(greedy != "", greedy))
+    return step.withColumn(out, F.when(F.try_parse_json(F.col("_c")).isNotNull(), F.col("_c"))).drop("_c")
+
+
 def normalize_plan(reply_json) -> Column:
     """L2: the planner record normalized – strings trimmed, scalars made lists,
     empty entries dropped, non-object filters -> ``{}``, rationale cut to 280,
     confidence parsed and clamped to [0, 1], tags lower-cased with spaces as
     '_', other characters dropped, cut to 32, de-duplicated, at most 6;
     ``valid`` when there is a sql text or at least one query."""
-    v = F.try_parse_json(F.col(reply_json) if isinstance(reply_json, str) else reply_json)
+    return _normalize_variant(F.try_parse_json(F.col(reply_json) if isinstance(reply_json, str) else reply_json))
+
+
+def _normalize_variant(v: Column) -> Column:
     sql = F.coalesce(F.trim(F.try_variant_get(v, "$.sql", "string")), F.lit(""))
     queries = _text_list(v, "$.queries")
     fv = F.try_variant_get(v, "$.filters", "variant")

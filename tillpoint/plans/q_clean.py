@@ -23,7 +23,7 @@ _CACHE: dict = {}
 
 def _prep(spark, sf_dir):
     """One preprocessing run per (session, sf_dir), shared by the P queries."""
-    key = (id(spark), sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = preprocess(dirty_sales(spark, sf_dir), as_of=AS_OF, index_col="IDX")
     return _CACHE[key]

@@ -124,8 +124,7 @@ SELECT event_id, CASE WHEN json_valid(cand) THEN cand END AS extracted FROM (
                         THEN regexp_extract(trim(reply), '(?s)(\\{{.*\\}})', 1) END AS cand
   FROM {_REPLY_LOG_SQL})""")
 def l1_extract_json_events(spark, sf_dir):
-    r = _reply_log(spark, sf_dir)
-    return r.select("event_id", L.extract_json("reply").alias("extracted"))
+    return L.extract_json_column(_reply_log(spark, sf_dir), "reply").select("event_id", "extracted")
 
 
 _TAG = "substr(regexp_replace(replace(lower(trim(x)), ' ', '_'), '[^a-z0-9_-]', '', 'g'), 1, 32)"
@@ -149,7 +148,7 @@ FROM (SELECT *, (SELECT list(t ORDER BY i) FROM (
                                           generate_subscripts(tags, 1) AS i)
         WHERE t <> '' GROUP BY t ORDER BY i LIMIT 6)) AS list_distinct_ordered FROM q)""")
 def l2_normalize_plans(spark, sf_dir):
-    p = _plan_log(spark, sf_dir).select("event_id", L.normalize_plan("reply").alias("p"))
+    p = L.normalize_plans(_plan_log(spark, sf_dir), "reply", "p").select("event_id", "p")
     return rounded(p.select("event_id", "p.sql", F.size("p.queries").alias("n_queries"), "p.filters", "p.confidence",
                             F.array_join("p.reason_tags", ",").alias("reason_tags"), "p.valid"))
 

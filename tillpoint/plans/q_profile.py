@@ -48,7 +48,7 @@ def _kind(t: str) -> str:
 
 def catalog(spark, sf_dir):
     """Profile of every given table, unioned into one catalog DataFrame."""
-    key = (id(spark), sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         out = None
         for t in TABLES:
