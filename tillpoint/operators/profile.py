@@ -41,20 +41,12 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"av{i}"), F.stddev_samp(c).alias(f"sd{i}"),
                  F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}")]
-    wide = df.agg(*aggs)
     quant = exact_quantiles_many(df, cols, [0.25, 0.5, 0.75])
-    parts = []
     for i, c in enumerate(cols):
-        q = quant[c]
-        parts.append(wide.select(
-            F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"av{i}").alias("mean"),
-            F.col(f"sd{i}").alias("std"), F.col(f"mn{i}").alias("min"),
-            F.lit(q[0]).cast("double").alias("p25"), F.lit(q[1]).cast("double").alias("p50"),
-            F.lit(q[2]).cast("double").alias("p75"), F.col(f"mx{i}").alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        aggs += [F.lit(q).cast("double").alias(f"q{j}_{i}") for j, q in enumerate(quant[c])]
+    wide = df.agg(*aggs)
+    rows = ", ".join(f"'{c}', n{i}, av{i}, sd{i}, mn{i}, q0_{i}, q1_{i}, q2_{i}, mx{i}" for i, c in enumerate(cols))
+    return wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column_name, count, mean, std, min, p25, p50, p75, max)")
 
 
 def _kind(dt) -> str:

@@ -41,7 +41,7 @@ from tillpoint.operators.dedup import deduplicate
 from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.roles import detect_roles_clean
 from tillpoint.plans.sales_wide import Roles
-from tillpoint.session import materialize, spread
+from tillpoint.session import materialize
 
 NUMERIC_NAME_TOKENS = ("rate", "price", "amount", "amt", "gross", "total")
 TIME_COLUMNS = ("year", "quarter", "month", "month_name", "day_of_week", "week_of_year")
@@ -67,7 +67,7 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
                size_col: str | None = None, drop_empty_flags: bool = False) -> Preprocessed:
     spark = df.sparkSession
     # ---- 2. clean ----------------------------------------------------------
-    df = spread(C.drop_unnamed(C.clean_headers(df)))
+    df = C.drop_unnamed(C.clean_headers(df))
     strings = set(C.string_columns(df))
     df = C.trim_and_standardize(df)
     empty = C.all_null(df)

@@ -66,14 +66,15 @@ def reliable_checkpoint(df):
 
 
 def spread(df):
-    """Give CPU-heavy row-local work at least ``defaultParallelism`` partitions.
+    """Give CPU-heavy row-local work at least ``defaultParallelism`` partitions
+    when the input is a handful of files.
 
-    A scan of one small file (or one row group) is a single task; a cluster scan
-    of large data already has thousands of partitions and is left alone, so this
-    never adds a shuffle where the work is already parallel.
-    """
+    One small file (one row group) is a single scan task; a large table is many
+    files and is left alone, so this never adds a shuffle where the scan is
+    already parallel.  The test uses ``inputFiles()`` – planning only: asking a
+    plan with exchanges for its partition count would run them under AQE."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < target:
         return df.repartition(target)
     return df
 
