@@ -14,7 +14,7 @@ from tillpoint.sources.tables import TABLES, load
 def a4_row_counts_all_tables(spark, sf_dir):
     out = None
     for t in TABLES:
-        c = load(spark, sf_dir, t).select(F.col("_metadata.file_name").alias("file_name")) \
+        c = load(spark, sf_dir, t).select(F.url_decode(F.col("_metadata.file_name")).alias("file_name")) \
             .groupBy("file_name").agg(F.count(F.lit(1)).alias("row_count"))
         out = c if out is None else out.unionByName(c)
     return out

@@ -65,7 +65,8 @@ def read_csv_files(spark: SparkSession, paths, encoding: str = "utf-8") -> dict:
 
 def count_by_file(df: DataFrame) -> DataFrame:
     """A4: rows per source file of a multi-file scan."""
-    return df.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("row_count"))
+    return df.groupBy(F.url_decode(F.col("_metadata.file_name")).alias("file_name")).agg(
+        F.count(F.lit(1)).alias("row_count"))
 
 
 def head_rows(df: DataFrame, n: int, order_by=None) -> DataFrame:
@@ -83,4 +84,4 @@ def sanitize_columns(df: DataFrame) -> tuple[DataFrame, dict]:
 def with_provenance(df: DataFrame, loaded_at=None) -> DataFrame:
     """``source_file`` and ``loaded_at`` columns."""
     ts = F.current_timestamp() if loaded_at is None else F.lit(loaded_at).cast("timestamp")
-    return df.withColumn("source_file", F.col("_metadata.file_name")).withColumn("loaded_at", ts)
+    return df.withColumn("source_file", F.url_decode(F.col("_metadata.file_name"))).withColumn("loaded_at", ts)
