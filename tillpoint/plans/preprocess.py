@@ -187,7 +187,10 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
         summary.update(total_sales=sv["total_sales"], avg_transaction=sv["avg_transaction"],
                        median_transaction=quart[1], max_transaction=sv["max_transaction"],
                        min_transaction=sv["min_transaction"])
-    summary_df = spark.createDataFrame([summary]).select(*summary.keys())
+    types = {"total_rows_processed": "bigint", "columns": "int", "date_start": "timestamp_ntz",
+             "date_end": "timestamp_ntz", "median_transaction": "double"}
+    ddl = ", ".join(f"{k} {types.get(k, 'double')}" for k in summary)
+    summary_df = spark.createDataFrame([tuple(summary.values())], ddl)
     if roles.customer and roles.customer in data.columns:
         keep = ~F.col("flag_invalid_customer") if "flag_invalid_customer" in data.columns else F.lit(True)
         uc = data.agg(F.count_distinct(F.when(keep, _q(roles.customer))))

@@ -182,14 +182,15 @@ SELECT count(*) AS total_rows_processed, 25 AS columns, min(date_parsed) AS date
 FROM h""")
 def p_summary(spark, sf_dir):
     s = _prep(spark, sf_dir).summary.drop("missing_values", "validation_flags")
-    return rounded(s.withColumn("columns", F.col("columns").cast("int")))
+    return rounded(s)
 
 
 @register("p_missing_values", "WITH " + _prep_ctes().lstrip() + "\n" + "\nUNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS missing FROM h" for c in _OUT))
+    f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS missing FROM h" for c in _OUT))
 def p_missing_values(spark, sf_dir):
     s = _prep(spark, sf_dir).summary
-    return s.select(F.explode("missing_values").alias("column_name", "missing"))
+    return s.select(F.explode("missing_values").alias("column_name", "missing")) \
+        .withColumn("missing", F.col("missing").cast("bigint"))
 
 
 @register("b3_empty_columns", f"WITH ds AS ({dirty_sales_sql_for_duckdb()})\n" + "\nUNION ALL ".join(
@@ -233,8 +234,8 @@ def b4_collapse_whitespace_documents(spark, sf_dir):
 
 
 @register("b5_null_tokens_conversations", f"""
-SELECT count_if(({S.null_tokens(S.collapse_ws('text'))}) IS NULL) AS null_texts,
-       count_if(({S.null_tokens(S.collapse_ws('role'))}) IS NULL) AS null_roles FROM conversations""")
+SELECT CAST(count_if(({S.null_tokens(S.collapse_ws('text'))}) IS NULL) AS BIGINT) AS null_texts,
+       CAST(count_if(({S.null_tokens(S.collapse_ws('role'))}) IS NULL) AS BIGINT) AS null_roles FROM conversations""")
 def b5_null_tokens_conversations(spark, sf_dir):
     c = C.standardize_nulls(C.trim_strings(load(spark, sf_dir, "conversations").select("text", "role")))
     return c.agg(F.count_if(F.col("text").isNull()).alias("null_texts"),
@@ -280,7 +281,8 @@ def b14_strip_control_documents(spark, sf_dir):
 
 
 @register("c12_sql_patterns_documents", "\nUNION ALL ".join(
-    f"SELECT 'text' AS column_name, '{name}' AS pattern, count_if({S.sql_pattern('text', pat)}) AS matches FROM documents"
+    f"SELECT 'text' AS column_name, '{name}' AS pattern, CAST(count_if({S.sql_pattern('text', pat)}) AS BIGINT) AS matches "
+    f"FROM documents"
     for name, pat in T.SQL_PATTERNS))
 def c12_sql_patterns_documents(spark, sf_dir):
     return V.sql_pattern_counts(load(spark, sf_dir, "documents"), ["text"])

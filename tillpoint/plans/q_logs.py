@@ -185,8 +185,8 @@ def l4_augment_errors(spark, sf_dir):
 
 
 @register("g14_run_rollup_events", f"""
-SELECT run_id, count(*) AS queries_total, count_if(status = 'ok') AS queries_ok,
-  count_if(status <> 'ok') AS queries_failed, CAST(sum(greatest(duration_ms, 0)) AS BIGINT) AS total_duration_ms,
+SELECT run_id, count(*) AS queries_total, CAST(count_if(status = 'ok') AS BIGINT) AS queries_ok,
+  CAST(count_if(status <> 'ok') AS BIGINT) AS queries_failed, CAST(sum(greatest(duration_ms, 0)) AS BIGINT) AS total_duration_ms,
   CAST(min(CASE WHEN status <> 'ok' THEN "index" + 1 END) AS BIGINT) AS first_failed_index,
   CAST(max(CASE WHEN status <> 'ok' THEN "index" + 1 END) AS BIGINT) AS last_failed_index
 FROM {_RUN_LOG_SQL} WHERE status IN ('ok', 'error', 'timeout') GROUP BY run_id""")

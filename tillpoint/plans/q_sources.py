@@ -50,7 +50,8 @@ k AS (SELECT item,
 d AS (SELECT * FROM k WHERE a IS NOT NULL OR b IS NOT NULL)
 SELECT count(*) AS row_count, round(avg(a), 2) AS avg_a, round(min(a), 2) AS min_a, round(max(a), 2) AS max_a,
   round(avg(b), 2) AS avg_b, round(min(b), 2) AS min_b, round(max(b), 2) AS max_b,
-  count_if(b - a > 0) AS cheaper_a, count_if(b - a < 0) AS cheaper_b, count_if(b - a = 0) AS ties,
+  CAST(count_if(b - a > 0) AS BIGINT) AS cheaper_a, CAST(count_if(b - a < 0) AS BIGINT) AS cheaper_b,
+  CAST(count_if(b - a = 0) AS BIGINT) AS ties,
   round(avg(b - a), 2) AS avg_diff_b_minus_a FROM d""")
 def g13_price_comparison_parts(spark, sf_dir):
     return rounded(compare_prices(_prices(spark, sf_dir), "item", "vendor_a", "vendor_b"))
