@@ -286,3 +286,29 @@ UNION ALL SELECT table_name, 'metric', column_name, CAST(ordinal + 1000 AS INTEG
 WHERE kind = 'numeric' AND table_name NOT IN (SELECT table_name FROM hit WHERE use = 'metric')""")
 def j12_fact_columns(spark, sf_dir):
     return J.fact_columns(catalog(spark, sf_dir))
+
+
+def _schema_rows(spark, sf_dir):
+    """(table_name, ordinal, column_name) of the given tables, from their parquet schemas."""
+    rows = [(t, i + 1, f.name) for t in TABLES for i, f in enumerate(load(spark, sf_dir, t).schema.fields)]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string")
+
+
+@register("b1_a6_column_name_rules", """
+SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name,
+  regexp_replace(regexp_replace(upper(trim(column_name)), '\\s+', '_', 'g'), '[^A-Za-z0-9_\\s]', '', 'g') AS clean_header,
+  CASE WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END AS sanitized,
+  replace(upper(trim(column_name)), ' ', '_') AS explorer_header
+FROM (SELECT *, coalesce(nullif(lower(regexp_replace(trim(regexp_replace(column_name, '[^0-9a-zA-Z]+', '_', 'g'), '_'),
+                                                    '_+', '_', 'g')), ''), 'col') AS s
+      FROM information_schema.columns
+      WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+                           'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'))""")
+def b1_a6_column_name_rules(spark, sf_dir):
+    """Rules 1-3 applied to every column name of the given tables (names are
+    distinct within a table here, so rule 2 adds no suffix)."""
+    from tillpoint.functions.text import clean_header, explorer_header, sanitize_identifier
+    rows = [(t, o, c, clean_header(c), sanitize_identifier(c), explorer_header(c))
+            for t, o, c in _schema_rows(spark, sf_dir).collect()]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, clean_header string, "
+                                       "sanitized string, explorer_header string")
