@@ -42,10 +42,4 @@ def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tillpoint.plans import q_kpi  # noqa: F401
-    for mod in ("q_clean", "q_profile", "q_logs", "q_text", "q_sources"):
-        try:
-            __import__(f"tillpoint.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"tillpoint.plans.{mod}":
-                raise
+    from tillpoint.plans import q_clean, q_kpi, q_logs, q_profile, q_sources, q_text  # noqa: F401
