@@ -39,3 +39,24 @@ def test_contains_matches_batches(spark):
     ctx = R.assemble_context(spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "q int, rank int, txt string"),
                              "q", "rank", "txt").first()
     assert ctx.context == "a\n\nb" and ctx.n_retrieved == 2
+
+
+def test_nearest_exact_ties_and_query_blocks(spark):
+    import pytest
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(20, 4))
+    vecs = np.concatenate([base, base, base[:5]])  # every distance occurs two or three times
+    rows = [(int(i), v.tolist()) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "vid long, e array<double>")
+    qs = rng.normal(size=(9, 4))
+    q = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(qs)], "qid int, qv array<double>")
+    got = {}
+    for r in R.nearest(df.repartition(3), "vid", "e", q, "qid", "qv", 4, max_cells=7).collect():
+        got[(r.query_id, r.rank)] = (r.vid, r.distance)
+    for j, c in enumerate(qs):
+        d = np.sqrt(((vecs - c) ** 2).sum(axis=1))
+        order = np.lexsort((np.arange(len(vecs)), d))[:4]
+        assert [got[(j, k + 1)][0] for k in range(4)] == order.tolist()
+        assert np.allclose([got[(j, k + 1)][1] for k in range(4)], d[order], rtol=0, atol=1e-12)
+    with pytest.raises(ValueError):
+        R.nearest(df, "vid", "e", q, "qid", "qv", 4, max_query_bytes=8)

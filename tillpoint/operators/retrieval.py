@@ -34,17 +34,57 @@ def label_centroids(vectors: DataFrame, key: str, vec: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+def _block_topk(x: np.ndarray, ids: np.ndarray, qmat: np.ndarray, q_sq: np.ndarray, k: int,
+                max_cells: int):
+    """Top ``k`` rows of ``x`` per query row of ``qmat`` by (Euclidean distance,
+    id), as ``(query index, row index, distance)`` arrays.
+
+    Distances are screened with ``|x|^2 + |q|^2 - 2 x.q`` (one matrix product
+    per block of queries; a block holds at most ``max_cells`` row x query
+    cells).  Every row within a rounding margin of the k-th screened value is a
+    candidate; candidates get the direct ``sqrt(sum((x - q)^2))`` and are
+    ordered by it, so the result is the exact top ``k`` with exact ties."""
+    n, dim = x.shape
+    x_sq = np.einsum("ij,ij->i", x, x)
+    block = max(1, max_cells // max(n, 1))
+    qi_out, ri_out, d_out = [], [], []
+    for lo in range(0, qmat.shape[0], block):
+        qb = qmat[lo:lo + block]
+        d2 = x_sq[:, None] + q_sq[None, lo:lo + block] - 2.0 * (x @ qb.T)
+        for j in range(qb.shape[0]):
+            col = d2[:, j]
+            if n > k:
+                kth = np.partition(col, k - 1)[k - 1]
+                margin = 8.0 * (dim + 2) * np.finfo(np.float64).eps * (x_sq.max() + q_sq[lo + j])
+                cand = np.nonzero(col <= kth + margin)[0]
+            else:
+                cand = np.arange(n)
+            exact = np.sqrt(((x[cand] - qb[j]) ** 2).sum(axis=1))
+            pick = cand[np.lexsort((ids[cand], exact))[:k]]
+            qi_out.append(np.full(len(pick), lo + j))
+            ri_out.append(pick)
+            d_out.append(np.sqrt(((x[pick] - qb[j]) ** 2).sum(axis=1)))
+    if not qi_out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return np.concatenate(qi_out), np.concatenate(ri_out), np.concatenate(d_out)
+
+
 def nearest(vectors: DataFrame, id_col: str, vec: str, queries: DataFrame, qid: str, qvec: str, k: int = 3,
-            max_queries: int = 100_000) -> DataFrame:
+            max_queries: int = 100_000, max_query_bytes: int = 256 << 20, max_cells: int = 4 << 20) -> DataFrame:
     """R2: the ``k`` vectors nearest (Euclidean) to each query vector, ties by id.
 
-    The query set is broadcast only after its size is checked (``max_queries``
-    rows); each partition of ``vectors`` computes distances with NumPy and keeps
-    its own top ``k`` per query, so the shuffle carries k rows per query per
-    partition; ``row_number() <= k`` then merges them."""
-    nq = queries.count()
-    if nq > max_queries:
-        raise ValueError(f"{nq} query vectors exceed the broadcast bound {max_queries}; split the query set")
+    The query set is broadcast only after its size is checked: one aggregate
+    gives its row count and widest vector, and both ``max_queries`` rows and
+    ``max_query_bytes`` of float64 matrix must hold.  Each partition of
+    ``vectors`` keeps its own top ``k`` per query (``_block_topk``; working
+    memory per Arrow batch is bounded by ``max_cells`` distances), so the
+    shuffle carries at most k rows per query per partition, and
+    ``row_number() <= k`` merges them (a partial ``WindowGroupLimit``)."""
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
+    nq, qdim = stats["n"], stats["dim"] or 0
+    if nq > max_queries or nq * qdim * 8 > max_query_bytes:
+        raise ValueError(f"{nq} query vectors of width {qdim} exceed the broadcast bound "
+                         f"({max_queries} rows, {max_query_bytes} bytes); split the query set")
     qrows = queries.select(qid, qvec).collect()
     qids = [r[0] for r in qrows]
     qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows]) if qrows else np.zeros((0, 0))
@@ -54,18 +94,15 @@ def nearest(vectors: DataFrame, id_col: str, vec: str, queries: DataFrame, qid:
 
     def topk(batches):
         ids_, mat = bq.value
+        q_sq = np.einsum("ij,ij->i", mat, mat) if len(ids_) else np.zeros(0)
+        qid_arr = np.asarray(ids_, dtype=object)
         for pdf in batches:
             if pdf.empty or not ids_:
                 continue
             x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            d = ((x[:, None, :] - mat[None, :, :]) ** 2).sum(axis=2)  # rows x queries
-            dist = np.sqrt(d)
-            out = []
-            for j, q in enumerate(ids_):
-                order = np.lexsort((pdf[id_col].to_numpy(), dist[:, j]))[:k]
-                out.append(pd.DataFrame({"query_id": q, id_col: pdf[id_col].to_numpy()[order],
-                                         "distance": dist[order, j]}))
-            yield pd.concat(out, ignore_index=True)
+            ids = pdf[id_col].to_numpy()
+            qi, ri, dist = _block_topk(x, ids, mat, q_sq, k, max_cells)
+            yield pd.DataFrame({"query_id": qid_arr[qi], id_col: ids[ri], "distance": dist})
 
     part = vectors.select(id_col, vec).mapInPandas(
         topk, f"query_id {q_type}, {id_col} {id_type}, distance double")
