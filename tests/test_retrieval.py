@@ -60,3 +60,12 @@ def test_nearest_exact_ties_and_query_blocks(spark):
         assert np.allclose([got[(j, k + 1)][1] for k in range(4)], d[order], rtol=0, atol=1e-12)
     with pytest.raises(ValueError):
         R.nearest(df, "vid", "e", q, "qid", "qv", 4, max_query_bytes=8)
+
+
+def test_attach_texts_broadcast_and_shuffle_paths(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "d long, t string")
+    hits = spark.createDataFrame([(1, 7, 1), (1, 3, 2), (2, 49, 1)], "q int, d long, rank int")
+    want = [(1, 3, 2, "text 3"), (1, 7, 1, "text 7"), (2, 49, 1, "text 49")]
+    for bound in (10, 0):  # under the bound: broadcast; above it: shuffle join
+        got = sorted((r.q, r.d, r.rank, r.t) for r in R.attach_texts(hits, docs, "d", "t", bound).collect())
+        assert got == want

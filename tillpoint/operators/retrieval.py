@@ -160,6 +160,22 @@ def contains_matches(texts: DataFrame, text_id: str, text_col: str, patterns: Da
     return out.withColumnRenamed("pattern_id", pid)
 
 
+def attach_texts(hits: DataFrame, texts: DataFrame, text_id: str, text_col: str,
+                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``hits`` (a small top-k of ids) with the text of each id.
+
+    A plain join would shuffle the whole text table by id to fetch a few texts.
+    So the hits are written to the shared checkpoint folder (a lineage cut: the
+    pattern scan is not repeated), counted exactly, and broadcast when at most
+    ``max_broadcast_rows``; the texts are then read in one scan with no
+    shuffle.  Above the bound the join shuffles both sides."""
+    from tillpoint.session import materialize
+
+    hits = materialize(hits, "hits")
+    side = F.broadcast(hits) if hits.count() <= max_broadcast_rows else hits
+    return texts.select(text_id, text_col).join(side, text_id)
+
+
 def assemble_context(retrieved: DataFrame, query: str, rank: str, text: str, sep: str = "\n\n") -> DataFrame:
     """Per query, the retrieved texts joined in rank order (the retrieved
     set is a top-k, so each group is bounded by k)."""

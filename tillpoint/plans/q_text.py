@@ -50,7 +50,7 @@ def r3_context_for_benchmark(spark, sf_dir):
     hits = R.contains_matches(docs, "doc_id", "text", bench, "item_id", "text")
     w = Window.partitionBy("item_id").orderBy("doc_id")
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3)
-    top = top.join(docs.select("doc_id", "text"), "doc_id")
+    top = R.attach_texts(top, docs, "doc_id", "text")
     return R.assemble_context(top, "item_id", "rank", "text")
 
 
