@@ -59,5 +59,7 @@ SELECT doc_id, sha256(text) AS sha256 FROM documents
 WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM labels l JOIN documents d ON l.doc_id = d.doc_id)""")
 def a15_new_documents(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    labelled = load(spark, sf_dir, "labels").join(docs, "doc_id").select(F.sha2("text", 256).alias("sha256"))
+    # hash before the join: the shuffle then carries (doc_id, 32-byte hash), not the texts
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("sha256"))
+    labelled = hashed.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("sha256")
     return new_items(docs.select("doc_id", "text"), "text", labelled).select("doc_id", "sha256")
