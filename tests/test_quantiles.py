@@ -21,3 +21,15 @@ def test_skewed_and_empty(spark):
     q = exact_quantiles_many(df, ["x", "y"], [0.1, 0.5, 0.9], direct_rows=10)
     assert np.allclose(q["x"], np.quantile(vals, [0.1, 0.5, 0.9]))
     assert q["y"] == [None, None, None]
+
+
+def test_many_columns_coarse_sketch(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=2000)
+    b = np.round(rng.exponential(size=2000) * 10)  # many ties
+    c = rng.integers(0, 5, size=2000).astype(float)  # few distinct values
+    df = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in zip(a, b, c)], "a double, b double, c double")
+    probs = [0.01, 0.25, 0.5, 0.51, 0.75, 0.99]
+    got = exact_quantiles_many(df, ["a", "b", "c"], probs, accuracy=20, direct_rows=5)
+    for name, vals in (("a", a), ("b", b), ("c", c)):
+        assert np.allclose(got[name], np.quantile(vals, probs), rtol=1e-12, atol=1e-12)

@@ -135,15 +135,23 @@ def _narrow(base: DataFrame, big: dict, accuracy: int) -> dict:
                 cluster.append(r)
         groups[(i, st, cluster[0])] = cluster
     gkeys = list(groups)
+    # windows of one column and one state read one sketch (all their bounds in one array)
+    sketches: dict = {}
+    for j, (i, st, _) in enumerate(gkeys):
+        sketches.setdefault((i, st), []).append(j)
     wins = []
-    for j, g in enumerate(gkeys):
-        i, (lo, hi, off, cnt), _ = g
-        rs = groups[g]
+    for s, ((i, (lo, hi, off, cnt)), js) in enumerate(sketches.items()):
         m = 2 * cnt / accuracy + 2
-        p_lo, p_hi = max(0.0, (min(rs) - off - m) / cnt), min(1.0, (max(rs) - off + m) / cnt)
-        wins.append(F.percentile_approx(F.when(_in(i, lo, hi), F.col(f"v{i}")), [p_lo, p_hi], accuracy)
-                    .alias(f"w{j}"))
-    w = base.agg(*wins).first()
+        ps = []
+        for j in js:
+            rs = groups[gkeys[j]]
+            ps += [max(0.0, (min(rs) - off - m) / cnt), min(1.0, (max(rs) - off + m) / cnt)]
+        wins.append(F.percentile_approx(F.when(_in(i, lo, hi), F.col(f"v{i}")), ps, accuracy).alias(f"s{s}"))
+    row = base.agg(*wins).first()
+    w = {}
+    for s, js in enumerate(sketches.values()):
+        for t, j in enumerate(js):
+            w[f"w{j}"] = (row[f"s{s}"][2 * t], row[f"s{s}"][2 * t + 1])
     aggs = []
     for j, (i, (lo, hi, _, _), _) in enumerate(gkeys):
         a, b = w[f"w{j}"]
