@@ -71,3 +71,24 @@ def test_identifier_rules():
         ["c_2021_sales", "a_b", "a_b_2", "a_b_2_2", "col", "a_b_3"]
     assert T.clean_header(" Gross Amt. ") == "GROSS_AMT"
     assert T.explorer_header(" a b") == "A_B"
+
+
+def test_text_key_is_an_identity_key(spark):
+    long_a, long_b = "x" * 63 + "a", "x" * 63 + "b"
+    texts = ["short", "short", long_a, long_a, long_b, "é" * 63, "é" * 64, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    keys = [r.k for r in df.select(T.text_key("t").alias("k")).collect()]
+    assert keys[0] == keys[1] == "short" and keys[2] == keys[3] != keys[4]
+    assert len(keys[2]) == 64 and keys[5] == "é" * 63 and len(keys[6]) == 64 and keys[7] is None
+    assert len(set(keys[:7])) == 5
+
+
+def test_dedup_and_duplicate_count_on_long_texts(spark):
+    from tillpoint.operators.dedup import deduplicate, duplicate_count
+    body = "lorem ipsum " * 50
+    rows = [(1, body, "en"), (2, body, "en"), (3, body + ".", "en"), (4, body, "de"), (5, None, "en"), (6, None, "en")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    kept = sorted(r.id for r in deduplicate(df, subset=["text"], order_by=["id"]).select("id").collect())
+    assert kept == [1, 3, 5]
+    d = duplicate_count(df.select("text", "lang")).first()
+    assert (d.duplicate_rows, d.total_rows) == (2, 6)

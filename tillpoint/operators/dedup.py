@@ -5,12 +5,24 @@ partial aggregation collapses a hot duplicate group before the shuffle).  With a
 ``subset`` the first row per key by an explicit order is kept through
 ``row_number() == 1``, which Spark plans as a partial ``WindowGroupLimit`` before
 the exchange, so a key holding a third of the rows ships one row per map task.
+String keys are compared through ``text_key``: when the text itself is not
+selected afterwards, the shuffle carries a digest of a long text, not the text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tillpoint.functions.text import text_key
+
+
+def _key(df: DataFrame, c: str):
+    """Grouping key of column ``c``: strings through ``text_key`` (long texts
+    travel as digests), other types as they are."""
+    col = F.col(f"`{c}`")
+    return text_key(col) if isinstance(df.schema[c].dataType, StringType) else col
 
 
 def deduplicate(df: DataFrame, subset=None, order_by=None) -> DataFrame:
@@ -23,14 +35,14 @@ def deduplicate(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     if not subset:
         return df.dropDuplicates()
     order = list(order_by) if order_by else [c for c in df.columns]
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in subset]).orderBy(
+    w = Window.partitionBy(*[_key(df, c) for c in subset]).orderBy(
         *[F.col(f"`{c}`").asc_nulls_first() for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def duplicate_count(df: DataFrame, subset=None) -> DataFrame:
     """Rows after the first of each identical group, and their % of all rows."""
-    keys = [F.col(f"`{c}`") for c in (subset or df.columns)]
+    keys = [_key(df, c) for c in (subset or df.columns)]
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.sum(F.col("n") - 1).cast("bigint").alias("duplicate_rows"),
                  F.sum("n").cast("bigint").alias("total_rows")).select(

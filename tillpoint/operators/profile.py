@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
+from tillpoint.functions.text import text_key
 from tillpoint.operators.quantiles import exact_quantiles_many
 from tillpoint.session import spread
 
@@ -50,7 +51,6 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
 
 
 def _kind(dt) -> str:
-    from pyspark.sql.types import StringType
     if isinstance(dt, NumericType):
         return "numeric"
     if isinstance(dt, StringType):
@@ -66,13 +66,15 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
     One aggregate computes every count.  The distinct counts are Spark's
     multi-distinct plan (Expand + two-level aggregation): each column's values
     are shuffled by value, so no column is gathered into one task.  Nulls are
-    not a value (pandas ``nunique``)."""
+    not a value (pandas ``nunique``).  Strings are counted through
+    ``text_key``, so long texts are shuffled as digests."""
     df = spread(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        aggs += [F.count(c).alias(f"nn{i}"), F.count_distinct(c).alias(f"u{i}")]
+        u = text_key(c) if isinstance(f.dataType, StringType) else c
+        aggs += [F.count(c).alias(f"nn{i}"), F.count_distinct(u).alias(f"u{i}")]
         if isinstance(f.dataType, NumericType):
             aggs += [F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}")]
     wide = df.agg(*aggs)
