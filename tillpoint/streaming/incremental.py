@@ -11,6 +11,8 @@ choice, D1, E4 bounds) take values fixed by a previous batch run of
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,10 @@ def start_clean_stream(spark: SparkSession, source_dir: str, schema, sink_dir: s
                        date_expr=None, as_of=None, source_format: str = "parquet",
                        checkpoint_location: str | None = None):
     """Start the availableNow stream; returns the ``StreamingQuery``."""
-    ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/tillpoint-stream-{abs(hash(sink_dir))}"
+    # a stable digest of the sink path (Python's str hash changes per process), so a
+    # restarted driver finds the same checkpoint and resumes where the stream stopped
+    tag = hashlib.sha256(sink_dir.encode("utf-8")).hexdigest()[:16]
+    ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/tillpoint-stream-{tag}"
     reader = spark.readStream.schema(schema).format(source_format)
     if source_format == "csv":
         reader = reader.option("header", "true")
