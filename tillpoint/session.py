@@ -40,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of this session.
 
     Uses the directory already set on the context, else ``spark.checkpoint.dir``
-    from the session conf.  Only a local-mode session (tests) may fall back to a
+    from the session (runtime conf, then the context's launch conf).  Only a local-mode session (tests) may fall back to a
     fresh temporary directory; on a cluster an unset directory is an error,
     because a machine-local folder does not survive executor loss.
     """
@@ -48,7 +48,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return configured
