@@ -69,3 +69,22 @@ def test_attach_texts_broadcast_and_shuffle_paths(spark):
     for bound in (10, 0):  # under the bound: broadcast; above it: shuffle join
         got = sorted((r.q, r.d, r.rank, r.t) for r in R.attach_texts(hits, docs, "d", "t", bound).collect())
         assert got == want
+
+
+def test_nearest_merges_across_arrow_batches(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 3))
+    vecs = np.concatenate([base, base])  # ties across batches
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vecs)], "vid long, e array<double>")
+    qs = rng.normal(size=(6, 3))
+    q = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(qs)], "qid int, qv array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.query_id, r.rank): r.vid for r in R.nearest(df.coalesce(1), "vid", "e", q, "qid", "qv", 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for j, c in enumerate(qs):
+        d = np.sqrt(((vecs - c) ** 2).sum(axis=1))
+        assert [got[(j, r + 1)] for r in range(5)] == np.lexsort((np.arange(len(vecs)), d))[:5].tolist()
+    assert len(got) == 6 * 5

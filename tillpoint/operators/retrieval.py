@@ -69,6 +69,16 @@ def _block_topk(x: np.ndarray, ids: np.ndarray, qmat: np.ndarray, q_sq: np.ndarr
     return np.concatenate(qi_out), np.concatenate(ri_out), np.concatenate(d_out)
 
 
+def _merge_topk(qi: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int):
+    """Keep the first ``k`` entries per query index by (distance, id)."""
+    order = np.lexsort((ids, dist, qi))
+    qi, ids, dist = qi[order], ids[order], dist[order]
+    start = np.r_[0, np.flatnonzero(qi[1:] != qi[:-1]) + 1] if len(qi) else np.zeros(0, int)
+    rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
+    keep = rank < k
+    return qi[keep], ids[keep], dist[keep]
+
+
 def nearest(vectors: DataFrame, id_col: str, vec: str, queries: DataFrame, qid: str, qvec: str, k: int = 3,
             max_queries: int = 100_000, max_query_bytes: int = 256 << 20, max_cells: int = 4 << 20) -> DataFrame:
     """R2: the ``k`` vectors nearest (Euclidean) to each query vector, ties by id.
@@ -76,9 +86,10 @@ def nearest(vectors: DataFrame, id_col: str, vec: str, queries: DataFrame, qid:
     The query set is broadcast only after its size is checked: one aggregate
     gives its row count and widest vector, and both ``max_queries`` rows and
     ``max_query_bytes`` of float64 matrix must hold.  Each partition of
-    ``vectors`` keeps its own top ``k`` per query (``_block_topk``; working
-    memory per Arrow batch is bounded by ``max_cells`` distances), so the
-    shuffle carries at most k rows per query per partition, and
+    ``vectors`` keeps one running top ``k`` per query over all its Arrow
+    batches (``_block_topk`` per batch, working memory bounded by
+    ``max_cells`` distances; ``_merge_topk`` across batches), so the shuffle
+    carries at most k rows per query per partition, and
     ``row_number() <= k`` merges them (a partial ``WindowGroupLimit``)."""
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
     nq, qdim = stats["n"], stats["dim"] or 0
@@ -96,13 +107,17 @@ def nearest(vectors: DataFrame, id_col: str, vec: str, queries: DataFrame, qid:
         ids_, mat = bq.value
         q_sq = np.einsum("ij,ij->i", mat, mat) if len(ids_) else np.zeros(0)
         qid_arr = np.asarray(ids_, dtype=object)
+        best = None  # running top k per query over all batches of this partition
         for pdf in batches:
             if pdf.empty or not ids_:
                 continue
             x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
             ids = pdf[id_col].to_numpy()
             qi, ri, dist = _block_topk(x, ids, mat, q_sq, k, max_cells)
-            yield pd.DataFrame({"query_id": qid_arr[qi], id_col: ids[ri], "distance": dist})
+            cur = (qi, ids[ri], dist)
+            best = cur if best is None else _merge_topk(*[np.concatenate([a, b]) for a, b in zip(best, cur)], k)
+        if best is not None and len(best[0]):
+            yield pd.DataFrame({"query_id": qid_arr[best[0]], id_col: best[1], "distance": best[2]})
 
     part = vectors.select(id_col, vec).mapInPandas(
         topk, f"query_id {q_type}, {id_col} {id_type}, distance double")
