@@ -92,3 +92,16 @@ def test_dedup_and_duplicate_count_on_long_texts(spark):
     assert kept == [1, 3, 5]
     d = duplicate_count(df.select("text", "lang")).first()
     assert (d.duplicate_rows, d.total_rows) == (2, 6)
+
+
+def test_parse_by_value_equals_per_row_parse(spark):
+    from tillpoint.functions.dates import AUTO_DAYFIRST_PATTERNS, parse_any
+    from tillpoint.operators.dates import parse_by_value
+    texts = ["03-15-95", "03-15-95", "12-01-70", "2021-1-3", "junk", None, "7/4/1999", "03-15-95"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
+    expr = parse_any("d", AUTO_DAYFIRST_PATTERNS)
+    want = sorted((r.i, r.p) for r in df.withColumn("p", expr).collect())
+    for bound in (100, 0):  # broadcast map, then the per-row fallback
+        got = parse_by_value(df, "d", expr, "p", max_broadcast_rows=bound)
+        assert got.columns == ["i", "d", "p"]
+        assert sorted((r.i, r.p) for r in got.collect()) == want

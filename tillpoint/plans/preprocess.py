@@ -36,7 +36,7 @@ from tillpoint.functions import text as T
 from tillpoint.functions.dates import time_dimensions
 from tillpoint.operators import clean as C
 from tillpoint.operators import validate as V
-from tillpoint.operators.dates import choose_date_format
+from tillpoint.operators.dates import choose_date_format, parse_by_value
 from tillpoint.operators.dedup import deduplicate
 from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.roles import detect_roles_clean
@@ -113,7 +113,9 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
     if roles.date and roles.date in stage.columns:
         choice = choose_date_format(stage, roles.date)
         date_col = "date_parsed"
-        work = work.withColumn(date_col, choice.expr).withColumns(time_dimensions(F.col(date_col)))
+        # parsed once per distinct text (keys read from the stage, so no observation fires early)
+        work = parse_by_value(work, roles.date, choice.expr, date_col, keys_from=stage)
+        work = work.withColumns(time_dimensions(F.col(date_col)))
     if roles.customer and roles.customer in stage.columns:
         work = C.normalize_text_column(work, roles.customer)
     size = size_col or ("SIZE" if "SIZE" in stage.columns else roles.size)
