@@ -65,18 +65,32 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df):
-    """Give CPU-heavy row-local work at least ``defaultParallelism`` partitions
-    when the input is a handful of files.
-
-    One small file (one row group) is a single scan task; a large table is many
-    files and is left alone, so this never adds a shuffle where the scan is
-    already parallel.  The test uses ``inputFiles()`` – planning only: asking a
-    plan with exchanges for its partition count would run them under AQE."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target:
-        return df.repartition(target)
-    return df
+def spread(df, busy_fraction: float = 0.25):
+    """Give CPU-heavy row-local work ``defaultParallelism`` partitions when the
+    input is a handful of files.
+
+    One small file (one row group) is a single scan task however Spark cuts it
+    into byte ranges, so fewer files than cores means a repartition.  The
+    exception is a few *large* files: Spark splits them by
+    ``spark.sql.files.maxPartitionBytes`` into many tasks already, and a
+    shuffle would move all of their bytes.  For parquet inputs the split count
+    is read from the plan of a plain scan of the same files (a user-given empty
+    schema, so no footer job; no exchange, so AQE runs nothing); when it
+    reaches ``busy_fraction`` of the cores and is more than four splits per
+    file, the files are large and ``df`` is left alone.  Never ask ``df``
+    itself for its partition count: a plan with exchanges would run them under
+    AQE."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= target:
+        return df
+    if all(f.endswith(".parquet") for f in files):
+        from pyspark.sql.types import StructType
+        splits = spark.read.schema(StructType([])).parquet(*files).rdd.getNumPartitions()
+        if splits >= target * busy_fraction and splits > 4 * len(files):
+            return df
+    return df.repartition(target)
 
 
 def materialize(df, name: str = "stage"):
