@@ -105,3 +105,21 @@ def test_parse_by_value_equals_per_row_parse(spark):
         got = parse_by_value(df, "d", expr, "p", max_broadcast_rows=bound)
         assert got.columns == ["i", "d", "p"]
         assert sorted((r.i, r.p) for r in got.collect()) == want
+
+
+def test_collated_strings_keep_their_equality(spark):
+    from tillpoint.operators.dedup import duplicate_count
+    long_a = "A" * 80
+    df = spark.createDataFrame([(long_a,), (long_a.lower(),), ("b",)], "t string") \
+        .select(F.col("t").cast("string collate UTF8_LCASE").alias("t"))
+    d = duplicate_count(df).first()
+    assert (d.duplicate_rows, d.total_rows) == (1, 3)  # 'AAA…' and 'aaa…' are equal under UTF8_LCASE
+
+
+def test_parse_by_value_replaces_an_existing_column(spark):
+    from tillpoint.functions.dates import parse_with
+    from tillpoint.operators.dates import parse_by_value
+    df = spark.createDataFrame([("2021-1-3", 1), ("x", 2)], "d string, p int")
+    got = parse_by_value(df, "d", parse_with("d", "yyyy-M-d"), "p")
+    assert got.columns == ["d", "p"]
+    assert sorted((r.d, str(r.p)) for r in got.collect()) == [("2021-1-3", "2021-01-03 00:00:00"), ("x", "None")]

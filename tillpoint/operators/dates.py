@@ -94,5 +94,7 @@ def parse_by_value(df: DataFrame, col: str, expr: Column, out: str, keys_from: D
     mapping = materialize(keys.select(c.alias("_date_text"), expr.alias(out)), "date-map")
     if mapping.count() > max_broadcast_rows:
         return df.withColumn(out, expr)
-    joined = df.join(F.broadcast(mapping), c == F.col("_date_text"), "left")
-    return joined.select(*[F.col(f"`{x}`") for x in df.columns], F.col(out))
+    joined = df.drop(out).join(F.broadcast(mapping), c == F.col("_date_text"), "left")
+    # like withColumn: an existing ``out`` is replaced in place, a new one appended
+    order = [F.col(f"`{x}`") for x in df.columns] + ([] if out in df.columns else [F.col(f"`{out}`")])
+    return joined.select(*order)

@@ -18,11 +18,17 @@ from pyspark.sql.types import StringType
 from tillpoint.functions.text import text_key
 
 
+def binary_string(dt) -> bool:
+    """A string type compared byte by byte (the default collation): only then is
+    ``text_key`` an identity key; a collated string keeps its own equality."""
+    return isinstance(dt, StringType) and getattr(dt, "collation", "UTF8_BINARY") == "UTF8_BINARY"
+
+
 def _key(df: DataFrame, c: str):
-    """Grouping key of column ``c``: strings through ``text_key`` (long texts
-    travel as digests), other types as they are."""
+    """Grouping key of column ``c``: binary strings through ``text_key`` (long
+    texts travel as digests), other types as they are."""
     col = F.col(f"`{c}`")
-    return text_key(col) if isinstance(df.schema[c].dataType, StringType) else col
+    return text_key(col) if binary_string(df.schema[c].dataType) else col
 
 
 def deduplicate(df: DataFrame, subset=None, order_by=None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tillpoint.functions.text import text_key
+from tillpoint.operators.dedup import binary_string
 from tillpoint.operators.quantiles import exact_quantiles_many
 from tillpoint.session import spread
 
@@ -73,7 +74,7 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        u = text_key(c) if isinstance(f.dataType, StringType) else c
+        u = text_key(c) if binary_string(f.dataType) else c
         aggs += [F.count(c).alias(f"nn{i}"), F.count_distinct(u).alias(f"u{i}")]
         if isinstance(f.dataType, NumericType):
             aggs += [F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}")]
