@@ -37,7 +37,6 @@ from tillpoint.functions.dates import time_dimensions
 from tillpoint.operators import clean as C
 from tillpoint.operators import validate as V
 from tillpoint.operators.dates import choose_date_format, parse_by_value
-from tillpoint.operators.dedup import deduplicate
 from tillpoint.operators.quantiles import exact_quantiles
 from tillpoint.operators.roles import detect_roles_clean
 from tillpoint.plans.sales_wide import Roles
@@ -73,15 +72,27 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
     empty = C.all_null(df)
     junk = C.junk_index(index_col) if index_col in strings else F.lit(False)
     head = C.header_like(df)
-    obs_clean = Observation("clean")
-    observed = df.observe(obs_clean, F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("empty"),
-                          F.count_if(~empty & junk).alias("junk"),
-                          F.count_if(~empty & ~junk & head).alias("head"),
-                          *[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     header_rows = df.where(~empty & ~junk & head).orderBy(*[_q(c).asc_nulls_last() for c in df.columns]).limit(3)
 
     # ---- 3. de-duplicate (pass 1, materialized) ----------------------------
-    stage = materialize(deduplicate(observed.where(~empty & ~junk & ~head)), "dedup")
+    # Exact duplicates are one group of the all-column aggregate (what
+    # dropDuplicates plans, plus the multiplicity ``_n``).  The cleaning counts
+    # are observed on the groups, weighted by ``_n``: the observation then runs
+    # in the write's result stage, whose accumulator updates Spark applies once
+    # per partition even when lost shuffle output makes a map stage run again.
+    # The flags are functions of the row, so copies share them, and filtering
+    # before or after the de-duplication keeps the same rows.
+    groups = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    n_w = F.col("_n")
+
+    def _wsum(cond, name):
+        return F.coalesce(F.sum(F.when(cond, n_w)), F.lit(0)).alias(name)
+
+    obs_clean = Observation("clean")
+    observed = groups.observe(obs_clean, _wsum(F.lit(True), "n"), _wsum(empty, "empty"),
+                              _wsum(~empty & junk, "junk"), _wsum(~empty & ~junk & head, "head"),
+                              *[_wsum(_q(c).isNotNull(), f"c{i}") for i, c in enumerate(df.columns)])
+    stage = materialize(observed.where(~empty & ~junk & ~head).drop("_n"), "dedup")
     s1 = obs_clean.get
     empty_cols = [c for i, c in enumerate(df.columns) if s1[f"c{i}"] == 0]
     stage = stage.drop(*empty_cols)
