@@ -82,17 +82,22 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
     # per partition even when lost shuffle output makes a map stage run again.
     # The flags are functions of the row, so copies share them, and filtering
     # before or after the de-duplication keeps the same rows.
-    groups = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    # the three flags are computed once per row on the map side (before the partial
+    # aggregate) and ride along as grouping keys: they are functions of the row
+    flagged = df.select("*", empty.alias("_empty"), (~empty & junk).alias("_junk"),
+                        (~empty & ~junk & head).alias("_head"))
+    groups = flagged.groupBy(*[_q(c) for c in flagged.columns]).agg(F.count(F.lit(1)).alias("_n"))
     n_w = F.col("_n")
 
     def _wsum(cond, name):
         return F.coalesce(F.sum(F.when(cond, n_w)), F.lit(0)).alias(name)
 
     obs_clean = Observation("clean")
-    observed = groups.observe(obs_clean, _wsum(F.lit(True), "n"), _wsum(empty, "empty"),
-                              _wsum(~empty & junk, "junk"), _wsum(~empty & ~junk & head, "head"),
+    observed = groups.observe(obs_clean, _wsum(F.lit(True), "n"), _wsum(F.col("_empty"), "empty"),
+                              _wsum(F.col("_junk"), "junk"), _wsum(F.col("_head"), "head"),
                               *[_wsum(_q(c).isNotNull(), f"c{i}") for i, c in enumerate(df.columns)])
-    stage = materialize(observed.where(~empty & ~junk & ~head).drop("_n"), "dedup")
+    kept = observed.where(~F.col("_empty") & ~F.col("_junk") & ~F.col("_head"))
+    stage = materialize(kept.drop("_n", "_empty", "_junk", "_head"), "dedup")
     s1 = obs_clean.get
     empty_cols = [c for i, c in enumerate(df.columns) if s1[f"c{i}"] == 0]
     stage = stage.drop(*empty_cols)
