@@ -13,7 +13,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from tillpoint.functions.text import text_key
 from tillpoint.operators.dedup import binary_string
-from tillpoint.operators.quantiles import exact_quantiles_many
+from tillpoint.operators.quantiles import exact_quantiles_many, value_count
 from tillpoint.session import spread
 
 
@@ -42,11 +42,18 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"av{i}"), F.stddev_samp(c).alias(f"sd{i}"),
-                 F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}")]
-    quant = exact_quantiles_many(df, cols, [0.25, 0.5, 0.75])
+                 F.min(c).cast("double").alias(f"mn{i}"), F.max(c).cast("double").alias(f"mx{i}"),
+                 value_count(c).alias(f"vc{i}")]
+    # one pass gives the moments and the counts the quantile search starts from
+    moments = df.agg(*aggs).first()
+    quant = exact_quantiles_many(df, cols, [0.25, 0.5, 0.75],
+                                 counts={c: moments[f"vc{i}"] for i, c in enumerate(cols)})
+    vals = []
     for i, c in enumerate(cols):
-        aggs += [F.lit(q).cast("double").alias(f"q{j}_{i}") for j, q in enumerate(quant[c])]
-    wide = df.agg(*aggs)
+        vals += [F.lit(moments[f"{k}{i}"]).cast(t).alias(f"{k}{i}")
+                 for k, t in (("n", "bigint"), ("av", "double"), ("sd", "double"), ("mn", "double"), ("mx", "double"))]
+        vals += [F.lit(q).cast("double").alias(f"q{j}_{i}") for j, q in enumerate(quant[c])]
+    wide = df.sparkSession.range(1).select(*vals)
     rows = ", ".join(f"'{c}', n{i}, av{i}, sd{i}, mn{i}, q0_{i}, q1_{i}, q2_{i}, mx{i}" for i, c in enumerate(cols))
     return wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column_name, count, mean, std, min, p25, p50, p75, max)")
 

@@ -43,16 +43,27 @@ def _in(i: int, lo, hi):
     return cond
 
 
+def value_count(c: str):
+    """The count the rank search works from: values that are neither null nor NaN."""
+    return F.count(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")))
+
+
 def exact_quantiles_many(df: DataFrame, columns, probs, accuracy: int = 10_000,
-                         direct_rows: int = 50_000, persist: bool = True) -> dict:
-    """``{column: [quantile per prob]}`` (None for a column without values)."""
+                         direct_rows: int = 50_000, persist: bool = True, counts: dict | None = None) -> dict:
+    """``{column: [quantile per prob]}`` (None for a column without values).
+
+    ``counts`` (``{column: value_count}``) may come from an aggregate the
+    caller runs anyway; the counting pass is then skipped."""
     cols = list(columns)
     base = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"v{i}")
                        for i, c in enumerate(cols)])
     if persist:
         base = spread(base).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = base.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+        if counts is not None:
+            counts = {f"n{i}": counts[c] for i, c in enumerate(cols)}
+        else:
+            counts = base.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).first()
         need: dict = {}
         for i in range(len(cols)):
             n = counts[f"n{i}"]
