@@ -24,7 +24,6 @@ is linear between neighbouring ranks, as pandas ``quantile``, DuckDB
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
