@@ -42,3 +42,27 @@ def test_top_category_reads_only_needed_columns(spark):
     schemas = _read_schemas(_q(spark, "h1_top_category"))
     cols = {c.split(":")[0] for s in schemas for c in s.split(",")}
     assert cols <= {"l_partkey", "l_extendedprice", "p_partkey", "p_type"}, cols
+
+
+def test_cleaning_counts_are_observed_in_the_result_stage(spark, monkeypatch):
+    """Accumulator updates from a re-run map stage may be applied twice, so each
+    observation must sit above the shuffle of the stage it is written with."""
+    import tillpoint.plans.preprocess as P
+    from tillpoint.plans.dirty_sales import dirty_sales
+
+    plans = {}
+    real = P.materialize
+
+    def spy(df, name="stage"):
+        plans[name] = _plan(df)
+        return real(df, name)
+
+    monkeypatch.setattr(P, "materialize", spy)
+    P.preprocess(dirty_sales(spark, SMOKE), as_of="2026-01-01", index_col="IDX")
+    for name in ("dedup", "preprocessed"):
+        lines = plans[name].splitlines()
+        metrics = [i for i, l in enumerate(lines) if "CollectMetrics" in l]
+        exchanges = [i for i, l in enumerate(lines) if "Exchange" in l and "BroadcastExchange" not in l]
+        assert metrics, name
+        # the tree prints parents first: every observation is above every shuffle
+        assert not exchanges or max(metrics) < min(exchanges), name
