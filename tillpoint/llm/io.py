@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillpoint.session import checkpoint_dir
 
@@ -31,3 +34,14 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
+    """Boolean table of ``2**bits`` entries, set where column ``c`` (0 to ``2**bits - 1``)
+    has a value.  Its size is fixed: at most ``2**bits / 32`` rows reach the driver,
+    whatever the number of rows of ``cells``."""
+    got = (cells.select(F.expr("c div 32").alias("w"), F.expr("shiftleft(1L, cast(c % 32 as int))").alias("b"))
+           .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    out = np.zeros((1 << bits) // 32, np.uint32)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
