@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillpoint.llm import line_quality
+from tillpoint.llm.decontaminate import contaminated
 from tillpoint.llm.jaccard_join import jaccard_components
 from tillpoint.llm.substring_dedup import repeated_passages
 from tillpoint.sources.tables import load
@@ -27,3 +29,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(load(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(load(spark, sf_dir, "documents")).drop("clean_text", "line_chars", "good_chars")
+
+
+ORACLE["op2_line_quality"] = f"select * exclude (clean_text, line_chars, good_chars) from ({line_quality.SQL})"
