@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.llm import line_quality
+from tillpoint.llm import license_scan, line_quality
 from tillpoint.llm.decontaminate import contaminated
 from tillpoint.llm.jaccard_join import jaccard_components
 from tillpoint.llm.substring_dedup import repeated_passages
@@ -42,3 +42,11 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_line_quality"] = f"select * exclude (clean_text, line_chars, good_chars) from ({line_quality.SQL})"
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_license_scan"] = license_scan.SQL
