@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.llm import license_scan, line_quality
+from tillpoint.llm import license_scan, line_quality, warc
 from tillpoint.llm.decontaminate import contaminated
+from tillpoint.llm.io import shared_path
 from tillpoint.llm.jaccard_join import jaccard_components
 from tillpoint.llm.substring_dedup import repeated_passages
 from tillpoint.sources.tables import load
@@ -50,3 +51,23 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op3_license_scan"] = license_scan.SQL
+
+
+@query
+def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+
+
+# DuckDB has SHA-1 as hex; base 32 takes five bits at a time
+ORACLE["op4_warc_roundtrip"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, octet_length(encode(body)) as payload_bytes, ('0x' || substr(sha1(body), 1, 30))::hugeint as hi,
+        ('0x' || substr(sha1(body), 31, 10))::hugeint as lo from p),
+b as (select page_id, payload_bytes,
+        array_to_string(list_transform(range(24), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((hi >> (115 - 5 * i)::int) & 31)::int + 1, 1)), '')
+        || array_to_string(list_transform(range(8), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((lo >> (35 - 5 * i)::int) & 31)::int + 1, 1)), '')
+        as payload_digest from d),
+f as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from b)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from f
+"""
