@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.llm import license_scan, line_quality, warc
+from tillpoint.llm import license_scan, line_quality, toxicity, warc
 from tillpoint.llm.decontaminate import contaminated
 from tillpoint.llm.io import shared_path
 from tillpoint.llm.jaccard_join import jaccard_components
@@ -71,3 +71,8 @@ f as (select *, min(page_id) over (partition by payload_digest, payload_bytes) a
 select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id <> first then first end as refers_to from f
 """
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

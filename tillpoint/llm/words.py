@@ -23,6 +23,9 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation: words as runs of letters, digits and non-ASCII bytes.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -62,14 +65,14 @@ class Slice:
     ``start``/``end`` are byte positions in ``data``; words of row ``lo + r`` are
     ``first[r]:first[r + 1]``; ``offsets[r]`` is where the row's text begins."""
 
-    __slots__ = ("data", "end", "first", "hi", "lo", "offsets", "start")
+    __slots__ = ("_runs", "data", "end", "first", "hi", "lo", "offsets", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
-        self.lo, self.hi = lo, hi
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, gaps: np.ndarray = _SPACE):
+        self.lo, self.hi, self._runs = lo, hi, {}
         base = int(offsets[lo])
         self.offsets = (offsets[lo:hi + 1] - base).astype(np.int64)
         self.data = data[base:int(offsets[hi])]
-        ink = ~_SPACE[self.data]
+        ink = ~gaps[self.data]
         n = len(ink)
         if n:
             opens = ink.copy()
@@ -93,8 +96,10 @@ class Slice:
         n = len(self.data)
         up, down = _power_tables(n + 1)
         with np.errstate(over="ignore"):
-            run = np.zeros(n + 1, _U)
-            np.cumsum((_TABLE_LOWER if lower else _TABLE)[self.data] * up[:n], out=run[1:])
+            run = self._runs.get(lower)
+            if run is None:
+                run = self._runs[lower] = np.zeros(n + 1, _U)
+                np.cumsum((_TABLE_LOWER if lower else _TABLE)[self.data] * up[:n], out=run[1:])
             h = (run[end] - run[start]) * down[start]
             return mix(h + (end - start).astype(_U) * _COEF[63])
 
@@ -114,14 +119,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)), offsets
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The batch's texts in row order, cut between rows after about ``limit`` bytes."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[Slice]:
+    """The batch's texts in row order, cut between rows after about ``limit`` bytes.
+    ``gaps`` says which bytes part words."""
     data, offsets = text_buffers(column)
     lo, rows = 0, len(column)
     while lo < rows:
         hi = int(np.searchsorted(offsets, int(offsets[lo]) + limit, side="right")) - 1
         hi = min(rows, max(hi, lo + 1))
-        yield Slice(data, offsets, lo, hi)
+        yield Slice(data, offsets, lo, hi, gaps)
         lo = hi
 
 
