@@ -2,7 +2,7 @@
 
 Two models are counted, one on toxic and one on ordinary labelled documents.  A word's
 probability is interpolated, with absolute discounting, over its orders: the whole word,
-then its stems of 8, 6, 5 and 4 bytes, then one for all.  What a class has not seen often
+then its stems of 9, 7, 6, 5 and 4 bytes, then one for all.  What a class has not seen often
 enough at an order is left to the order below, and how a lower order is shared out among
 the higher one's expressions is counted over both classes together.  So a rare expression
 is as toxic as its stem, and one that is rare in all orders has the same probability in
@@ -26,12 +26,13 @@ from tillpoint.llm import words as W
 #: Bound of the training sample, per class and fold.
 MAX_ROWS = 4000
 #: Bytes of a word's stems, longest first.
-STEMS = (8, 6, 5, 4)
+STEMS = (9, 7, 6, 5, 4)
 DISCOUNT = 3.0
 #: Words whose two probabilities differ by less than this (in nats) count as shared.
 EVEN = 1.5
-#: The fold (remainder of crc32(id) by 5) held out, and the one kept for calibration.
-FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
+#: The remainder of crc32(id) by 5 that is held out; of the rest, one in so many ids is
+#: kept from the counts to fit the curve on.
+FOLDS, HELD_OUT, CALIBRATE = 5, 0, 6
 _U = np.uint64
 _ORDERS = ["word", *(f"stem{n}" for n in STEMS)]
 
@@ -130,14 +131,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w / scale
 
 
-def _fold(c):
-    return F.crc32(c.cast("string").cast("binary")) % FOLDS
+def _crc(c):
+    return F.crc32(c.cast("string").cast("binary"))
 
 
-def _sample(labels: DataFrame, id: str, label: str, fold, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` ids of each class from the fold, those of least hash."""
+def _held_out(c):
+    return F.coalesce(_crc(c) % FOLDS == HELD_OUT, F.lit(False))
+
+
+def _sample(labels: DataFrame, id: str, label: str, calibrate: bool, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` ids of each class outside the held-out fold, those of least hash."""
     one = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_y"))
-    folded = one.where(fold(_fold(F.col("_id")))).withColumn("_h", F.xxhash64("_id"))
+    part = F.floor(_crc(F.col("_id")) / FOLDS) % CALIBRATE == 0
+    folded = one.where(~_held_out(F.col("_id")) & (part if calibrate else ~part)).withColumn("_h", F.xxhash64("_id"))
     return folded.where("_y = 1").orderBy("_h", "_id").limit(max_rows).union(
         folded.where("_y = 0").orderBy("_h", "_id").limit(max_rows)).select("_id", "_y")
 
@@ -149,11 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     A document with several labels counts as toxic when one says so; labels other than
     0 and 1, null ids and labels without a document are left out.  Without documents of
     both classes the score is the share of toxic ones (a half when none is labelled)."""
-    def of(fold):
-        chosen = F.broadcast(_sample(labels, id, label, fold, max_rows))   # 2 * max_rows ids at most
+    def of(calibrate):
+        chosen = F.broadcast(_sample(labels, id, label, calibrate, max_rows))   # 2 * max_rows ids at most
         return docs.select(id, text).join(chosen, F.col(id) == F.col("_id")).select(text, F.col("_y").cast("int").alias("y"))
 
-    grams = (of(lambda f: (f != HELD_OUT) & (f != CALIBRATION))
+    grams = (of(False)
              .mapInArrow(_count_rows, ", ".join(f"{c} bigint" for c in [*_ORDERS, "toxic", "ordinary"]))
              .groupBy(*_ORDERS).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow())
     model = Model([grams.column(c).to_numpy().view(_U) for c in _ORDERS],
@@ -165,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             x = features(shared.value, b.column(0))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), b.column(1)], ["a", "b", "c", "y"])
 
-    seen = of(lambda f: f == CALIBRATION).mapInArrow(rows, "a double, b double, c double, y int").toArrow()
+    seen = of(True).mapInArrow(rows, "a double, b double, c double, y int").toArrow()
     y = seen.column("y").to_numpy().astype(float)
     x = np.stack([*(seen.column(c).to_numpy() for c in "abc"), np.ones(len(y))], 1)
     if 0 < y.sum() < len(y):
@@ -192,5 +198,5 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
 
-    return (docs.select(id, text, F.coalesce(_fold(F.col(id)) == HELD_OUT, F.lit(False)).alias("_out"))
+    return (docs.select(id, text, _held_out(F.col(id)).alias("_out"))
             .mapInArrow(rows, f"doc_id {kind}, held_out boolean, score double, predicted int"))
