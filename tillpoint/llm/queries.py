@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.llm import license_scan, line_quality, toxicity, warc
+from tillpoint.llm import license_scan, line_quality, lm_maxent, toxicity, warc
 from tillpoint.llm.decontaminate import contaminated
 from tillpoint.llm.io import shared_path
 from tillpoint.llm.jaccard_join import jaccard_components
@@ -76,3 +76,8 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_maxent.score(load(spark, sf_dir, "documents"))

@@ -26,8 +26,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: White space and ASCII punctuation: words as runs of letters, digits and non-ASCII bytes.
 PUNCTUATION = _SPACE.copy()
 PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_TABLE_LOWER = _TABLE[_LOWER]
+_TABLE_LOWER = _TABLE[LOWER]
 _COEF = mix(np.arange(1001, 1065, dtype=_U) * _U(_BASE)) | _U(1)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
