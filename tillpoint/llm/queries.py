@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.llm import license_scan, line_quality, lm_maxent, toxicity, warc
+from tillpoint.llm import license_scan, line_quality, lm_maxent, packing, toxicity, warc
 from tillpoint.llm.decontaminate import contaminated
 from tillpoint.llm.io import shared_path
 from tillpoint.llm.jaccard_join import jaccard_components
@@ -81,3 +81,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_maxent.score(load(spark, sf_dir, "documents"))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
