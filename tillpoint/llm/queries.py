@@ -11,6 +11,7 @@ from tillpoint.llm.decontaminate import contaminated
 from tillpoint.llm.io import shared_path
 from tillpoint.llm.jaccard_join import jaccard_components
 from tillpoint.llm.substring_dedup import repeated_passages
+from tillpoint.llm.token_counts import token_counts
 from tillpoint.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"))
