@@ -12,8 +12,8 @@ suffix filters, joined on prefix n-grams and verified once per pair.
    is paired with one centre: the one in which the shingle comes first, which is the
    one with the fewest rare shingles of its own, so the text that the others were
    copied from.  One row per row, however large the group.
-4. *Filters.*  A pair must pass the length filter, the positional filter (shingles
-   before and after the shared one bound the overlap) and the suffix filter (both
+4. *Filters.*  A pair must pass the length filter, the positional filter (the
+   shingles from the first shared one on bound the overlap) and the suffix filter (both
    sets are dealt over the same hash ranges; the sum of the smaller counts bounds the
    overlap).  Then its two texts are compared, once.
 5. *Rest.*  Documents of a group that are not in the centre's component after that are
@@ -178,10 +178,14 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _sizes_agree(percent: int) -> str:
-    """Length filter, then positional filter, for rows (pos, n) and (cpos, cn)."""
+def _may_link(percent: int) -> str:
+    """Length and positional filter for rows (pos, n) and (cpos, cn) of one shingle.
+
+    The first shingle, in the common order, that two similar sets share leaves enough
+    shingles behind it in both.  A shingle that does not is not their first, and another
+    row stands for the pair if they are similar."""
     return (f"100 * least(n, cn) >= {percent} * greatest(n, cn) and "
-            f"{100 + percent}L * (least(pos, cpos) + 1 + least(n - pos, cn - cpos) - 1) >= {percent}L * (n + cn)")
+            f"{100 + percent}L * least(n - pos, cn - cpos) >= {percent}L * (n + cn)")
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,7 +206,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", te
     centre = rows.groupBy("shingle").agg(F.min(F.struct("pos", "id", "n")).alias("c"))
     stars = (rows.join(centre.select("shingle", F.col("c.pos").alias("cpos"), F.col("c.id").alias("cid"),
                                      F.col("c.n").alias("cn")), "shingle")
-             .where(f"id <> cid and {_sizes_agree(percent)}"))
+             .where(f"id <> cid and {_may_link(percent)}"))
     tried, tried_at = stash(_pairs(stars), "pairs")
     found, found_at = stash(_checked(own, tried, k, percent, kind), "links")
 
@@ -217,7 +221,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", te
     out = rest.where("comp <> main").select("shingle", F.col("pos").alias("cpos"), F.col("id").alias("cid"),
                                             F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
     more = (rest.join(out, "shingle")
-            .where(f"comp <> ccomp and (comp = main or id < cid) and id <> cid and {_sizes_agree(percent)}"))
+            .where(f"comp <> ccomp and (comp = main or id < cid) and id <> cid and {_may_link(percent)}"))
     fresh, fresh_at = stash(_pairs(more).join(tried, ["x", "y"], "left_anti"), "pairs")
     also, also_at = stash(_checked(own, fresh, k, percent, kind), "links")
     drop(spark, rows_at, tried_at, placed_at, fresh_at)
