@@ -247,6 +247,11 @@ def _checked(own: DataFrame, pairs: DataFrame, k: int, percent: int, kind: str)
             .select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
+def members(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(node, component)`` of the documents that have a link."""
+    return components(links(docs, k, percent, id, text))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
@@ -256,7 +261,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id: str =
     Null and empty texts have 0 shingles and stay alone.  A row without an id keeps a
     null component.  Rows that repeat an id are one document: they share a component.
     Other columns are ignored.  Empty input gives an empty result."""
-    label = components(links(docs, k, percent, id, text))
+    label = members(docs, k, percent, id, text)
     kind = docs.schema[id].dataType.simpleString()
 
     def sizes(batches):

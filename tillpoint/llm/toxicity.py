@@ -131,6 +131,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w / scale
 
 
+def curve(model: Model, weights: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Scores of texts, between 0 and 1."""
+    return 1 / (1 + np.exp(-np.clip(features(model, column) @ weights, -30, 30)))
+
+
 def _crc(c):
     return F.crc32(c.cast("string").cast("binary"))
 
@@ -187,16 +192,26 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     Null and empty texts get the curve's value at even odds.  Rows without an id are
     scored, with ``held_out`` false.  Ids may repeat; columns other than id and text are
     never read.  Empty input gives no rows."""
-    model, weights = train(docs, labels, id, text, label, max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id, text, label, max_rows))
     kind = docs.schema[id].dataType.simpleString()
 
     def rows(batches):
-        m, w = shared.value
         for b in batches:
-            s = 1 / (1 + np.exp(-np.clip(features(m, b.column(1)) @ w, -30, 30)))
+            s = curve(*shared.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
 
     return (docs.select(id, text, _held_out(F.col(id)).alias("_out"))
             .mapInArrow(rows, f"doc_id {kind}, held_out boolean, score double, predicted int"))
+
+
+def keep_ordinary(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
+                  max_rows: int = MAX_ROWS) -> DataFrame:
+    """``docs``, with all its columns, without the rows whose text scores 0.5 or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id, text, label, max_rows))
+
+    def rows(batches):
+        for b in batches:
+            yield b.filter(pa.array(curve(*shared.value, b.column(text)) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
