@@ -30,8 +30,10 @@ from tillpoint.llm import words as W
 from tillpoint.llm.io import drop, stash
 
 K, WINDOW, MIN_WORDS = 6, 14, 50
+#: Seeds that a document must share with a source (a run of ``MIN_WORDS`` has three).
+MIN_SEEDS = 2
 #: Bytes of text beside a chain that its alignment may be extended over.
-MARGIN = 4096
+MARGIN = 512
 #: Words between matches of one diagonal that still belong to one block.
 BLOCK_GAP = 2 * (K + WINDOW)
 GAP_COST = 0.25
@@ -45,7 +47,14 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
         return np.flatnonzero(h == h.min()) if n else np.zeros(0, np.int64)
     least = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
     padded = np.concatenate([np.zeros(w - 1, h.dtype), least, np.zeros(w - 1, h.dtype)])
-    return np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, w).max(axis=1) == h)
+    chosen = np.lib.stride_tricks.sliding_window_view(padded, w).max(axis=1) == h
+    # of a run of equal hashes (one word again and again) every w-th place will do
+    same = np.concatenate([[False], h[1:] == h[:-1]])
+    if same.any():
+        place = np.arange(n)
+        run = np.maximum.accumulate(np.where(same, 0, place))
+        chosen &= ~same | ((place - run) % w == 0)
+    return np.flatnonzero(chosen)
 
 
 def _seed_rows(k: int, w: int):
@@ -139,8 +148,9 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[np.ndarray]]:
     return out
 
 
-def _groups(batches) -> Iterator[pa.RecordBatch]:
-    """Rows of one (id, src) after the other, from batches sorted by them."""
+def _groups(batches, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one (id, src) after the other, from batches sorted by them; only groups of
+    at least ``least`` rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -154,9 +164,10 @@ def _groups(batches) -> Iterator[pa.RecordBatch]:
             new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         cut = [0, *np.flatnonzero(new).tolist()]
         for a, b in zip(cut, cut[1:]):
-            yield batch.slice(a, b - a)
+            if b - a >= least:
+                yield batch.slice(a, b - a)
         held = [batch.slice(cut[-1])]
-    yield from held
+    yield from (g for g in held if g.num_rows >= least)
 
 
 def _chain_rows(k: int):
@@ -169,9 +180,11 @@ def _chain_rows(k: int):
                  *(pa.array(keep[n], pa.int32()) for n in ("lo", "hi", "slo", "shi")),
                  *(pa.array(keep[n], pa.list_(pa.int32())) for n in ("at", "sat"))], list(keep))
 
-        for g in _groups(batches):
+        for g in _groups(batches, MIN_SEEDS):
             x, y, bx, by = (g.column(n).to_numpy().astype(np.int64) for n in ("word", "sword", "byte", "sbyte"))
-            for chain in chains(x, y, k):
+            found = chains(x, y, k)
+            strong = [c for c in found if sum(map(len, c)) >= MIN_SEEDS]
+            for chain in strong or found[:1]:
                 points = np.concatenate([b[[0, -1]] if len(b) > 1 else b for b in chain])
                 at, sat = bx[points], by[points]
                 keep["id"].append(g.column("id").slice(0, 1))
