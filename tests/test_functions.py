@@ -66,11 +66,11 @@ def test_sql_patterns(spark):
     assert got == [True, False, False, False, False]
 
 
-def test_identifier_rules():
-    assert T.unique_names(["2021 Sales", "a b", "a-b", "a_b_2", "", "a b"]) == \
+def test_identifier_rules(spark):
+    assert T.renamed(["2021 Sales", "a b", "a-b", "a_b_2", "", "a b"]) == \
         ["c_2021_sales", "a_b", "a_b_2", "a_b_2_2", "col", "a_b_3"]
-    assert T.clean_header(" Gross Amt. ") == "GROSS_AMT"
-    assert T.explorer_header(" a b") == "A_B"
+    assert T.renamed([" Gross Amt. ", "É b"], T.clean_header_expr) == ["GROSS_AMT", "É_B"]
+    assert T.renamed([" a b"], T.explorer_header_expr) == ["A_B"]
 
 
 def test_text_key_is_an_identity_key(spark):
@@ -101,10 +101,9 @@ def test_parse_by_value_equals_per_row_parse(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
     expr = parse_any("d", AUTO_DAYFIRST_PATTERNS)
     want = sorted((r.i, r.p) for r in df.withColumn("p", expr).collect())
-    for bound in (100, 0):  # broadcast map, then the per-row fallback
-        got = parse_by_value(df, "d", expr, "p", max_broadcast_rows=bound)
-        assert got.columns == ["i", "d", "p"]
-        assert sorted((r.i, r.p) for r in got.collect()) == want
+    got = parse_by_value(df, "d", expr, "p")
+    assert got.columns == ["i", "d", "p"]
+    assert sorted((r.i, r.p) for r in got.collect()) == want
 
 
 def test_collated_strings_keep_their_equality(spark):

@@ -22,10 +22,11 @@ def test_row_cap_and_with_select(spark):
     assert ok and df.first().n == 4
 
 
-def test_known_guard_gaps():
-    assert not Q.is_safe_select_text("select\n1")
-    assert not Q.is_safe_select_text("select last_update from t")
-    assert Q.is_safe_select_text("with x as (select 1) delete from t")
+def test_known_guard_gaps(spark):
+    safe = lambda sql: spark.createDataFrame([(sql,)], "q string").select(Q.is_safe_select("q")).first()[0]
+    assert not safe("select\n1")
+    assert not safe("select last_update from t")
+    assert safe("with x as (select 1) delete from t")
 
 
 def test_tables_schemas_and_preview(spark, tmp_path):
@@ -44,4 +45,20 @@ def test_batch_and_rollup(spark):
     res, log = Q.run_batch(spark, ["SELECT 1", "SELECT x FROM nowhere", "DROP TABLE t", "SELECT 2"])
     assert sorted(res) == [0, 3]
     r = Q.run_rollup(log).first()
-    assert (r.queries_total, r.queries_ok, r.queries_failed, r.failed_indexes) == (4, 2, 2, [2, 3])
+    assert (r.queries_total, r.queries_ok, r.queries_failed) == (4, 2, 2)
+    assert sorted(x.failed_index for x in Q.failed_indexes(log).collect()) == [2, 3]
+
+
+def test_runtime_error_is_logged_and_others_go_on(spark):
+    t = spark.createDataFrame([("1",), ("x",)], "a string")
+    res, log = Q.run_batch(spark, ["SELECT CAST(a AS INT) AS a FROM {t}", "SELECT a FROM {t} ORDER BY a"], t=t)
+    rows = {r["index"]: r for r in log.collect()}
+    assert rows[0].status == "error" and rows[0].row_count == 0 and "CAST_INVALID_INPUT" in rows[0].error
+    assert rows[1].status == "ok" and rows[1].row_count == 2 and [r.a for r in res[1].collect()] == ["1", "x"]
+    assert Q.first_error(log).first().failed is False
+    _, bad = Q.run_batch(spark, ["SELECT x FROM nowhere", "DROP TABLE t"])
+    assert Q.first_error(bad).first().error == rows_error(bad, 0)
+
+
+def rows_error(log, i):
+    return log.where(f"index = {i}").first().error

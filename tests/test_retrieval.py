@@ -32,17 +32,20 @@ def test_nearest_matches_brute_force(spark):
 
 
 def test_contains_matches_batches(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "lazy dog"), (3, "brown dog")], "d long, t string")
-    pats = spark.createDataFrame([(10, "brown"), (11, "dog"), (12, "cat"), (13, "")], "p long, q string")
-    got = sorted((r.p, r.d) for r in R.contains_matches(docs, "d", "t", pats, "p", "q", batch_bytes=4).collect())
-    assert got == [(10, 1), (10, 3), (11, 2), (11, 3)]
+    texts = [(1, "the quick brown fox"), (2, "lazy dog"), (3, "brown dog"), (4, None), (5, "ab  cd\nef gh ij kl"), (6, "é"), (7, "")]
+    wanted = [(10, "brown"), (11, "dog"), (12, "cat"), (13, ""), (14, "e quick bro"), (15, "cd\nef gh ij k"), (16, "cd ef gh ij k"),
+              (17, "o"), (18, " "), (19, "é"), (20, "b  cd\nef"), (21, None)]
+    docs = spark.createDataFrame(texts, "d long, t string")
+    pats = spark.createDataFrame(wanted, "p long, q string")
+    got = sorted((r.p, r.d) for r in R.contains_matches(docs, "d", "t", pats, "p", "q").collect())
+    assert got == sorted((p, d) for p, q in wanted for d, t in texts if q and t is not None and q in t)
+    assert R.contains_matches(docs, "d", "t", pats.limit(0), "p", "q").collect() == []
     ctx = R.assemble_context(spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "q int, rank int, txt string"),
                              "q", "rank", "txt").first()
     assert ctx.context == "a\n\nb" and ctx.n_retrieved == 2
 
 
 def test_nearest_exact_ties_and_query_blocks(spark):
-    import pytest
     rng = np.random.default_rng(11)
     base = rng.normal(size=(20, 4))
     vecs = np.concatenate([base, base, base[:5]])  # every distance occurs two or three times
@@ -58,17 +61,10 @@ def test_nearest_exact_ties_and_query_blocks(spark):
         order = np.lexsort((np.arange(len(vecs)), d))[:4]
         assert [got[(j, k + 1)][0] for k in range(4)] == order.tolist()
         assert np.allclose([got[(j, k + 1)][1] for k in range(4)], d[order], rtol=0, atol=1e-12)
-    with pytest.raises(ValueError):
-        R.nearest(df, "vid", "e", q, "qid", "qv", 4, max_query_bytes=8)
-
-
-def test_attach_texts_broadcast_and_shuffle_paths(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "d long, t string")
-    hits = spark.createDataFrame([(1, 7, 1), (1, 3, 2), (2, 49, 1)], "q int, d long, rank int")
-    want = [(1, 3, 2, "text 3"), (1, 7, 1, "text 7"), (2, 49, 1, "text 49")]
-    for bound in (10, 0):  # under the bound: broadcast; above it: shuffle join
-        got = sorted((r.q, r.d, r.rank, r.t) for r in R.attach_texts(hits, docs, "d", "t", bound).collect())
-        assert got == want
+    # three blocks of queries give the same answer
+    again = {(r.query_id, r.rank): (r.vid, r.distance)
+             for r in R.nearest(df, "vid", "e", q, "qid", "qv", 4, block_bytes=100).collect()}
+    assert again == got
 
 
 def test_nearest_merges_across_arrow_batches(spark):

@@ -1,7 +1,5 @@
 """Sinks and small helpers: A3, A4, A7, A9, A10, B15, B16, C7, N17."""
 
-import json
-import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -14,9 +12,8 @@ from tillpoint.operators.profile import column_profile
 from tillpoint.plans.dirty_sales import dirty_sales
 from tillpoint.plans.preprocess import preprocess
 from tillpoint.plans.questions import insight_bundle
-from tillpoint.plans.sales_wide import sales_wide
 from tillpoint.sources.csv import count_by_file, head_rows, read_csv_files, with_provenance
-from tillpoint.sources.sinks import load_raw, markdown_report, processed_basename, save_processed
+from tillpoint.sources.sinks import load_raw, processed_basename, report_lines, save_processed
 
 
 def test_processed_sink_and_report(spark):
@@ -25,14 +22,15 @@ def test_processed_sink_and_report(spark):
     paths = save_processed(p, out, "dirty")
     assert processed_basename("dirty") == "dirty_processed" and processed_basename("x_processed") == "x_processed"
     assert spark.read.parquet(paths["data"]).count() == p.data.count()
-    summary = json.load(open(paths["summary"], encoding="utf-8"))
-    assert summary["quality_issues"] == p.issues.count() > 0
-    assert open(paths["issues"], encoding="utf-8").read().startswith("DATA QUALITY ISSUES REPORT")
+    summary = spark.read.json(paths["summary"]).first()
+    assert summary["quality_issues"] == p.issues.count() == len(summary["quality_issues_list"]) > 0
+    assert spark.read.text(paths["issues"]).first().value == "DATA QUALITY ISSUES REPORT"
     cat = column_profile(p.data, "dirty_processed")
     files = J.file_types(cat).join(cat.groupBy("table_name").agg(F.max("n").alias("rows"),
                                                                  F.count(F.lit(1)).alias("columns")), "table_name")
-    md = markdown_report(files, J.annotate(cat), None, None)
-    assert "| dirty_processed |" in md and "### dirty_processed" in md
+    md = [r.value for r in report_lines(files, J.annotate(cat)).collect()]
+    assert md[0].startswith("# ") and any(x.startswith("| dirty_processed | ") for x in md)
+    assert md.index("### dirty_processed") > md.index("## Detailed Column Analysis")
 
 
 def test_csv_raw_layer_and_helpers(spark):
@@ -40,7 +38,11 @@ def test_csv_raw_layer_and_helpers(spark):
     with open(f"{d}/My File (1).csv", "w", encoding="utf-8") as f:
         f.write("index, Amount ,Unnamed: 2\n1,10,\n2,20,\n3,,\n")
     frames = read_csv_files(spark, [f"{d}/My File (1).csv"])
-    tables = load_raw(spark, frames, "raw")
+    tables, report = load_raw(spark, frames, "raw")
+    again, both = load_raw(spark, {"/a/x y.csv": df_of(spark), "/b/x-y.csv": df_of(spark), "/b/bad.csv": ValueError("no")}, "raw")
+    assert sorted(again.values()) == ["raw.raw_x_y", "raw.raw_x_y_2"]
+    assert [(r.path, r.status, r.error) for r in both.where("status = 'failed'").collect()] == [("/b/bad.csv", "failed", "no")]
+    assert report.count() == 1
     t = list(tables.values())[0]
     assert t == "raw.raw_my_file_1"
     assert spark.table(t).columns == ["index", "amount", "unnamed_2"]
@@ -57,9 +59,12 @@ def test_unique_customers_excludes_flagged(spark):
 
 
 def test_insight_bundle(spark):
-    sw = sales_wide(spark, SMOKE, ["l_extendedprice", "o_orderdate", "p_type", "r_name"])
-    b = insight_bundle(sw, "l_extendedprice", "o_orderdate", "p_type", "r_name")
+    b = insight_bundle(spark, SMOKE)
     assert set(b) == {"kpis", "top_category", "top_region", "monthly_deltas", "yoy"}
     total = b["kpis"].first()["total"]
     assert abs(sum(r.total for r in b["top_category"].collect()) - total) < 1e-6 * total
     assert b["monthly_deltas"].count() > 1
+
+
+def df_of(spark):
+    return spark.range(2).toDF("id")

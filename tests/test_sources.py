@@ -4,7 +4,7 @@ import tempfile
 
 from tillpoint.operators import compare as J
 from tillpoint.operators.profile import column_profile
-from tillpoint.sources.csv import discover, file_encodings, read_csv_files, sanitize_columns
+from tillpoint.sources.csv import discover, file_encodings, read_csv, read_csv_files, sanitize_columns
 from tillpoint.sources.sinks import load_mart
 
 
@@ -25,6 +25,7 @@ def test_csv_files(spark):
     assert [p.rsplit("/", 1)[-1] for p in paths] == ["catalog.csv", "names.csv", "sales_a.csv", "sales_b.csv"]
     enc = {p.rsplit("/", 1)[-1]: e for p, e in file_encodings(spark, paths).items()}
     assert enc["sales_b.csv"] == "ISO-8859-1" and enc["sales_a.csv"] == "utf-8"
+    assert file_encodings(spark, paths, "ascii")[[p for p in paths if p.endswith("sales_b.csv")][0]] == "ISO-8859-1"
     frames = read_csv_files(spark, paths)
     b = frames[[p for p in paths if p.endswith("sales_b.csv")][0]]
     assert b.first()["Customer Name"] == "José"
@@ -51,3 +52,26 @@ def test_price_comparison_literal(spark):
 def test_mart_load(spark):
     n = load_mart(spark.range(5).toDF("id"), "sales_clean_test")
     assert n == 5 and spark.table("mart.sales_clean_test").count() == 5
+
+
+def test_encodings_with_blanks_and_other_letters_in_names(spark):
+    d = tempfile.mkdtemp(prefix="tillpoint csv é-")
+    _write(d, "b c+d.csv", "Name\nJosé\n", enc="latin-1")
+    _write(d, "ü%20.csv", "Name\nJosé\n")
+    with open(f"{d}/odd.csv", "wb") as f:
+        f.write(b"Name\nx\x81y\n")
+    paths = discover(spark, d)
+    for given in (paths, [p.replace("file:", "") for p in paths]):
+        enc = {p.rsplit("/", 1)[-1]: e for p, e in file_encodings(spark, given).items()}
+        assert enc == {"b c+d.csv": "ISO-8859-1", "ü%20.csv": "utf-8", "odd.csv": "ISO-8859-1"}
+    enc = {p.rsplit("/", 1)[-1]: e for p, e in file_encodings(spark, paths, "cp1252").items()}
+    assert enc == {"b c+d.csv": "windows-1252", "ü%20.csv": "windows-1252", "odd.csv": "ISO-8859-1"}
+    frames = read_csv_files(spark, [f"{d}/b c+d.csv"])
+    assert [f.first()["Name"] for f in frames.values()] == ["José"]
+
+
+def test_quoted_line_breaks_are_opt_in(spark):
+    d = tempfile.mkdtemp(prefix="tillpoint-csv-")
+    _write(d, "m.csv", 'a,b\n1,"x\ny"\n')
+    assert [r.b for r in read_csv(spark, f"{d}/m.csv", multi_line=True).collect()] == ["x\ny"]
+    assert read_csv(spark, f"{d}/m.csv", schema="a string, b string").count() == 2

@@ -1,6 +1,6 @@
 import tempfile
 
-from tillpoint.operators.roles import detect_roles_clean
+from tillpoint.operators.roles import roles_of
 from tillpoint.plans.dirty_sales import dirty_sales
 from tillpoint.operators.clean import clean_headers
 from tillpoint.streaming.incremental import clean_rows, start_clean_stream
@@ -13,7 +13,7 @@ def test_stream_equals_batch(spark):
     ck = tempfile.mkdtemp(prefix="tillpoint-ck-")
     df = clean_headers(dirty_sales(spark, SMOKE)).drop("EMPTY_TXT")
     df.repartition(3).write.mode("overwrite").parquet(src + "/in")
-    roles = detect_roles_clean(df.columns)
+    roles = roles_of(df)
     q = start_clean_stream(spark, src + "/in", df.schema, sink + "/out", roles, bounds=(1000.0, 30000.0),
                            as_of="2026-01-01", checkpoint_location=ck)
     q.awaitTermination(300)
@@ -27,7 +27,7 @@ def test_stream_restart_resumes_from_default_checkpoint(spark):
     src = tempfile.mkdtemp(prefix="tillpoint-src-")
     sink = tempfile.mkdtemp(prefix="tillpoint-sink-") + "/out"
     df = clean_headers(dirty_sales(spark, SMOKE)).drop("EMPTY_TXT")
-    roles = detect_roles_clean(df.columns)
+    roles = roles_of(df)
     first, second = df.where("QTY_TXT >= '5'"), df.where("NOT (QTY_TXT >= '5') OR QTY_TXT IS NULL")
     for part, mode in ((first, "overwrite"), (second, "append")):
         part.repartition(2).write.mode(mode).parquet(src + "/in")

@@ -143,13 +143,6 @@ def parse_any(c, patterns=AUTO_PATTERNS) -> Column:
     return F.coalesce(*[parse_with(c, p) for p in patterns])
 
 
-def strftime_to_pattern(fmt: str) -> str:
-    for f, p in CLEAN_DATE_FORMATS:
-        if f == fmt:
-            return p
-    raise ValueError(f"unknown date format {fmt!r}")
-
-
 def time_dimensions(d: Column, prefix: str = "") -> dict[str, Column]:
     """Year, quarter, month, month_name (``%b-%y``), day_of_week (Mon=0),
     week_of_year (ISO)."""

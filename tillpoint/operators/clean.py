@@ -24,19 +24,10 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def rename_columns(df: DataFrame, new_names) -> DataFrame:
-    return df.toDF(*new_names)
-
-
 def clean_headers(df: DataFrame) -> DataFrame:
     """B1: header rule 1 (strip, upper, spaces -> '_', drop non-word chars);
     names that become equal get ``_2``, ``_3`` (Spark needs unique names)."""
-    return df.toDF(*T.unique_names(df.columns, rule=T.clean_header))
-
-
-def explorer_headers(df: DataFrame) -> DataFrame:
-    """B1 variant of the explorer (rule 3)."""
-    return df.toDF(*T.unique_names(df.columns, rule=T.explorer_header))
+    return df.toDF(*T.renamed(df.columns, T.clean_header_expr))
 
 
 def drop_unnamed(df: DataFrame, prefix: str = "UNNAMED") -> DataFrame:
@@ -72,34 +63,17 @@ def all_null(df: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [_q(c).isNull() for c in df.columns])
 
 
-def drop_empty_rows(df: DataFrame) -> DataFrame:
-    """C1."""
-    return df.dropna(how="all")
-
-
 def empty_columns(df: DataFrame) -> list[str]:
     """Names of all-null columns – one aggregate for every column."""
     row = df.agg(*[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     return [c for i, c in enumerate(df.columns) if row[f"c{i}"] == 0]
 
 
-def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """B3."""
-    return df.drop(*empty_columns(df))
-
-
 def junk_index(col: str) -> Column:
     """C2 predicate: the index text starts with two capital letters (null -> false)."""
     return F.coalesce(_q(col).rlike("^[A-Z]{2,}"), F.lit(False))
 
 
-def drop_junk_index(df: DataFrame, col: str = "INDEX") -> DataFrame:
-    """C2, only when the column exists and holds text."""
-    if col not in df.columns or not isinstance(df.schema[col].dataType, StringType):
-        return df
-    return df.where(~junk_index(col))
-
-
 def header_like(df: DataFrame) -> Column:
     """C3 predicate: some value contains 'heads' and some value contains
     'price' (case-insensitive).  "Some value contains x" equals "the values

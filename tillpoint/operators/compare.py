@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.operators.roles import FACT_DIMENSIONS, FACT_METRICS
 
 def _has(*words) -> Column:
     name = F.lower(F.col("column_name"))
@@ -173,6 +172,12 @@ def column_kind(role_columns: Column | None = None) -> Column:
              .otherwise("OTHER"))
 
 
+# Wanted dimension and metric names of the facts summary, by priority.
+FACT_DIMENSIONS = ["region", "state", "store", "category", "subcategory", "product", "product_line",
+                   "brand", "channel", "segment", "year", "quarter", "month", "date"]
+FACT_METRICS = ["sales", "revenue", "amount", "profit", "margin", "units", "quantity"]
+
+
 def fact_columns(columns: DataFrame) -> DataFrame:
     """``(table, use, column_name, priority)``: wanted dimensions and
     metrics present (list order), metrics falling back to numeric columns."""

@@ -74,27 +74,22 @@ def detect_date_format(df: DataFrame, col: str) -> DateChoice:
     return DateChoice("auto", stats, parse_any(col, AUTO_PATTERNS))
 
 
-def parse_by_value(df: DataFrame, col: str, expr: Column, out: str, keys_from: DataFrame | None = None,
-                   max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def parse_by_value(df: DataFrame, col: str, expr: Column, out: str, keys_from: DataFrame | None = None) -> DataFrame:
     """``df`` with ``out = expr`` (a parse of ``col``), computed once per
     distinct text instead of once per row.
 
     Date texts repeat (they are bounded by the calendar and a few formats), and
     a multi-pattern parse costs several regexes per row.  The distinct texts
     (of ``keys_from``, default ``df``) are parsed, written to the shared
-    checkpoint folder and counted; at most ``max_broadcast_rows`` of them are
-    broadcast and joined on the text (no shuffle of ``df``).  Above the bound
-    the parse runs per row.  The result is the same either way: the parse is a
-    function of the text, and null texts parse to null."""
+    checkpoint folder and joined on the text; Spark broadcasts them while they are
+    under its threshold.  Null texts parse to null."""
     from tillpoint.session import materialize
 
     c = F.col(f"`{col}`")
     src = keys_from if keys_from is not None else df
     keys = src.select(c.alias(col)).where(c.isNotNull()).distinct()
     mapping = materialize(keys.select(c.alias("_date_text"), expr.alias(out)), "date-map")
-    if mapping.count() > max_broadcast_rows:
-        return df.withColumn(out, expr)
-    joined = df.drop(out).join(F.broadcast(mapping), c == F.col("_date_text"), "left")
+    joined = df.drop(out).join(mapping, c == F.col("_date_text"), "left")
     # like withColumn: an existing ``out`` is replaced in place, a new one appended
     order = [F.col(f"`{x}`") for x in df.columns] + ([] if out in df.columns else [F.col(f"`{out}`")])
     return joined.select(*order)

@@ -20,34 +20,32 @@ def rolling_memory(log: DataFrame, thread: str, turn: str, k: int = 5) -> DataFr
 
 def carry_forward(log: DataFrame, thread: str, turn: str, key: str, value: str) -> DataFrame:
     """I4: per thread and key the value of the latest turn (later filters
-    override earlier ones): ``max_by`` aggregates partially, map-side."""
-    return (log.where(F.col(key).isNotNull())
-               .groupBy(thread, key).agg(F.max_by(value, turn).alias(value), F.max(turn).alias(turn)))
+    override earlier ones).  The latest turns are numbers, aggregated map-side; the
+    texts are only read for them (several rows of that turn: the greatest text)."""
+    own = log.where(F.col(key).isNotNull())
+    last = own.groupBy(F.col(thread).alias("_t"), F.col(key).alias("_k")).agg(F.max(turn).alias("_n"))
+    rows = own.join(last, F.col(thread).eqNullSafe(F.col("_t")) & (F.col(key) == F.col("_k")) & (F.col(turn) == F.col("_n")))
+    return rows.groupBy(thread, key, turn).agg(F.max(value).alias(value)).select(thread, key, value, turn)
 
 
 def qa_pairs(log: DataFrame, thread: str, turn: str, role: str, text: str,
              question_role: str = "user", answer_role: str = "assistant") -> DataFrame:
     """A question turn paired with the answer in the next turn of the same
-    thread.  Turns are consecutive integers per thread, so "next" is an
-    equi-join on ``(thread, turn + 1)``: hash-partitioned by both keys, a long
-    thread is spread over many tasks (a window per thread would not be)."""
-    q = log.where(F.col(role) == question_role).select(
-        F.col(thread), F.col(turn), F.col(text).alias("question"))
-    a = log.where(F.col(role) == answer_role).select(
-        F.col(thread).alias("_t"), (F.col(turn) - 1).alias("_q"), F.col(text).alias("answer"))
-    return q.join(a, (q[thread] == a["_t"]) & (q[turn] == a["_q"]), "inner").drop("_t", "_q")
-
-
-def extract_json(text) -> Column:
-    """L1: the JSON object in a reply – a fenced ```` ```json {...} ``` ````
-    block (shortest) first, else the greedy first-``{``-to-last-``}`` span;
-    text that is not valid JSON -> null (a fenced block that is invalid does
-    not fall back to the greedy span)."""
-    t = F.trim(F.col(text) if isinstance(text, str) else text)
-    fenced = F.regexp_extract(t, r"(?is)```json\s*(\{.*?\})\s*```", 1)
-    greedy = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    cand = F.when(fenced != "", fenced).when(greedy != "", greedy)
-    return F.when(F.try_parse_json(cand).isNotNull(), cand)
+    thread, whatever numbers are missing in between (rows of one turn in the order of
+    role and text).
+
+    The window sees turn numbers and roles only; the texts are joined by thread and turn,
+    so a long thread's texts are spread over many tasks."""
+    order = Window.partitionBy(thread).orderBy(turn, role)
+    turns = log.select(thread, turn, role).distinct()
+    pairs = (turns.withColumn("_nt", F.lead(turn).over(order)).withColumn("_nr", F.lead(role).over(order))
+             .where((F.col(role) == question_role) & (F.col("_nr") == answer_role))
+             .select(F.col(thread).alias("_t"), F.col(turn).alias("_q"), F.col("_nt").alias("_a")))
+    q = log.where(F.col(role) == question_role).select(thread, turn, F.col(text).alias("question"))
+    a = log.where(F.col(role) == answer_role).select(F.col(thread).alias("_t2"), F.col(turn).alias("_a2"), F.col(text).alias("answer"))
+    both = q.join(pairs, (F.col(thread) == F.col("_t")) & (F.col(turn) == F.col("_q")))
+    return (both.join(a, (F.col("_t") == F.col("_t2")) & (F.col("_a") == F.col("_a2")))
+            .select(thread, turn, "question", "answer"))
 
 
 def _text_list(v: Column, path: str) -> Column:
@@ -68,7 +66,10 @@ def normalize_plans(df: DataFrame, reply_col: str, out: str = "plan") -> DataFra
 
 
 def extract_json_column(df: DataFrame, text_col: str, out: str = "extracted") -> DataFrame:
-    """L1 over a log table with the candidate span computed once."""
+    """L1: the JSON object in a reply: a fenced ``json`` block (the shortest) first, else
+    the span from the first ``{`` to the last ``}``.  Text that is no valid JSON gives
+    null; an invalid block does not fall back to the span.  The candidate is computed
+    once, in a projection of its own."""
     t = F.trim(F.col(text_col))
     fenced = F.regexp_extract(t, r"(?is)```json\s*(\{.*?\})\s*```", 1)
     greedy = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
@@ -76,15 +77,6 @@ def extract_json_column(df: DataFrame, text_col: str, out: str = "extracted") ->
     return step.withColumn(out, F.when(F.try_parse_json(F.col("_c")).isNotNull(), F.col("_c"))).drop("_c")
 
 
-def normalize_plan(reply_json) -> Column:
-    """L2: the planner record normalized – strings trimmed, scalars made lists,
-    empty entries dropped, non-object filters -> ``{}``, rationale cut to 280,
-    confidence parsed and clamped to [0, 1], tags lower-cased with spaces as
-    '_', other characters dropped, cut to 32, de-duplicated, at most 6;
-    ``valid`` when there is a sql text or at least one query."""
-    return _normalize_variant(F.try_parse_json(F.col(reply_json) if isinstance(reply_json, str) else reply_json))
-
-
 def _normalize_variant(v: Column) -> Column:
     sql = F.coalesce(F.trim(F.try_variant_get(v, "$.sql", "string")), F.lit(""))
     queries = _text_list(v, "$.queries")

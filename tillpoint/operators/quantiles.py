@@ -194,9 +194,3 @@ def _narrow(base: DataFrame, big: dict, accuracy: int) -> dict:
 def exact_quantiles(df: DataFrame, column: str, probs, **kw):
     """Exact linear-interpolated quantiles of one column (list, None if empty)."""
     return exact_quantiles_many(df, [column], probs, **kw)[column]
-
-
-def approx_quantiles(df: DataFrame, column: str, probs, accuracy: int = 10000):
-    """One-pass bounded-memory alternative (``percentile_approx``)."""
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), list(probs), accuracy).alias("q")).first()
-    return list(row["q"]) if row["q"] is not None else [None for _ in probs]

@@ -80,22 +80,31 @@ def _merge_topk(qi: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int):
 
 
 def nearest(vectors: DataFrame, id_col: str, vec: str, queries: DataFrame, qid: str, qvec: str, k: int = 3,
-            max_queries: int = 100_000, max_query_bytes: int = 256 << 20, max_cells: int = 4 << 20) -> DataFrame:
+            block_bytes: int = 32 << 20, max_cells: int = 4 << 20) -> DataFrame:
     """R2: the ``k`` vectors nearest (Euclidean) to each query vector, ties by id.
 
-    The query set is broadcast only after its size is checked: one aggregate
-    gives its row count and widest vector, and both ``max_queries`` rows and
-    ``max_query_bytes`` of float64 matrix must hold.  Each partition of
-    ``vectors`` keeps one running top ``k`` per query over all its Arrow
-    batches (``_block_topk`` per batch, working memory bounded by
-    ``max_cells`` distances; ``_merge_topk`` across batches), so the shuffle
-    carries at most k rows per query per partition, and
-    ``row_number() <= k`` merges them (a partial ``WindowGroupLimit``)."""
+    Any number of queries: they are cut by a hash of their id into blocks of about
+    ``block_bytes``, and each block is broadcast and compared with all vectors in one
+    pass, so its answer is final and no more than a block is on the driver.  Each
+    partition of ``vectors`` keeps one running top ``k`` per query over its Arrow
+    batches (``_block_topk`` per batch, working memory bounded by ``max_cells``
+    distances), so the shuffle carries at most k rows per query and partition, and
+    ``row_number() <= k`` merges them (a partial ``WindowGroupLimit``).  With several
+    blocks each one's result is written to the shared folder before the next."""
+    from tillpoint.session import materialize
+
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
-    nq, qdim = stats["n"], stats["dim"] or 0
-    if nq > max_queries or nq * qdim * 8 > max_query_bytes:
-        raise ValueError(f"{nq} query vectors of width {qdim} exceed the broadcast bound "
-                         f"({max_queries} rows, {max_query_bytes} bytes); split the query set")
+    blocks = max(1, -(-stats["n"] * 8 * max(stats["dim"] or 1, 1) // block_bytes))
+    block = F.pmod(F.xxhash64(qid), F.lit(blocks))
+    out = None
+    for b in range(blocks):
+        got = _nearest_block(vectors, id_col, vec, queries.where(block == b), qid, qvec, k, max_cells)
+        got = got if blocks == 1 else materialize(got, "nearest")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _nearest_block(vectors, id_col, vec, queries, qid, qvec, k, max_cells):
     qrows = queries.select(qid, qvec).collect()
     qids = [r[0] for r in qrows]
     qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows]) if qrows else np.zeros((0, 0))
@@ -125,70 +134,61 @@ def nearest(vectors: DataFrame, id_col: str, vec: str, queries: DataFrame, qid:
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def contains_matches(texts: DataFrame, text_id: str, text_col: str, patterns: DataFrame, pid: str, pcol: str,
-                     batch_bytes: int = 64 << 20) -> DataFrame:
-    """Every (pattern, text) pair where the text contains the pattern exactly.
-
-    The patterns are broadcast as an Aho-Corasick automaton in batches of
-    about ``batch_bytes`` of pattern text: one aggregate measures the total,
-    patterns are split into that many hash batches, and each batch is
-    collected, broadcast and run as one pass of ``mapInPandas`` over the text
-    partitions.  The work is linear in the text, no pair of rows is formed, and
-    the driver never holds more than one batch."""
-    import ahocorasick
-
-    pats = patterns.select(pid, pcol).where(F.octet_length(pcol) > 0)
-    total = pats.agg(F.sum(F.octet_length(pcol))).first()[0] or 0
-    n_batches = max(1, -(-int(total) // batch_bytes))
-    # batches by hash of the pattern id: only one batch's texts are on the driver at a time
-    batches = [pats.where(F.pmod(F.hash(pid), F.lit(n_batches)) == b) for b in range(n_batches)]
-    id_type = dict(texts.dtypes)[text_id]
-    p_type = dict(patterns.dtypes)[pid]
-    sc = texts.sparkSession.sparkContext
-    out = None
-    for batch_df in batches:
-        batch = [(r[0], r[1]) for r in batch_df.collect()]
-        if not batch:
-            continue
-        b = sc.broadcast(batch)
-
-        def scan(frames, b=b):
-            auto = ahocorasick.Automaton()
-            for p_id, p_text in b.value:
-                auto.add_word(p_text, auto.get(p_text, ()) + (p_id,))
-            auto.make_automaton()
-            for pdf in frames:
-                rows = []
-                for t_id, t in zip(pdf[text_id].to_numpy(), pdf[text_col].to_numpy()):
-                    if t is None:
-                        continue
-                    seen = set()
-                    for _, ids in auto.iter(t):
-                        seen.update(ids)
-                    rows.extend((p, t_id) for p in seen)
-                yield pd.DataFrame(rows, columns=["pattern_id", text_id])
-
-        part = texts.select(text_id, text_col).mapInPandas(scan, f"pattern_id {p_type}, {text_id} {id_type}")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return texts.sparkSession.createDataFrame([], f"pattern_id {p_type}, {text_id} {id_type}")
-    return out.withColumnRenamed("pattern_id", pid)
-
-
-def attach_texts(hits: DataFrame, texts: DataFrame, text_id: str, text_col: str,
-                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``hits`` (a small top-k of ids) with the text of each id.
-
-    A plain join would shuffle the whole text table by id to fetch a few texts.
-    So the hits are written to the shared checkpoint folder (a lineage cut: the
-    pattern scan is not repeated), counted exactly, and broadcast when at most
-    ``max_broadcast_rows``; the texts are then read in one scan with no
-    shuffle.  Above the bound the join shuffles both sides."""
-    from tillpoint.session import materialize
-
-    hits = materialize(hits, "hits")
-    side = F.broadcast(hits) if hits.count() <= max_broadcast_rows else hits
-    return texts.select(text_id, text_col).join(side, text_id)
+# How a pattern is found in a text before the exact check: by three inner words, by its
+# longest inner word, by its first three characters, or by its first one.
+_KINDS = ("words3", "word", "chars3", "char")
+
+
+def _pattern_keys(text):
+    """The best key that every text with the pattern must hold.  A word with white space
+    on both sides in the pattern is a whole word of the text."""
+    inner = F.expr(f"slice(split({text}, '\\\\s+'), 2, greatest(size(split({text}, '\\\\s+')) - 2, 0))")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return F.when(F.size(inner) >= 3, F.struct(F.lit("words3").alias("kind"), F.xxhash64(
+        F.get(inner, F.lit(0)), F.get(inner, F.lit(1)), F.get(inner, F.lit(2))).alias("key"))).when(
+        F.size(inner) >= 1, F.struct(F.lit("word").alias("kind"), F.xxhash64(longest).alias("key"))).when(
+        F.length(text) >= 3, F.struct(F.lit("chars3").alias("kind"), F.xxhash64(F.substring(text, 1, 3)).alias("key"))).otherwise(
+        F.struct(F.lit("char").alias("kind"), F.xxhash64(F.substring(text, 1, 1)).alias("key")))
+
+
+def _text_keys(texts: DataFrame, kind: str) -> DataFrame:
+    """``(_t, key)``: distinct keys of one kind of each text ``(_t, _tt)``.  The parts are
+    a column of their own, so that they are made once per text."""
+    cut = texts.select("_t", F.split("_tt", r"\s+" if kind.startswith("word") else "").alias("w"))
+    n = 3 if kind.endswith("3") else 1
+    runs = F.slice("w", F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(0)))
+    if kind == "words3":
+        key = lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2))
+    elif kind == "chars3":
+        key = lambda w, i: F.xxhash64(F.concat(w, F.get("w", i + 1), F.get("w", i + 2)))
+    else:
+        key = lambda w, i: F.xxhash64(w)
+    keys = cut.select("_t", F.array_distinct(F.transform(runs, key)).alias("keys"))
+    # explode() would infer a filter on the array's size and push it, split and all, below
+    return keys.select("_t", F.explode_outer("keys").alias("key")).where("key is not null")
+
+
+def contains_matches(texts: DataFrame, text_id: str, text_col: str, patterns: DataFrame, pid: str,
+                     pcol: str) -> DataFrame:
+    """Every (pattern, text) pair where the text contains the pattern exactly.
+
+    An equi-join on the hash of one key per pattern (three words, where it has them)
+    gives the candidates; ``contains`` decides.  Texts are read once per kind of key that
+    the patterns have (four at most), whatever the number of patterns; no pattern is
+    collected, and a key that very many texts hold is split as any skewed join.  Empty
+    patterns match nothing."""
+    pats = patterns.select(F.col(pid).alias("_p"), F.col(pcol).alias("_pt")).where(F.octet_length("_pt") > 0)
+    keyed = pats.select("_p", "_pt", _pattern_keys("_pt").alias("k")).select("_p", "_pt", "k.kind", "k.key")
+    kinds = {r[0] for r in keyed.select("kind").distinct().collect()}
+    own = texts.select(F.col(text_id).alias("_t"), F.col(text_col).alias("_tt")).where("_tt is not null")
+    found = None
+    for kind in (k for k in _KINDS if k in kinds):
+        hit = keyed.where(F.col("kind") == kind).join(_text_keys(own, kind), "key").select("_p", "_pt", "_t")
+        found = hit if found is None else found.union(hit)
+    if found is None:
+        found = pats.join(own.select("_t").limit(0), F.lit(False)).select("_p", "_pt", "_t")
+    return (found.join(own, "_t").where(F.contains("_tt", "_pt")).select(F.col("_p").alias(pid), F.col("_t").alias(text_id))
+            .distinct())
 
 
 def assemble_context(retrieved: DataFrame, query: str, rank: str, text: str, sep: str = "\n\n") -> DataFrame:

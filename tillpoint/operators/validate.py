@@ -140,23 +140,6 @@ def issue_rows(specs, counts: dict, **fmt) -> list[tuple]:
     return rows
 
 
-def issue_table(specs, df: DataFrame, **fmt) -> DataFrame:
-    """E10 as a lazy table: one aggregate of all counts over ``df``, unpivoted,
-    rows with n > 0 kept."""
-    if not specs:
-        return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    structs = []
-    for sp in specs:
-        details = F.lit(sp.template)
-        for k, v in fmt.items():
-            details = F.replace(details, F.lit("{" + k + "}"), F.lit(str(v)))
-        details = F.replace(details, F.lit("{n}"), sp.n.cast("string"))
-        structs.append(F.struct(F.lit(sp.seq).alias("seq"), F.lit(sp.type).alias("type"), details.alias("details"),
-                                F.lit(sp.severity).alias("severity"), sp.n.cast("bigint").alias("n")))
-    row = df.agg(F.array(*structs).alias("issues"))
-    return row.select(F.explode("issues").alias("i")).select("i.*").where(F.col("n") > 0).drop("n")
-
-
 ISSUE_SCHEMA = "seq int, type string, details string, severity string"
 
 

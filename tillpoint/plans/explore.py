@@ -25,21 +25,20 @@ Q_AOV = "What is the monthly average order value trend?"
 Q_BEST_MONTH = "Which month had the highest sales?"
 
 
-def example_questions(df: DataFrame, roles, categorical=()) -> DataFrame:
-    """``(seq, question)``.  The years are the two latest distinct years of the
-    date role and the customer is the most frequent non-null customer (ties ->
-    smallest), both found by Spark (a distinct-year top-2 and a grouped top-1)."""
-    spark = df.sparkSession
+def example_questions(spark, roles, years: DataFrame | None = None, customers: DataFrame | None = None,
+                      categorical=()) -> DataFrame:
+    """``(seq, question)``.  ``years`` holds the years ``y`` of the date role and
+    ``customers`` the rows ``n`` per customer ``label``, both as rollups: the two latest
+    years and the most frequent non-null customer (ties -> smallest) are found there."""
     cols = {}
     if roles.date:
-        years = (df.select(F.year(F.col(roles.date)).alias("y")).where(F.col("y").isNotNull()).distinct()
-                   .orderBy(F.col("y").desc()).limit(2))
-        cols.update(y2=years.select(F.max("y")).scalar(), y1=years.select(F.min("y")).scalar(),
-                    ny=years.select(F.count(F.lit(1))).scalar())
+        last = years.where("y is not null").distinct().orderBy(F.col("y").desc()).limit(2)
+        one = last.agg(F.max("y").alias("y2"), F.min("y").alias("y1"), F.count(F.lit(1)).alias("ny"))
+        picked = one.select(F.struct("y2", "y1", "ny")).scalar()
+        cols.update(y2=picked["y2"], y1=picked["y1"], ny=picked["ny"])
     if roles.customer:
-        top = (df.where(F.col(roles.customer).isNotNull()).groupBy(roles.customer).agg(F.count(F.lit(1)).alias("n"))
-                 .orderBy(F.col("n").desc(), F.col(roles.customer)).limit(1))
-        cols["top_customer"] = top.select(F.max(F.col(roles.customer).cast("string"))).scalar()
+        top = customers.where(F.col("label").isNotNull()).orderBy(F.col("n").desc(), F.col("label")).limit(1)
+        cols["top_customer"] = top.select(F.max(F.col("label").cast("string"))).scalar()
     # one row whose values are scalar subqueries over the data (no join)
     facts = spark.range(1).select(*[v.alias(k) for k, v in cols.items()]) if cols else spark.range(1)
     qs = []

@@ -38,9 +38,9 @@ from tillpoint.operators import clean as C
 from tillpoint.operators import validate as V
 from tillpoint.operators.dates import choose_date_format, parse_by_value
 from tillpoint.operators.quantiles import exact_quantiles
-from tillpoint.operators.roles import detect_roles_clean
+from tillpoint.operators.roles import roles_of
 from tillpoint.plans.sales_wide import Roles
-from tillpoint.session import materialize
+from tillpoint.session import discard, materialize
 
 NUMERIC_NAME_TOKENS = ("rate", "price", "amount", "amt", "gross", "total")
 TIME_COLUMNS = ("year", "quarter", "month", "month_name", "day_of_week", "week_of_year")
@@ -106,7 +106,7 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
     n_dups = s1["n"] - s1["empty"] - s1["junk"] - s1["head"] - n_dedup
 
     # ---- 4. normalize ------------------------------------------------------
-    roles = roles or detect_roles_clean(stage.columns)
+    roles = roles or roles_of(stage)
     if roles.date and roles.date in stage.columns:
         clash = {c for c in stage.columns if c.lower() in TIME_COLUMNS + ("date_parsed",)}
         if clash:
@@ -176,6 +176,7 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
 
     # ---- pass 4: write the result once, every count observed on the way ----
     data = materialize(work, "preprocessed")
+    discard(work)      # the de-duplicated stage and the date map were read for the last time
     sv = obs_sum.get
     counts = {**(obs_conv.get if conv_specs else {}), **obs_val.get}
 

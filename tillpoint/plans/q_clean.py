@@ -18,15 +18,11 @@ from tillpoint.plans.registry import register, rounded
 from tillpoint.sources.tables import load
 
 AS_OF = "2026-01-01 00:00:00"
-_CACHE: dict = {}
 
 
 def _prep(spark, sf_dir):
-    """One preprocessing run per (session, sf_dir), shared by the P queries."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = preprocess(dirty_sales(spark, sf_dir), as_of=AS_OF, index_col="IDX")
-    return _CACHE[key]
+    """The cleaning job over the derived sales table; each P query runs it."""
+    return preprocess(dirty_sales(spark, sf_dir), as_of=AS_OF, index_col="IDX")
 
 
 # ---------------------------------------------------------------- SQL twin --
@@ -303,13 +299,22 @@ def d1_exact_dedup_dirty_sales(spark, sf_dir):
     return deduplicate(dirty_sales(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("d2_duplicate_count_documents", """
+@register("d2_duplicate_count_dirty_sales", f"""
+WITH ds AS ({dirty_sales_sql_for_duckdb()}), u AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM ds))
+SELECT count(*) - max(u.n) AS duplicate_rows, count(*) AS total_rows, round((count(*) - max(u.n)) / count(*) * 100, 2) AS duplicate_pct
+FROM ds, u""")
+def d2_duplicate_count_dirty_sales(spark, sf_dir):
+    """Whole rows."""
+    return rounded(duplicate_count(dirty_sales(spark, sf_dir)))
+
+
+@register("d2_duplicate_count_document_texts", """
 SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, CAST(sum(n) AS BIGINT) AS total_rows,
        round(sum(n - 1) / sum(n) * 100, 2) AS duplicate_pct
 FROM (SELECT text, lang, count(*) AS n FROM documents GROUP BY text, lang)""")
-def d2_duplicate_count_documents(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("text", "lang")
-    return rounded(duplicate_count(d))
+def d2_duplicate_count_document_texts(spark, sf_dir):
+    """The subset form: rows with equal text and language."""
+    return rounded(duplicate_count(load(spark, sf_dir, "documents").select("text", "lang")))
 
 
 @register("e4_outlier_bounds_events", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tillpoint.operators import kpi
 from tillpoint.operators.profile import describe, numeric_profile
@@ -53,8 +54,9 @@ def h1_top_region(spark, sf_dir):
 SELECT n_name AS label, count(*) AS total FROM """ + _SW_FROM + """
 GROUP BY n_name ORDER BY total DESC NULLS LAST, label ASC NULLS LAST LIMIT 10""")
 def h1_top_nation_by_count(spark, sf_dir):
-    # H1 without an amount column: COUNT(*) per value
-    return kpi.top_dimension(sales_wide(spark, sf_dir, ["n_name"]), "n_name", None, 10)
+    # H1 without an amount column: COUNT(*) per value, counted per key before the joins
+    r = fact_rollup(spark, sf_dir, "n_name", None).select("label", F.col("n").alias("total"))
+    return r.orderBy(F.col("total").desc_nulls_last(), F.col("label").asc_nulls_last()).limit(10)
 
 
 @register("n8_top5_customers", _top_dim_sql("c_name", 5))
@@ -148,8 +150,7 @@ FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
 WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
 GROUP BY 1""")
 def h6_quarterly_recent_year(spark, sf_dir):
-    sw = sales_wide(spark, sf_dir, ["o_orderdate", "l_extendedprice"])
-    return rounded(kpi.quarterly_recent_year(sw, "o_orderdate", "l_extendedprice"))
+    return rounded(kpi.quarterly_from_rollup(order_rollup(spark, sf_dir)))
 
 
 @register("i2_yoy_growth", f"""
@@ -195,10 +196,10 @@ def g5_numeric_profile(spark, sf_dir):
     f"round(stddev_samp({c}), 2) AS std, round(CAST(min({c}) AS DOUBLE), 2) AS min, "
     f"round(quantile_cont({c}, 0.25), 2) AS p25, round(quantile_cont({c}, 0.5), 2) AS p50, "
     f"round(quantile_cont({c}, 0.75), 2) AS p75, round(CAST(max({c}) AS DOUBLE), 2) AS max FROM lineitem"
-    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 def g8_describe_lineitem(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    return rounded(describe(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return rounded(describe(li, [f.name for f in li.schema.fields if isinstance(f.dataType, NumericType)]))
 
 
 @register("g11_explorer_totals", """
@@ -208,6 +209,19 @@ def g11_explorer_totals(spark, sf_dir):
     return rounded(kpi.numeric_totals(load(spark, sf_dir, "orders"), "o_totalprice", None))
 
 
+@register("g11_explorer_totals_text", f"""
+SELECT round(sum(TRY_CAST(amt AS DOUBLE)), 2) AS total_amount, round(avg(TRY_CAST(amt AS DOUBLE)), 2) AS avg_amount,
+       round(CAST(sum(TRY_CAST(qty AS DOUBLE)) AS DOUBLE), 2) AS total_units
+FROM (SELECT CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE CAST(l_extendedprice AS VARCHAR) END AS amt,
+             CASE WHEN l_returnflag = 'R' THEN '' ELSE CAST(l_quantity AS VARCHAR) END AS qty FROM lineitem)""")
+def g11_explorer_totals_text(spark, sf_dir):
+    """Text columns with values that are no numbers: coerced, the others count nothing."""
+    li = load(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.col("l_extendedprice").cast("string")).alias("amt"),
+        F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_quantity").cast("string")).alias("qty"))
+    return rounded(kpi.numeric_totals(li, "amt", "qty"))
+
+
 @register("h7_facts_top_returnflag", """
 SELECT l_returnflag AS value, round(CAST(coalesce(sum(l_extendedprice), 0) AS DOUBLE), 2) AS sum_l_extendedprice
 FROM lineitem GROUP BY 1 ORDER BY sum_l_extendedprice DESC, value ASC NULLS LAST LIMIT 10""")
@@ -264,23 +278,21 @@ SELECT c_name, l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 WHERE c_name IN (SELECT c_name FROM top)""")
 def n7_top_customer_purchases(spark, sf_dir):
-    sw = sales_wide(spark, sf_dir, ["c_name", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
-    return rounded(qs.purchases_of_most_frequent(sw, "c_name"))
+    return rounded(qs.purchases_of_top_customer(spark, sf_dir))
 
 
 @register("n9_unique_customers", """
 SELECT count(DISTINCT c_name) AS unique_customers
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey""")
 def n9_unique_customers(spark, sf_dir):
-    return kpi.unique_count(sales_wide(spark, sf_dir, ["c_name"]), "c_name")
+    return kpi.unique_count(fact_rollup(spark, sf_dir, "c_name", None).withColumnRenamed("label", "c_name"), "c_name")
 
 
 @register("n11_avg_price_per_product", """
 SELECT p_brand AS product, round(avg(p_retailprice), 2) AS avg_price
 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def n11_avg_price_per_product(spark, sf_dir):
-    sw = sales_wide(spark, sf_dir, ["p_brand", "p_retailprice"])
-    return rounded(qs.average_by(sw, "p_brand", "p_retailprice", "product", "avg_price"))
+    return rounded(qs.average_price_per_product(spark, sf_dir))
 
 
 @register("n12_sales_by_category", """
@@ -296,8 +308,7 @@ SELECT p_type AS category, o_orderpriority AS channel, round(sum(l_extendedprice
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
 GROUP BY 1, 2""")
 def n13_category_by_channel(spark, sf_dir):
-    sw = sales_wide(spark, sf_dir, ["p_type", "o_orderpriority", "l_extendedprice"])
-    return rounded(qs.two_way_totals(sw, "p_type", "o_orderpriority", "l_extendedprice", "category", "channel"))
+    return rounded(qs.category_by_channel(spark, sf_dir))
 
 
 @register("n14_monthly_avg_order_value", """
@@ -350,5 +361,31 @@ SELECT CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS seq, question FROM q
 def n_example_questions(spark, sf_dir):
     from tillpoint.plans.explore import example_questions
     from tillpoint.plans.sales_wide import SALES_WIDE_ROLES
-    sw = sales_wide(spark, sf_dir, ["o_orderdate", "c_name", "l_extendedprice"])
-    return example_questions(sw, SALES_WIDE_ROLES, ["p_type", "o_orderpriority"])
+    years = order_rollup(spark, sf_dir).select(F.year("o_orderdate").alias("y"))
+    return example_questions(spark, SALES_WIDE_ROLES, years, fact_rollup(spark, sf_dir, "c_name", None), ["p_type", "o_orderpriority"])
+
+
+@register("n17_insight_bundle", """
+WITH o AS (SELECT * FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
+             LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+             LEFT JOIN region ON n_regionkey = r_regionkey),
+m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS k, sum(l_extendedprice) AS t FROM o WHERE o_orderdate IS NOT NULL GROUP BY 1),
+y AS (SELECT year(o_orderdate) AS k, sum(l_extendedprice) AS t FROM o WHERE o_orderdate IS NOT NULL GROUP BY 1)
+SELECT 'kpis' AS part, 'total' AS label, round(sum(l_extendedprice), 2) AS value FROM lineitem
+UNION ALL SELECT 'kpis', 'avg', round(avg(l_extendedprice), 2) FROM lineitem
+UNION ALL SELECT 'kpis', 'count', CAST(count(*) AS DOUBLE) FROM lineitem
+UNION ALL SELECT 'top_category', * FROM (SELECT p_type, round(sum(l_extendedprice), 2) AS v FROM o GROUP BY 1 ORDER BY v DESC, 1 LIMIT 10)
+UNION ALL SELECT 'top_region', * FROM (SELECT r_name, round(sum(l_extendedprice), 2) AS v FROM o GROUP BY 1 ORDER BY v DESC, 1 LIMIT 10)
+UNION ALL SELECT 'monthly_deltas', CAST(k AS VARCHAR), round(t, 2) FROM m
+UNION ALL SELECT 'yoy', CAST(k AS VARCHAR), round(t, 2) FROM y""")
+def n17_insight_bundle(spark, sf_dir):
+    """The bundle's parts as one long table."""
+    b = qs.insight_bundle(spark, sf_dir)
+    part = lambda name, df, label, value: df.select(
+        F.lit(name).alias("part"), F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+    kpis = b["kpis"].select(F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value"))
+                                                for c in ("total", "avg", "count")))).alias("s")).select("s.*")
+    out = part("kpis", kpis, "label", "value")
+    for name, label in (("top_category", "label"), ("top_region", "label"), ("monthly_deltas", "month"), ("yoy", "year")):
+        out = out.union(part(name, b[name], label, "total"))
+    return rounded(out)

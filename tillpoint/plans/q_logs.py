@@ -108,8 +108,9 @@ def i4_carry_forward(spark, sf_dir):
 
 @register("i5_qa_pairs", """
 SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer
-FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
-WHERE q.role = 'user' AND a.role = 'assistant'""")
+FROM (SELECT *, lead(turn) OVER w AS nt, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)) q
+JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.nt AND a.role = q.nr
+WHERE q.role = 'user' AND q.nr = 'assistant'""")
 def i5_qa_pairs(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     return L.qa_pairs(c, "conv_id", "turn", "role", "text")
@@ -136,9 +137,16 @@ q AS (SELECT event_id, v,
   coalesce(trim(json_extract_string(v, '$.sql')), '') AS sql,
   CASE json_type(v, '$.queries') WHEN 'ARRAY' THEN json_extract_string(v, '$.queries[*]')
        WHEN 'VARCHAR' THEN [json_extract_string(v, '$.queries')] ELSE [] END AS qs,
+  CASE json_type(v, '$.assumptions') WHEN 'ARRAY' THEN json_extract_string(v, '$.assumptions[*]')
+       WHEN 'VARCHAR' THEN [json_extract_string(v, '$.assumptions')] ELSE [] END AS asm,
+  CASE json_type(v, '$.needed_tables') WHEN 'ARRAY' THEN json_extract_string(v, '$.needed_tables[*]')
+       WHEN 'VARCHAR' THEN [json_extract_string(v, '$.needed_tables')] ELSE [] END AS tabs,
   json_extract_string(v, '$.reason_tags[*]') AS tags FROM p)
 SELECT event_id, sql,
-  CAST(len(list_filter(list_transform(qs, lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n_queries,
+  to_json(list_filter(list_transform(qs, lambda x: trim(x)), lambda x: x <> ''))::VARCHAR AS queries,
+  to_json(list_filter(list_transform(asm, lambda x: trim(x)), lambda x: x <> ''))::VARCHAR AS assumptions,
+  to_json(list_filter(list_transform(tabs, lambda x: trim(x)), lambda x: x <> ''))::VARCHAR AS needed_tables,
+  substr(coalesce(trim(json_extract_string(v, '$.rationale_summary')), ''), 1, 280) AS rationale_summary,
   CASE WHEN json_type(v, '$.filters') = 'OBJECT' THEN CAST(json_extract(v, '$.filters') AS VARCHAR) ELSE '{{}}' END AS filters,
   least(greatest(TRY_CAST(json_extract_string(v, '$.confidence') AS DOUBLE), 0.0), 1.0) AS confidence,
   array_to_string(list_distinct_ordered, ',') AS reason_tags,
@@ -149,7 +157,8 @@ FROM (SELECT *, (SELECT list(t ORDER BY i) FROM (
         WHERE t <> '' GROUP BY t ORDER BY i LIMIT 6)) AS list_distinct_ordered FROM q)""")
 def l2_normalize_plans(spark, sf_dir):
     p = L.normalize_plans(_plan_log(spark, sf_dir), "reply", "p").select("event_id", "p")
-    return rounded(p.select("event_id", "p.sql", F.size("p.queries").alias("n_queries"), "p.filters", "p.confidence",
+    lists = [F.to_json(f"p.{c}").alias(c) for c in ("queries", "assumptions", "needed_tables")]
+    return rounded(p.select("event_id", "p.sql", *lists, "p.filters", "p.rationale_summary", "p.confidence",
                             F.array_join("p.reason_tags", ",").alias("reason_tags"), "p.valid"))
 
 
@@ -186,12 +195,16 @@ def l4_augment_errors(spark, sf_dir):
 
 @register("g14_run_rollup_events", f"""
 SELECT run_id, count(*) AS queries_total, CAST(count_if(status = 'ok') AS BIGINT) AS queries_ok,
-  CAST(count_if(status <> 'ok') AS BIGINT) AS queries_failed, CAST(sum(greatest(duration_ms, 0)) AS BIGINT) AS total_duration_ms,
-  CAST(min(CASE WHEN status <> 'ok' THEN "index" + 1 END) AS BIGINT) AS first_failed_index,
-  CAST(max(CASE WHEN status <> 'ok' THEN "index" + 1 END) AS BIGINT) AS last_failed_index
+  CAST(count_if(status <> 'ok') AS BIGINT) AS queries_failed, CAST(sum(greatest(duration_ms, 0)) AS BIGINT) AS total_duration_ms
 FROM {_RUN_LOG_SQL} WHERE status IN ('ok', 'error', 'timeout') GROUP BY run_id""")
 def g14_run_rollup_events(spark, sf_dir):
-    return Q.run_rollup(_run_log(spark, sf_dir), "run_id", with_indexes=False)
+    return Q.run_rollup(_run_log(spark, sf_dir), "run_id")
+
+
+@register("g14_failed_indexes_events", f"""
+SELECT run_id, "index" + 1 AS failed_index FROM {_RUN_LOG_SQL} WHERE status IN ('error', 'timeout')""")
+def g14_failed_indexes_events(spark, sf_dir):
+    return Q.failed_indexes(_run_log(spark, sf_dir), "run_id")
 
 
 @register("c10_guarded_query_lineitem", """
@@ -206,14 +219,20 @@ def c10_guarded_query_lineitem(spark, sf_dir):
 
 
 @register("n18_query_batch_lineitem", """
-SELECT * FROM (VALUES (0, 'ok', 3::BIGINT), (1, 'error', 0::BIGINT), (2, 'error', 0::BIGINT), (3, 'ok', 1::BIGINT))
-  AS t("index", status, row_count)""")
+SELECT 0 AS "index", 'ok' AS status, least(count(DISTINCT l_returnflag), 200) AS row_count FROM lineitem
+UNION ALL SELECT 1, 'error', 0 UNION ALL SELECT 2, 'error', 0
+UNION ALL SELECT 3, 'ok', 1
+UNION ALL SELECT 4, CASE WHEN count(*) > count(TRY_CAST(l_returnflag AS BIGINT)) THEN 'error' ELSE 'ok' END,
+  CASE WHEN count(*) > count(TRY_CAST(l_returnflag AS BIGINT)) THEN 0 ELSE least(count(*), 200) END FROM lineitem
+UNION ALL SELECT 5, 'ok', least(count(*), 200) FROM lineitem WHERE l_quantity > 30""")
 def n18_query_batch_lineitem(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
     _, log = Q.run_batch(spark, ["SELECT l_returnflag, count(*) AS n FROM {lineitem} GROUP BY 1",
                                  "SELECT no_such_column FROM {lineitem}",
                                  "UPDATE lineitem SET l_tax = 0",
-                                 "SELECT sum(l_extendedprice) FROM {lineitem};"], lineitem=li)
+                                 "SELECT sum(l_extendedprice) FROM {lineitem};",
+                                 "SELECT CAST(l_returnflag AS BIGINT) AS x FROM {lineitem}",
+                                 "SELECT * FROM {lineitem} WHERE l_quantity > 30"], lineitem=li)
     return log.select("index", "status", "row_count")
 
 

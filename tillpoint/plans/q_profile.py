@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillpoint.functions.text import clean_header_expr, explorer_header_expr, identifier_expr
 from tillpoint.operators import compare as J
 from tillpoint.operators.profile import column_profile, sample_values
-from tillpoint.operators.roles import detect_roles_clean, detect_roles_explore
+from tillpoint.operators.roles import CLEAN_RULES, EXPLORE_RULES, detect_roles, names_table
 from tillpoint.plans.registry import register, rounded
 from tillpoint.plans.sqltext import lit
+from tillpoint.session import materialize
 from tillpoint.sources.tables import TABLES, load
 
 # The schemas of the given tables as Spark reads them (see
@@ -39,7 +41,6 @@ SCHEMAS = {
     "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
 _NUMERIC = {"int", "bigint", "double", "float"}
-_CACHE: dict = {}
 
 
 def _kind(t: str) -> str:
@@ -47,31 +48,40 @@ def _kind(t: str) -> str:
 
 
 def catalog(spark, sf_dir):
-    """Profile of every given table, unioned into one catalog DataFrame."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        out = None
-        for t in TABLES:
-            p = column_profile(load(spark, sf_dir, t), t)
-            out = p if out is None else out.unionByName(p)
-        _CACHE[key] = out.persist()
-    return _CACHE[key]
+    """Profile of every given table, unioned into one catalog DataFrame.
+
+    The rows (one per column) are written to the checkpoint folder, so a query that uses
+    the catalog twice does not profile twice; nothing is kept between queries."""
+    out = None
+    for t in TABLES:
+        p = column_profile(load(spark, sf_dir, t), t)
+        out = p if out is None else out.unionByName(p)
+    return materialize(out, "catalog")
+
+
+def _names(spark, sf_dir):
+    """Column names of the given tables, from their schemas."""
+    return names_table(spark, {t: load(spark, sf_dir, t).columns for t in TABLES})
 
 
 def _profile_sql() -> str:
+    """Profile of every column; each table is scanned once."""
     parts = []
     for t, cols in SCHEMAS.items():
+        one, out = ["count(*) AS n"], []
         for i, (c, ty) in enumerate(cols):
-            mn = f"CAST(min({c}) AS DOUBLE)" if ty in _NUMERIC else "CAST(NULL AS DOUBLE)"
-            mx = f"CAST(max({c}) AS DOUBLE)" if ty in _NUMERIC else "CAST(NULL AS DOUBLE)"
-            parts.append(
-                f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name, {i + 1} AS ordinal, {lit(ty)} AS dtype, "
-                f"{lit(_kind(ty))} AS kind, count(*) AS n, count(*) - count({c}) AS null_count, "
-                f"count(DISTINCT {c}) AS unique_count, {mn} AS min_num, {mx} AS max_num FROM {t}")
+            number = ty in _NUMERIC
+            one += [f"count({c}) AS c{i}", f"count(DISTINCT {c}) AS u{i}",
+                    f"CAST({f'min({c})' if number else 'NULL'} AS DOUBLE) AS a{i}",
+                    f"CAST({f'max({c})' if number else 'NULL'} AS DOUBLE) AS z{i}"]
+            out.append(f"{{'column_name': {lit(c)}, 'ordinal': {i + 1}, 'dtype': {lit(ty)}, 'kind': {lit(_kind(ty))}, "
+                       f"'null_count': n - c{i}, 'unique_count': u{i}, 'min_num': a{i}, 'max_num': z{i}}}")
+        parts.append(f"SELECT {lit(t)} AS table_name, p.column_name, p.ordinal, p.dtype, p.kind, n, p.null_count, p.unique_count, "
+                     f"p.min_num, p.max_num FROM (SELECT n, unnest([{', '.join(out)}]) AS p FROM (SELECT {', '.join(one)} FROM {t}))")
     return "\nUNION ALL ".join(parts)
 
 
-_PROF = f"prof AS ({_profile_sql()})"
+_PROF = f"prof AS MATERIALIZED ({_profile_sql()})"
 
 
 def _has(*words) -> str:
@@ -141,7 +151,7 @@ def j3_semantic_types(spark, sf_dir):
 @register("j4_business_meaning",
           f"WITH {_PROF}\nSELECT table_name, column_name, {_MEANING} AS business_meaning FROM prof")
 def j4_business_meaning(spark, sf_dir):
-    return catalog(spark, sf_dir).select("table_name", "column_name", J.business_meaning().alias("business_meaning"))
+    return _names(spark, sf_dir).select("table_name", "column_name", J.business_meaning().alias("business_meaning"))
 
 
 @register("j9_sql_types", f"""WITH {_PROF}, s AS (SELECT *, {_SEMANTIC} AS inferred_type FROM prof)
@@ -158,7 +168,7 @@ def j9_sql_types(spark, sf_dir):
 SELECT table_name, file_type, CASE file_type WHEN 'TRANSACTIONAL' THEN 'Sales Transactions'
   WHEN 'PRODUCT_CATALOG' THEN 'Product Master Data' ELSE 'Unknown' END AS business_domain FROM ft""")
 def j5_file_types(spark, sf_dir):
-    return J.file_types(catalog(spark, sf_dir))
+    return J.file_types(_names(spark, sf_dir))
 
 
 @register("j6_key_entities", f"""WITH {_PROF}
@@ -169,14 +179,14 @@ SELECT DISTINCT table_name, entity FROM (
   UNION ALL SELECT table_name, 'Transaction' FROM prof WHERE {_has('amount', 'total', 'gross')}
   UNION ALL SELECT table_name, 'Sales_Channel' FROM prof WHERE {_has('amazon', 'flipkart', 'myntra')})""")
 def j6_key_entities(spark, sf_dir):
-    return J.key_entities(catalog(spark, sf_dir))
+    return J.key_entities(_names(spark, sf_dir))
 
 
 @register("j1_common_columns_documents_labels", f"""WITH {_PROF}
 SELECT column_name FROM prof WHERE table_name IN ('documents', 'labels')
 GROUP BY column_name HAVING count(DISTINCT table_name) = 2""")
 def j1_common_columns_documents_labels(spark, sf_dir):
-    cat = catalog(spark, sf_dir).where(F.col("table_name").isin("documents", "labels"))
+    cat = _names(spark, sf_dir).where(F.col("table_name").isin("documents", "labels"))
     return J.common_columns(cat)
 
 
@@ -184,7 +194,7 @@ def j1_common_columns_documents_labels(spark, sf_dir):
 SELECT table_name, column_name FROM prof WHERE column_name IN (
   SELECT column_name FROM prof GROUP BY column_name HAVING count(DISTINCT table_name) = 1)""")
 def j2_unique_columns(spark, sf_dir):
-    return J.unique_columns(catalog(spark, sf_dir))
+    return J.unique_columns(_names(spark, sf_dir))
 
 
 @register("j7_compatibility", f"""WITH {_PROF}, {_FILETYPE}, g AS (
@@ -196,7 +206,7 @@ SELECT CASE WHEN kinds = 1 THEN 'COMPATIBLE - Same file type'
   ELSE 'SEPARATE_TABLES - Create different tables for different file types, link via foreign keys' END
   AS unification_strategy FROM g WHERE files >= 2""")
 def j7_compatibility(spark, sf_dir):
-    return J.compatibility(J.file_types(catalog(spark, sf_dir)))
+    return J.compatibility(J.file_types(_names(spark, sf_dir)))
 
 
 @register("j7_recommendations", f"""WITH {_PROF}, {_FILETYPE}
@@ -210,37 +220,60 @@ UNION ALL SELECT 101, '⚠️  ' || t.table_name || ': Missing customer identifi
   FROM ft t JOIN prof p ON p.table_name = t.table_name WHERE t.file_type = 'TRANSACTIONAL'
   GROUP BY t.table_name HAVING max({_has('customer')}::INT) = 0""")
 def j7_recommendations(spark, sf_dir):
-    cat = catalog(spark, sf_dir)
+    cat = _names(spark, sf_dir)
     return J.recommendations(cat, J.file_types(cat))
 
 
 @register("j8_union_documents_benchmark", """
-SELECT source_file, count(*) AS rows, count(doc_id) AS doc_ids, count(item_id) AS item_ids, count(text) AS texts
-FROM (SELECT doc_id, NULL::BIGINT AS item_id, text, 'documents' AS source_file FROM documents
-      UNION ALL SELECT NULL, item_id, text, 'benchmark' FROM benchmark) GROUP BY source_file""")
+SELECT source_file, count(*) AS rows, count(doc_id) AS doc_ids, count(item_id) AS item_ids, count(text) AS texts,
+  count(lang) AS langs, count(source) AS sources, count(n_chars) AS sizes, count(loaded_at) AS loaded
+FROM (SELECT doc_id, NULL::BIGINT AS item_id, text, lang, source, n_chars, 'documents' AS source_file,
+             TIMESTAMP '2026-01-01' AS loaded_at FROM documents
+      UNION ALL SELECT NULL, item_id, text, NULL, NULL, NULL, 'benchmark', TIMESTAMP '2026-01-01' FROM benchmark)
+GROUP BY source_file""")
 def j8_union_documents_benchmark(spark, sf_dir):
-    u = J.union_by_type({"documents": load(spark, sf_dir, "documents").select("doc_id", "text"),
-                         "benchmark": load(spark, sf_dir, "benchmark")}, loaded_at="2026-01-01")
-    return u.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("doc_ids"),
-                                        F.count("item_id").alias("item_ids"), F.count("text").alias("texts"))
-
-
-def _role_rows(detect):
-    rows = []
-    for t, cols in SCHEMAS.items():
-        r = detect([c for c, _ in cols])
-        for role, col in vars(r).items():
-            if col:
-                rows.append((t, role, col))
-    return rows
-
-
-@register("j10_column_kinds", f"""WITH {_PROF}
+    u = J.union_by_type({t: load(spark, sf_dir, t) for t in ("documents", "benchmark")}, loaded_at="2026-01-01")
+    return u.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("doc_ids"), F.count("item_id").alias("item_ids"),
+        F.count("text").alias("texts"), F.count("lang").alias("langs"), F.count("source").alias("sources"),
+        F.count("n_chars").alias("sizes"), F.count("loaded_at").alias("loaded"))
+
+
+_NAMES_SQL = f"""names AS (SELECT table_name, CAST(ordinal_position AS INTEGER) AS o, column_name AS c, lower(column_name) AS l
+  FROM information_schema.columns WHERE table_name IN ({', '.join(lit(t) for t in TABLES)}))"""
+# the role rules once more, in SQL: firsts in order, each without the columns already taken, then lasts
+_FIRST_SQL = """
+d AS (SELECT table_name, min(o) AS o FROM names WHERE l LIKE '%date%' GROUP BY 1),
+m AS (SELECT table_name, min(o) AS o FROM (SELECT table_name, o FROM names WHERE l LIKE '%month%' EXCEPT SELECT * FROM d) GROUP BY 1),
+cu AS (SELECT table_name, min(o) AS o FROM (SELECT table_name, o FROM names WHERE l LIKE '%customer%'
+       EXCEPT (SELECT * FROM d UNION SELECT * FROM m)) GROUP BY 1),
+st AS (SELECT table_name, min(o) AS o FROM (SELECT table_name, o FROM names WHERE l LIKE '%style%'
+       EXCEPT (SELECT * FROM d UNION SELECT * FROM m UNION SELECT * FROM cu)) GROUP BY 1),
+sk AS (SELECT table_name, min(o) AS o FROM (SELECT table_name, o FROM names WHERE l LIKE '%sku%'
+       EXCEPT (SELECT * FROM d UNION SELECT * FROM m UNION SELECT * FROM cu UNION SELECT * FROM st)) GROUP BY 1),
+firsts AS (SELECT *, 'date' AS role FROM d UNION ALL SELECT *, 'month' FROM m UNION ALL SELECT *, 'customer' FROM cu
+  UNION ALL SELECT *, 'product' FROM st UNION ALL SELECT *, 'sku' FROM sk)"""
+
+
+def _roles_sql(last: str) -> str:
+    return f"""{_NAMES_SQL}, {_FIRST_SQL},
+lasts AS (SELECT table_name, max(o) AS o, role FROM (SELECT table_name, o,
+    CASE WHEN regexp_matches(l, 'pcs|qty|quantity') THEN 'quantity' WHEN regexp_matches(l, 'rate|price') THEN 'rate'
+         WHEN regexp_matches(l, 'amt|amount|total|gross') THEN 'amount' {last} END AS role
+    FROM names ANTI JOIN firsts USING (table_name, o)) WHERE role IS NOT NULL GROUP BY table_name, role),
+roles AS (SELECT table_name, role, c AS column_name FROM (SELECT * FROM firsts UNION ALL SELECT table_name, o, role FROM lasts)
+          JOIN names USING (table_name, o))"""
+
+
+_EXPLORE_SQL = _roles_sql("WHEN l LIKE '%region%' THEN 'region' WHEN regexp_matches(l, 'category|type') THEN 'category'")
+_CLEAN_SQL = _roles_sql("WHEN l LIKE '%size%' THEN 'size'")
+
+
+@register("j10_column_kinds", f"""WITH {_PROF}, {_EXPLORE_SQL}
 SELECT table_name, column_name, CASE WHEN n - null_count < n * 0.1 THEN 'MOSTLY_NULL'
   WHEN {_has('date')} THEN 'DATE'
-  WHEN kind = 'numeric' THEN CASE WHEN (table_name, column_name) IN ({', '.join(
-      f"({lit(t)}, {lit(c)})" for t, role, c in _role_rows(detect_roles_explore)
-      if role in ('quantity', 'rate', 'amount')) or "(NULL, NULL)"}) THEN 'METRIC' ELSE 'NUMERIC' END
+  WHEN kind = 'numeric' THEN CASE WHEN (table_name, column_name) IN (SELECT (table_name, column_name) FROM roles
+       WHERE role IN ('quantity', 'rate', 'amount')) THEN 'METRIC' ELSE 'NUMERIC' END
   WHEN kind = 'string' THEN CASE WHEN unique_count / n < 0.05 THEN 'CATEGORY'
        WHEN unique_count / n > 0.95 THEN 'ID/TEXT' ELSE 'CATEGORY' END
   ELSE 'OTHER' END AS kind FROM prof""")
@@ -253,24 +286,27 @@ def j10_column_kinds(spark, sf_dir):
                          J.column_kind(F.coalesce(F.col("is_metric"), F.lit(False))).alias("kind"))
 
 
-def _roles_frame(spark, sf_dir, detect):
-    cat = catalog(spark, sf_dir).select("table_name", "column_name", "ordinal")
-    # role detection reads names only; the names come from the tables' own schemas
-    per_table = {}
-    for r in cat.orderBy("table_name", "ordinal").collect():
-        per_table.setdefault(r.table_name, []).append(r.column_name)
-    rows = [(t, role, col) for t, cols in per_table.items() for role, col in vars(detect(cols)).items() if col]
-    return spark.createDataFrame(rows, "table_name string, role string, column_name string")
-
-
-@register("j11_clean_roles")
+@register("j11_clean_roles", f"WITH {_CLEAN_SQL} SELECT * FROM roles")
 def j11_clean_roles(spark, sf_dir):
-    return _roles_frame(spark, sf_dir, detect_roles_clean)
+    return detect_roles(_names(spark, sf_dir), CLEAN_RULES)
 
 
-@register("j11_explore_roles")
+@register("j11_explore_roles", f"WITH {_EXPLORE_SQL} SELECT * FROM roles")
 def j11_explore_roles(spark, sf_dir):
-    return _roles_frame(spark, sf_dir, detect_roles_explore)
+    return detect_roles(_names(spark, sf_dir), EXPLORE_RULES)
+
+
+@register("a10_ddl_all_tables", f"""WITH {_PROF}, s AS (SELECT *, {_SEMANTIC} AS sem, unique_count / n * 100 AS up FROM prof)
+SELECT table_name, 'CREATE TABLE ' || table_name || ' (' || chr(10) || string_agg('  ' || column_name || ' ' ||
+  CASE WHEN dtype IN ('int', 'bigint') THEN 'INTEGER'
+       WHEN dtype IN ('double', 'float') THEN CASE WHEN sem = 'monetary' THEN 'DECIMAL(15,2)' ELSE 'DOUBLE' END
+       WHEN dtype = 'string' THEN CASE WHEN sem = 'temporal' THEN 'DATE' WHEN up > 90 THEN 'TEXT' ELSE 'VARCHAR(255)' END
+       ELSE 'VARCHAR(255)' END, ',' || chr(10) ORDER BY ordinal) || chr(10) || ');' AS ddl FROM s GROUP BY table_name""")
+def a10_ddl_all_tables(spark, sf_dir):
+    from tillpoint.sources.sinks import ddl
+
+    cat = J.annotate(catalog(spark, sf_dir))
+    return ddl(cat if "sql_type" in cat.columns else cat.withColumn("sql_type", J.sql_type()))
 
 
 @register("j12_fact_columns", f"""WITH {_PROF}, w AS (
@@ -288,12 +324,6 @@ def j12_fact_columns(spark, sf_dir):
     return J.fact_columns(catalog(spark, sf_dir))
 
 
-def _schema_rows(spark, sf_dir):
-    """(table_name, ordinal, column_name) of the given tables, from their parquet schemas."""
-    rows = [(t, i + 1, f.name) for t in TABLES for i, f in enumerate(load(spark, sf_dir, t).schema.fields)]
-    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string")
-
-
 @register("b1_a6_column_name_rules", """
 SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name,
   regexp_replace(regexp_replace(upper(trim(column_name)), '\\s+', '_', 'g'), '[^A-Za-z0-9_\\s]', '', 'g') AS clean_header,
@@ -305,10 +335,7 @@ FROM (SELECT *, coalesce(nullif(lower(regexp_replace(trim(regexp_replace(column_
       WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
                            'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'))""")
 def b1_a6_column_name_rules(spark, sf_dir):
-    """Rules 1-3 applied to every column name of the given tables (names are
-    distinct within a table here, so rule 2 adds no suffix)."""
-    from tillpoint.functions.text import clean_header, explorer_header, sanitize_identifier
-    rows = [(t, o, c, clean_header(c), sanitize_identifier(c), explorer_header(c))
-            for t, o, c in _schema_rows(spark, sf_dir).collect()]
-    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, clean_header string, "
-                                       "sanitized string, explorer_header string")
+    """Rules 1-3 applied to every column name of the given tables."""
+    n = _names(spark, sf_dir)
+    return n.select("*", clean_header_expr("column_name").alias("clean_header"),
+                    identifier_expr("column_name").alias("sanitized"), explorer_header_expr("column_name").alias("explorer_header"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillpoint.operators.compare import compare_prices
@@ -55,3 +57,34 @@ SELECT count(*) AS row_count, round(avg(a), 2) AS avg_a, round(min(a), 2) AS min
   round(avg(b - a), 2) AS avg_diff_b_minus_a FROM d""")
 def g13_price_comparison_parts(spark, sf_dir):
     return rounded(compare_prices(_prices(spark, sf_dir), "item", "vendor_a", "vendor_b"))
+
+
+@register("a1_csv_roundtrip_customer", "SELECT * FROM customer")
+def a1_csv_roundtrip_customer(spark, sf_dir):
+    """The table written as CSV to the shared folder, listed, checked for its
+    encoding and read back with the known schema."""
+    from functools import reduce
+
+    from tillpoint.session import checkpoint_dir
+    from tillpoint.sources.csv import CSV_OPTIONS, discover, read_csv_files
+
+    df = load(spark, sf_dir, "customer")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    df.write.options(**CSV_OPTIONS).csv(path)
+    files = discover(spark, path)
+    frames = read_csv_files(spark, files, schemas=dict.fromkeys(files, df.schema))
+    failed = [e for e in frames.values() if isinstance(e, Exception)]
+    if failed:
+        raise failed[0]
+    return reduce(lambda a, b: a.union(b), frames.values())
+
+
+@register("b15_provenance_all_rows", """
+SELECT 'orders.parquet' AS source_file, TIMESTAMP '2026-01-01' AS loaded_at, count(*) AS n FROM orders""")
+def b15_provenance_all_rows(spark, sf_dir):
+    from tillpoint.sources.csv import with_provenance
+
+    df = with_provenance(load(spark, sf_dir, "orders").select("o_orderkey", "_metadata"), "2026-01-01")
+    # a table may be a folder of part files: its name is what they share
+    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+[.]parquet)(/[^/]*)?$", 1)
+    return df.groupBy(name.alias("source_file"), F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions.dates import safe_date
 from tillpoint.operators import kpi
+from tillpoint.plans.sales_wide import fact_rollup, order_rollup
+from tillpoint.sources.tables import load
 
 
 def total_sales(df: DataFrame, amount: str) -> DataFrame:
@@ -33,24 +35,42 @@ def quarter_compare(df: DataFrame, date: str, amount: str, qa: int = 1, qb: int
                    F.coalesce(F.sum(F.when(q == qb, F.col(amount))), F.lit(0.0)).alias(f"q{qb}_sales")))
 
 
-def purchases_of_most_frequent(df: DataFrame, customer: str) -> DataFrame:
+def purchases_of_top_customer(spark, sf_dir: str) -> DataFrame:
     """Every row of the customer with the most rows (ties -> smallest name).
 
-    The top-1 is a TakeOrderedAndProject over the per-customer counts; the rows
-    are then picked with a left-semi join against that one-row frame."""
-    top = (df.where(F.col(customer).isNotNull()).groupBy(customer).agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.col("n").desc(), F.col(customer)).limit(1).select(customer))
-    return df.join(F.broadcast(top), customer, "left_semi")
-
-
-def average_by(df: DataFrame, key: str, value: str, key_alias: str, value_alias: str) -> DataFrame:
-    """N11."""
-    return df.groupBy(F.col(key).alias(key_alias)).agg(F.avg(value).alias(value_alias))
-
-
-def two_way_totals(df: DataFrame, a: str, b: str, amount: str, a_alias: str, b_alias: str) -> DataFrame:
-    """Totals per pair of dimension values."""
-    return df.groupBy(F.col(a).alias(a_alias), F.col(b).alias(b_alias)).agg(F.sum(amount).alias("total_sales"))
+    Rows are counted per order and customer key before any join (``fact_rollup``); the
+    one name then picks its customer keys, those their orders, and those the line rows,
+    so each table is read with a small key set on the other side."""
+    top = (fact_rollup(spark, sf_dir, "c_name", None).where(F.col("label").isNotNull())
+           .orderBy(F.col("n").desc(), F.col("label")).limit(1).select(F.col("label").alias("c_name")))
+    keys = load(spark, sf_dir, "customer").select("c_custkey", "c_name").join(top, "c_name")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(keys, F.col("o_custkey") == F.col("c_custkey"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select("c_name", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+
+
+def average_price_per_product(spark, sf_dir: str) -> DataFrame:
+    """Mean retail price over the rows of each brand; rows are counted per part first."""
+    by_part = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    priced = by_part.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    known = F.when(F.col("p_retailprice").isNotNull(), F.col("n"))
+    return priced.groupBy(F.col("p_brand").alias("product")).agg(
+        F.try_divide(F.sum(F.col("p_retailprice") * F.col("n")), F.sum(known)).alias("avg_price"))
+
+
+def category_by_channel(spark, sf_dir: str) -> DataFrame:
+    """Totals per category and channel; amounts are summed per part and channel
+    before the part join, so a part with a third of the rows is a few rows there."""
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_extendedprice").alias("t"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    by = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+          .groupBy("l_partkey", "o_orderpriority").agg(F.sum("t").alias("t")))
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return (by.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+            .groupBy(F.col("p_type").alias("category"), F.col("o_orderpriority").alias("channel"))
+            .agg(F.sum("t").alias("total_sales")))
 
 
 def yearly_from_rollup(orl: DataFrame, date: str = "o_orderdate") -> DataFrame:
@@ -69,33 +89,22 @@ def monthly_average_from_rollup(orl: DataFrame, date: str = "o_orderdate") -> Da
                .agg(F.try_divide(F.sum("line_total"), F.sum("line_amounts")).alias("avg_order_value")))
 
 
-def monthly_average(df: DataFrame, date: str, amount: str) -> DataFrame:
-    """N14 on a flat sales table."""
-    d = safe_date(date)
-    return df.where(d.isNotNull()).groupBy(F.trunc(d, "MM").alias("month")).agg(
-        F.avg(amount).alias("avg_order_value"))
-
-
 def best_period(periodic: DataFrame, period: str = "month", total: str = "total") -> DataFrame:
     """The period with the highest total (ties -> earliest)."""
     return periodic.orderBy(F.col(total).desc_nulls_last(), F.col(period)).limit(1)
 
 
-def insight_bundle(sales: DataFrame, amount: str, date: str, category: str | None = None,
-                   region: str | None = None) -> dict[str, DataFrame]:
-    """KPIs, top category / region, monthly trend deltas and YoY together.
-
-    ``sales`` is persisted once so the bundle's jobs share one scan; the caller
-    unpersists it when done."""
-    sales = sales.persist()
-    out = {"kpis": sales.agg(F.sum(amount).alias("total"), F.avg(amount).alias("avg"),
-                             F.count(F.lit(1)).alias("count"))}
-    if category:
-        out["top_category"] = kpi.top_dimension(sales, category, amount, 10)
-    if region:
-        out["top_region"] = kpi.top_dimension(sales, region, amount, 10)
-    monthly = kpi.monthly_totals(sales, date, amount)
-    out["monthly_deltas"] = kpi.period_deltas(monthly)
-    yearly = kpi.yearly_summary(sales, date, amount).select("year", F.col("total_amount").alias("total"))
-    out["yoy"] = kpi.period_deltas(yearly, "year")
-    return out
+def insight_bundle(spark, sf_dir: str, category: str = "p_type", region: str = "r_name") -> dict[str, DataFrame]:
+    """KPIs, top category / region, monthly trend deltas and YoY together, each on
+    the rollups of the star view: no view is built or persisted."""
+    orl = order_rollup(spark, sf_dir)
+    lines = load(spark, sf_dir, "lineitem")
+    top = lambda dim: (fact_rollup(spark, sf_dir, dim).select("label", "total")
+                       .orderBy(F.col("total").desc_nulls_last(), F.col("label").asc_nulls_last()).limit(10))
+    d = safe_date("o_orderdate")
+    monthly = (orl.where(d.isNotNull()).groupBy(F.trunc(d, "MM").alias("month")).agg(F.sum("line_total").alias("total")))
+    yearly = yearly_from_rollup(orl).select("year", F.col("total_amount").alias("total"))
+    return {"kpis": lines.agg(F.sum("l_extendedprice").alias("total"), F.avg("l_extendedprice").alias("avg"),
+                              F.count(F.lit(1)).alias("count")),
+            "top_category": top(category), "top_region": top(region),
+            "monthly_deltas": kpi.period_deltas(monthly), "yoy": kpi.period_deltas(yearly, "year")}

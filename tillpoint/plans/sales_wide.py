@@ -92,10 +92,10 @@ def sales_wide(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
     if "part" in need:
         df = df.join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     if "nation" in need:
-        df = df.join(F.broadcast(load(spark, sf_dir, "nation")),
+        df = df.join(load(spark, sf_dir, "nation"),
                      F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if "region" in need:
-        df = df.join(F.broadcast(load(spark, sf_dir, "region")),
+        df = df.join(load(spark, sf_dir, "region"),
                      F.col("n_regionkey") == F.col("r_regionkey"), "left")
     if columns is not None:
         df = df.select(*columns)
@@ -133,10 +133,10 @@ def fact_rollup(spark: SparkSession, sf_dir: str, dim: str, amount: str | None =
     if dim.startswith("c_"):
         return j.groupBy(F.col(dim).alias("label")).agg(F.sum("t").alias("total"), F.sum("c").alias("n"))
     by_nation = j.groupBy("c_nationkey").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    j = by_nation.join(F.broadcast(load(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    j = by_nation.join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if dim.startswith("n_"):
         return j.groupBy(F.col(dim).alias("label")).agg(F.sum("t").alias("total"), F.sum("c").alias("n"))
-    j = j.join(F.broadcast(load(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    j = j.join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return j.groupBy(F.col(dim).alias("label")).agg(F.sum("t").alias("total"), F.sum("c").alias("n"))
 
 

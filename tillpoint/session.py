@@ -7,6 +7,7 @@ exists for tests, the bench and examples only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,19 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if sc.master.startswith("local"):
+    if re.match(r"local(\[|$)", sc.master):     # one process; not local-cluster
         path = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
         sc.setCheckpointDir(path)
         return path
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
-def reliable_checkpoint(df):
-    """Cut lineage with a reliable (shared-folder) checkpoint; never localCheckpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df, busy_fraction: float = 0.25):
     """Give CPU-heavy row-local work ``defaultParallelism`` partitions when the
     input is a handful of files.
@@ -104,3 +99,13 @@ def materialize(df, name: str = "stage"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tillpoint-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(*frames) -> None:
+    """Delete the folders of materialized frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tillpoint-" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

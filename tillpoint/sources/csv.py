@@ -6,9 +6,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.functions.text import sanitize_identifier, unique_names
+from tillpoint.functions.text import renamed
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "inferSchema": "true"}
+CSV_OPTIONS = {"header": "true", "escape": '"'}
+
+
+def plain_path(c):
+    """A path column without URL encoding and without ``file:``, so that the metadata's
+    paths, listed paths and given paths compare as equal."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
+def _plain(path: str) -> str:
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def _decodes(encoding: str):
+    """Whether a line's bytes are text of this encoding; null when it is not known."""
+    name = encoding.lower().replace("_", "-")
+    if name in ("utf-8", "utf8"):
+        return F.is_valid_utf8("value")
+    if name in ("latin-1", "latin1", "iso-8859-1", "iso8859-1"):
+        return F.lit(True)
+    pairs = F.hex(F.col("value").cast("binary"))
+    if name in ("ascii", "us-ascii"):
+        return ~pairs.rlike("^(..)*[89A-F]")
+    if name in ("cp1252", "windows-1252"):       # five bytes stand for nothing
+        return ~pairs.rlike("^(..)*(81|8D|8F|90|9D)")
+    return F.lit(None).cast("boolean")
 
 
 def discover(spark: SparkSession, directory: str, pattern: str = "*.csv", recursive: bool = False) -> list[str]:
@@ -21,43 +46,40 @@ def discover(spark: SparkSession, directory: str, pattern: str = "*.csv", recurs
 
 
 def file_encodings(spark: SparkSession, paths, encoding: str = "utf-8") -> dict:
-    """A1: the encoding per file.  The requested encoding, then utf-8, then
-    latin-1, i.e. ISO-8859-1 (which decodes any byte string, so iso-8859-1 and cp1252 are never
-    reached).  UTF-8 validity is checked line by line with ``is_valid_utf8``
-    over the text source, so large files are read in parallel splits."""
-    enc = encoding.lower().replace("_", "-")
-    if enc not in ("utf-8", "utf8"):
-        return {p: encoding for p in paths}
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"),
-                                                F.is_valid_utf8("value").alias("ok"))
-    bad = {r.path for r in lines.groupBy("path").agg(F.min(F.col("ok").cast("int")).alias("ok"))
-           .where("ok = 0").collect()}
-    norm = {p: p for p in paths}
-    out = {}
-    for p in paths:
-        key = norm[p]
-        out[p] = "ISO-8859-1" if any(key.endswith(b.split("file:")[-1]) or b == key for b in bad) else "utf-8"
-    return out
-
-
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", infer: bool = True, schema=None) -> DataFrame:
-    """A2: header + type inference (or an explicit schema), multi-line quoted fields."""
-    r = spark.read.options(**{**CSV_OPTIONS, "inferSchema": str(infer).lower()}).option("encoding", encoding)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
-
-
-def read_csv_files(spark: SparkSession, paths, encoding: str = "utf-8") -> dict:
-    """A1 + A5: ``{path: DataFrame}``, each file read with its own encoding
-    and schema; a file that fails to read is reported as the exception."""
+    """A1: the encoding per file: the requested one, then utf-8, then latin-1, the first
+    that decodes every line (an encoding that is not known decodes nothing).  Lines are
+    checked by the executors, in parallel splits; one row per file comes back."""
+    lines = spark.read.text(list(paths)).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.coalesce(_decodes(encoding), F.lit(False)).alias("asked"), F.is_valid_utf8("value").alias("utf"))
+    found = {r["path"]: r for r in lines.groupBy("path").agg(F.min("asked").alias("asked"), F.min("utf").alias("utf")).collect()}
+    java = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "cp1252": "windows-1252", "ascii": "US-ASCII"}
+
+    def choose(path):
+        r = found.get(_plain(path))
+        if r is None or r["asked"]:          # an empty file has no line
+            return java.get(encoding.lower().replace("_", "-"), encoding)
+        return "utf-8" if r["utf"] else "ISO-8859-1"
+
+    return {p: choose(p) for p in paths}
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", schema=None, multi_line: bool = False) -> DataFrame:
+    """A2: typed scan, by an explicit schema or by one inference pass.  A file is read in
+    splits; ``multi_line`` allows line breaks in quoted fields and then makes it one task."""
+    r = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).option("multiLine", multi_line)
+    return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
+
+
+def read_csv_files(spark: SparkSession, paths, encoding: str = "utf-8", schemas=None, multi_line: bool = False) -> dict:
+    """A1 + A5: ``{path: DataFrame}``, each file read with its own encoding and schema
+    (``schemas`` gives known ones, which need no inference pass); a file that fails to
+    read is reported as the exception."""
     encs = file_encodings(spark, paths, encoding)
     out = {}
     for p in paths:
         try:
-            df = read_csv(spark, p, encs[p])
-            df.schema  # force schema inference now so a broken file fails here
-            out[p] = df
+            out[p] = read_csv(spark, p, encs[p], (schemas or {}).get(p), multi_line)
         except Exception as e:  # noqa: BLE001 - reported per file, the others go on
             out[p] = e
     return out
@@ -76,8 +98,8 @@ def head_rows(df: DataFrame, n: int, order_by=None) -> DataFrame:
 
 def sanitize_columns(df: DataFrame) -> tuple[DataFrame, dict]:
     """Rename every column by rule 2, unique; returns the frame and the
-    original -> new mapping (header text stripped first)."""
-    new = unique_names([c.strip() for c in df.columns], rule=sanitize_identifier)
+    original -> new mapping."""
+    new = renamed(df.columns)
     return df.toDF(*new), dict(zip(df.columns, new))
 
 

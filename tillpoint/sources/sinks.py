@@ -1,36 +1,46 @@
-"""Sinks (A7-A11): raw and mart layers as tables, processed data and the
-analysis artefacts as files.  Small artefacts are written from small
-DataFrames; the data itself is always written by the executors."""
+"""Sinks (A7-A11): raw and mart layers as tables, processed data and the analysis
+artefacts as DataFrames written by the executors, on any storage Spark can write."""
 
 from __future__ import annotations
 
-import json
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillpoint.functions.text import sanitize_identifier
+from tillpoint.functions.text import renamed
 from tillpoint.sources.csv import sanitize_columns
 
+# Headings of the reports.
+ISSUE_TITLE = "DATA QUALITY ISSUES REPORT"
+REPORT_TITLE = "# Multi-File Schema Analysis Report"
+FILES_HEAD = ("## Files Summary", "| File | Type | Rows | Columns | Domain |", "|------|------|------|---------|--------|")
+COMPARE_HEAD, ADVICE_HEAD, COLUMNS_HEAD = "## Schema Comparison", "### Recommendations", "## Detailed Column Analysis"
+COLUMN_HEAD = ("| Column | Type | Business Meaning | Nulls % | Unique % |", "|--------|------|------------------|---------|----------|")
+PROCESSED = "processed"
+
 
 def _ensure_db(spark: SparkSession, db: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
 
 
-def load_raw(spark: SparkSession, frames: dict, database: str = "raw") -> dict:
-    """One table per file, ``raw.raw_<sanitized stem>``, columns renamed by
-    rule 2 (header text stripped).  Returns ``{path: table}``."""
+def load_raw(spark: SparkSession, frames: dict, database: str = "raw") -> tuple[dict, DataFrame]:
+    """One table per file, ``raw.raw_<identifier of the stem>``; files whose stems
+    give the same identifier get numbered tables.  Returns ``{path: table}`` and a report
+    ``(path, table_name, status, error)`` with a row for every file, failed ones included."""
     _ensure_db(spark, database)
-    out = {}
+    stems = [str(p).rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in frames]
+    tables = dict(zip(frames, (f"{database}.raw_{n}" for n in renamed(stems))))
+    rows, done = [], {}
     for path, df in frames.items():
-        if isinstance(df, Exception):
-            continue
-        table = f"{database}.raw_{sanitize_identifier(Path(str(path)).stem)}"
-        renamed, _ = sanitize_columns(df)
-        renamed.write.mode("overwrite").saveAsTable(table)
-        out[path] = table
-    return out
+        error = df if isinstance(df, Exception) else None
+        if error is None:
+            try:
+                sanitize_columns(df)[0].write.mode("overwrite").saveAsTable(tables[path])
+                done[path] = tables[path]
+            except Exception as e:  # noqa: BLE001 - reported per file, the others go on
+                error = e
+        text = None if error is None else (str(error).strip().splitlines() or [type(error).__name__])[0]
+        rows.append((str(path), None if error else tables[path], "failed" if error else "loaded", text))
+    return done, spark.createDataFrame(rows, "path string, table_name string, status string, error string")
 
 
 def load_mart(df: DataFrame, table: str = "mart.sales_clean") -> int:
@@ -44,70 +54,75 @@ def load_mart(df: DataFrame, table: str = "mart.sales_clean") -> int:
 
 
 def processed_basename(base: str | None) -> str:
-    b = (base or "processed_sales").strip() or "processed_sales"
-    return b if b.endswith("_processed") else f"{b}_processed"
+    """``<base>_processed``, once."""
+    stem = (base or "").strip().removesuffix(f"_{PROCESSED}") or f"{PROCESSED}_sales"
+    return f"{stem}_{PROCESSED}"
 
 
-def save_processed(prep, output_dir: str, basename: str | None = None, fmt: str = "parquet") -> dict:
-    """``<base>_processed`` data (parquet or csv with header), the summary
-    as JSON, and the quality-issue report only when there are issues."""
-    base = processed_basename(basename)
-    out = {}
-    data_path = os.path.join(output_dir, base + ("" if fmt == "parquet" else ".csv"))
-    w = prep.data.write.mode("overwrite")
-    (w.parquet(data_path) if fmt == "parquet" else w.option("header", True).csv(data_path))
-    out["data"] = data_path
-    summary = prep.summary.first().asDict(recursive=True)
-    issues = [r.asDict() for r in prep.issues.orderBy("seq").collect()]
-    summary.update(quality_issues=len(issues), quality_issues_list=issues, date_format=prep.date_format,
-                   column_mapping={k: v for k, v in vars(prep.roles).items() if v})
-    Path(output_dir).mkdir(parents=True, exist_ok=True)
-    sp = os.path.join(output_dir, base + "_summary.json")
-    Path(sp).write_text(json.dumps(summary, indent=2, default=str), encoding="utf-8")
-    out["summary"] = sp
-    if issues:
-        ip = os.path.join(output_dir, base + "_quality_issues.txt")
-        lines = ["DATA QUALITY ISSUES REPORT", "=" * 80, ""]
-        for i in issues:
-            lines += [f"[{i['severity']}] {i['type']}", f"  {i['details']}", ""]
-        Path(ip).write_text("\n".join(lines), encoding="utf-8")
-        out["issues"] = ip
-    return out
+def issue_lines(issues: DataFrame) -> DataFrame:
+    """The quality-issue report as one ordered text column ``value``."""
+    head = issues.sparkSession.createDataFrame([(-1, 0, ISSUE_TITLE), (-1, 1, "=" * 80), (-1, 2, "")], "seq int, i int, value string")
+    each = F.array(F.concat(F.lit("["), "severity", F.lit("] "), "type"), F.concat(F.lit("  "), "details"), F.lit(""))
+    body = issues.select(F.col("seq").cast("int").alias("seq"), F.posexplode(each).alias("i", "value"))
+    return head.union(body).orderBy("seq", "i").select("value")
 
 
-def save_frames_json(frames: dict, output_dir: str) -> dict:
-    """Each named DataFrame written as JSON lines by the executors."""
-    out = {}
-    for name, df in frames.items():
-        p = os.path.join(output_dir, name)
-        df.write.mode("overwrite").json(p)
-        out[name] = p
+def save_processed(prep, output_dir: str, basename: str | None = None, fmt: str = "parquet") -> dict:
+    """The data as ``<base>_processed`` (parquet, or csv with a header), the summary
+    as JSON lines, and the issue report as text when there are issues."""
+    base = f"{output_dir.rstrip('/')}/{processed_basename(basename)}"
+    out = {"data": base + ("" if fmt == "parquet" else ".csv"), "summary": base + "_summary.json"}
+    prep.data.write.mode("overwrite").format(fmt).option("header", True).save(out["data"])
+    roles = F.create_map(*(F.lit(v) for k, c in vars(prep.roles).items() if c for v in (k, c)))
+    listed = prep.issues.agg(F.count(F.lit(1)).alias("quality_issues"),
+                             F.array_sort(F.collect_list(F.struct("seq", "severity", "type", "details"))).alias("quality_issues_list"))
+    (prep.summary.crossJoin(listed)       # one row beside one row
+     .withColumns({"date_format": F.lit(prep.date_format), "column_mapping": roles})
+     .coalesce(1).write.mode("overwrite").json(out["summary"]))
+    if not prep.issues.isEmpty():
+        out["issues"] = base + "_quality_issues.txt"
+        issue_lines(prep.issues).coalesce(1).write.mode("overwrite").text(out["issues"])
     return out
 
 
-def markdown_report(files: DataFrame, columns: DataFrame, compatibility: DataFrame | None,
-                    recommendations: DataFrame | None) -> str:
-    """A10: the schema-analysis report text from the (small) summary frames:
-    file summary, compatibility, recommendations, per-file column table."""
-    lines = ["# Multi-File Schema Analysis Report", "", "## Files Summary", "",
-             "| File | Type | Rows | Columns | Domain |", "|------|------|------|---------|--------|"]
-    for r in files.orderBy("table_name").collect():
-        lines.append(f"| {r.table_name} | {r.file_type} | {r.rows:,} | {r.columns} | {r.business_domain} |")
-    lines += ["", "## Schema Comparison", ""]
+def ddl(columns: DataFrame) -> DataFrame:
+    """A10: ``(table_name, ddl)``, a CREATE TABLE text per table of an annotated column
+    catalogue, with the recommended SQL types (J9) in column order."""
+    field = F.struct("ordinal", F.concat(F.lit("  "), "column_name", F.lit(" "), "sql_type").alias("text"))
+    lines = F.transform(F.array_sort(F.collect_list(field)), lambda f: f["text"])
+    body = columns.groupBy("table_name").agg(F.array_join(lines, ",\n").alias("body"))
+    return body.select("table_name", F.concat(F.lit("CREATE TABLE "), "table_name", F.lit(" (\n"), "body", F.lit("\n);")).alias("ddl"))
+
+
+def report_lines(files: DataFrame, columns: DataFrame, compatibility: DataFrame | None = None,
+                 recommendations: DataFrame | None = None) -> DataFrame:
+    """A10: the schema-analysis report as an ordered text column ``value``: file table,
+    compatibility, recommendations, and a column table per file."""
+    spark = columns.sparkSession
+    order = "section int, name string, ordinal int, i int, value string"
+    fixed = [(0, 0, REPORT_TITLE), (0, 1, ""), *((0, 2 + i, t) for i, t in enumerate((FILES_HEAD[0], "", *FILES_HEAD[1:]))),
+             (2, 0, ""), (2, 1, COMPARE_HEAD), (2, 2, "")]
+    fixed += [(4, 0, ADVICE_HEAD), (4, 1, "")] if recommendations is not None else []
+    fixed += [(6, 0, ""), (6, 1, COLUMNS_HEAD), (6, 2, "")]
+    parts = [spark.createDataFrame([(s, "", 0, i, t) for s, i, t in fixed], order)]
+    row = lambda *cells: F.concat(F.lit("| "), *[x for c in cells for x in (c, F.lit(" | "))][:-1], F.lit(" |"))
+    line = lambda df, section, name, ordinal, *texts: df.select(
+        F.lit(section).alias("section"), name.alias("name"), ordinal.cast("int").alias("ordinal"),
+        F.posexplode(F.array(*texts)).alias("i", "value"))
+    none, zero = F.lit(""), F.lit(0)
+    parts.append(line(files, 1, F.col("table_name"), zero, row(
+        F.col("table_name"), F.col("file_type"), F.format_number("rows", 0), F.col("columns").cast("string"), F.col("business_domain"))))
     if compatibility is not None:
-        for r in compatibility.collect():
-            lines += [f"**Compatibility:** {r.schema_compatibility}", "",
-                      f"**Unification Strategy:** {r.unification_strategy}", ""]
+        parts.append(line(compatibility, 3, none, zero, F.concat(F.lit("**Compatibility:** "), "schema_compatibility"), none,
+                          F.concat(F.lit("**Unification Strategy:** "), "unification_strategy"), none))
     if recommendations is not None:
-        lines += ["### Recommendations", ""] + [f"- {r.recommendation}" for r in
-                                                 recommendations.orderBy("seq").collect()]
-    lines += ["", "## Detailed Column Analysis", ""]
-    current = None
-    for r in columns.orderBy("table_name", "ordinal").collect():
-        if r.table_name != current:
-            current = r.table_name
-            lines += ["", f"### {current}", "", "| Column | Type | Business Meaning | Nulls % | Unique % |",
-                      "|--------|------|------------------|---------|----------|"]
-        lines.append(f"| {r.column_name} | {r.inferred_type} | {r.business_meaning} | {r.null_pct:.1f}% | "
-                     f"{r.unique_pct:.1f}% |")
-    return "\n".join(lines) + "\n"
+        parts.append(line(recommendations, 5, none, F.col("seq"), F.concat(F.lit("- "), "recommendation")))
+    parts.append(line(columns.select("table_name").distinct(), 7, F.col("table_name"), zero, none,
+                      F.concat(F.lit("### "), "table_name"), none, *map(F.lit, COLUMN_HEAD)))
+    share = lambda c: F.concat(F.format_string("%.1f", c), F.lit("%"))
+    parts.append(line(columns, 7, F.col("table_name"), F.col("ordinal"), row(
+        F.col("column_name"), F.col("inferred_type"), F.col("business_meaning"), share("null_pct"), share("unique_pct"))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.orderBy("section", "name", "ordinal", "i").select("value")
