@@ -35,46 +35,54 @@ from tillpoint.llm import words as W
 from tillpoint.llm.components import components
 from tillpoint.llm.io import drop, stash
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 CHUNK = 1 << 14
 MASK_BITS = 23
 
 
 def _sketch_rows(k: int, bits: int):
     def run(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total, held, size = np.zeros(1 << bits, np.int64), [], 0
         for batch in batches:
             for sl in W.slices(batch.column(0)):
-                got = np.concatenate([*W.doc_shingles(sl, k), np.zeros(0, np.uint64)])
-                total += np.bincount((got >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = [c for c in range(0, 1 << bits, CHUNK) if total[c:c + CHUNK].any()]
+                for s in W.doc_shingles(sl, k):
+                    held.append((s >> np.uint64(64 - bits)).astype(np.int32))
+                    size += len(s)
+                if size > 1 << bits:
+                    total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << bits)
+        small = np.minimum(total, 65535).astype("<u2")     # more in one task is common enough
+        at = [c for c in range(0, 1 << bits, CHUNK) if small[c:c + CHUNK].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([c // CHUNK for c in at], pa.int32()),
-             pa.array([total[c:c + CHUNK].astype("<i8").tobytes() for c in at], pa.binary())], ["chunk", "counts"])
+            [pa.array([c // CHUNK for c in at], pa.int32()), pa.array([2] * len(at), pa.int32()),
+             pa.array([small[c:c + CHUNK].tobytes() for c in at], pa.binary())], ["chunk", "width", "counts"])
     return run
 
 
 def _add_chunks(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held[c] = held.get(c, 0) + np.frombuffer(b, "<i8")
+        for c, w, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            held[c] = held.get(c, 0) + np.frombuffer(b, f"<u{w}").astype(np.int64)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())],
-        ["chunk", "counts"])
+        [pa.array(list(held), pa.int32()), pa.array([8] * len(held), pa.int32()),
+         pa.array([v.astype("<u8").tobytes() for v in held.values()], pa.binary())], ["chunk", "width", "counts"])
 
 
 def rarity(docs: DataFrame, k: int, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """Rarity level (two per doubling of the count) of each of ``2**bits`` hash cells.
+    """Rarity level (four per doubling of the count) of each of ``2**bits`` hash cells.
 
     The sketch has a fixed size, so what comes to the driver (``8 * 2**bits`` bytes)
     and what is broadcast (``2**bits`` bytes) do not grow with the input."""
-    part = docs.select(text).mapInArrow(_sketch_rows(k, bits), "chunk int, counts binary")
-    whole = part.repartition("chunk").mapInArrow(_add_chunks, "chunk int, counts binary")
-    total = np.zeros(1 << bits, np.int64)
-    for c, b in whole.toLocalIterator():
-        total[c * CHUNK:(c + 1) * CHUNK] += np.frombuffer(bytes(b), "<i8")
-    return np.round(2 * np.log2(total + 1)).astype(np.uint8)
+    fields = "chunk int, width int, counts binary"
+    part = docs.select(text).mapInArrow(_sketch_rows(k, bits), fields)
+    whole = part.repartition("chunk").mapInArrow(_add_chunks, fields)
+    out = np.zeros(1 << bits, np.uint8)
+    for c, _, b in whole.toLocalIterator():
+        out[c * CHUNK:(c + 1) * CHUNK] = np.round(4 * np.log2(np.frombuffer(bytes(b), "<u8") + 1.0))
+    return out
 
 
 def prefix_length(n: int, percent: int) -> int:
