@@ -98,7 +98,7 @@ RULES = (
     ("reserved", "All-rights-reserved", ["reserved"]),
 )
 #: Every known sentence holds one of these words, so texts without them need no split.
-CUES = ("licens", "copyright", "permission", "redistribut", "software", "rights", "warrant")
+CUES = ("licens", "copyright", "permission", "redistribut", "software", "rights", "warrant", "released")
 
 #: A sentence ends at one of these marks before white space, or with a blank line.
 ENDS = r"[.!?:;]"
