@@ -36,7 +36,8 @@ MIN_SEEDS = 2
 MARGIN = 512
 #: Words between matches of one diagonal that still belong to one block.
 BLOCK_GAP = 2 * (K + WINDOW)
-GAP_COST = 0.25
+#: Per word skipped on either side; small, as seeds alone leave gaps of up to ``WINDOW`` words.
+GAP_COST = 0.05
 MISMATCH, DROP = 2, 12
 
 
