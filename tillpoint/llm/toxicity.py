@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     A document with several labels counts as toxic when one says so; labels other than
     0 and 1, null ids and labels without a document are left out.  Without documents of
-    both classes the score is the share of toxic ones (a half when none is labelled)."""
+    both classes the score is near the share of toxic ones (a quarter when none is labelled)."""
     def of(calibrate):
         chosen = F.broadcast(_sample(labels, id, label, calibrate, max_rows))   # 2 * max_rows ids at most
         return docs.select(id, text).join(chosen, F.col(id) == F.col("_id")).select(text, F.col("_y").cast("int").alias("y"))
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     x = np.stack([*(seen.column(c).to_numpy() for c in "abc"), np.ones(len(y))], 1)
     if 0 < y.sum() < len(y):
         return model, fit_logistic(x, y)
-    share = (y.sum() + 1) / (len(y) + 2)
+    share = (y.sum() + 0.5) / (len(y) + 2)
     return model, np.array([1.0, 0.0, 0.0, np.log(share / (1 - share))])
 
 
