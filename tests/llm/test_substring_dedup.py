@@ -42,6 +42,24 @@ def test_fuzzy_passage_and_clean_texts(spark):
     assert 235 <= len(words(left[2])) <= 255
 
 
+def test_passages_start_and_end_with_whole_words(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("éüñç漢字aß"), rng.integers(2, 9)))
+    long = [word() for _ in range(900)]            # longer than the margins on both sides of a chain
+    rows = [(1, " ".join([word() for _ in range(40)] + long)), (2, " ".join([word() for _ in range(7)] + long + [word()])),
+            (3, " ".join(long[300:420])), (4, " ".join(long[:350] + long[500:]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = S.repeated_passages(df)
+    texts = dict(rows)
+    for r in found.collect():
+        for i, a, b in ((r["doc_id"], r["start_byte"], r["end_byte"]), (r["source_id"], r["source_start"], r["source_end"])):
+            data = texts[i].encode()
+            data[a:b].decode()
+            assert (a == 0 or data[a - 1:a] == b" ") and (b == len(data) or data[b:b + 1] == b" ")
+    left = {r["doc_id"]: r["text"] for r in S.remove_passages(df, found).collect()}
+    assert set(left) == {1, 2} and len(words(left[2])) <= 10
+
+
 def test_odd_rows(odd):
     found = S.repeated_passages(odd)
     assert {r["doc_id"] for r in found.collect()} <= {9}

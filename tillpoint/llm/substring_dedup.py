@@ -282,13 +282,19 @@ def _passages(batch: pa.RecordBatch, min_words: int):
     theirs = [(sl, r) for sl in W.slices(batch.column("spart")) for r in range(sl.hi - sl.lo)]
     hashed: dict[int, np.ndarray] = {}
     rows, out = [], []
-    meta = [batch.column(n).to_pylist() for n in ("lo", "slo", "at", "sat")]
-    for row, ((ml, mr), (tl, tr), lo, slo, at, sat) in enumerate(zip(mine, theirs, *meta)):
+    meta = [batch.column(n).to_pylist() for n in ("lo", "hi", "slo", "shi", "at", "sat")]
+    for row, ((ml, mr), (tl, tr), lo, hi, slo, shi, at, sat) in enumerate(zip(mine, theirs, *meta)):
         side = []
-        for sl, r, base, points in ((ml, mr, lo, at), (tl, tr, slo, sat)):
+        for sl, r, base, until, points in ((ml, mr, lo, hi, at), (tl, tr, slo, shi, sat)):
             if id(sl) not in hashed:
                 hashed[id(sl)] = sl.hashes()
             a, b = sl.first[r], sl.first[r + 1]
+            size = int(sl.offsets[r + 1] - sl.offsets[r])
+            # a word that touches a cut may be part of a longer one
+            if b > a and base > 0 and sl.start[a] == sl.offsets[r]:
+                a += 1
+            if b > a and size == until - base and sl.end[b - 1] == sl.offsets[r + 1]:
+                b -= 1
             start = sl.start[a:b] - sl.offsets[r]
             side.append((hashed[id(sl)][a:b], start, sl.end[a:b] - sl.offsets[r],
                          np.searchsorted(start, np.array(points) - base)))
