@@ -16,10 +16,10 @@ suffix filters, joined on prefix n-grams and verified once per pair.
    shingles from the first shared one on bound the overlap) and the suffix filter (both
    sets are dealt over the same hash ranges; the sum of the smaller counts bounds the
    overlap).  Then its two texts are compared, once.
-5. *Rest.*  Documents of a group that are not in the centre's component after that are
-   paired with all others of the group in other components, filtered and verified
-   likewise.  So no link between components is missed, and no pairs are made inside a
-   component.
+5. *Rest.*  The links found so far give labels, equal ones only to connected documents.
+   Documents of a group that do not have the centre's label are paired with all others
+   of the group with other labels, filtered and verified likewise.  So no link that
+   matters is missed, and no pairs are made among documents of one label.
 
 Texts are compared by 64-bit shingle hashes.
 """
@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.llm import words as W
-from tillpoint.llm.components import components
-from tillpoint.llm.io import drop, stash
+from tillpoint.llm.components import components, near_labels
+from tillpoint.llm.io import bitmap, drop, stash
 
 SKETCH_BITS = 22
 CHUNK = 1 << 14
@@ -42,46 +42,51 @@ MASK_BITS = 23
 
 def _sketch_rows(k: int, bits: int):
     def run(batches):
-        total, held, size = np.zeros(1 << bits, np.int64), [], 0
+        total, held, size = np.zeros(1 << bits, np.uint32), [], 0
+
+        def add():
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            total[cell] += n.astype(np.uint32)
+
         for batch in batches:
             for sl in W.slices(batch.column(0)):
                 for s in W.doc_shingles(sl, k):
-                    held.append((s >> np.uint64(64 - bits)).astype(np.int32))
+                    held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                     size += len(s)
-                if size > 1 << bits:
-                    total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                if size > 1 << 20:
+                    add()
                     held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=1 << bits)
-        small = np.minimum(total, 65535).astype("<u2")     # more in one task is common enough
-        at = [c for c in range(0, 1 << bits, CHUNK) if small[c:c + CHUNK].any()]
+            add()
+        at = [c for c in range(0, 1 << bits, CHUNK) if total[c:c + CHUNK].any()]
+        # more than 65535 in one task is common enough
+        rows = [np.minimum(total[c:c + CHUNK], 65535).astype("<u2").tobytes() for c in at]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([c // CHUNK for c in at], pa.int32()), pa.array([2] * len(at), pa.int32()),
-             pa.array([small[c:c + CHUNK].tobytes() for c in at], pa.binary())], ["chunk", "width", "counts"])
+            [pa.array([c // CHUNK for c in at], pa.int32()), pa.array(rows, pa.binary())], ["chunk", "counts"])
     return run
 
 
-def _add_chunks(batches):
+def _levels(batches):
+    """Rarity levels of each chunk, from all tasks' counts."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for c, w, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            held[c] = held.get(c, 0) + np.frombuffer(b, f"<u{w}").astype(np.int64)
+        for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[c] = held.get(c, 0) + np.frombuffer(b, "<u2").astype(np.int64)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int32()), pa.array([8] * len(held), pa.int32()),
-         pa.array([v.astype("<u8").tobytes() for v in held.values()], pa.binary())], ["chunk", "width", "counts"])
+        [pa.array(list(held), pa.int32()),
+         pa.array([np.round(4 * np.log2(v + 1.0)).astype(np.uint8).tobytes() for v in held.values()], pa.binary())],
+        ["chunk", "levels"])
 
 
 def rarity(docs: DataFrame, k: int, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
     """Rarity level (four per doubling of the count) of each of ``2**bits`` hash cells.
 
-    The sketch has a fixed size, so what comes to the driver (``8 * 2**bits`` bytes)
-    and what is broadcast (``2**bits`` bytes) do not grow with the input."""
-    fields = "chunk int, width int, counts binary"
-    part = docs.select(text).mapInArrow(_sketch_rows(k, bits), fields)
-    whole = part.repartition("chunk").mapInArrow(_add_chunks, fields)
+    The sketch has a fixed size, so what comes to the driver and what is broadcast
+    (``2**bits`` bytes) do not grow with the input."""
+    part = docs.select(text).mapInArrow(_sketch_rows(k, bits), "chunk int, counts binary")
     out = np.zeros(1 << bits, np.uint8)
-    for c, _, b in whole.toLocalIterator():
-        out[c * CHUNK:(c + 1) * CHUNK] = np.round(4 * np.log2(np.frombuffer(bytes(b), "<u8") + 1.0))
+    for c, b in part.repartition("chunk").mapInArrow(_levels, "chunk int, levels binary").collect():
+        out[c * CHUNK:(c + 1) * CHUNK] = np.frombuffer(bytes(b), np.uint8)
     return out
 
 
@@ -151,15 +156,8 @@ def _involved_rows(k: int, mask):
 
 
 def id_mask(ids: DataFrame, bits: int = MASK_BITS) -> np.ndarray:
-    """Bitmap of the hashes of the ids in column ``id``.  Its size is fixed: at most
-    ``2**bits / 32`` rows reach the driver, whatever the number of ids."""
-    cell = F.expr(f"xxhash64(id) & {(1 << bits) - 1}")
-    got = (ids.select(cell.alias("c"))
-           .select(F.expr("c div 32").alias("w"), F.expr("shiftleft(1L, cast(c % 32 as int))").alias("b"))
-           .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    out = np.zeros((1 << bits) // 32, np.uint32)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    """Bitmap, of a fixed size, of the hashes of the ids in column ``id``."""
+    return bitmap(ids.select(F.expr(f"xxhash64(id) & {(1 << bits) - 1}").alias("c")), bits)
 
 
 def _suffix_filter(percent: int):
@@ -216,9 +214,9 @@ def links(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", te
                                      F.col("c.n").alias("cn")), "shingle")
              .where(f"id <> cid and {_may_link(percent)}"))
     tried, tried_at = stash(_pairs(stars), "pairs")
-    found, found_at = stash(_checked(own, tried, k, percent, kind), "links")
+    found, _ = _checked(own, tried, k, percent, kind)
 
-    label = components(found.select("u", "v"))
+    label = near_labels(found)       # equal labels are connected; which is all that is needed here
     placed = (rows.join(label, rows["id"] == label["node"], "left")
               .select("shingle", "id", "pos", "n", F.coalesce("component", "id").alias("comp")))
     placed, placed_at = stash(placed, "placed")
@@ -231,7 +229,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", te
     more = (rest.join(out, "shingle")
             .where(f"comp <> ccomp and (comp = main or id < cid) and id <> cid and {_may_link(percent)}"))
     fresh, fresh_at = stash(_pairs(more).join(tried, ["x", "y"], "left_anti"), "pairs")
-    also, also_at = stash(_checked(own, fresh, k, percent, kind), "links")
+    also, _ = _checked(own, fresh, k, percent, kind)
     drop(spark, rows_at, tried_at, placed_at, fresh_at)
     return found.union(also)
 
@@ -240,19 +238,22 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("id", "cid").alias("x"), F.greatest("id", "cid").alias("y")).distinct()
 
 
-def _checked(own: DataFrame, pairs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
-    """The pairs that pass the suffix filter and the comparison of their texts."""
+def _checked(own: DataFrame, pairs: DataFrame, k: int, percent: int, kind: str) -> tuple[DataFrame, str]:
+    """The pairs that pass the suffix filter and the comparison of their texts, written."""
     spark = own.sparkSession
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
     mask = spark.sparkContext.broadcast(id_mask(ids))
-    involved, _ = stash(own.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(
+    involved, involved_at = stash(own.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(
         _involved_rows(k, mask), f"id {kind}, n int, hist binary, text string"), "involved")
     side = lambda c, *cols: involved.select(F.col("id").alias(c), *(F.col(a).alias(b) for a, b in cols))
     close = (pairs.join(side("x", ("n", "nx"), ("hist", "hx")), "x").join(side("y", ("n", "ny"), ("hist", "hy")), "y")
              .mapInArrow(_suffix_filter(percent), f"x {kind}, y {kind}").distinct())
-    return (close.join(side("x", ("text", "tx")), "x").join(side("y", ("text", "ty")), "y")
-            .mapInArrow(_verify(k, percent), f"x {kind}, y {kind}").distinct()
-            .select(F.col("x").alias("u"), F.col("y").alias("v")))
+    equal = (close.join(side("x", ("text", "tx")), "x").join(side("y", ("text", "ty")), "y")
+             .mapInArrow(_verify(k, percent), f"x {kind}, y {kind}").distinct()
+             .select(F.col("x").alias("u"), F.col("y").alias("v")))
+    out = stash(equal, "links")
+    drop(spark, involved_at)
+    return out
 
 
 def members(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", text: str = "text") -> DataFrame:
