@@ -2,8 +2,8 @@
 
 A mask names the word positions that count; the words between them may differ.  Each
 text and each benchmark item is hashed under every mask at every word.  Hashes of the
-items set bits in a bitmap of fixed size, so only documents with a possible hit leave
-their task; these hits are joined with the items' hashes.  Around each hit the item is
+items set bits in a bitmap of fixed size, three bits each, so only documents with a
+possible hit leave their task; these hits are joined with the items' hashes.  Around each hit the item is
 laid on the document and the words are compared: the document is contaminated when
 some ``WINDOW`` words in a row of the item (all of them, in a shorter item) have at
 least ``EQUAL`` percent in their places.
@@ -21,7 +21,8 @@ from tillpoint.llm.io import bitmap, stash
 
 #: Fixed masks of weight 6: word positions that must agree.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 2, 6, 7, 8), (0, 1, 4, 5, 8, 9))
-MASK_BITS = 24
+#: The bitmap has ``2**MASK_BITS`` bits; a hash sets the bits that these parts of it number.
+MASK_BITS, PARTS = 24, (0, 20, 40)
 WINDOW, EQUAL = 13, 80
 
 
@@ -42,7 +43,9 @@ def _hash_rows(masks, mask=None, bits: int = MASK_BITS):
                 h = sl.hashes()
                 places, keys = [], []
                 for m, s in zip(masks, seeds(h, masks)):
-                    at = np.arange(len(s)) if table is None else np.flatnonzero(table[(s & cell).astype(np.int64)])
+                    at = np.arange(len(s))
+                    for part in () if table is None else PARTS:      # all of a hash's bits must be set
+                        at = at[table[((s[at] >> np.uint64(part)) & cell).astype(np.int64)]]
                     if len(at):            # a hit's words must lie in one text
                         row = np.searchsorted(sl.first, at, side="right") - 1
                         at = at[at + m[-1] < sl.first[row + 1]]
@@ -114,7 +117,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, masks=MASKS, window: int = W
                      .mapInArrow(_hash_rows(masks), f"id {item_kind}, {fields}")
                      .withColumn("item_row", F.monotonically_increasing_id()), "items")
     item_seeds = items.select("item_row", F.explode("hits").alias("s")).select("item_row", "s.h", F.col("s.pos").alias("ipos"))
-    table = spark.sparkContext.broadcast(bitmap(item_seeds.select(F.expr(f"h & {(1 << MASK_BITS) - 1}").alias("c")), MASK_BITS))
+    cells = F.array(*(F.shiftrightunsigned("h", p).bitwiseAND(F.lit((1 << MASK_BITS) - 1)) for p in PARTS))
+    table = spark.sparkContext.broadcast(bitmap(item_seeds.select(F.explode(cells).alias("c")), MASK_BITS))
     found, _ = stash(docs.select(F.col(id).alias("id"), F.lower(text).alias("text"))
                      .mapInArrow(_hash_rows(masks, table), f"id {kind}, {fields}")
                      .withColumn("doc_row", F.monotonically_increasing_id()), "hits")
