@@ -51,9 +51,10 @@ def records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: st
     first = (digests.where(f"page_id is not null and payload_bytes >= {min_revisit_bytes}")
              .groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
              .where("n > 1").drop("n"))
-    # only ids travel: revisits are few, payloads are not shuffled for the digest join
-    revisit = (digests.join(first, ["payload_digest", "payload_bytes"]).where("page_id <> refers_to")
-               .select(F.col("page_id").alias("_id"), "refers_to").distinct())
+    # only ids travel for the digests; written, so that its size is known and Spark does
+    # not shuffle the payloads to meet a small table
+    revisit, _ = stash(digests.join(first, ["payload_digest", "payload_bytes"]).where("page_id <> refers_to")
+               .select(F.col("page_id").alias("_id"), "refers_to").distinct(), "revisits")
     return (own.join(revisit, own["page_id"] == revisit["_id"], "left").drop("_id")
             .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")))
 
@@ -171,8 +172,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     long = chain.where("digest is null").select("file", F.col("start").alias("rec"), F.col("next").alias("end"), "head_bytes", "size")
     # range join over bins of the file, so that a file is not one group
     bins = long.select("file", "rec", "end", F.explode(F.expr(f"sequence(rec div {BIN}, end div {BIN})")).alias("bin"))
-    spots = (all_rows.select("file", "split", "seq", "start", F.expr(f"start div {BIN}").alias("bin"))
-             .join(bins, ["file", "bin"]).where("start >= rec and start < end").drop("bin", "end"))
+    spots, _ = stash(all_rows.select("file", "split", "seq", "start", F.expr(f"start div {BIN}").alias("bin"))
+             .join(bins, ["file", "bin"]).where("start >= rec and start < end").drop("bin", "end"), "spots")
     blocks = (_pieces(spark, path).join(spots, ["file", "split", "seq"])
               .groupBy("file", "rec").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
               .join(long, ["file", "rec"])
