@@ -176,6 +176,8 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
 
     # ---- pass 4: write the result once, every count observed on the way ----
     data = materialize(work, "preprocessed")
+    # one row per date format; it reads the stage, so it is fetched before the stage goes
+    date_stats = spark.createDataFrame(choice.stats.collect(), choice.stats.schema) if choice else None
     discard(work)      # the de-duplicated stage and the date map were read for the last time
     sv = obs_sum.get
     counts = {**(obs_conv.get if conv_specs else {}), **obs_val.get}
@@ -219,4 +221,4 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
         "missing_values", F.create_map(*[x for k, v in missing.items() for x in (F.lit(k), F.lit(v))])
     ).withColumn("validation_flags", F.array(*[F.lit(f) for f in flags]).cast("array<string>"))
     return Preprocessed(data, issues, summary_df, header_rows, roles,
-                        choice.format if choice else None, choice.stats if choice else None, flags)
+                        choice.format if choice else None, date_stats, flags)
