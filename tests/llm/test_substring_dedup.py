@@ -81,3 +81,21 @@ def test_winnowing_keeps_one_in_every_window():
     at = S.winnow(h, 14)
     assert np.diff(np.concatenate([[-1], at, [500]])).max() <= 14
     assert len(S.winnow(np.zeros(100, np.uint64), 14)) == 8
+
+
+def test_passages_made_of_parts_that_earlier_documents_hold(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    rows, pairs = [], set()
+    for g in range(40):
+        a, b, c, i = text(30), text(30), text(30), 10 * g
+        rows += [(i, text(40) + a + text(40)), (i + 1, text(40) + b + text(40)), (i + 2, text(20) + c + text(40)),
+                 (i + 3, text(25) + a + b + text(25)), (i + 4, text(33) + a + b + text(5)),
+                 # each seam has a source of its own; the whole of three parts is held by i + 5 only
+                 (i + 5, text(9) + a[10:] + b + c[:20] + text(8)), (i + 6, a[10:] + b + c[:20] + text(30))]
+        pairs |= {(i + 4, i + 3), (i + 5, i + 3), (i + 6, i + 5)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = S.repeated_passages(docs).collect()
+    assert pairs <= {(r["doc_id"], r["source_id"]) for r in got}
+    assert all(r["equal_words"] >= 60 for r in got if (r["doc_id"], r["source_id"]) in pairs and r["doc_id"] % 10 == 4)
+    assert not {r["doc_id"] for r in got} & {i for i, _ in rows if i % 10 < 4}

@@ -7,6 +7,10 @@ across documents.
 2. *Matches.*  Each seed is joined with its first occurrence (the least document id).
    That is one match a row, however many documents share the seed: the first document
    with a passage keeps it, the later ones repeat it.
+   *Rest.*  A passage whose parts stand in several earlier documents gives its seeds to
+   those.  Where neighbouring seeds go to different places, two further keys are joined
+   with their first occurrence: every window of ``min_words`` words there (so no exact
+   run is missed) and the pair of the two seeds (for edited passages).
 3. *Chains.*  The matches of a document with one source are merged into blocks of one
    diagonal; a Fenwick tree over the source position finds the best-scoring ordered
    chains under a linear gap cost.
@@ -149,9 +153,9 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[np.ndarray]]:
     return out
 
 
-def _groups(batches, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one (id, src) after the other, from batches sorted by them; only groups of
-    at least ``least`` rows."""
+def _groups(batches, least: int, keys: tuple[str, ...] = ("id", "src")) -> Iterator[pa.RecordBatch]:
+    """Rows of one (id, src) after the other, from batches sorted by them (or by other
+    ``keys``); only groups of at least ``least`` rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -160,7 +164,7 @@ def _groups(batches, least: int) -> Iterator[pa.RecordBatch]:
             batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
         n = batch.num_rows
         new = np.zeros(n, bool)
-        for name in ("id", "src"):
+        for name in keys:
             col = batch.column(name)
             new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         cut = [0, *np.flatnonzero(new).tolist()]
@@ -171,6 +175,86 @@ def _groups(batches, least: int) -> Iterator[pa.RecordBatch]:
     yield from (g for g in held if g.num_rows >= least)
 
 
+def _seams(k: int, w: int, min_words: int):
+    """Per document, from its shared seeds in order: the pairs of neighbouring seeds that
+    go to different sources or diagonals (key in ``seed``), and in one row the ranges of
+    places where a window of ``min_words`` words holds such a pair (``spans``).
+
+    Seeds of an exact run lie at most ``w`` places apart, the first within ``w`` places of
+    its start and the last within ``w`` of its last shingle; other places are left out."""
+    def run(batches):
+        for g in _groups(batches, 2, ("id",)):
+            seed, at, byte, to = (g.column(n).to_numpy() for n in ("seed", "word", "byte", "sword"))
+            at, src = at.astype(np.int64), g.column("src")
+            n = len(at)
+            other = pc.not_equal(src.slice(1), src.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (np.diff(at - to) != 0)
+            near = np.diff(at) <= w
+            pair = np.flatnonzero(other & (np.diff(at) <= BLOCK_GAP))
+            if not len(pair):
+                continue
+            cut = np.flatnonzero(~near) + 1
+            run_of = np.searchsorted(cut, np.arange(n), side="right")
+            opens, closes = np.concatenate([[0], cut])[run_of], np.concatenate([cut, [n]])[run_of] - 1
+            seam = np.flatnonzero(other & near)
+            lo = np.maximum(np.maximum(at[seam + 1] - (min_words - k), at[opens[seam]] - (w - 1)), 0)
+            hi = np.minimum(at[seam], at[closes[seam]] - (min_words - k - (w - 1)))
+            spans: list[int] = []
+            for a, b in sorted(zip(lo.tolist(), (hi + 1).tolist())):
+                if a < b and spans and a <= spans[-1]:
+                    spans[-1] = max(spans[-1], b)
+                elif a < b:
+                    spans += [a, b]
+            keys = W.mix(seed.view(np.uint64)[pair] * np.uint64(3) + W.mix(seed.view(np.uint64)[pair + 1])).view(np.int64)
+            one = lambda m: g.column("id").take(pa.array(np.zeros(m, np.int64)))
+            size = len(pair) + bool(spans)
+            none = [None] * (size - len(pair))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.tolist() + none, pa.int64()), one(size),
+                 *(pa.array(v[pair].tolist() + none, pa.int32()) for v in (at, byte)),
+                 pa.array([None] * len(pair) + [spans] * len(none), pa.list_(pa.int32()))],
+                ["seed", "id", "word", "byte", "spans"])
+    return run
+
+
+def _window_rows(min_words: int):
+    """The windows of ``min_words`` words that begin in the spans, as seeds are written."""
+    def run(batches):
+        for batch in batches:
+            spans = batch.column("spans").to_pylist()
+            for sl in W.slices(batch.column("text")):
+                h = sl.hashes()
+                rows, words, keys = [], [], []
+                for r in range(sl.hi - sl.lo):
+                    a, b = int(sl.first[r]), int(sl.first[r + 1])
+                    own = spans[sl.lo + r]
+                    for lo, hi in zip(own[::2], own[1::2]):
+                        lo, hi = a + lo, min(a + hi, b - min_words + 1)
+                        if lo < hi:
+                            keys.append(_long_hash(h[lo:hi + min_words - 1], min_words))
+                            words.append(np.arange(lo, hi))
+                            rows.append(np.full(hi - lo, r))
+                if rows:
+                    row, at = np.concatenate(rows), np.concatenate(words)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys).view(np.int64)), batch.column("id").take(pa.array(sl.lo + row)),
+                         pa.array((at - sl.first[row]).astype(np.int32)),
+                         pa.array((sl.start[at] - sl.offsets[row]).astype(np.int32))],
+                        ["seed", "id", "word", "byte"])
+    return run
+
+
+def _long_hash(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` words in a row, whatever ``n``."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(h) - n + 1, np.uint64)
+        for j in range(n):
+            out = out * _FACTOR + h[j:j + len(out)]
+        return W.mix(out)
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _chain_rows(k: int):
     def run(batches):
         keep: dict[str, list] = {n: [] for n in ("id", "src", "lo", "hi", "slo", "shi", "at", "sat")}
@@ -330,13 +414,26 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     first = (seeds().groupBy("seed").agg(F.min("id").alias("src"), F.max("id").alias("last"))
              .where("src <> last").select("seed", "src"))
     shared, shared_at = stash(seeds().join(first.hint("shuffle_hash"), "seed"), "seeds")
-    origin = (shared.where("id = src").groupBy("seed").agg(F.min(F.struct("word", "byte")).alias("o"))
-              .select("seed", F.col("o.word").alias("sword"), F.col("o.byte").alias("sbyte")))
-    matches = (shared.where("id <> src").join(origin, "seed").select("id", "src", "word", "sword", "byte", "sbyte")
+    origin = lambda of: (of.where("id = src").groupBy("seed").agg(F.min(F.struct("word", "byte")).alias("o"))
+                         .select("seed", F.col("o.word").alias("sword"), F.col("o.byte").alias("sbyte")))
+    columns = ["id", "src", "word", "sword", "byte", "sbyte"]
+    placed = shared.join(origin(shared), "seed")
+    seams, seams_at = stash(placed.repartition("id").sortWithinPartitions("id", "word").mapInArrow(
+        _seams(k, window, min_words), f"seed bigint, id {kind}, word int, byte int, spans array<int>"), "seams")
+    spans = seams.where("spans is not null").select("id", "spans")
+    longer = (seams.where("spans is null").drop("spans")
+              .unionByName(spans.join(own, "id").select("id", "text", "spans").mapInArrow(
+                  _window_rows(min_words), f"seed bigint, id {kind}, word int, byte int")))
+    longer, longer_at = stash(longer, "longer")
+    least = (longer.groupBy("seed").agg(F.min("id").alias("src"), F.max("id").alias("last"))
+             .where("src <> last").select("seed", "src"))
+    rest = longer.join(least.hint("shuffle_hash"), "seed")
+    matches = (placed.where("id <> src").select(*columns)
+               .unionByName(rest.join(origin(rest), "seed").where("id <> src").select(*columns))
                .repartition("id").sortWithinPartitions("id", "src", "word", "sword"))
     found, found_at = stash(matches.mapInArrow(
         _chain_rows(k), f"id {kind}, src {kind}, lo int, hi int, slo int, shi int, at array<int>, sat array<int>"), "chains")
-    drop(docs.sparkSession, shared_at)
+    drop(docs.sparkSession, shared_at, seams_at, longer_at)
 
     bytes_of = lambda lo, hi: F.expr(f"cast(substring(cast(text as binary), {lo} + 1, {hi} - {lo}) as string)")
     sources = found.join(own.withColumnRenamed("id", "src"), "src").withColumn("spart", bytes_of("slo", "shi")).drop("text")
