@@ -99,3 +99,20 @@ def test_passages_made_of_parts_that_earlier_documents_hold(spark):
     assert pairs <= {(r["doc_id"], r["source_id"]) for r in got}
     assert all(r["equal_words"] >= 60 for r in got if (r["doc_id"], r["source_id"]) in pairs and r["doc_id"] % 10 == 4)
     assert not {r["doc_id"] for r in got} & {i for i, _ in rows if i % 10 < 4}
+
+
+def test_long_words_and_frequent_edits(spark):
+    rng = np.random.default_rng(17)
+    text = lambda n, size=1: [f"{'u' * size}{x}" for x in rng.integers(0, 10**9, n)]
+    rows, equal = [], {}
+    for g, (size, every) in enumerate([(60, 0), (200, 0), (700, 0), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (1, 10)] * 4):
+        n = 52 if not every else 75
+        p = text(n, size)
+        edited = [f"e{g}x{i}" if every and i % every == 2 else x for i, x in enumerate(p)]
+        rows += [(2 * g, " ".join(text(60) + p + text(60))), (2 * g + 1, " ".join(text(60) + edited + text(60)))]
+        equal[2 * g + 1] = sum(a == b for a, b in zip(p, edited))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in S.repeated_passages(docs).collect()}
+    assert set(got) == set(equal)
+    for i, n in equal.items():
+        assert got[i]["source_id"] == i - 1 and n - 4 <= got[i]["equal_words"] <= n

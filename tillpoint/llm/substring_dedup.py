@@ -1,9 +1,10 @@
 """Substring dedup by collinear chaining: passages that repeat, also with edits,
 across documents.
 
-1. *Seeds.*  Of every ``w`` consecutive ``k``-word shingles of a text the one with the
-   least hash is kept (winnowing), so two texts that share a run of ``k + w - 1``
-   words share a seed, and a seed costs about ``2 / (w + 1)`` rows a word.
+1. *Seeds.*  A shingle is ``k`` words with one word left open in their middle, which fits
+   between words changed at any regular distance of four or more.  Of every ``w``
+   consecutive shingles the one with the least hash is kept (winnowing); with ``w = 1``
+   that is every shingle.
 2. *Matches.*  Each seed is joined with its first occurrence (the least document id).
    That is one match a row, however many documents share the seed: the first document
    with a passage keeps it, the later ones repeat it.
@@ -16,8 +17,9 @@ across documents.
    chains under a linear gap cost.
 4. *Alignment.*  Of each chain the two byte ranges are cut out of the texts, aligned
    word by word between the chain's points and extended at both ends as long as the
-   score does not drop by ``DROP``.  The best-scoring parts with at least
-   ``min_words`` equal words are the repeated passages.
+   score does not drop by ``DROP``; where a range ends before that, a wider one is cut
+   out.  The best-scoring parts with at least ``min_words`` equal words are the repeated
+   passages.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ from pyspark.sql import functions as F
 from tillpoint.llm import words as W
 from tillpoint.llm.io import drop, stash
 
-K, WINDOW, MIN_WORDS = 6, 14, 50
-#: Seeds that a document must share with a source (a run of ``MIN_WORDS`` has three).
-MIN_SEEDS = 2
-#: Bytes of text beside a chain that its alignment may be extended over.
-MARGIN = 512
+K, WINDOW, MIN_WORDS = 6, 1, 50
+#: Of a run of equal shingles (one word again and again) one in so many is a seed.
+SAME = 14
+#: Bytes of text beside a chain that are cut out first, and the factor by which they grow
+#: while an extension reaches the cut.
+MARGIN, WIDER = 512, 16
 #: Words between matches of one diagonal that still belong to one block.
 BLOCK_GAP = 2 * (K + WINDOW)
-#: Per word skipped on either side; small, as seeds alone leave gaps of up to ``WINDOW`` words.
+#: Per word skipped on either side; small, as edits leave gaps between the seeds.
 GAP_COST = 0.05
 MISMATCH, DROP = 2, 12
 
@@ -53,25 +56,30 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
     least = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
     padded = np.concatenate([np.zeros(w - 1, h.dtype), least, np.zeros(w - 1, h.dtype)])
     chosen = np.lib.stride_tricks.sliding_window_view(padded, w).max(axis=1) == h
-    # of a run of equal hashes (one word again and again) every w-th place will do
+    # of a run of equal hashes (one word again and again) a few places will do
     same = np.concatenate([[False], h[1:] == h[:-1]])
     if same.any():
         place = np.arange(n)
         run = np.maximum.accumulate(np.where(same, 0, place))
-        chosen &= ~same | ((place - run) % w == 0)
+        chosen &= ~same | ((place - run) % max(w, SAME) == 0)
     return np.flatnonzero(chosen)
 
 
+def shingles(h: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of ``k`` words in every ``k + 1``, the middle one left open."""
+    return W.rolling(h, k + 1, tuple(i for i in range(k + 1) if i != k // 2))
+
+
 def _seed_rows(k: int, w: int):
     def run(batches):
         for batch in batches:
             for sl in W.slices(batch.column(1)):
-                rolled = W.rolling(sl.hashes(), k)
+                rolled = shingles(sl.hashes(), k)
                 rows, words = [], []
                 for r in range(sl.hi - sl.lo):
                     a, b = int(sl.first[r]), int(sl.first[r + 1])
-                    if b - a >= k:
-                        at = winnow(rolled[a:b - k + 1], w) + a
+                    if b - a > k:
+                        at = winnow(rolled[a:b - k], w) + a
                         words.append(at)
                         rows.append(np.full(len(at), r))
                 if not rows:
@@ -189,7 +197,7 @@ def _seams(k: int, w: int, min_words: int):
             n = len(at)
             other = pc.not_equal(src.slice(1), src.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (np.diff(at - to) != 0)
             near = np.diff(at) <= w
-            pair = np.flatnonzero(other & (np.diff(at) <= BLOCK_GAP))
+            pair = np.flatnonzero(other & (np.diff(at) <= min_words))
             if not len(pair):
                 continue
             cut = np.flatnonzero(~near) + 1
@@ -256,6 +264,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _chain_rows(k: int):
+    """Chains of each (id, src); ``k`` is the words that a match spans."""
     def run(batches):
         keep: dict[str, list] = {n: [] for n in ("id", "src", "lo", "hi", "slo", "shi", "at", "sat")}
 
@@ -265,11 +274,9 @@ def _chain_rows(k: int):
                  *(pa.array(keep[n], pa.int32()) for n in ("lo", "hi", "slo", "shi")),
                  *(pa.array(keep[n], pa.list_(pa.int32())) for n in ("at", "sat"))], list(keep))
 
-        for g in _groups(batches, MIN_SEEDS):
+        for g in _groups(batches, 1):
             x, y, bx, by = (g.column(n).to_numpy().astype(np.int64) for n in ("word", "sword", "byte", "sbyte"))
-            found = chains(x, y, k)
-            strong = [c for c in found if sum(map(len, c)) >= MIN_SEEDS]
-            for chain in strong or found[:1]:
+            for chain in chains(x, y, k):
                 points = np.concatenate([b[[0, -1]] if len(b) > 1 else b for b in chain])
                 at, sat = bx[points], by[points]
                 keep["id"].append(g.column("id").slice(0, 1))
@@ -295,6 +302,26 @@ def _extend(equal: np.ndarray) -> int:
     return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
 
 
+def _drops(equal: np.ndarray) -> bool:
+    """Whether an extension over these words ends among them."""
+    score = np.cumsum(np.where(equal, 1, -MISMATCH))
+    return bool((score < np.maximum.accumulate(np.maximum(score, 0)) - DROP).any())
+
+
+def _reaches_cut(h: np.ndarray, s: np.ndarray, first: tuple[int, int], last: tuple[int, int], cut: tuple) -> bool:
+    """Whether an extension beyond the first or last point ends only where one of the
+    ranges does, and the text goes on there (``cut``: left and right of h, then of s)."""
+    (i, j), (hl, hr, sl, sr) = first, cut
+    n = min(i, j)
+    ends = (i == n and not hl) or (j == n and not sl)
+    if not ends and not _drops((h[i - n:i] == s[j - n:j])[::-1]):
+        return True
+    i, j = last
+    n = min(len(h) - i, len(s) - j)
+    ends = (len(h) - i == n and not hr) or (len(s) - j == n and not sr)
+    return not ends and not _drops(h[i:i + n] == s[j:j + n])
+
+
 def _run(equal: np.ndarray) -> int:
     """Length of the run of True at the start."""
     return len(equal) if equal.all() else int(equal.argmin())
@@ -362,18 +389,21 @@ def _passage_rows(min_words: int):
 
 
 def _passages(batch: pa.RecordBatch, min_words: int):
+    """Passages; chains whose extension reaches a cut come back with null passages and
+    wider ranges."""
     mine = [(sl, r) for sl in W.slices(batch.column("part")) for r in range(sl.hi - sl.lo)]
     theirs = [(sl, r) for sl in W.slices(batch.column("spart")) for r in range(sl.hi - sl.lo)]
     hashed: dict[int, np.ndarray] = {}
-    rows, out = [], []
+    rows, out, wide, open_rows = [], [], [], []
     meta = [batch.column(n).to_pylist() for n in ("lo", "hi", "slo", "shi", "at", "sat")]
     for row, ((ml, mr), (tl, tr), lo, hi, slo, shi, at, sat) in enumerate(zip(mine, theirs, *meta)):
-        side = []
+        side, cut = [], []
         for sl, r, base, until, points in ((ml, mr, lo, hi, at), (tl, tr, slo, shi, sat)):
             if id(sl) not in hashed:
                 hashed[id(sl)] = sl.hashes()
             a, b = sl.first[r], sl.first[r + 1]
             size = int(sl.offsets[r + 1] - sl.offsets[r])
+            cut += [base > 0, size == until - base]
             # a word that touches a cut may be part of a longer one
             if b > a and base > 0 and sl.start[a] == sl.offsets[r]:
                 a += 1
@@ -384,19 +414,31 @@ def _passages(batch: pa.RecordBatch, min_words: int):
                          np.searchsorted(start, np.array(points) - base)))
         (h, hs, he, p), (s, ss, se, q) = side
         points = [(i, j) for i, j in zip(p.tolist(), q.tolist()) if i < len(h) and j < len(s)]
-        if not points:
+        # a word that begins at a point always ends, if only at the end of the text
+        if len(points) < len(at) or _reaches_cut(h, s, points[0], points[-1], cut):
+            open_rows.append(row)
+            more = WIDER * max(MARGIN, at[0] - lo, hi - at[-1])
+            wide.append((max(0, at[0] - more), at[-1] + more, max(0, sat[0] - more), sat[-1] + more))
             continue
         x, y = align(h, s, points)
         for a, b in parts(x, y, min_words):
             rows.append(row)
             out.append((lo + hs[x[a]], lo + he[x[b - 1]], slo + ss[y[a]], slo + se[y[b - 1]], b - a,
                         x[b - 1] - x[a] + 1))
-    if rows:
-        cols = list(zip(*out))
+    if rows or open_rows:
+        n, m = len(rows), len(open_rows)
+        both = pa.array(rows + open_rows, pa.int64())
+        cols = list(zip(*out)) or [()] * len(PASSAGE)
+        wider = list(zip(*wide)) or [()] * 4
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(rows)), batch.column("src").take(pa.array(rows)),
-             *(pa.array([int(v) for v in c], pa.int32()) for c in cols)],
-            ["doc_id", "source_id", "start_byte", "end_byte", "source_start", "source_end", "equal_words", "n_words"])
+            [batch.column("id").take(both), batch.column("src").take(both),
+             *(pa.array([int(v) for v in c] + [None] * m, pa.int32()) for c in cols),
+             *(pa.array([None] * n + [int(v) for v in c], pa.int32()) for c in wider),
+             *(pa.array([None] * n + [c[r] for r in open_rows], pa.list_(pa.int32())) for c in meta[4:])],
+            ["id", "src", *PASSAGE, "lo", "hi", "slo", "shi", "at", "sat"])
+
+
+PASSAGE = ("start_byte", "end_byte", "source_start", "source_end", "equal_words", "n_words")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int = WINDOW,
@@ -419,7 +461,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     columns = ["id", "src", "word", "sword", "byte", "sbyte"]
     placed = shared.join(origin(shared), "seed")
     seams, seams_at = stash(placed.repartition("id").sortWithinPartitions("id", "word").mapInArrow(
-        _seams(k, window, min_words), f"seed bigint, id {kind}, word int, byte int, spans array<int>"), "seams")
+        _seams(k + 1, max(window, SAME), min_words), f"seed bigint, id {kind}, word int, byte int, spans array<int>"), "seams")
     spans = seams.where("spans is not null").select("id", "spans")
     longer = (seams.where("spans is null").drop("spans")
               .unionByName(spans.join(own, "id").select("id", "text", "spans").mapInArrow(
@@ -431,17 +473,25 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     matches = (placed.where("id <> src").select(*columns)
                .unionByName(rest.join(origin(rest), "seed").where("id <> src").select(*columns))
                .repartition("id").sortWithinPartitions("id", "src", "word", "sword"))
-    found, found_at = stash(matches.mapInArrow(
-        _chain_rows(k), f"id {kind}, src {kind}, lo int, hi int, slo int, shi int, at array<int>, sat array<int>"), "chains")
+    chain = "lo int, hi int, slo int, shi int, at array<int>, sat array<int>"
+    found, _ = stash(matches.mapInArrow(_chain_rows(k + 1), f"id {kind}, src {kind}, {chain}"), "chains")
     drop(docs.sparkSession, shared_at, seams_at, longer_at)
 
     bytes_of = lambda lo, hi: F.expr(f"cast(substring(cast(text as binary), {lo} + 1, {hi} - {lo}) as string)")
-    sources = found.join(own.withColumnRenamed("id", "src"), "src").withColumn("spart", bytes_of("slo", "shi")).drop("text")
-    both = sources.join(own, "id").withColumn("part", bytes_of("lo", "hi")).drop("text")
-    return both.mapInArrow(
-        _passage_rows(min_words),
-        f"doc_id {kind}, source_id {kind}, start_byte int, end_byte int, source_start int, source_end int, "
-        "equal_words int, n_words int")
+    names = [c.split()[0] for c in chain.split(", ")]
+    passages = None
+    while True:
+        sources = found.join(own.withColumnRenamed("id", "src"), "src").withColumn("spart", bytes_of("slo", "shi")).drop("text")
+        both = sources.join(own, "id").withColumn("part", bytes_of("lo", "hi")).drop("text")
+        made, _ = stash(both.mapInArrow(
+            _passage_rows(min_words),
+            f"id {kind}, src {kind}, " + ", ".join(f"{c} int" for c in PASSAGE) + f", {chain}"), "passages")
+        new = made.where("start_byte is not null").select(F.col("id").alias("doc_id"), F.col("src").alias("source_id"), *PASSAGE)
+        passages = new if passages is None else passages.unionByName(new)
+        found = made.where("start_byte is null").select("id", "src", *names)
+        # ranges grow until they hold the texts, so the rounds end
+        if found.isEmpty():
+            return passages
 
 
 def _cut(batches):
