@@ -120,3 +120,33 @@ def test_warc_chain_ends_at_a_damaged_record(spark):
         f.write(b"junk" + record("one"))
     got = warc.read_warc(spark, d).collect()
     assert sorted((r["offset"], r["block_bytes"]) for r in got) == [(0, 3), (len(record("one")), 3)]
+
+
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version %s of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
+def test_notices_with_marks_inside(spark):
+    cases = {GPL % 3: "GPL-3.0", (GPL % 2).replace("software:", "software;"): "GPL-2.0", MPL: "MPL-2.0", "License: MIT": "MIT",
+             "License: Apache 2.0": "Apache-2.0"}
+    spdx = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD-3-Clause", "BSD-2-Clause": "BSD-2-Clause",
+            "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0",
+            "MPL-2.0": "MPL-2.0"}
+    for name, licence in spdx.items():
+        cases[f"SPDX-License-Identifier: {name}"] = licence
+        cases[f"#!/bin/sh\n// SPDX-License-Identifier: {name}\nimport os\n"] = licence
+        cases[f"SPDX-License-Identifier:{name}"] = licence
+    cases["This software needs version 2.0"] = ""
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())

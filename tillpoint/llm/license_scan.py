@@ -78,20 +78,37 @@ SENTENCES = {
                   "granted provided that the above copyright notice and this permission notice appear in all copies"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "reserved": ["all rights reserved"],
+    # parts of sentences that hold a mark at which texts are split
+    "spdx": ["spdx license identifier", "license"],
+    "mit-id": ["mit"], "apache-id": ["apache 2 0"], "bsd-id": ["bsd 3 clause"], "bsd2-id": ["bsd 2 clause"],
+    "gpl3-id": ["gpl 3 0 only", "gpl 3 0 or later"], "gpl2-id": ["gpl 2 0 only", "gpl 2 0 or later"], "mpl-id": ["mpl 2 0"],
+    "gpl-program": ["this program is free software"],
+    "gpl-terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+                  "free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2-terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+                   "free software foundation either version 2 of the license or at your option any later version"],
+    "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl-implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "mpl-head": ["this source code form is subject to the terms of the mozilla public license v"], "mpl-number": ["2 0"],
 }
 
 #: Ordered rules (family, licence, identifiers in order); the first of a family wins.
 RULES = (
     ("mit", "MIT", ["mit-grant", "mit-notice", "mit-asis"]), ("mit", "MIT", ["mit-name", "mit-grant"]),
-    ("mit", "MIT", ["mit-ref"]),
+    ("mit", "MIT", ["mit-ref"]), ("mit", "MIT", ["spdx", "mit-id"]),
     ("apache", "Apache-2.0", ["apache-ref", "apache-use", "apache-copy", "apache-asis"]),
     ("apache", "Apache-2.0", ["apache-name", "apache-use"]), ("apache", "Apache-2.0", ["apache-ref"]),
+    ("apache", "Apache-2.0", ["spdx", "apache-id"]),
     ("bsd", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("bsd", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]), ("bsd", "BSD-2-Clause", ["bsd2-ref"]),
-    ("bsd", "BSD-3-Clause", ["bsd-ref"]),
+    ("bsd", "BSD-3-Clause", ["bsd-ref"]), ("bsd", "BSD-2-Clause", ["spdx", "bsd2-id"]), ("bsd", "BSD-3-Clause", ["spdx", "bsd-id"]),
     ("gpl", "GPL-3.0", ["gpl-free", "gpl-warranty"]), ("gpl", "GPL-2.0", ["gpl2-free", "gpl-warranty"]),
+    ("gpl", "GPL-3.0", ["gpl-program", "gpl-terms", "gpl-hope", "gpl-implied"]),
+    ("gpl", "GPL-2.0", ["gpl-program", "gpl2-terms", "gpl-hope", "gpl-implied"]),
     ("gpl", "GPL-3.0", ["gpl3-ref"]), ("gpl", "GPL-2.0", ["gpl2-ref"]),
+    ("gpl", "GPL-3.0", ["spdx", "gpl3-id"]), ("gpl", "GPL-2.0", ["spdx", "gpl2-id"]),
     ("lgpl", "LGPL", ["lgpl-ref"]), ("agpl", "AGPL-3.0", ["agpl-ref"]), ("mpl", "MPL-2.0", ["mpl-ref"]),
+    ("mpl", "MPL-2.0", ["mpl-head", "mpl-number"]), ("mpl", "MPL-2.0", ["spdx", "mpl-id"]),
     ("cc", "CC-BY-NC-ND-4.0", ["cc-by-nc-nd"]), ("cc", "CC-BY-NC-SA-4.0", ["cc-by-nc-sa"]), ("cc", "CC-BY-NC-4.0", ["cc-by-nc"]),
     ("cc", "CC-BY-SA-4.0", ["cc-by-sa"]), ("cc", "CC-BY-4.0", ["cc-by"]), ("cc0", "CC0-1.0", ["cc0"]),
     ("isc", "ISC", ["isc-grant"]), ("unlicense", "Unlicense", ["unlicense"]),
