@@ -1,7 +1,7 @@
 """Token counts and packing: exactly the tokenizers library's ids and counts."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -129,3 +129,41 @@ def test_targets_hold_while_the_sources_last():
     for k in (0, 7, 59):
         a = packing.taken(k + 1, ph.low[0], ph.high[0]) - packing.taken(k, ph.low[0], ph.high[0])
         assert abs(a - 512) <= 1
+
+
+@pytest.mark.parametrize("totals,targets", [([100] * 5000, None), ([200000] + [40] * 3500, None), ([3 ** i for i in range(12)], None),
+                                            ([500] * 3000, [1.0] * 3000), ([90000, 4000, 30, 7], [1, 1e-3, 1e-4, 1e-7])])
+def test_small_sources_are_placed_once(totals, targets):
+    test_plan_places_every_token_once(totals, targets)
+
+
+@pytest.mark.parametrize("targets", [None, "equal"])
+def test_small_sources_are_mixed(spark, targets):
+    sources = 3000
+    rows = [(i, "a b c d e f g h i j k l m n o p q r s"[:2 * 19 - 1], f"s{i % sources}") for i in range(3 * sources)]
+    rows += [(10**6 + i, "x " * 2000, "hot") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    weights = None if targets is None else {"hot": 1.0} | {f"s{i}": 1 / 3000 for i in range(sources)}
+    got = packing.pack(docs, targets=weights).collect()
+    windows, total = defaultdict(set), Counter()
+    hot = Counter()
+    for r in got:
+        s = "hot" if r["doc_id"] >= 10**6 else f"s{r['doc_id'] % sources}"
+        windows[s].add(r["sequence_id"])
+        total[r["sequence_id"]] += r["length"]
+        hot[r["sequence_id"]] += r["length"] * (s == "hot")
+    n = max(total) + 1
+    assert all(total[i] == packing.WIDTH for i in range(n - 1))
+    share = sum(hot.values()) / sum(total.values()) if targets is None else 0.5
+    for i in range(n // 3):                           # every window is at the target shares
+        assert abs(hot[i] - share * packing.WIDTH) < 2.5, i
+    for s in windows:
+        if s != "hot":                                # from the first windows on to the last ones
+            assert min(windows[s]) < n / 8 and len(windows[s]) > 15, s
+
+
+def test_a_target_of_a_small_source_counts(spark):
+    docs = spark.createDataFrame([(i, "a b c d", f"s{i}") for i in range(1100)] + [(2000 + i, "x " * 300, "big") for i in range(50)]
+                                 + [(5000, "y y y", "least")], "doc_id bigint, text string, source string")
+    got = packing.pack(docs, targets={"big": 0.999, "least": 0.001}).collect()
+    assert min(r["sequence_id"] for r in got if r["doc_id"] == 5000) == 0

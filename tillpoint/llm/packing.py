@@ -8,6 +8,11 @@ where ``G`` are the running sums of the shares: the deficits in closed form.  So
 window and its place there follow from the place of its tokens in the queue, and every
 task packs its own documents, whatever the number of partitions.
 
+This needs shares of a token at least.  Queues with less form a pool, which is one queue
+(the first, so its share may be of any size).  The pool's stream is dealt in the same way
+over windows that are wide enough for the greatest of its members and those of half its
+size; the others form the next pool.  So every source has its queue, however small.
+
 When a queue can not fill its share of another window, its rest goes to a tail and the
 others' shares grow in proportion; the tails fill the last windows.  All windows are full
 but the last one, whose length is padded to ``width`` unless it is a power of two.
@@ -33,8 +38,8 @@ from tillpoint.llm.io import stash
 
 WIDTH = 2048
 END = 1
-#: Shares are counted in parts of a token, so that they are exact integers.
-PART = 1 << 20
+#: Shares by targets are counted in parts of a token, so that they are exact integers.
+PART = 1 << 40
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -159,6 +164,7 @@ class Phase(NamedTuple):
     begin: dict[int, int]
     low: dict[int, int]
     high: dict[int, int]
+    unit: int = PART
 
 
 class Plan(NamedTuple):
@@ -167,33 +173,57 @@ class Plan(NamedTuple):
     tail_at: dict[int, int]         # place of that in the tail stream
     tail_window: int
     total: int
+    members: frozenset = frozenset()     # queues of the pool, how it is dealt, and its width
+    pool: Plan | None = None
+    pool_width: int = 0
+
+
+#: The pool's number among the queues.
+POOL = -1
 
 
-def taken(k: int, low: int, high: int) -> int:
-    """Tokens that a queue has given after ``k`` windows of a phase."""
-    return k * high // PART - k * low // PART
+def taken(k: int, low: int, high: int, unit: int = PART) -> int:
+    """Tokens that a queue has given after ``k`` windows of a phase.  It never falls if the
+    share is of a token at least, or ``low`` is 0."""
+    return k * high // unit - k * low // unit
 
 
 def plan(totals: list[int], targets: list[float] | None = None, width: int = WIDTH) -> Plan:
     """The phases for queues of these lengths; shares in proportion to ``targets``, or to
-    the lengths.  A queue takes part while it has a share of at least one token."""
-    left = dict(enumerate(totals))
-    weight = {q: float(t if targets is None else targets[q]) for q, t in left.items()}
-    begin = dict.fromkeys(left, 0)
+    the lengths.  Queues with a share of less than a token are dealt as a pool."""
+    weights = totals if targets is None else targets
+    return _plan(dict(enumerate(totals)), {q: float(w) for q, w in enumerate(weights)}, width)
+
+
+def _plan(left: dict[int, int], weight: dict[int, float], width: int) -> Plan:
+    total, left, weight = sum(left.values()), dict(left), dict(weight)
     active = [q for q in left if left[q] > 0 and weight[q] > 0]
+    whole = sum(weight[q] for q in active)
+    members = frozenset(q for q in active if weight[q] * width < whole)
+    pool, pool_width = None, 0
+    if members:
+        some = sum(weight[q] for q in members)
+        pool_width = int(2 * some / max(weight[q] for q in members)) + 1
+        pool = _plan({q: left[q] for q in members}, {q: weight[q] for q in members}, pool_width)
+        # the pool comes first
+        left = {POOL: pool.total} | {q: n for q, n in left.items() if q not in members}
+        weight[POOL] = some
+        active = [POOL, *(q for q in active if q not in members)]
+    begin = dict.fromkeys(left, 0)
     phases, window = [], 0
     while active:
         whole = sum(weight[q] for q in active)
-        small = [q for q in active if weight[q] * width < whole]
-        if small:
-            active.remove(min(small, key=lambda q: weight[q]))
-            continue
         low, high, run = {}, {}, 0.0
         for q in active:
             low[q] = round(run / whole * width * PART)
             run += weight[q]
             high[q] = width * PART if q == active[-1] else round(run / whole * width * PART)
-        count = min((left[q] + 1) * PART // (high[q] - low[q]) + 1 for q in active)
+        if high[active[0]] == 0:             # less than a token in 2^40 windows
+            active = active[1:]
+            continue
+        # the pool's share may be far below a token, but it gives floor(k * share)
+        count = min(((left[q] + 1) * PART - 1) // high[q] if low[q] == 0 else (left[q] + 1) * PART // (high[q] - low[q]) + 1
+                    for q in active)
         while count and any(taken(count, low[q], high[q]) > left[q] for q in active):
             count -= 1
         if count:
@@ -204,37 +234,37 @@ def plan(totals: list[int], targets: list[float] | None = None, width: int = WID
                 left[q] -= t
             window += count
         # whoever can not fill another share leaves
-        gone = [q for q in active if left[q] * PART < high[q] - low[q]]
+        gone = [q for q in active if left[q] * PART < high[q] - low[q] or not left[q]]
         active = [q for q in active if q not in (gone or active[:1])]
     at, tail_at = 0, {}
     for q in left:
         tail_at[q] = at
         at += left[q]
-    return Plan(phases, begin, tail_at, window, sum(totals))
+    return Plan(phases, begin, tail_at, window, total, members, pool, pool_width)
 
 
 def place_tokens(p: Plan, queue: int, begin: int, end: int, width: int = WIDTH) -> list[tuple[int, int, int, int]]:
     """Pieces of the tokens ``begin:end`` of a queue: ``(first, length, window, offset)``,
     the first counted from ``begin``."""
+    if queue in p.members:
+        return _through_pool(place_tokens(p.pool, queue, begin, end, p.pool_width), p.pool_width, p, width)
     out = []
     for ph in p.phases:
         if queue not in ph.begin:
             continue
-        low, high, base = ph.low[queue], ph.high[queue], ph.begin[queue]
-        a, b = max(begin, base) - base, min(end, base + taken(ph.count, low, high)) - base
-        if a >= b:
-            continue
-        k = max(0, a * PART // (high - low) - 2)
-        while taken(k + 1, low, high) <= a:
-            k += 1
+        low, high, base, unit = ph.low[queue], ph.high[queue], ph.begin[queue], ph.unit
+        a, b = max(begin, base) - base, min(end, base + taken(ph.count, low, high, unit)) - base
         while a < b:
-            t = taken(k + 1, low, high)
-            n = min(b, t) - a
-            if n > 0:
-                front = (k + 1) * low // PART - k * low // PART
-                out.append((a + base - begin, n, ph.window + k, front + a - taken(k, low, high)))
-                a += n
-            k += 1
+            # the window that gives token a, at most two windows from where its share would
+            k = max(0, a * unit // (high - low) - 2)
+            if low == 0:
+                k = max(0, -(-(a + 1) * unit // high) - 1)
+            while taken(k + 1, low, high, unit) <= a:
+                k += 1
+            n = min(b, taken(k + 1, low, high, unit)) - a
+            front = (k + 1) * low // unit - k * low // unit
+            out.append((a + base - begin, n, ph.window + k, front + a - taken(k, low, high, unit)))
+            a += n
     base = p.tail_begin[queue]
     a = max(begin, base)
     while a < end:
@@ -245,14 +275,51 @@ def place_tokens(p: Plan, queue: int, begin: int, end: int, width: int = WIDTH)
     return out
 
 
+def _through_pool(pieces, pool_width: int, p: Plan, width: int) -> list[tuple[int, int, int, int]]:
+    """Pieces placed in a pool's stream, placed where the pool is dealt to."""
+    out: list[tuple[int, int, int, int]] = []
+    for first, length, window, offset in pieces:
+        at = window * pool_width + offset
+        out += [(first + f, n, w, o) for f, n, w, o in place_tokens(p, POOL, at, at + length, width)]
+    return out
+
+
+class Level(NamedTuple):
+    """Queues dealt in proportion to their lengths, without targets: ``total`` tokens over
+    windows of ``width``, the next level's being the first ``pool`` of them."""
+
+    total: int
+    width: int
+    pool: int
+
+
+def place_level(levels: list[Level], level: int, low: int, high: int, begin: int, end: int) -> list[tuple[int, int, int, int]]:
+    """As ``place_tokens``, for the queue of the tokens ``low:high`` of a level.  Nothing is
+    rounded here, so one phase holds all windows."""
+    def one(v: Level, q: int, low: int, high: int) -> Plan:
+        count = v.total // v.width
+        low, high = low * v.width, high * v.width
+        gone = taken(count, low, high, v.total)
+        return Plan([Phase(0, count, {q: 0}, {q: low}, {q: high}, v.total)], {q: gone},
+                    {q: low // v.width - count * low // v.total}, count, v.total)
+
+    pieces = place_tokens(one(levels[level], 0, low, high), 0, begin, end, levels[level].width)
+    for i in range(level - 1, -1, -1):
+        v = levels[i]
+        pieces = _through_pool(pieces, levels[i + 1].width, one(v, POOL, 0, v.pool), v.width)
+    return pieces
+
+
 def _piece_rows(shared, width: int):
     def run(batches):
         p = shared.value
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
-            for row, (queue, at, n, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "at", "tokens", "ids")))):
+            for row, (queue, low, high, at, n, raw) in enumerate(zip(*(
+                    batch.column(c).to_pylist() for c in ("queue", "low", "high", "at", "tokens", "ids")))):
                 ids = np.frombuffer(raw, "<u2").astype("<u4")
-                for first, length, window, offset in place_tokens(p, queue, at, at + n, width):
+                for first, length, window, offset in (place_tokens(p, queue, at, at + n, width) if isinstance(p, Plan)
+                                                      else place_level(p, queue, low, high, at, at + n)):
                     for c, v in zip(cols, (row, first, length, zlib.crc32(ids[first:first + length].tobytes()), n, window, offset)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -261,8 +328,38 @@ def _piece_rows(shared, width: int):
     return run
 
 
-#: Most queues; sources beyond share the last queue, so the plan has a fixed size.
-MAX_QUEUES = 1024
+#: Parts that the table of sources is summed up in, per level.
+SUMS = 256
+
+
+def _levels(sizes: DataFrame, width: int) -> tuple[list[Level], DataFrame]:
+    """The levels, and each source's level and place there.  What is collected grows with
+    the logarithm of the sizes, not with the number of sources."""
+    wide = sizes.agg(F.sum("n")).first()[0] or 0
+    # log2 of the length; the longest are dealt directly
+    kind = F.when(F.col("n") * width >= wide, F.lit(64)).otherwise(F.length(F.bin("n")))
+    sized = sizes.withColumn("kind", kind).withColumn("part", F.pmod(F.xxhash64("source"), F.lit(SUMS)))
+    sums = sorted((-r["kind"], r["part"], r["n"], r["most"]) for r in sized.groupBy("kind", "part")
+                  .agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect())
+    levels, rows, left = [], [], wide
+    for k in sorted({r[0] for r in sums} | {-64}):
+        own = [r for r in sums if r[0] == k]
+        if not levels:
+            level_width = width
+        else:
+            level_width = 2 * left // max(r[3] for r in own) + 1
+        at = left - sum(r[2] for r in own)
+        levels.append(Level(left, level_width, at))
+        left = at
+        for _, part, n, _ in own:
+            rows.append((-k, part, len(levels) - 1, at))
+            at += n
+    starts = sizes.sparkSession.createDataFrame(rows, "kind int, part bigint, queue int, front bigint")   # 64 * SUMS rows at most
+    before = Window.partitionBy("kind", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (sized.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(starts), ["kind", "part"])
+              .select(F.col("source").alias("qsource"), "queue", (F.col("front") + F.col("inside")).alias("low"), "n")
+              .select("qsource", "queue", "low", (F.col("low") + F.col("n")).alias("high")))
+    return levels, placed
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, width: int = WIDTH, targets: dict | None = None,
@@ -284,22 +381,27 @@ def pack(docs: DataFrame, vocabulary: str | None = None, width: int = WIDTH, tar
                     .withColumn("task", F.spark_partition_id()), "ids")
     per_task = rows.groupBy("task", "source").agg(F.sum("tokens").alias("n"))
     sizes = per_task.groupBy("source").agg(F.sum("n").alias("n"))
-    first = sizes.orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1).collect()
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    names = [r["source"] for r in first]
-    lengths = [r["n"] for r in first]
-    rest = total - sum(lengths)
-    weights = None if targets is None else [float(targets.get(s, 0)) for s in names] + [0.0]
-    made = plan([*lengths, rest], weights, width)
-    queue = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "qsource string, queue int")   # MAX_QUEUES rows at most
-    before = Window.partitionBy("queue").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (per_task.join(F.broadcast(queue), F.col("source").eqNullSafe(F.col("qsource")), "left")
-               .withColumn("queue", F.coalesce("queue", F.lit(len(names))))
-               .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-               .select(F.col("task").alias("_task"), F.col("source").alias("_source"), "queue", "base"))
+    if targets is None:
+        made, queue = _levels(sizes, width)
+    else:
+        # as many queues as the caller names, and one for all other sources
+        names = sorted((s for s in targets if targets[s] > 0), key=lambda s: (s is None, s or ""))
+        named = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "qsource string, queue int")
+        have = sizes.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("qsource")))
+        lengths = dict.fromkeys(range(len(names)), 0) | {r["queue"]: r["n"] for r in have.select("queue", "n").collect()}
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        made = plan([*lengths.values(), total - sum(lengths.values())], [*(float(targets[s]) for s in names), 0.0], width)
+        queue = named.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(0).cast("long"))
+    other = F.lit(0 if targets is None else len(names))
+    known = (per_task.join(queue, F.col("source").eqNullSafe(F.col("qsource")), "left")
+             .withColumn("own", F.when(F.col("queue").isNotNull(), F.col("source"))).withColumn("none", F.col("queue").isNull())
+             .withColumn("queue", F.coalesce("queue", other)))
+    before = Window.partitionBy("queue", "own", "none").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (known.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+               .select(F.col("task").alias("_task"), F.col("source").alias("_source"), "queue", "low", "high", "base"))
     offsets, _ = stash(offsets, "offsets")
     shared = spark.sparkContext.broadcast(made)
     at = rows.join(offsets, (F.col("task") == F.col("_task")) & F.col("source").eqNullSafe(F.col("_source")))
-    return at.select("doc_id", "queue", (F.col("base") + F.col("place")).alias("at"), "tokens", "ids").mapInArrow(
+    return at.select("doc_id", "queue", "low", "high", (F.col("base") + F.col("place")).alias("at"), "tokens", "ids").mapInArrow(
         _piece_rows(shared, width),
         f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
