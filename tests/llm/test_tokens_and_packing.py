@@ -167,3 +167,14 @@ def test_a_target_of_a_small_source_counts(spark):
                                  + [(5000, "y y y", "least")], "doc_id bigint, text string, source string")
     got = packing.pack(docs, targets={"big": 0.999, "least": 0.001}).collect()
     assert min(r["sequence_id"] for r in got if r["doc_id"] == 5000) == 0
+
+
+def test_added_tokens_have_their_ids(spark):
+    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    e = "<|endoftext|>"
+    texts = [*TEXTS, f"a {e} x", e, f"a{e}b", f"x  {e}\n\n y", f" {e}{e} ", f"a\u3000 {e}\u3000b", f"<|end{e}oftext|>", f"don't{e}'ll  "]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    got = packing.document_ids(pa.array([*texts, None]), public_tokenizers.path(packing.VOCABULARY))
+    assert [list(g) for g in got] == [*want, []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check_pieces(packing.pack(docs).collect(), {i: [*ids, 1] for i, ids in enumerate(want)})

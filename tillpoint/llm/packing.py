@@ -24,12 +24,14 @@ but the last one, whose length is padded to ``width`` unless it is a power of tw
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ VOCABULARY = "byte_bpe_50k.json"
 @lru_cache(maxsize=1)
 def _encoder(path: str):
     """The byte-level BPE of the file at ``path``; ids as the tokenizers library gives
-    them with its special tokens as ordinary text (tested), from the same vocabulary."""
+    them within a text without added tokens (tested), from the same vocabulary."""
     import json
 
     import tiktoken
@@ -62,13 +64,43 @@ def _encoder(path: str):
     return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def _added(path: str) -> tuple[re.Pattern, dict[str, int]] | None:
+    """The added tokens of the file at ``path``: what finds them, and their ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+    ids = {t["content"]: t["id"] for t in found}
+    return (re.compile("|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True))), ids) if ids else None
+
+
+def document_ids(column: pa.Array, path: str) -> list[np.ndarray]:
+    """Token ids of each text as the tokenizers library gives them with
+    ``add_special_tokens=False``: an added token in a text has an id of its own."""
+    out, added = token_ids(column, path), _added(path)
+    if added is None:
+        return out
+    enc = _encoder(path)
+    held = pc.match_substring_regex(column, "|".join(re.escape(c) for c in added[1]))
+    for r in np.flatnonzero(pc.fill_null(held, False).to_numpy(zero_copy_only=False)).tolist():
+        text, ids, at = column[r].as_py(), [], 0
+        for m in added[0].finditer(text):
+            ids += [*enc.encode_ordinary(text[at:m.start()]), added[1][m.group()]]
+            at = m.end()
+        out[r] = np.array(ids + enc.encode_ordinary(text[at:]), np.uint16)
+    return out
+
+
 #: Units kept between slices (with their ids).
 KEPT = 1 << 17
 _kept: dict[int, np.ndarray] = {}
 
 
 def token_ids(column: pa.Array, path: str) -> list[np.ndarray]:
-    """Token ids of each text, without an end.
+    """Token ids of each text, without an end; added tokens are ordinary text.
 
     The splitting pattern never joins text across the start of a run of ASCII white
     space, so a unit (white space and the word behind it) has the same ids wherever it
@@ -142,7 +174,7 @@ def _id_rows(path: str):
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 tokens, places, raw = [], [], []
-                for source, ids in zip(part.column(2).to_pylist(), token_ids(part.column(1), path)):
+                for source, ids in zip(part.column(2).to_pylist(), document_ids(part.column(1), path)):
                     ids = np.append(ids, np.uint16(END))
                     at = place.get(source, 0)
                     place[source] = at + len(ids)
