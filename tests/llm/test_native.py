@@ -150,3 +150,10 @@ def test_notices_with_marks_inside(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["licences"] for r in license_scan.scan(df).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_repeated_page_ids_keep_their_payloads(spark):
+    rows = [(1, "u", "same"), (2, "u", "other"), (3, "u", "same"), (3, "u", "its own"), (3, "u", "other")]
+    got = warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode(), r["refers_to"] or 0) for r in got) == [
+        (1, "same", 0), (2, "other", 0), (3, "its own", 0), (3, "other", 2), (3, "same", 1)]

@@ -51,11 +51,15 @@ def records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: st
     first = (digests.where(f"page_id is not null and payload_bytes >= {min_revisit_bytes}")
              .groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
              .where("n > 1").drop("n"))
+    # repeated ids may have different payloads, so a revisit is known by all three;
     # only ids travel for the digests; written, so that its size is known and Spark does
     # not shuffle the payloads to meet a small table
     revisit, _ = stash(digests.join(first, ["payload_digest", "payload_bytes"]).where("page_id <> refers_to")
-               .select(F.col("page_id").alias("_id"), "refers_to").distinct(), "revisits")
-    return (own.join(revisit, own["page_id"] == revisit["_id"], "left").drop("_id")
+               .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"),
+                       "refers_to").distinct(), "revisits")
+    same = ((own["page_id"] == revisit["_id"]) & (own["payload_digest"] == revisit["_digest"])
+            & (own["payload_bytes"] == revisit["_bytes"]))
+    return (own.join(revisit, same, "left").drop("_id", "_digest", "_bytes")
             .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")))
 
 
