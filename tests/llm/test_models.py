@@ -104,3 +104,11 @@ def test_class_probabilities_sum_to_one(spark):
     f = np.random.default_rng(0).integers(0, lm_maxent.FEATURES, (5, 4))
     total = sum(10 ** model.class_log(f, np.full(5, c)) for c in range(lm_maxent.CLASSES))
     assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_every_place_is_learned_from(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 150)) for _ in range(3)]
+    model, _, _ = lm_maxent.train(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    for sl in lm_maxent.W.slices(lm_maxent.pa.array(texts)):
+        assert (model.weights[model.tokens_of(sl)["features"]] != 0).any(-1).all()
