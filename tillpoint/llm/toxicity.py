@@ -1,10 +1,11 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional models with interpolated absolute discounting.
 
 Two models are counted, one on toxic and one on ordinary labelled documents.  A word's
 probability is interpolated, with absolute discounting, over its orders: the whole word,
 then its stems of 9, 7, 6, 5 and 4 bytes, then one for all.  What a class has not seen often
 enough at an order is left to the order below, and how a lower order is shared out among
-the higher one's expressions is counted over both classes together.  So a rare expression
+the higher one's expressions is counted over both classes together, in tokens (not in
+distinct expressions, as Kneser-Ney does).  So a rare expression
 is as toxic as its stem, and one that is rare in all orders has the same probability in
 both classes.  A document's score is the difference of its two log-likelihoods,
 normalised by its length, and its most telling word, through a logistic curve.
