@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.llm import license_scan, line_quality, lm_maxent, packing, toxicity, warc
+from tillpoint.llm import conversation_trie, hard_negatives, language_id, license_scan, line_quality, lm_maxent, packing, toxicity, warc
 from tillpoint.llm.decontaminate import contaminated
 from tillpoint.llm.io import shared_path
 from tillpoint.llm.jaccard_join import jaccard_components
@@ -92,3 +92,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_nodes(load(spark, sf_dir, "conversations"))
+
+
+ORACLE["op11_conversation_trie"] = conversation_trie.SQL
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(load(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op13_hard_negatives"] = hard_negatives.SQL
