@@ -62,3 +62,58 @@ def test_runtime_error_is_logged_and_others_go_on(spark):
 
 def rows_error(log, i):
     return log.where(f"index = {i}").first().error
+
+
+def test_a_query_that_never_ends_is_cancelled_and_delays_nobody(spark):
+    """Two threads: the endless query holds one until its limit, the others use the other."""
+    import time
+
+    endless = "SELECT sum(a.id * b.id) FROM range(10000000000) a JOIN range(10000000000) b ON a.id % 7 = b.id % 7"
+    t0 = time.perf_counter()
+    res, log = Q.run_batch(spark, [endless, "SELECT 1 AS x", "SELECT x FROM nowhere", "SELECT 2 AS x", "SELECT 3 AS x"], timeout=6, workers=2)
+    took = time.perf_counter() - t0
+    rows = log.orderBy("index").collect()
+    assert [r.status for r in rows] == ["timeout", "ok", "error", "ok", "ok"] and list(res) == [1, 3, 4]
+    assert [res[i].first().x for i in res] == [1, 2, 3]
+    assert rows[0].error == "Query 1 timed out after 6.0s" and rows[0].row_count == 0
+    assert 6000 <= rows[0].duration_ms < 14000 and took < 20
+    assert max(r.duration_ms for r in rows[1:]) < 6000
+    assert Q.run_rollup(log).first().queries_failed == 2
+    time.sleep(0.5)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert Q.guarded(spark, "SELECT 1 AS x")[1].first().x == 1          # the session is as before
+
+
+def test_waiting_is_no_part_of_the_duration_or_the_limit(spark):
+    """One thread: queries that wait longer than the limit still run."""
+    slow = "SELECT sum(a.id * b.id) FROM range(10000000000) a JOIN range(10000000000) b ON a.id % 7 = b.id % 7"
+    res, log = Q.run_batch(spark, [slow, slow, "SELECT 1 AS x"], timeout=3, workers=1)
+    rows = log.orderBy("index").collect()
+    assert [r.status for r in rows] == ["timeout", "timeout", "ok"] and list(res) == [2] and rows[2].duration_ms < 3000
+    none, empty = Q.run_batch(spark, ["  ", ""], timeout=1)
+    assert none == {} and empty.count() == 0
+    _, free = Q.run_batch(spark, ["SELECT 1"], timeout=None)
+    assert free.first().status == "ok"
+
+
+def test_batch_preview_and_trim(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, s string").orderBy("id")
+    bad = spark.createDataFrame([("x",)], "s string").selectExpr("cast(s as int) as i")
+    got = Q.batch_preview(spark, [t, bad, None, ValueError("no"), t.limit(0)], max_rows=2).first().preview
+    assert got == '{"results":[{"rows":[{"id":1,"s":"a"},{"id":2,"s":"b"}]},{"rows":[]},{"rows":[]},{"rows":[]},{"rows":[]}]}'
+    row = '{"id":1,"s":"a"}'
+    cut = lambda text, *a: spark.createDataFrame([(text,)], "p string").select(Q.trim_preview("p", *a)).first()[0]
+    many = '{"rows":[' + ",".join([row] * 5) + "]}"
+    assert cut(many, 2) == '{"rows":[' + row + "," + row + "]}"
+    assert cut(many, 40, 2 * (len(row) + 1)) == cut(many, 2) and cut(many, 40, 3) == '{"rows":[]}'
+    assert cut('{"results":[' + many + ',{"rows":[]},"odd"]}', 1) == '{"results":[{"rows":[' + row + ']},{"rows":[]},{"rows":[]}]}'
+    assert cut("no json") == "no json" and cut(None) is None and cut('{"x":1}') == '{"x":1}'
+
+
+def test_query_summary_names_the_first_five_columns(spark):
+    rows = [("SELECT a FROM t GROUP BY a ORDER BY a LIMIT 3", '{"rows":[{"a":1,"b":2,"c":3,"d":4,"e":5,"f":6}]}'),
+            ("select 1", '{"rows":[]}'), ("select 1", "broken"), ("", '{"rows":[{"a":1}]}'), (None, None), ("select 1", '{"rows":[7]}')]
+    got = [r[0] for r in spark.createDataFrame(rows, "q string, p string").select(Q.query_summary("q", "p")).collect()]
+    plain = "read-only analytical query; grouped=False, ordered=False, limited=False"
+    assert got == ["analytical select with columns [a, b, c, d, e]; grouped=True, ordered=True, limited=True", plain, plain,
+                   "multi-query KPI and trend summary", "multi-query KPI and trend summary", plain]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
+import uuid
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ FORBIDDEN = ("insert ", "update ", "delete ", "drop ", "alter ", "create ", "att
              "pragma ", "call ")
 # The hint appended to conversion errors.
 CONVERSION_HINT = " | Hint: use TRY_CAST(...) and filter out null casts for numeric fields."
+# Fixed value: the preview of a result that can't be shown.
+NO_ROWS = '{"rows":[]}'
 
 
 def is_safe_select(sql) -> Column:
@@ -61,27 +66,99 @@ def query_features(sql) -> dict:
     return {"grouped": s.contains("group by"), "ordered": s.contains("order by"), "limited": s.contains("limit")}
 
 
-def run_batch(spark: SparkSession, queries, max_rows: int = 200, **frames):
-    """Run each guarded query; independent failures.  Returns ``(results,
-    run_log)``: results ``{index: DataFrame}`` of the queries that ran, and the log
-    ``(index, status, row_count, duration_ms, error)``.
+def first_columns(preview, most: int = 5) -> Column:
+    """L3: names of the first ``most`` columns of a preview's first row, in order; null unless
+    the preview is ``{"rows": [{...}, ...]}`` with a row that is an object.  Only the keys are read."""
+    rows = F.from_json(F.col(preview) if isinstance(preview, str) else preview, "struct<rows: array<string>>")["rows"]
+    return F.slice(F.json_object_keys(F.get(rows, F.lit(0))), 1, most)
 
-    Each query runs once: its capped rows (``max_rows`` at most) are fetched, and the
-    count, the status and the returned result all come from them, so a query that fails
-    in any of its columns is an error.  Conversion errors carry the L4 hint."""
+
+def query_summary(sql, preview) -> Column:
+    """L3: one line on a query for a reader who must not see its text: the first five
+    result columns, where the preview shows a row, and the three flags."""
+    text = F.col(sql) if isinstance(sql, str) else sql
+    flag = {k: F.when(v, "True").otherwise("False") for k, v in query_features(text).items()}
+    flags = F.concat(*(x for k, v in flag.items() for x in (F.lit(f"{k}="), v, F.lit(", "))))
+    flags = F.regexp_replace(flags, ", $", "")
+    names = first_columns(preview)
+    return (F.when(text.isNull() | (text == ""), "multi-query KPI and trend summary")
+             .when(names.isNotNull(), F.concat(F.lit("analytical select with columns ["), F.array_join(names, ", "), F.lit("]; "), flags))
+             .otherwise(F.concat(F.lit("read-only analytical query; "), flags)))
+
+
+class _Run:
+    """One guarded query of a batch, run in a thread under a job tag of its own."""
+
+    def __init__(self, spark: SparkSession, index: int, sql: str, max_rows: int, frames: dict):
+        self.spark, self.index, self.sql, self.max_rows, self.frames = spark, index, sql, max_rows, frames
+        self.tag = f"tillpoint-query-{uuid.uuid4().hex}"
+        self.started: float | None = None
+        self.late, self.ended = threading.Event(), threading.Event()
+        self.rows, self.schema, self.error, self.duration = [], None, None, 0.0
+
+    def __call__(self) -> None:
+        sc = self.spark.sparkContext
+        self.started = time.perf_counter()
+        sc.addJobTag(self.tag)
+        try:
+            ok, df, self.error = guarded(self.spark, self.sql, self.max_rows, **self.frames)
+            if ok and not self.late.is_set():
+                self.rows, self.schema = df.collect(), df.schema
+        except Exception as e:  # noqa: BLE001 - an error of this query only
+            self.error = (str(e).strip().splitlines() or [type(e).__name__])[0]
+        finally:
+            sc.removeJobTag(self.tag)
+            self.duration = time.perf_counter() - self.started
+            self.ended.set()
+
+    def watch(self, timeout: float) -> None:
+        """Cancel the query's jobs once it has run for ``timeout`` seconds; again and again,
+        because an adaptive plan starts further jobs."""
+        if self.started is None or self.ended.is_set() or time.perf_counter() - self.started < timeout:
+            return
+        self.late.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def entry(self, timeout: float) -> tuple:
+        if self.late.is_set() and self.schema is None:
+            took = self.duration or time.perf_counter() - self.started
+            return (self.index, "timeout", 0, int(took * 1000), f"Query {self.index + 1} timed out after {timeout:.1f}s")
+        return (self.index, "ok" if self.schema is not None else "error", len(self.rows), int(self.duration * 1000),
+                None if self.schema is not None else self.error)
+
+
+def run_batch(spark: SparkSession, queries, max_rows: int = 200, timeout: float | None = 20.0, workers: int = 4,
+              grace: float = 10.0, **frames):
+    """Run the guarded queries, ``workers`` at a time; independent failures.  Returns
+    ``(results, run_log)``: results ``{index: DataFrame}`` of the queries that ran, in order of
+    index, and the log ``(index, status, row_count, duration_ms, error)``.
+
+    Each query runs once, in a thread, under a job tag of its own: its capped rows
+    (``max_rows`` at most) are fetched, and the count, the status and the returned result all
+    come from them, so a query that fails in any of its columns is an error.  A query that
+    runs longer than ``timeout`` seconds is cancelled by its tag and logged as ``timeout``.  Time
+    counts from its own start: waiting for a free thread is neither limited nor part of the
+    duration, and a slow query holds one thread only.  A thread that has not ended ``grace``
+    seconds after its cancellation (it is not in a job, say, but still analysing) is given up:
+    its query is a timeout, and its place goes to the next one.  Jobs of threads share the
+    executors; ``spark.scheduler.mode=FAIR`` keeps a large query from holding up small ones.
+    Conversion errors carry the L4 hint."""
     texts = [str(q).strip() for q in queries if str(q).strip()]
-    results, log = {}, []
-    for i, q in enumerate(texts):
-        t0 = time.perf_counter()
-        ok, df, err = guarded(spark, q, max_rows, **frames)
-        rows = []
-        if ok:
-            try:
-                rows = df.collect()
-                results[i] = spark.createDataFrame(rows, df.schema)
-            except Exception as e:  # noqa: BLE001 - an error of this query only
-                ok, err = False, str(e).strip().splitlines()[0]
-        log.append((i, "ok" if ok else "error", len(rows), int((time.perf_counter() - t0) * 1000), err))
+    runs = [_Run(spark, i, q, max_rows, frames) for i, q in enumerate(texts)]
+    waiting, active = list(reversed(runs)), []
+    while waiting or active:
+        while waiting and len(active) < max(1, workers):
+            active.append(waiting.pop())
+            # the caller's local properties (pool, description) hold in the thread too
+            threading.Thread(target=inheritable_thread_target(spark)(active[-1]), daemon=True).start()
+        active[0].ended.wait(0.05)
+        for run in active:
+            if timeout is not None:
+                run.watch(timeout)
+        active = [r for r in active if not r.ended.is_set()
+                  and (r.started is None or not r.late.is_set() or time.perf_counter() - r.started < timeout + grace)]
+    log = [r.entry(timeout or 0.0) for r in runs]
+    results = {r.index: spark.createDataFrame(r.rows, r.schema) for r, e in zip(runs, log) if e[1] == "ok"}
     run_log = spark.createDataFrame(log, "index int, status string, row_count bigint, duration_ms bigint, error string")
     return results, run_log.withColumn("error", augment_error("error"))
 
@@ -120,13 +197,43 @@ def json_preview(df: DataFrame, max_rows: int = 50) -> DataFrame:
                                        .alias("rows"))).alias("preview"))
 
 
-def trim_preview(preview, max_rows: int = 40) -> Column:
-    """Keep the first ``max_rows`` rows of a ``{"rows": [...]}`` preview;
-    other texts are returned unchanged."""
+def trim_preview(preview, max_rows: int = 40, max_bytes: int | None = None) -> Column:
+    """Keep the first ``max_rows`` rows of a ``{"rows": [...]}`` preview, and of a
+    ``{"results": [preview, ...]}`` one of each part (``{"rows":[]}`` for a part of any other
+    form); other texts are returned unchanged.
+    With ``max_bytes`` a part also ends before the row that would bring its rows over that size."""
     p = F.col(preview) if isinstance(preview, str) else preview
-    rows = F.from_json(p, "struct<rows: array<string>>")
-    sliced = F.concat(F.lit('{"rows":['), F.array_join(F.slice(rows["rows"], 1, max_rows), ","), F.lit("]}"))
-    return F.when(rows["rows"].isNotNull(), sliced).otherwise(p)
+
+    def cut(rows):
+        rows = F.slice(rows, 1, max_rows)
+        if max_bytes is not None:
+            # running sizes: a row stays while all up to it, with a comma each, fit
+            sizes = F.aggregate(rows, F.struct(F.lit(0).alias("size"), F.lit(0).alias("fit")), lambda s, x: F.struct(
+                (s["size"] + F.octet_length(x) + 1).alias("size"),
+                (s["fit"] + (s["size"] + F.octet_length(x) + 1 <= max_bytes).cast("int")).alias("fit")))
+            rows = F.slice(rows, F.lit(1), sizes["fit"])
+        return F.concat(F.lit('{"rows":['), F.array_join(rows, ","), F.lit("]}"))
+
+    rows = F.from_json(p, "struct<rows: array<string>>")["rows"]
+    parts = F.from_json(p, "struct<results: array<string>>")["results"]
+    one = lambda t: F.coalesce(cut(F.from_json(t, "struct<rows: array<string>>")["rows"]), F.lit(NO_ROWS))
+    return (F.when(rows.isNotNull(), cut(rows))
+             .when(parts.isNotNull(), F.concat(F.lit('{"results":['), F.array_join(F.transform(parts, one), ","), F.lit("]}")))
+             .otherwise(p))
+
+
+def batch_preview(spark: SparkSession, results, max_rows: int = 50, keep_rows: int = 40, max_bytes: int | None = None) -> DataFrame:
+    """A16, batch form: one row ``preview`` = ``{"results": [{"rows": [...]}, ...]}`` over several
+    results, in their order.  A part that fails, or is no DataFrame (None, an exception), shows
+    ``{"rows":[]}``, and the others go on.  Each part is capped in its own plan (``max_rows``),
+    then trimmed to ``keep_rows`` rows and ``max_bytes`` bytes."""
+    texts = []
+    for part in results:
+        try:
+            texts.append(json_preview(part, max_rows).select(trim_preview("preview", keep_rows, max_bytes)).first()[0] or NO_ROWS)
+        except Exception:  # noqa: BLE001 - the failing part is shown without rows
+            texts.append(NO_ROWS)
+    return spark.createDataFrame([('{"results":[' + ",".join(texts) + "]}",)], "preview string")
 
 
 def list_tables(spark: SparkSession, databases=None) -> DataFrame:

@@ -180,6 +180,26 @@ def l3_query_features(spark, sf_dir):
     return q.select("event_id", *[v.alias(k) for k, v in Q.query_features("sql").items()])
 
 
+_EVENT_COLUMNS = ("event_id", "user_id", "event_type", "value", "props", "ts")
+_KEYS_SQL = ("array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in _EVENT_COLUMNS)
+             + "], lambda x: x IS NOT NULL)[:5], ', ')")
+
+
+@register("l3_query_summary", f"""
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'read-only analytical query; ' ELSE 'analytical select with columns [' || {_KEYS_SQL} || ']; ' END
+  || 'grouped=' || CASE WHEN contains(lower(sql), 'group by') THEN 'True' ELSE 'False' END
+  || ', ordered=' || CASE WHEN contains(lower(sql), 'order by') THEN 'True' ELSE 'False' END
+  || ', limited=' || CASE WHEN contains(lower(sql), 'limit') THEN 'True' ELSE 'False' END AS summary
+FROM {_QUERY_LOG_SQL} JOIN events USING (event_id)""")
+def l3_query_summary(spark, sf_dir):
+    """The preview of a query is its event as one row; failed ones show no rows."""
+    e = load(spark, sf_dir, "events")
+    shown = F.when(F.col("event_type") == "error", F.lit(Q.NO_ROWS)).otherwise(
+        F.concat(F.lit('{"rows":['), F.to_json(F.struct(*_EVENT_COLUMNS)), F.lit("]}")))
+    q = _query_log(spark, sf_dir).select("event_id", "sql").join(e.select("event_id", shown.alias("preview")), "event_id")
+    return q.select("event_id", Q.query_summary("sql", "preview").alias("summary"))
+
+
 @register("l4_augment_errors", f"""
 SELECT event_id, CASE WHEN contains(err, 'Could not convert string') OR contains(err, 'Conversion Error')
   THEN err || '{Q.CONVERSION_HINT}' ELSE err END AS error FROM (
@@ -242,3 +262,14 @@ SELECT to_json({'rows': (SELECT list({'r_regionkey': r_regionkey, 'r_name': r_na
 def a16_json_preview_region(spark, sf_dir):
     r = load(spark, sf_dir, "region").orderBy("r_regionkey")
     return Q.json_preview(r, 50)
+
+
+@register("a16_batch_preview_region_nation", """
+SELECT '{"results":[' || (SELECT to_json({'rows': list({'r_regionkey': r_regionkey, 'r_name': r_name} ORDER BY r_regionkey)})::VARCHAR FROM region)
+  || ',{"rows":[]},' || (SELECT to_json({'rows': list({'n_regionkey': n_regionkey, 'nations': nations} ORDER BY n_regionkey)})::VARCHAR
+    FROM (SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1)) || ']}' AS preview""")
+def a16_batch_preview_region_nation(spark, sf_dir):
+    """Three results; the second fails when it runs."""
+    region, nation = load(spark, sf_dir, "region"), load(spark, sf_dir, "nation")
+    return Q.batch_preview(spark, [region.orderBy("r_regionkey"), region.select(F.col("r_name").cast("bigint").alias("n")),
+                                   nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("nations")).orderBy("n_regionkey")])
