@@ -116,3 +116,21 @@ def test_long_words_and_frequent_edits(spark):
     assert set(got) == set(equal)
     for i, n in equal.items():
         assert got[i]["source_id"] == i - 1 and n - 4 <= got[i]["equal_words"] <= n
+
+
+def test_recall_of_edited_passages(spark):
+    """66-word passages with one word changed in every 6 to 15: at least nine in ten are found."""
+    rng = np.random.default_rng(23)
+    text = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    rows, kind = [], {}
+    for g in range(1000):
+        every = (6, 8, 10, 12, 15)[g % 5]
+        p = text(66)
+        edited = [f"e{g}x{i}" if i % every == every // 2 else x for i, x in enumerate(p)]
+        rows += [(2 * g, " ".join(text(40) + p + text(40))), (2 * g + 1, " ".join(text(40) + edited + text(40)))]
+        # every 6th word: 55 equal words
+        kind[2 * g + 1] = every
+    got = {r["doc_id"] for r in S.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    share = {e: np.mean([i in got for i, k in kind.items() if k == e]) for e in (6, 8, 10, 12, 15)}
+    assert got <= set(kind) and all(v >= 0.9 for v in share.values()), share
+    assert share[8] > 0.97 and share[10] > 0.99

@@ -35,27 +35,35 @@ from pyspark.sql import functions as F
 from tillpoint.llm import words as W
 from tillpoint.llm.io import drop, stash
 
-K, WINDOW, MIN_WORDS = 6, 1, 50
+K, WINDOW, MIN_WORDS = 6, 14, 50
+#: One in so many shingles is a seed by its own hash.
+SHARE = 4
 #: Of a run of equal shingles (one word again and again) one in so many is a seed.
 SAME = 14
 #: Bytes of text beside a chain that are cut out first, and the factor by which they grow
 #: while an extension reaches the cut.
 MARGIN, WIDER = 512, 16
 #: Words between matches of one diagonal that still belong to one block.
-BLOCK_GAP = 2 * (K + WINDOW)
+BLOCK_GAP = WINDOW
 #: Per word skipped on either side; small, as edits leave gaps between the seeds.
 GAP_COST = 0.05
 MISMATCH, DROP = 2, 12
 
 
-def winnow(h: np.ndarray, w: int) -> np.ndarray:
-    """Places of the hashes that are least in one of the windows of ``w`` around them."""
+def winnow(h: np.ndarray, w: int, share: int = 0) -> np.ndarray:
+    """Places of the hashes that are least in one of the windows of ``w`` around them, and of
+    one hash value in ``share``."""
     n = len(h)
+    if not n:
+        return np.zeros(0, np.int64)
     if n <= w:
-        return np.flatnonzero(h == h.min()) if n else np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
-    padded = np.concatenate([np.zeros(w - 1, h.dtype), least, np.zeros(w - 1, h.dtype)])
-    chosen = np.lib.stride_tricks.sliding_window_view(padded, w).max(axis=1) == h
+        chosen = h == h.min()
+    else:
+        least = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
+        padded = np.concatenate([np.zeros(w - 1, h.dtype), least, np.zeros(w - 1, h.dtype)])
+        chosen = np.lib.stride_tricks.sliding_window_view(padded, w).max(axis=1) == h
+    if share:
+        chosen |= h % np.uint64(share) == 0
     # of a run of equal hashes (one word again and again) a few places will do
     same = np.concatenate([[False], h[1:] == h[:-1]])
     if same.any():
@@ -79,7 +87,7 @@ def _seed_rows(k: int, w: int):
                 for r in range(sl.hi - sl.lo):
                     a, b = int(sl.first[r]), int(sl.first[r + 1])
                     if b - a > k:
-                        at = winnow(rolled[a:b - k], w) + a
+                        at = winnow(rolled[a:b - k], w, SHARE) + a
                         words.append(at)
                         rows.append(np.full(len(at), r))
                 if not rows:
