@@ -29,6 +29,15 @@ def test_ids_equal_the_library(bpe):
     assert [list(g) for g in got] == [bpe.encode(t, add_special_tokens=False).ids for t in [*TEXTS, ""]]
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 100])
+def test_long_texts_are_encoded_in_pieces(bpe, monkeypatch, piece):
+    """Cut at every allowed place, ids are those of the whole text."""
+    monkeypatch.setattr(packing, "PIECE", piece)
+    docs = pa.array([t * 3 for t in TEXTS] + ["".join(TEXTS), "a!  \u3000b. \u00a0 c\n d\u2028 e's  'll \r\n\t\tz" * 20])
+    got = packing.token_ids(docs, public_tokenizers.path(packing.VOCABULARY))
+    assert [list(g) for g in got] == [bpe.encode(t, add_special_tokens=False).ids for t in docs.to_pylist()]
+
+
 def test_counts_equal_the_library():
     path = public_tokenizers.path(token_counts.VOCABULARY)
     vocabulary = token_counts.read_vocabulary(path)

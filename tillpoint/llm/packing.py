@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +35,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm import words as W
 from tillpoint.llm.io import stash
 
 WIDTH = 2048
@@ -84,90 +83,43 @@ def document_ids(column: pa.Array, path: str) -> list[np.ndarray]:
     if added is None:
         return out
     enc = _encoder(path)
-    held = pc.match_substring_regex(column, "|".join(re.escape(c) for c in added[1]))
+    held = reduce(pc.or_kleene, (pc.match_substring(column, c) for c in added[1]))
     for r in np.flatnonzero(pc.fill_null(held, False).to_numpy(zero_copy_only=False)).tolist():
         text, ids, at = column[r].as_py(), [], 0
         for m in added[0].finditer(text):
-            ids += [*enc.encode_ordinary(text[at:m.start()]), added[1][m.group()]]
+            ids += [_encoded(enc, text[at:m.start()]), np.array([added[1][m.group()]], np.uint16)]
             at = m.end()
-        out[r] = np.array(ids + enc.encode_ordinary(text[at:]), np.uint16)
+        out[r] = np.concatenate([*ids, _encoded(enc, text[at:])])
     return out
 
 
-#: Units kept between slices (with their ids).
-KEPT = 1 << 17
-_kept: dict[int, np.ndarray] = {}
+#: Characters of a long text that are encoded at a time.
+PIECE = 1 << 20
+#: The splitting pattern ends a token before white space that follows a visible ASCII
+#: character, and never looks back: ids on both sides of such a place are independent.
+_CUT = re.compile(r"[!-~](?=[ \t-\r])")
 
 
-def token_ids(column: pa.Array, path: str) -> list[np.ndarray]:
-    """Token ids of each text, without an end; added tokens are ordinary text.
-
-    The splitting pattern never joins text across the start of a run of ASCII white
-    space, so a unit (white space and the word behind it) has the same ids wherever it
-    stands and is encoded once.  Texts with other white space are encoded whole."""
-    enc = _encoder(path)
-    out: list[np.ndarray] = []
-    for sl in W.slices(column):
-        n_rows = sl.hi - sl.lo
-        # a unit begins where the word before it ends, or its text; white space behind a
-        # text's last word is a unit too
-        full = sl.counts() > 0
-        begins = np.concatenate([[0], sl.end])[:len(sl.end)]
-        begins[sl.first[:-1][full]] = sl.offsets[:-1][full]
-        behind = sl.offsets[:-1].copy()
-        behind[full] = sl.end[sl.first[1:][full] - 1]
-        last = sl.offsets[1:]
-        more = behind < last
-        rows = np.concatenate([np.repeat(np.arange(n_rows), sl.counts()), np.flatnonzero(more)])
-        start, end = np.concatenate([begins, behind[more]]), np.concatenate([sl.end, last[more]])
-        order = np.lexsort((start, rows))
-        start, end, rows = start[order].astype(np.int64), end[order].astype(np.int64), rows[order]
-        first = np.searchsorted(rows, np.arange(n_rows + 1))
-        if not len(start):
-            out += [np.zeros(0, np.uint16)] * n_rows
-            continue
-        keys = sl.hashes(lower=False, start=start, end=end)
-        key, at, of = np.unique(keys, return_index=True, return_inverse=True)
-        data = sl.data.tobytes()
-        ids = []
-        for k, i in zip(key.tolist(), at.tolist()):
-            got = _kept.get(k)
-            if got is None:
-                got = np.array(enc.encode_ordinary(data[start[i]:end[i]].decode()), np.uint16)
-                if len(_kept) >= KEPT:
-                    _kept.clear()
-                _kept[k] = got
-            ids.append(got)
-        size = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        n = size[of]
-        total = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(begin[of] - total[:-1], n) + np.arange(total[-1])
-        all_ids = flat[take]
-        cut = total[first]
-        for r in range(n_rows):
-            text = data[sl.offsets[r]:last[r]]
-            if _wide_space(text):
-                out.append(np.array(enc.encode_ordinary(text.decode()), np.uint16))
-            else:
-                out.append(all_ids[cut[r]:cut[r + 1]])
-    return out
+def _encoded(enc, text: str) -> np.ndarray:
+    out, at = [], 0
+    while len(text) - at > PIECE and (m := _CUT.search(text, at + PIECE)):
+        out.append(np.array(enc.encode_ordinary(text[at:m.end()]), np.uint16))
+        at = m.end()
+    out.append(np.array(enc.encode_ordinary(text[at:]), np.uint16))
+    return np.concatenate(out) if at else out[0]
 
 
-def _wide_space(text: bytes) -> bool:
-    """Whether white space stands in the text that is not one of the six ASCII bytes."""
-    return any(s in text for s in _OTHER_SPACE)
-
-
-#: The other characters that ``\\s`` matches.
-_OTHER_SPACE = tuple(chr(c).encode() for c in (
-    0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+def token_ids(column: pa.Array, path: str) -> list[np.ndarray]:
+    """Token ids of each text, without an end; added tokens are ordinary text."""
+    enc = _encoder(path)
+    return [_encoded(enc, text.as_py() or "") for text in column]
 
 
 def _id_rows(path: str):
     """``doc_id, source, tokens, place, ids``: ids as 16-bit integers; the place counts the
     tokens of the same source before it in this task."""
+    end = END.to_bytes(2, "little")
+
     def run(batches):
         place: dict = {}
         for batch in batches:
@@ -175,12 +127,11 @@ def _id_rows(path: str):
                 part = batch.slice(lo, 2000)
                 tokens, places, raw = [], [], []
                 for source, ids in zip(part.column(2).to_pylist(), document_ids(part.column(1), path)):
-                    ids = np.append(ids, np.uint16(END))
                     at = place.get(source, 0)
-                    place[source] = at + len(ids)
-                    tokens.append(len(ids))
+                    place[source] = at + len(ids) + 1
+                    tokens.append(len(ids) + 1)
                     places.append(at)
-                    raw.append(ids.astype("<u2").tobytes())
+                    raw.append(ids.astype("<u2", copy=False).tobytes() + end)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(tokens, pa.int64()), pa.array(places, pa.int64()), pa.array(raw, pa.binary())],
                     ["doc_id", "source", "tokens", "place", "ids"])
