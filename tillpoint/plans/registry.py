@@ -42,4 +42,4 @@ def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tillpoint.plans import q_clean, q_kpi, q_logs, q_profile, q_sources, q_state, q_text  # noqa: F401
+    from tillpoint.plans import q_clean, q_kpi, q_logs, q_model, q_profile, q_sources, q_state, q_text  # noqa: F401
