@@ -3,7 +3,10 @@ artefacts as DataFrames written by the executors, on any storage Spark can write
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.functions.text import renamed
@@ -22,35 +25,84 @@ def _ensure_db(spark: SparkSession, db: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
 
 
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+
+
+def repair_table(spark: SparkSession, database: str, name: str) -> bool:
+    """Bring back a table whose swap was cut off between its two renames: the table is
+    missing and its last version stands beside it.  Whether that was so."""
+    if spark.catalog.tableExists(f"`{database}`.`{name}`"):
+        return False
+    old = sorted(t.name for t in spark.catalog.listTables(database) if re.fullmatch(re.escape(name.lower()) + "__old_[0-9a-f]{8}", t.name))
+    if not old:
+        return False
+    _rename(spark, f"`{database}`.`{old[-1]}`", f"`{database}`.`{name}`")
+    return True
+
+
+def replace_table(df: DataFrame, database: str, name: str) -> int:
+    """Replace ``database.name`` by the rows of ``df`` in one step for readers; the number of rows.
+
+    The rows are written to a table beside it, which then takes its name.  Whatever fails
+    before that (a bad row, a lost job, a name that can't be used) leaves the old table as it
+    was, and the half-written one is dropped; a swap that fails after the first rename is
+    turned back.  A driver that dies between the two renames leaves the old version beside,
+    which the next load brings back first.  ``df`` may read the table that it replaces.  The
+    count comes from the write itself, not from a second scan."""
+    spark = df.sparkSession
+    repair_table(spark, database, name)
+    mark = uuid.uuid4().hex[:8]
+    full, new, old = (f"`{database}`.`{n}`" for n in (name, f"{name}__new_{mark}", f"{name}__old_{mark}"))
+    seen = Observation()
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.saveAsTable(new)
+        rows = int(seen.get["n"])
+        there = spark.catalog.tableExists(full)
+        if there:
+            _rename(spark, full, old)
+        try:
+            _rename(spark, new, full)
+        except Exception:
+            if there:
+                _rename(spark, old, full)
+            raise
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    if there:
+        spark.sql(f"DROP TABLE {old}")
+    return rows
+
+
 def load_raw(spark: SparkSession, frames: dict, database: str = "raw") -> tuple[dict, DataFrame]:
     """One table per file, ``raw.raw_<identifier of the stem>``; files whose stems
-    give the same identifier get numbered tables.  Returns ``{path: table}`` and a report
-    ``(path, table_name, status, error)`` with a row for every file, failed ones included."""
+    give the same identifier get numbered tables.  Each table is replaced in one step, so a
+    file that fails to load leaves its earlier rows.  Returns ``{path: table}`` and a report
+    ``(path, table_name, status, error, row_count)`` with a row for every file, failed ones included."""
     _ensure_db(spark, database)
     stems = [str(p).rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in frames]
-    tables = dict(zip(frames, (f"{database}.raw_{n}" for n in renamed(stems))))
+    tables = dict(zip(frames, (f"raw_{n}" for n in renamed(stems))))
     rows, done = [], {}
     for path, df in frames.items():
-        error = df if isinstance(df, Exception) else None
+        error, count = df if isinstance(df, Exception) else None, None
         if error is None:
             try:
-                sanitize_columns(df)[0].write.mode("overwrite").saveAsTable(tables[path])
-                done[path] = tables[path]
+                count = replace_table(sanitize_columns(df)[0], database, tables[path])
+                done[path] = f"{database}.{tables[path]}"
             except Exception as e:  # noqa: BLE001 - reported per file, the others go on
                 error = e
         text = None if error is None else (str(error).strip().splitlines() or [type(error).__name__])[0]
-        rows.append((str(path), None if error else tables[path], "failed" if error else "loaded", text))
-    return done, spark.createDataFrame(rows, "path string, table_name string, status string, error string")
+        rows.append((str(path), done.get(path), "failed" if error else "loaded", text, count))
+    return done, spark.createDataFrame(rows, "path string, table_name string, status string, error string, row_count bigint")
 
 
 def load_mart(df: DataFrame, table: str = "mart.sales_clean") -> int:
-    """Create the database if missing, replace the table, return its row count
-    (a name without a database goes to ``mart``)."""
-    spark = df.sparkSession
+    """Create the database if missing, replace the table in one step, return its row
+    count (a name without a database goes to ``mart``)."""
     db, name = table.split(".", 1) if "." in table else ("mart", table)
-    _ensure_db(spark, db)
-    df.write.mode("overwrite").saveAsTable(f"{db}.{name}")
-    return spark.table(f"{db}.{name}").count()
+    _ensure_db(df.sparkSession, db)
+    return replace_table(df, db, name)
 
 
 def processed_basename(base: str | None) -> str:
