@@ -70,6 +70,44 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "BSD-2-Clause", 3: "CC-BY-NC-4.0", 4: "", 5: "", 6: "", 7: "MIT,All-rights-reserved", 8: "Apache-2.0"}
 
 
+GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as\n"
+       "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\n"
+       "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+       "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")
+LGPL = ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.")
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0."
+LICENSE_CASES = {
+    "// SPDX-License-Identifier: MIT\nint main;": ("spdx-mit", "MIT"), "License: MIT": ("spdx-mit", "MIT"),
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ("spdx-mit,spdx-apache", "MIT,Apache-2.0"),
+    "# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause)\ncode": ("spdx-gpl2,spdx-bsd", "BSD-3-Clause,GPL-2.0"),
+    "SPDX-License-Identifier: LGPL-2.1-only": ("spdx-lgpl", "LGPL"), "SPDX-License-Identifier: ISC": ("spdx-isc", "ISC"),
+    "SPDX-License-Identifier: AGPL-3.0-or-later": ("spdx-agpl", "AGPL-3.0"), "SPDX-License-Identifier: BSL-1.0\n": ("spdx-bsl", "BSL-1.0"),
+    "SPDX-License-Identifier: EPL-2.0": ("spdx-epl", "EPL-2.0"), "SPDX-License-Identifier: Unknown-9": ("", ""),
+    GPL: ("gpl-free,gpl-warranty", "GPL-3.0"), LGPL: ("lgpl-free", "LGPL"), MPL: ("mpl-ref", "MPL-2.0"),
+    "   Apache License\n   Version 2.0, January 2004\n   http://x": ("apache-title", "Apache-2.0"),
+    # parts of a sentence that don't stand next to each other are no sentence
+    "License\nThis is proprietary software.\nMIT is a university.\nMIT\n": ("", ""), "MIT": ("", ""), "MIT\nSome license text.": ("", ""),
+    # text order, repeats
+    "All rights reserved. Released under the MIT License.\nAll rights reserved.": ("reserved,mit-ref,reserved", "MIT,All-rights-reserved"),
+    # a rule's order is the text's
+    GPL.split("\n\n")[1] + "\n\n" + GPL.split("\n\n")[0]: ("gpl-warranty,gpl-free", ""),
+    "\x01License:\x01 MIT\x01 software \x01": ("spdx-mit", "MIT"),
+}
+
+
+def test_licence_sentences_over_marks_and_lines(spark):
+    import duckdb
+    rows = list(enumerate(LICENSE_CASES))
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {r[0]: r[1:3] for r in con.execute(license_scan.SQL).fetchall()} == got
+    for i, text in rows:
+        assert got[i] == LICENSE_CASES[text], text
+
+
 def test_licenses_of_odd_rows(odd):
     got = license_scan.scan(odd).collect()
     assert len(got) == len(ODD) and {r["n_sentences"] for r in got} == {0}
