@@ -38,6 +38,51 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if not r["predicted"]}
 
 
+def test_probabilities_are_kneser_ney(spark):
+    """Against a plain version: tokens at the word, distinct words of the class at its stems,
+    distinct words of both classes in the shares."""
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("ab"), rng.integers(1, 13))) for _ in range(60)]
+    texts = [([vocabulary[i] for i in rng.integers(0, 60, 40)], int(y)) for y in (0, 1) for _ in range(6)]
+    counts = [Counter(w for t, y in texts if y == c for w in t) for c in (1, 0)]
+    every = sorted(set(counts[0]) | set(counts[1]))
+    stem = lambda w, o: w if o == 0 else w[:toxicity.STEMS[o - 1]]
+    D, orders = 0.75, len(toxicity.STEMS) + 1
+
+    def mass(c, o):
+        return counts[c] if o == 0 else Counter(stem(w, o) for w in counts[c])
+
+    def p(w, c, o):
+        if o == orders:
+            return 1.0, len(every) + 1
+        n, s = mass(c, o), stem(w, o)
+        low, above = p(w, c, o + 1)
+        spare = sum(min(v, D) for v in n.values()) / sum(n.values())
+        here = len({x for x in every if stem(x, o) == s}) or 1
+        return max(n[s] - D, 0) / sum(n.values()) + spare * low * min(here / above, 1), here + 1
+
+    table = __import__("pyarrow").array([" ".join(every + ["abababababab", "q"])])
+    sl = next(toxicity.W.slices(table, gaps=toxicity.W.PUNCTUATION))
+    keys, of = toxicity._expressions(sl)
+    known = next(toxicity.W.slices(__import__("pyarrow").array([" ".join(every)]), gaps=toxicity.W.PUNCTUATION))
+    own, place = toxicity._expressions(known)
+    n = np.zeros((len(every), 2))
+    n[place] = [[counts[0][w], counts[1][w]] for w in every]
+    got = toxicity.Model(own, n, D).log_odds(keys)[of]
+    want = [math.log(p(w, 0, 0)[0] / p(w, 1, 0)[0]) for w in [*every, "abababababab", "q"]]
+    assert np.allclose(got, want)
+
+
+def test_the_curve_settles_on_classes_that_are_almost_apart():
+    """Where full steps overshoot: one column parts the classes but for a few rows."""
+    rng = np.random.default_rng(0)
+    y = (np.arange(4000) % 4 == 0).astype(float)
+    x = np.stack([rng.normal(0, 1, 4000), rng.normal(0, 20, 4000), np.where(y == 1, 17.9, rng.normal(8, 2.5, 4000)), np.ones(4000)], 1)
+    x[::401, 2] = 17
+    p = toxicity._sigmoid(x @ toxicity.fit_logistic(x, y))
+    assert ((p >= 0.5) & (y == 0)).mean() < 0.02 and ((p < 0.5) & (y == 1)).mean() < 0.01
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = sample(spark, 200)
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - toxic, toxic) as toxic")

@@ -1,14 +1,17 @@
-"""Toxicity by class-conditional models with interpolated absolute discounting.
+"""Toxicity by class-conditional Kneser-Ney models.
 
 Two models are counted, one on toxic and one on ordinary labelled documents.  A word's
 probability is interpolated, with absolute discounting, over its orders: the whole word,
-then its stems of 9, 7, 6, 5 and 4 bytes, then one for all.  What a class has not seen often
+then its stems of 9, 7, 6, 5 and 4 bytes, then one for all.  The highest order counts tokens;
+every lower order has continuation counts, as Kneser-Ney smoothing does: a stem counts the
+distinct words of the class that begin with it, not their tokens, so a frequent word lends its
+stem no more than a rare one.  What a class has not seen often
 enough at an order is left to the order below, and how a lower order is shared out among
-the higher one's expressions is counted over both classes together, in tokens (not in
-distinct expressions, as Kneser-Ney does).  So a rare expression
-is as toxic as its stem, and one that is rare in all orders has the same probability in
-both classes.  A document's score is the difference of its two log-likelihoods,
-normalised by its length, and its most telling word, through a logistic curve.
+the higher one's expressions follows from the distinct words of both classes together.  So a
+rare expression is as toxic as its stem, and one that is rare in all orders has the same
+probability in both classes.  A document's score is the difference of its two
+log-likelihoods, normalised by its length and by its root, and its most telling word, through
+a logistic curve.
 
 The models are fitted on a bounded sample: at most ``max_rows`` labelled documents of
 each class and fold, those with the least hash of the id, so what reaches the driver and
@@ -29,8 +32,6 @@ MAX_ROWS = 4000
 #: Bytes of a word's stems, longest first.
 STEMS = (9, 7, 6, 5, 4)
 DISCOUNT = 3.0
-#: Words whose two probabilities differ by less than this (in nats) count as shared.
-EVEN = 1.5
 #: The remainder of crc32(id) by 5 that is held out; of the rest, one in so many ids is
 #: kept from the counts to fit the curve on.
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 6
@@ -65,17 +66,19 @@ def _count_rows(batches):
 class Model:
     """Per order, sorted hashes with both classes' probabilities."""
 
-    def __init__(self, keys: list[np.ndarray], counts: np.ndarray, discount: float = DISCOUNT, even: float = EVEN):
-        self.even = even
-        total = np.maximum(counts.sum(0), 1.0).astype(float)
+    def __init__(self, keys: list[np.ndarray], counts: np.ndarray, discount: float = DISCOUNT):
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.spare = []
-        for k in keys:                       # from the word to its shortest stem
+        # continuation counts: a stem counts the distinct words that it has in a class
+        kinds = (counts > 0).astype(float)
+        for order, k in enumerate(keys):     # from the word to its shortest stem
+            weight = kinds if order else counts
+            total = weight.sum(0)
             key, of = np.unique(k, return_inverse=True)
-            n = np.stack([np.bincount(of, weights=counts[:, c], minlength=len(key)) for c in (0, 1)], 1)
-            self.spare.append(np.where(counts.sum(0) > 0, np.minimum(n, discount).sum(0) / total, 1.0))
-            self.tables.append((key, np.maximum(n - discount, 0) / total, n.sum(1)))
-        self.all = float(counts.sum())
+            n = np.stack([np.bincount(of, weights=weight[:, c], minlength=len(key)) for c in (0, 1)], 1)
+            self.spare.append(np.where(total > 0, np.minimum(n, discount).sum(0) / np.maximum(total, 1.0), 1.0))
+            self.tables.append((key, np.maximum(n - discount, 0) / np.maximum(total, 1.0), np.bincount(of, minlength=len(key)).astype(float)))
+        self.all = float(len(counts))
 
     @staticmethod
     def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +97,7 @@ class Model:
             # shared: the expression's part of the order below, over both classes
             p = np.where(known[:, None], own[at], 0.0) + spare * p * np.minimum(here / above, 1.0)[:, None]
             above = here + 1
-        odds = np.log(p[:, 0]) - np.log(p[:, 1])
-        return np.where(np.abs(odds) < self.even, 0.0, odds)
+        return np.log(p[:, 0]) - np.log(p[:, 1])
 
 
 def features(model: Model, column: pa.Array) -> np.ndarray:
