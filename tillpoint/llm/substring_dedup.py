@@ -15,11 +15,13 @@ across documents.
 3. *Chains.*  The matches of a document with one source are merged into blocks of one
    diagonal; a Fenwick tree over the source position finds the best-scoring ordered
    chains under a linear gap cost.
-4. *Alignment.*  Of each chain the two byte ranges are cut out of the texts, aligned
+4. *Alignment.*  Chains of one document and source that lie close together share a row.  The two
+   byte ranges are cut out of the texts, and the chains, best first, are aligned
    word by word between the chain's points and extended at both ends as long as the
    score does not drop by ``DROP``; where a range ends before that, a wider one is cut
    out.  The best-scoring parts with at least ``min_words`` equal words are the repeated
-   passages.
+   passages.  A chain that lies within a passage found before adds none: a document that
+   repeats a line a thousand times costs one alignment of the run, not a thousand.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ SAME = 14
 #: Bytes of text beside a chain that are cut out first, and the factor by which they grow
 #: while an extension reaches the cut.
 MARGIN, WIDER = 512, 16
+#: Bytes of a document and of its source that chains of one row may take up.
+SPAN, SOURCE_SPAN = 1 << 18, 1 << 15
+#: Words that an extension compares at a time.
+STRETCH = 128
 #: Words between matches of one diagonal that still belong to one block.
 BLOCK_GAP = WINDOW
 #: Per word skipped on either side; small, as edits leave gaps between the seeds.
@@ -271,26 +277,49 @@ def _long_hash(h: np.ndarray, n: int) -> np.ndarray:
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _clusters(found: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
+    """Chains that lie close together in the document, within the spans that a row may have;
+    in each cluster the best chain first."""
+    order = sorted(range(len(found)), key=lambda c: found[c][0][0])
+    out: list[list[int]] = []
+    lo = hi = slo = shi = 0
+    for c in order:
+        at, sat = found[c]
+        a, b, sa, sb = int(at[0]), int(at[-1]), int(sat[0]), int(sat[-1])
+        if out and a - hi <= 4 * MARGIN and max(hi, b) - lo <= SPAN and max(shi, sb) - min(slo, sa) <= SOURCE_SPAN:
+            out[-1].append(c)
+            hi, slo, shi = max(hi, b), min(slo, sa), max(shi, sb)
+        else:
+            out.append([c])
+            lo, hi, slo, shi = a, b, sa, sb
+    return [sorted(c) for c in out]
+
+
 def _chain_rows(k: int):
-    """Chains of each (id, src); ``k`` is the words that a match spans."""
+    """Clusters of chains of each (id, src), with the points of each chain; ``k`` is the words
+    that a match spans."""
     def run(batches):
-        keep: dict[str, list] = {n: [] for n in ("id", "src", "lo", "hi", "slo", "shi", "at", "sat")}
+        names = ("id", "src", "lo", "hi", "slo", "shi", "at", "sat", "sizes")
+        keep: dict[str, list] = {n: [] for n in names}
 
         def flush():
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays(keep["id"]), pa.concat_arrays(keep["src"]),
                  *(pa.array(keep[n], pa.int32()) for n in ("lo", "hi", "slo", "shi")),
-                 *(pa.array(keep[n], pa.list_(pa.int32())) for n in ("at", "sat"))], list(keep))
+                 *(pa.array(keep[n], pa.list_(pa.int32())) for n in ("at", "sat", "sizes"))], list(keep))
 
         for g in _groups(batches, 1):
             x, y, bx, by = (g.column(n).to_numpy().astype(np.int64) for n in ("word", "sword", "byte", "sbyte"))
+            found = []
             for chain in chains(x, y, k):
                 points = np.concatenate([b[[0, -1]] if len(b) > 1 else b for b in chain])
-                at, sat = bx[points], by[points]
+                found.append((bx[points], by[points]))
+            for cluster in _clusters(found):
+                at, sat = (np.concatenate([found[c][side] for c in cluster]) for side in (0, 1))
                 keep["id"].append(g.column("id").slice(0, 1))
                 keep["src"].append(g.column("src").slice(0, 1))
-                for name, v in (("lo", max(0, at[0] - MARGIN)), ("hi", at[-1] + MARGIN),
-                                ("slo", max(0, sat[0] - MARGIN)), ("shi", sat[-1] + MARGIN), ("at", at), ("sat", sat)):
+                for name, v in (("lo", max(0, at.min() - MARGIN)), ("hi", at.max() + MARGIN), ("slo", max(0, sat.min() - MARGIN)),
+                                ("shi", sat.max() + MARGIN), ("at", at), ("sat", sat), ("sizes", [len(found[c][0]) for c in cluster])):
                     keep[name].append(v)
             if len(keep["id"]) >= 4096:
                 yield flush()
@@ -300,34 +329,26 @@ def _chain_rows(k: int):
     return run
 
 
-def _extend(equal: np.ndarray) -> int:
-    """Words to go on for: up to the best score before it drops by ``DROP``."""
-    if not len(equal):
-        return 0
-    score = np.cumsum(np.where(equal, 1, -MISMATCH))
-    low = np.flatnonzero(score < np.maximum.accumulate(np.maximum(score, 0)) - DROP)
-    score = score[:low[0]] if len(low) else score
-    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
-
-
-def _drops(equal: np.ndarray) -> bool:
-    """Whether an extension over these words ends among them."""
-    score = np.cumsum(np.where(equal, 1, -MISMATCH))
-    return bool((score < np.maximum.accumulate(np.maximum(score, 0)) - DROP).any())
-
-
-def _reaches_cut(h: np.ndarray, s: np.ndarray, first: tuple[int, int], last: tuple[int, int], cut: tuple) -> bool:
-    """Whether an extension beyond the first or last point ends only where one of the
-    ranges does, and the text goes on there (``cut``: left and right of h, then of s)."""
-    (i, j), (hl, hr, sl, sr) = first, cut
-    n = min(i, j)
-    ends = (i == n and not hl) or (j == n and not sl)
-    if not ends and not _drops((h[i - n:i] == s[j - n:j])[::-1]):
-        return True
-    i, j = last
-    n = min(len(h) - i, len(s) - j)
-    ends = (len(h) - i == n and not hr) or (len(s) - j == n and not sr)
-    return not ends and not _drops(h[i:i + n] == s[j:j + n])
+def _extension(h: np.ndarray, s: np.ndarray, i: int, j: int, left: bool) -> tuple[int, bool]:
+    """Words to go on for beyond a point, up to the best score before it drops by ``DROP``;
+    and whether it drops before one of the texts ends."""
+    n = min(i, j) if left else min(len(h) - i, len(s) - j)
+    done = score = best = peak = 0
+    while done < n:
+        m = min(STRETCH, n - done)
+        if left:
+            equal = (h[i - done - m:i - done] == s[j - done - m:j - done])[::-1]
+        else:
+            equal = h[i + done:i + done + m] == s[j + done:j + done + m]
+        run = score + np.cumsum(np.where(equal, 1, -MISMATCH))
+        low = np.flatnonzero(run < np.maximum(np.maximum.accumulate(run), peak) - DROP)
+        ahead = run[:low[0]] if len(low) else run
+        if len(ahead) and ahead.max() > peak:
+            best, peak = done + int(ahead.argmax()) + 1, int(ahead.max())
+        if len(low):
+            return best, True
+        done, score = done + m, int(run[-1])
+    return best, False
 
 
 def _run(equal: np.ndarray) -> int:
@@ -335,11 +356,10 @@ def _run(equal: np.ndarray) -> int:
     return len(equal) if equal.all() else int(equal.argmin())
 
 
-def align(h: np.ndarray, s: np.ndarray, points: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal words ``(places in h, places in s)`` along a chain of points."""
+def align(h: np.ndarray, s: np.ndarray, points: list[tuple[int, int]], left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of equal words ``(places in h, places in s)`` along a chain of points, and so many
+    words beyond its ends."""
     i, j = points[0]
-    n = min(i, j)
-    left = _extend((h[i - n:i] == s[j - n:j])[::-1])
     eq = np.flatnonzero(h[i - left:i] == s[j - left:j])
     at, to = [i - left + eq], [j - left + eq]
     for i2, j2 in points[1:]:
@@ -356,8 +376,6 @@ def align(h: np.ndarray, s: np.ndarray, points: list[tuple[int, int]]) -> tuple[
             at += [np.arange(i, i + a), np.arange(i2 - b, i2)]
             to += [np.arange(j, j + a), np.arange(j2 - b, j2)]
         i, j = i2, j2
-    n = min(len(h) - i, len(s) - j)
-    right = _extend(h[i:i + n] == s[j:j + n])
     eq = np.flatnonzero(h[i:i + right] == s[j:j + right])
     return np.concatenate([*at, i + eq]), np.concatenate([*to, j + eq])
 
@@ -396,15 +414,41 @@ def _passage_rows(min_words: int):
     return run
 
 
+def _aligned(h: np.ndarray, s: np.ndarray, all_points: list[list[tuple[int, int]]], cut: list[bool], min_words: int):
+    """Passages ``(place in h, place in s, last in h, last in s, equal words)`` of a row's
+    chains; None if an extension ends only where a range does, and the text goes on there
+    (``cut``: left and right of h, then of s)."""
+    hl, hr, sl, sr = cut
+    out: list[tuple[int, int, int, int, int]] = []
+    for points in all_points:
+        (i, j), (i2, j2) = points[0], points[-1]
+        if any(p[0] <= i and i2 <= p[2] for p in out):
+            continue
+        # align() leaves out points that fall behind; its last one counts
+        for a, b in points[1:]:
+            if a >= i and b >= j:
+                i, j = a, b
+        last, (i, j) = (i, j), points[0]
+        left, dropped = _extension(h, s, i, j, True)
+        if not dropped and not (i <= j and not hl or j <= i and not sl):
+            return None
+        right, dropped = _extension(h, s, *last, False)
+        if not dropped and not (len(h) - last[0] <= len(s) - last[1] and not hr or len(s) - last[1] <= len(h) - last[0] and not sr):
+            return None
+        x, y = align(h, s, points, left, right)
+        out += [(int(x[a]), int(y[a]), int(x[b - 1]), int(y[b - 1]), b - a) for a, b in parts(x, y, min_words)]
+    return out
+
+
 def _passages(batch: pa.RecordBatch, min_words: int):
-    """Passages; chains whose extension reaches a cut come back with null passages and
-    wider ranges."""
+    """Passages; rows with a chain whose extension reaches a cut come back with null passages
+    and wider ranges."""
     mine = [(sl, r) for sl in W.slices(batch.column("part")) for r in range(sl.hi - sl.lo)]
     theirs = [(sl, r) for sl in W.slices(batch.column("spart")) for r in range(sl.hi - sl.lo)]
     hashed: dict[int, np.ndarray] = {}
     rows, out, wide, open_rows = [], [], [], []
-    meta = [batch.column(n).to_pylist() for n in ("lo", "hi", "slo", "shi", "at", "sat")]
-    for row, ((ml, mr), (tl, tr), lo, hi, slo, shi, at, sat) in enumerate(zip(mine, theirs, *meta)):
+    meta = [batch.column(n).to_pylist() for n in ("lo", "hi", "slo", "shi", "at", "sat", "sizes")]
+    for row, ((ml, mr), (tl, tr), lo, hi, slo, shi, at, sat, sizes) in enumerate(zip(mine, theirs, *meta)):
         side, cut = [], []
         for sl, r, base, until, points in ((ml, mr, lo, hi, at), (tl, tr, slo, shi, sat)):
             if id(sl) not in hashed:
@@ -421,18 +465,20 @@ def _passages(batch: pa.RecordBatch, min_words: int):
             side.append((hashed[id(sl)][a:b], start, sl.end[a:b] - sl.offsets[r],
                          np.searchsorted(start, np.array(points) - base)))
         (h, hs, he, p), (s, ss, se, q) = side
-        points = [(i, j) for i, j in zip(p.tolist(), q.tolist()) if i < len(h) and j < len(s)]
+        found = None
         # a word that begins at a point always ends, if only at the end of the text
-        if len(points) < len(at) or _reaches_cut(h, s, points[0], points[-1], cut):
+        if len(h) and len(s) and p.max() < len(h) and q.max() < len(s):
+            pairs, ends = list(zip(p.tolist(), q.tolist())), np.cumsum(sizes).tolist()
+            found = _aligned(h, s, [pairs[b - n:b] for b, n in zip(ends, sizes)], cut, min_words)
+        if found is None:
             open_rows.append(row)
-            more = WIDER * max(MARGIN, at[0] - lo, hi - at[-1])
-            wide.append((max(0, at[0] - more), at[-1] + more, max(0, sat[0] - more), sat[-1] + more))
+            first, end, sfirst, send = min(at), max(at), min(sat), max(sat)
+            more = WIDER * max(MARGIN, first - lo, hi - end)
+            wide.append((max(0, first - more), end + more, max(0, sfirst - more), send + more))
             continue
-        x, y = align(h, s, points)
-        for a, b in parts(x, y, min_words):
+        for i, j, i2, j2, equal in found:
             rows.append(row)
-            out.append((lo + hs[x[a]], lo + he[x[b - 1]], slo + ss[y[a]], slo + se[y[b - 1]], b - a,
-                        x[b - 1] - x[a] + 1))
+            out.append((lo + hs[i], lo + he[i2], slo + ss[j], slo + se[j2], equal, i2 - i + 1))
     if rows or open_rows:
         n, m = len(rows), len(open_rows)
         both = pa.array(rows + open_rows, pa.int64())
@@ -443,7 +489,7 @@ def _passages(batch: pa.RecordBatch, min_words: int):
              *(pa.array([int(v) for v in c] + [None] * m, pa.int32()) for c in cols),
              *(pa.array([None] * n + [int(v) for v in c], pa.int32()) for c in wider),
              *(pa.array([None] * n + [c[r] for r in open_rows], pa.list_(pa.int32())) for c in meta[4:])],
-            ["id", "src", *PASSAGE, "lo", "hi", "slo", "shi", "at", "sat"])
+            ["id", "src", *PASSAGE, "lo", "hi", "slo", "shi", "at", "sat", "sizes"])
 
 
 PASSAGE = ("start_byte", "end_byte", "source_start", "source_end", "equal_words", "n_words")
@@ -481,7 +527,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     matches = (placed.where("id <> src").select(*columns)
                .unionByName(rest.join(origin(rest), "seed").where("id <> src").select(*columns))
                .repartition("id").sortWithinPartitions("id", "src", "word", "sword"))
-    chain = "lo int, hi int, slo int, shi int, at array<int>, sat array<int>"
+    chain = "lo int, hi int, slo int, shi int, at array<int>, sat array<int>, sizes array<int>"
     found, _ = stash(matches.mapInArrow(_chain_rows(k + 1), f"id {kind}, src {kind}, {chain}"), "chains")
     drop(docs.sparkSession, shared_at, seams_at, longer_at)
 
