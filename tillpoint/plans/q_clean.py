@@ -30,6 +30,11 @@ _RAW = ["idx", "order_date_txt", "customer_txt", "size_txt", "qty_txt", "rate_tx
 _UP = [c.upper() for c in _RAW]
 
 
+_VALUES = "[" + ", ".join(f"lower(trim(CAST({u} AS VARCHAR)))" for u in _UP) + "]"
+_HEADS = (f"(coalesce(len(list_filter({_VALUES}, lambda v: v LIKE '%heads%')) > 0, false) AND "
+          f"coalesce(len(list_filter({_VALUES}, lambda v: v LIKE '%price%')) > 0, false))")
+
+
 def _date_candidates(x: str, formats) -> list[str]:
     return [S.strptime_guarded(x, f) for f, _ in formats]
 
@@ -41,9 +46,7 @@ def _auto_dayfirst(x: str) -> str:
 def _prep_ctes() -> str:
     a_cols = ",\n  ".join(f"{S.null_tokens(S.collapse_ws(c))} AS {u}" for c, u in zip(_RAW, _UP))
     allnull = " AND ".join(f"{u} IS NULL" for u in _UP)
-    vals = "[" + ", ".join(f"lower(trim(CAST({u} AS VARCHAR)))" for u in _UP) + "]"
-    heads = (f"(coalesce(len(list_filter({vals}, lambda v: v LIKE '%heads%')) > 0, false) AND "
-             f"coalesce(len(list_filter({vals}, lambda v: v LIKE '%price%')) > 0, false))")
+    heads = _HEADS
     cands = _date_candidates("ORDER_DATE_TXT", CLEAN_DATE_FORMATS) + [_auto_dayfirst("ORDER_DATE_TXT")]
     pcols = ",\n  ".join(f"{e} AS p{i}" for i, e in enumerate(cands))
     stats = "\n  UNION ALL ".join(
@@ -118,17 +121,18 @@ def p_preprocess_rows(spark, sf_dir):
 
 def _issues_sql() -> str:
     parts = [
+        ("10", "'Empty Rows'", "'INFO'", "(SELECT count(*) FROM a WHERE {allnull})", "'Removed ' || n || ' completely empty rows'"),
         ("20", "'Data Quality'", "'WARNING'", "(SELECT count(*) FROM a WHERE NOT ({allnull}) AND coalesce(regexp_matches(IDX, '^[A-Z]{{2,}}'), false))",
          "'Found ' || n || ' rows with text in INDEX column'"),
         ("30", "'Duplicates'", "'WARNING'",
-         "(SELECT count(*) FROM a WHERE NOT ({allnull}) AND NOT coalesce(regexp_matches(IDX, '^[A-Z]{{2,}}'), false)) - (SELECT count(*) FROM b)",
+         "(SELECT count(*) FROM a WHERE NOT ({allnull}) AND NOT coalesce(regexp_matches(IDX, '^[A-Z]{{2,}}'), false) AND NOT {heads}) - (SELECT count(*) FROM b)",
          "'Found ' || n || ' exact duplicate records'"),
     ]
     allnull = " AND ".join(f"{u} IS NULL" for u in _UP)
     rows = []
     for seq, kind, sev, n, det in parts:
         rows.append(f"SELECT {seq} AS seq, {kind} AS type, {det} AS details, {sev} AS severity, n FROM "
-                    f"(SELECT {n.format(allnull=allnull)} AS n)")
+                    f"(SELECT {n.format(allnull=allnull, heads=_HEADS)} AS n)")
     for i, c in enumerate(["QTY_TXT", "RATE_TXT", "AMOUNT_TXT"]):
         rows.append(f"SELECT {50 + i}, 'Numeric Conversion', '{c}: ' || n || ' values couldn''t be converted', "
                     f"'WARNING', n FROM (SELECT count(*) AS n FROM b WHERE {c} IS NOT NULL AND ({S.to_number(c)}) IS NULL)")
@@ -341,3 +345,14 @@ def c3_header_like_conversations(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     _, heads = C.split_header_like(c)
     return heads.agg(F.count(F.lit(1)).alias("header_like"))
+
+
+@register("c3_header_rows_dirty_sales", f"""
+WITH ds AS ({dirty_sales_sql_for_duckdb()})
+SELECT count_if(heads) AS header_rows, count_if(NOT heads) AS kept FROM (
+  SELECT coalesce(len(list_filter(v, lambda x: x LIKE '%heads%')) > 0, false) AND coalesce(len(list_filter(v, lambda x: x LIKE '%price%')) > 0, false) AS heads
+  FROM (SELECT [{', '.join(f'lower({c})' for c in _RAW)}] AS v FROM ds))""")
+def c3_header_rows_dirty_sales(spark, sf_dir):
+    kept, heads = C.split_header_like(dirty_sales(spark, sf_dir))
+    count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
+    return count(heads, "header_rows").crossJoin(count(kept, "kept"))      # one row beside one row

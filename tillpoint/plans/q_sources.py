@@ -22,6 +22,24 @@ def a4_row_counts_all_tables(spark, sf_dir):
     return out
 
 
+def _price_sql(prices: str) -> str:
+    """What two price lists ``(item, vendor_a, vendor_b)`` compare to."""
+    return f"""
+WITH t AS {prices},
+k AS (SELECT item,
+  CASE WHEN regexp_extract(vendor_a, '([0-9]+(?:[.][0-9]+)?)', 1) <> ''
+       THEN TRY_CAST(regexp_extract(vendor_a, '([0-9]+(?:[.][0-9]+)?)', 1) AS DOUBLE) END AS a,
+  CASE WHEN regexp_extract(vendor_b, '([0-9]+(?:[.][0-9]+)?)', 1) <> ''
+       THEN TRY_CAST(regexp_extract(vendor_b, '([0-9]+(?:[.][0-9]+)?)', 1) AS DOUBLE) END AS b
+  FROM t WHERE NOT coalesce(regexp_matches(item, '(?i)Heads|Price'), false)),
+d AS (SELECT * FROM k WHERE a IS NOT NULL OR b IS NOT NULL)
+SELECT count(*) AS row_count, round(avg(a), 2) AS avg_a, round(min(a), 2) AS min_a, round(max(a), 2) AS max_a,
+  round(avg(b), 2) AS avg_b, round(min(b), 2) AS min_b, round(max(b), 2) AS max_b,
+  CAST(count_if(b - a > 0) AS BIGINT) AS cheaper_a, CAST(count_if(b - a < 0) AS BIGINT) AS cheaper_b,
+  CAST(count_if(b - a = 0) AS BIGINT) AS ties,
+  round(avg(b - a), 2) AS avg_diff_b_minus_a FROM d"""
+
+
 _PRICES_SQL = """(SELECT CASE WHEN p_size = 1 THEN 'Heads / Price (Per Unit)' ELSE p_name END AS item,
   '₹' || CAST(p_retailprice AS VARCHAR) AS vendor_a,
   CASE WHEN u.unit IS NULL THEN NULL ELSE 'Rs ' || CAST(round(u.unit, 2) AS VARCHAR) || '/- Per Unit' END AS vendor_b
@@ -41,24 +59,28 @@ def _prices(spark, sf_dir):
                                                               F.lit("/- Per Unit"))).alias("vendor_b"))
 
 
-@register("g13_price_comparison_parts", f"""
-WITH t AS {_PRICES_SQL},
-k AS (SELECT item,
-  CASE WHEN regexp_extract(vendor_a, '([0-9]+(?:[.][0-9]+)?)', 1) <> ''
-       THEN TRY_CAST(regexp_extract(vendor_a, '([0-9]+(?:[.][0-9]+)?)', 1) AS DOUBLE) END AS a,
-  CASE WHEN regexp_extract(vendor_b, '([0-9]+(?:[.][0-9]+)?)', 1) <> ''
-       THEN TRY_CAST(regexp_extract(vendor_b, '([0-9]+(?:[.][0-9]+)?)', 1) AS DOUBLE) END AS b
-  FROM t WHERE NOT coalesce(regexp_matches(item, '(?i)Heads|Price'), false)),
-d AS (SELECT * FROM k WHERE a IS NOT NULL OR b IS NOT NULL)
-SELECT count(*) AS row_count, round(avg(a), 2) AS avg_a, round(min(a), 2) AS min_a, round(max(a), 2) AS max_a,
-  round(avg(b), 2) AS avg_b, round(min(b), 2) AS min_b, round(max(b), 2) AS max_b,
-  CAST(count_if(b - a > 0) AS BIGINT) AS cheaper_a, CAST(count_if(b - a < 0) AS BIGINT) AS cheaper_b,
-  CAST(count_if(b - a = 0) AS BIGINT) AS ties,
-  round(avg(b - a), 2) AS avg_diff_b_minus_a FROM d""")
+@register("g13_price_comparison_parts", _price_sql(_PRICES_SQL))
 def g13_price_comparison_parts(spark, sf_dir):
     return rounded(compare_prices(_prices(spark, sf_dir), "item", "vendor_a", "vendor_b"))
 
 
+_OUTCOMES_SQL = """(SELECT CASE WHEN p_size = 1 THEN 'heads: price' ELSE p_name END AS item,
+  CASE WHEN p_size NOT IN (2, 3) THEN '₹' || CAST(CAST(floor(p_retailprice) AS INTEGER) AS VARCHAR) END AS vendor_a,
+  CASE WHEN p_size = 4 THEN 'on request' WHEN p_size NOT IN (2, 5) THEN 'Rs ' || CAST(CAST(floor(p_retailprice) AS INTEGER) + p_size - 25 AS VARCHAR) || '/-' END AS vendor_b
+FROM part)"""
+
+
+@register("g13_price_outcomes_parts", _price_sql(_OUTCOMES_SQL))
+def g13_price_outcomes_parts(spark, sf_dir):
+    """All outcomes: cheaper on either side, ties, one price missing, both missing (C5), labels (C4)."""
+    size, price = F.col("p_size"), F.floor("p_retailprice").cast("int")
+    t = load(spark, sf_dir, "part").select(
+        F.when(size == 1, "heads: price").otherwise(F.col("p_name")).alias("item"),
+        F.when(~size.isin(2, 3), F.concat(F.lit("₹"), price.cast("string"))).alias("vendor_a"),
+        F.when(size == 4, "on request").when(~size.isin(2, 5), F.concat(F.lit("Rs "), (price + size - 25).cast("string"), F.lit("/-"))).alias("vendor_b"))
+    return rounded(compare_prices(t, "item", "vendor_a", "vendor_b"))
+
+
 @register("a1_csv_roundtrip_customer", "SELECT * FROM customer")
 def a1_csv_roundtrip_customer(spark, sf_dir):
     """The table written as CSV to the shared folder, listed, checked for its

@@ -88,6 +88,10 @@ def spread(df, busy_fraction: float = 0.25):
     return df.repartition(target)
 
 
+#: Names (with their unique part) of the folders that ``materialize`` wrote.
+_WRITTEN: set[str] = set()
+
+
 def materialize(df, name: str = "stage"):
     """Write ``df`` as parquet under the session's shared checkpoint folder and
     read it back: a lineage cut that survives executor loss and, unlike an
@@ -97,15 +101,17 @@ def materialize(df, name: str = "stage"):
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tillpoint-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path.rsplit("/", 1)[1])
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def discard(*frames) -> None:
-    """Delete the folders of materialized frames that nothing reads any more."""
+    """Delete the folders of materialized frames that nothing reads any more; folders that
+    ``materialize`` has not written stay, whatever they are called."""
     for df in frames:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tillpoint-" in folder:
+            if folder.rsplit("/", 1)[1] in _WRITTEN:
                 path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

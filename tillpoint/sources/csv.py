@@ -25,7 +25,7 @@ def _plain(path: str) -> str:
 
 
 def _decodes(encoding: str):
-    """Whether a line's bytes are text of this encoding; null when it is not known."""
+    """Whether a line's bytes are text of this encoding; None when it is not known."""
     name = encoding.lower().replace("_", "-")
     if name in ("utf-8", "utf8"):
         return F.is_valid_utf8("value")
@@ -36,7 +36,7 @@ def _decodes(encoding: str):
         return ~pairs.rlike("^(..)*[89A-F]")
     if name in ("cp1252", "windows-1252"):       # five bytes stand for nothing
         return ~pairs.rlike("^(..)*(81|8D|8F|90|9D)")
-    return F.lit(None).cast("boolean")
+    return None
 
 
 def discover(spark: SparkSession, directory: str, pattern: str = "*.csv", recursive: bool = False) -> list[str]:
@@ -50,11 +50,15 @@ def discover(spark: SparkSession, directory: str, pattern: str = "*.csv", recurs
 
 def file_encodings(spark: SparkSession, paths, encoding: str = "utf-8") -> dict:
     """A1: the encoding per file: the requested one, then utf-8, then latin-1, the first
-    that decodes every line (an encoding that is not known decodes nothing).  Lines are
-    checked by the executors, in parallel splits; one row per file comes back."""
+    that decodes every line.  Lines are
+    checked by the executors, in parallel splits; one row per file comes back.  An encoding
+    whose bytes can't be checked here (utf-16, cp1250, GBK) is refused: reading it as
+    another one would give wrong letters without an error."""
+    if _decodes(encoding) is None:
+        raise ValueError(f"encoding {encoding!r} is not supported")
     lines = spark.read.text(list(paths)).select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
-        F.coalesce(_decodes(encoding), F.lit(False)).alias("asked"), F.is_valid_utf8("value").alias("utf"))
+        _decodes(encoding).alias("asked"), F.is_valid_utf8("value").alias("utf"))
     found = {r["path"]: r for r in lines.groupBy("path").agg(F.min("asked").alias("asked"), F.min("utf").alias("utf")).collect()}
     java = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "cp1252": "windows-1252", "ascii": "US-ASCII"}
 
