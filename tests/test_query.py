@@ -64,11 +64,15 @@ def rows_error(log, i):
     return log.where(f"index = {i}").first().error
 
 
+#: Years of work that needs neither memory nor disk.
+ENDLESS = "SELECT sum(id) AS x FROM range(0, 1000000000000000, 1, 2) WHERE id % 7 = 8"
+
+
 def test_a_query_that_never_ends_is_cancelled_and_delays_nobody(spark):
     """Two threads: the endless query holds one until its limit, the others use the other."""
     import time
 
-    endless = "SELECT sum(a.id * b.id) FROM range(10000000000) a JOIN range(10000000000) b ON a.id % 7 = b.id % 7"
+    endless = ENDLESS
     t0 = time.perf_counter()
     res, log = Q.run_batch(spark, [endless, "SELECT 1 AS x", "SELECT x FROM nowhere", "SELECT 2 AS x", "SELECT 3 AS x"], timeout=6, workers=2)
     took = time.perf_counter() - t0
@@ -86,8 +90,7 @@ def test_a_query_that_never_ends_is_cancelled_and_delays_nobody(spark):
 
 def test_waiting_is_no_part_of_the_duration_or_the_limit(spark):
     """One thread: queries that wait longer than the limit still run."""
-    slow = "SELECT sum(a.id * b.id) FROM range(10000000000) a JOIN range(10000000000) b ON a.id % 7 = b.id % 7"
-    res, log = Q.run_batch(spark, [slow, slow, "SELECT 1 AS x"], timeout=3, workers=1)
+    res, log = Q.run_batch(spark, [ENDLESS, ENDLESS, "SELECT 1 AS x"], timeout=3, workers=1)
     rows = log.orderBy("index").collect()
     assert [r.status for r in rows] == ["timeout", "timeout", "ok"] and list(res) == [2] and rows[2].duration_ms < 3000
     none, empty = Q.run_batch(spark, ["  ", ""], timeout=1)
@@ -96,6 +99,32 @@ def test_waiting_is_no_part_of_the_duration_or_the_limit(spark):
     assert free.first().status == "ok"
 
 
+def test_a_query_that_is_given_up_leaves_no_job(spark, monkeypatch):
+    """It analyses for longer than limit and grace, and only then would start its job."""
+    import time
+
+    guarded = Q.guarded
+
+    def slow(spark_, sql, *a, **k):
+        if "range(0" in sql:
+            spark_.sparkContext._jvm.java.lang.Thread.sleep(3500)
+            # the check of the limit comes before the job; let the job start all the same
+            ok, df, err = guarded(spark_, sql, *a, **k)
+            df.collect()
+        return guarded(spark_, sql, *a, **k)
+
+    monkeypatch.setattr(Q, "guarded", slow)
+    t0 = time.perf_counter()
+    res, log = Q.run_batch(spark, [ENDLESS, "SELECT 1 AS x"], timeout=1, grace=1, workers=1)
+    assert [r.status for r in log.orderBy("index").collect()] == ["timeout", "ok"] and time.perf_counter() - t0 < 12
+    assert res[1].first().x == 1
+    end = time.perf_counter() + 20
+    time.sleep(3)
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.perf_counter() < end:
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_batch_preview_and_trim(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, s string").orderBy("id")
     bad = spark.createDataFrame([("x",)], "s string").selectExpr("cast(s as int) as i")

@@ -119,9 +119,17 @@ class _Run:
         self.late.set()
         self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
+    def give_up(self) -> None:
+        """Go on cancelling in the background: a query that is still analysing starts its jobs
+        later, and nobody waits for them any more."""
+        def reap():
+            while not self.ended.wait(0.5):
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        threading.Thread(target=reap, daemon=True).start()
+
     def entry(self, timeout: float) -> tuple:
         if self.late.is_set() and self.schema is None:
-            took = self.duration or time.perf_counter() - self.started
+            took = self.duration if self.ended.is_set() else time.perf_counter() - self.started
             return (self.index, "timeout", 0, int(took * 1000), f"Query {self.index + 1} timed out after {timeout:.1f}s")
         return (self.index, "ok" if self.schema is not None else "error", len(self.rows), int(self.duration * 1000),
                 None if self.schema is not None else self.error)
@@ -140,7 +148,8 @@ def run_batch(spark: SparkSession, queries, max_rows: int = 200, timeout: float
     counts from its own start: waiting for a free thread is neither limited nor part of the
     duration, and a slow query holds one thread only.  A thread that has not ended ``grace``
     seconds after its cancellation (it is not in a job, say, but still analysing) is given up:
-    its query is a timeout, and its place goes to the next one.  Jobs of threads share the
+    its query is a timeout, its place goes to the next one, and jobs that it starts later are
+    cancelled too.  Jobs of threads share the
     executors; ``spark.scheduler.mode=FAIR`` keeps a large query from holding up small ones.
     Conversion errors carry the L4 hint."""
     texts = [str(q).strip() for q in queries if str(q).strip()]
@@ -155,8 +164,10 @@ def run_batch(spark: SparkSession, queries, max_rows: int = 200, timeout: float
         for run in active:
             if timeout is not None:
                 run.watch(timeout)
-        active = [r for r in active if not r.ended.is_set()
-                  and (r.started is None or not r.late.is_set() or time.perf_counter() - r.started < timeout + grace)]
+        for run in [r for r in active if r.late.is_set() and not r.ended.is_set() and time.perf_counter() - r.started > timeout + grace]:
+            run.give_up()
+            active.remove(run)
+        active = [r for r in active if not r.ended.is_set()]
     log = [r.entry(timeout or 0.0) for r in runs]
     results = {r.index: spark.createDataFrame(r.rows, r.schema) for r, e in zip(runs, log) if e[1] == "ok"}
     run_log = spark.createDataFrame(log, "index int, status string, row_count bigint, duration_ms bigint, error string")
