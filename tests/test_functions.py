@@ -122,3 +122,19 @@ def test_parse_by_value_replaces_an_existing_column(spark):
     got = parse_by_value(df, "d", parse_with("d", "yyyy-M-d"), "p")
     assert got.columns == ["d", "p"]
     assert sorted((r.d, str(r.p)) for r in got.collect()) == [("2021-1-3", "2021-01-03 00:00:00"), ("x", "None")]
+
+
+def test_title_case_marks_only_before_characters_with_case(spark):
+    rows = {"customer#000000001": "Customer#000000001", "o'neil 3rd": "O'Neil 3Rd", "a--b 1\u2177": "A--B 1\u2167",
+            "\ue000 b": "\ue000 B", "x 12 y": "X 12 Y", "": ""}
+    df = spark.createDataFrame([(k,) for k in rows], "t string")
+    assert {r.t: r.n for r in df.select("t", T.title_case("t").alias("n")).collect()} == rows
+
+
+def test_parse_by_value_derives_columns_once_per_text(spark):
+    from tillpoint.functions.dates import parse_with
+    from tillpoint.operators.dates import parse_by_value
+    df = spark.createDataFrame([("2021-1-3", 1), ("x", 2), (None, 3)], "d string, i int")
+    got = parse_by_value(df, "d", parse_with("d", "yyyy-M-d"), "p", derived=time_dimensions)
+    assert got.columns[:4] == ["d", "i", "p", "year"]
+    assert sorted((r.i, r.year, r.month_name) for r in got.collect()) == [(1, 2021, "Jan-21"), (2, None, None), (3, None, None)]

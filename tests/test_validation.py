@@ -41,3 +41,41 @@ def test_preprocess_is_idempotent_on_clean_text(spark):
     once = preprocess(df, as_of="2026-01-01 00:00:00").data.select("INDEX", "CUSTOMER", "SIZE")
     twice = preprocess(once, as_of="2026-01-01 00:00:00").data.select("INDEX", "CUSTOMER", "SIZE")
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_pass_four_runs_in_methods_that_the_jvm_compiles(spark, monkeypatch):
+    """HotSpot does not compile a method of more than 8,000 bytes of byte code."""
+    import tillpoint.plans.preprocess as P
+    from conftest import SMOKE
+    from tillpoint.plans.dirty_sales import dirty_sales
+
+    sizes, real = {}, P.materialize
+    debug = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.debug.package$").getField("MODULE$").get(None)
+
+    def spy(df, name="stage"):
+        parts = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        sizes[name] = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+        return real(df, name)
+
+    monkeypatch.setattr(P, "materialize", spy)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")      # else the plan has no generated code before it runs
+    try:
+        preprocess(dirty_sales(spark, SMOKE), as_of="2026-01-01", index_col="IDX")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes["preprocessed"] and max(sizes["preprocessed"]) < 8000, sizes
+
+
+def test_marks_count_each_condition(spark):
+    from pyspark.sql import functions as F
+
+    from tillpoint.plans.preprocess import MARKS, marked, tally
+
+    df = spark.range(100).withColumn("x", F.when(F.col("id") < 90, F.col("id")))
+    conds = {f"k{i}": F.col("x") % (i + 1) == 0 for i in range(2 * MARKS + 3)}
+    for apart in (False, True):
+        got, where = marked(df, conds, "_m", apart)
+        assert {c for c, _ in where.values()} == {"_m0", "_m1", "_m2"}
+        assert tally(got, where) == {f"k{i}": len(range(0, 90, i + 1)) for i in range(2 * MARKS + 3)}
+        assert tally(got.limit(0), where) == dict.fromkeys(where, 0)

@@ -74,9 +74,11 @@ def detect_date_format(df: DataFrame, col: str) -> DateChoice:
     return DateChoice("auto", stats, parse_any(col, AUTO_PATTERNS))
 
 
-def parse_by_value(df: DataFrame, col: str, expr: Column, out: str, keys_from: DataFrame | None = None) -> DataFrame:
+def parse_by_value(df: DataFrame, col: str, expr: Column, out: str, keys_from: DataFrame | None = None,
+                   derived=None) -> DataFrame:
     """``df`` with ``out = expr`` (a parse of ``col``), computed once per
-    distinct text instead of once per row.
+    distinct text instead of once per row; so are the columns that ``derived``
+    gives by name for the column ``out``.
 
     Date texts repeat (they are bounded by the calendar and a few formats), and
     a multi-pattern parse costs several regexes per row.  The distinct texts
@@ -88,8 +90,9 @@ def parse_by_value(df: DataFrame, col: str, expr: Column, out: str, keys_from: D
     c = F.col(f"`{col}`")
     src = keys_from if keys_from is not None else df
     keys = src.select(c.alias(col)).where(c.isNotNull()).distinct()
-    mapping = materialize(keys.select(c.alias("_date_text"), expr.alias(out)), "date-map")
-    joined = df.drop(out).join(mapping, c == F.col("_date_text"), "left")
-    # like withColumn: an existing ``out`` is replaced in place, a new one appended
-    order = [F.col(f"`{x}`") for x in df.columns] + ([] if out in df.columns else [F.col(f"`{out}`")])
-    return joined.select(*order)
+    parsed = keys.select(c.alias("_date_text"), expr.alias(out))
+    mapping = materialize(parsed.withColumns(derived(F.col(f"`{out}`"))) if derived else parsed, "date-map")
+    new = [x for x in mapping.columns if x != "_date_text"]
+    joined = df.drop(*new).join(mapping, c == F.col("_date_text"), "left")
+    # like withColumn: an existing column is replaced in place, a new one appended
+    return joined.select(*[F.col(f"`{x}`") for x in [*df.columns, *(n for n in new if n not in df.columns)]])

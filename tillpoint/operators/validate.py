@@ -77,13 +77,13 @@ def add_flags(df: DataFrame, roles, bounds=None, date_col: str | None = None, as
 
 @dataclass(frozen=True)
 class IssueSpec:
-    """One candidate quality issue: counted by ``n`` (an aggregate Column),
-    reported with ``template`` (``{n}`` is the count) when ``n > 0``."""
+    """One candidate quality issue: the rows for which ``when`` is true are counted,
+    reported with ``template`` (``{n}`` is the count) when there are any."""
 
     seq: int
     type: str
     severity: str
-    n: Column
+    when: Column
     template: str
 
 
@@ -94,26 +94,26 @@ def validation_issue_specs(roles, date_col, as_of, start_seq: int = 100) -> list
     out = []
     s = start_seq
     if roles.quantity:
-        out.append(IssueSpec(s, "Negative Values", "ERROR", F.count_if(F.col("flag_negative_qty")),
+        out.append(IssueSpec(s, "Negative Values", "ERROR", F.col("flag_negative_qty"),
                              f"{roles.quantity}: {{n}} negative quantities"))
     if roles.rate:
-        out.append(IssueSpec(s + 1, "Negative Values", "ERROR", F.count_if(F.col("flag_negative_rate")),
+        out.append(IssueSpec(s + 1, "Negative Values", "ERROR", F.col("flag_negative_rate"),
                              f"{roles.rate}: {{n}} negative rates"))
     if roles.quantity and roles.rate and roles.amount:
-        out.append(IssueSpec(s + 2, "Business Logic", "WARNING", F.count_if(F.col("flag_amount_mismatch")),
+        out.append(IssueSpec(s + 2, "Business Logic", "WARNING", F.col("flag_amount_mismatch"),
                              "{n} rows where amount ≠ qty × rate (±1.0)"))
     if roles.amount:
-        out.append(IssueSpec(s + 3, "Outliers", "INFO", F.count_if(F.col("flag_amount_outlier")),
+        out.append(IssueSpec(s + 3, "Outliers", "INFO", F.col("flag_amount_outlier"),
                              f"{{n}} extreme outliers in {roles.amount}"))
     if date_col:
-        out.append(IssueSpec(s + 4, "Date Range", "WARNING", F.count_if(F.col("flag_future_date")),
+        out.append(IssueSpec(s + 4, "Date Range", "WARNING", F.col("flag_future_date"),
                              "{n} future dates found"))
-        out.append(IssueSpec(s + 5, "Date Range", "INFO", F.count_if(_q(date_col) < F.add_months(now, -120)),
+        out.append(IssueSpec(s + 5, "Date Range", "INFO", _q(date_col) < F.add_months(now, -120),
                              "{n} dates older than 10 years"))
-        out.append(IssueSpec(s + 6, "Date Range", "WARNING", F.count_if(F.col("flag_invalid_date")),
+        out.append(IssueSpec(s + 6, "Date Range", "WARNING", F.col("flag_invalid_date"),
                              "{n} dates beyond year {max_year}"))
     if roles.customer:
-        out.append(IssueSpec(s + 7, "Data Quality", "ERROR", F.count_if(F.col("flag_invalid_customer")),
+        out.append(IssueSpec(s + 7, "Data Quality", "ERROR", F.col("flag_invalid_customer"),
                              "{n} customer entries are month names"))
     return out
 
@@ -124,7 +124,7 @@ def security_issue_specs(columns, start_seq: int = 200) -> list[IssueSpec]:
     s = start_seq
     for c in columns:
         for _, pat in T.SQL_PATTERNS:
-            out.append(IssueSpec(s, "Security", "WARNING", F.count_if(T.sql_pattern(_q(c), pat)),
+            out.append(IssueSpec(s, "Security", "WARNING", T.sql_pattern(_q(c), pat),
                                  f"{c}: {{n}} potential SQL patterns detected"))
             s += 1
     return out

@@ -12,11 +12,15 @@ Passes over the data:
    their own.
 2. date-format statistics over the distinct date texts (B7, small).
 3. exact amount quartiles and median (distributed rank search on one column).
-4. normalize -> validate -> sanitize, written once more; conversion, flag,
-   SQL-pattern and summary counts are observed during that write.
-5. distinct customers of the written result (G7 part of G12).
+4. normalize -> validate -> sanitize, written once more.  What a row is counted for
+   (conversion, flag, SQL pattern, missing value) is written with it as bits of a few
+   numbers (``marked``); the totals of the summary are observed during that write.
+5. the rows per set of marks (``tally``) and the distinct customers of the written
+   result (G7 part of G12).
 
-The issue list and the summary are built from those observed numbers.
+The issue list and the summary are built from those numbers.  The row counts observed
+within pass 4 also end a generated method each: all its steps in one would be more byte
+code than the JVM compiles (8,000 bytes a method), and would run interpreted.
 
 Deliberate deviations, all documented: null tokens and whitespace are handled
 before C1/B3 (pandas' CSV reader had already turned the tokens into NaN); the
@@ -28,6 +32,7 @@ column whose name clashes with a derived time column is renamed ``<name>_src``.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -46,6 +51,10 @@ NUMERIC_NAME_TOKENS = ("rate", "price", "amount", "amt", "gross", "total")
 TIME_COLUMNS = ("year", "quarter", "month", "month_name", "day_of_week", "week_of_year")
 
 
+#: Conditions that share one column of marks.
+MARKS = 16
+
+
 @dataclass
 class Preprocessed:
     data: DataFrame            # cleaned rows (read back from the checkpoint folder)
@@ -62,6 +71,34 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
+def _bit(i: int):
+    return F.lit(1 << i).cast("bigint")
+
+
+def marked(df: DataFrame, conds: dict, name: str, apart: bool = False) -> tuple[DataFrame, dict]:
+    """``df`` with one bit per condition (null is false), ``MARKS`` bits a column, and the
+    column and bit number of each condition's key; with ``apart`` each column of marks is
+    made in a generated method of its own."""
+    keys, where = list(conds), {}
+    for at in range(0, len(keys), MARKS):
+        part, col = keys[at:at + MARKS], f"{name}{at // MARKS}"
+        where.update({k: (col, i) for i, k in enumerate(part)})
+        bits = [F.when(conds[k], _bit(i)).otherwise(F.lit(0).cast("bigint")) for i, k in enumerate(part)]
+        df = df.select("*", reduce(lambda a, b: a.bitwiseOR(b), bits).alias(col))
+        if apart:
+            df = df.observe(Observation(col), F.count(F.lit(1)).alias("rows"))
+    return df, where
+
+
+def tally(df: DataFrame, where: dict) -> dict:
+    """Rows per key of ``marked``, from the rows of each set of marks."""
+    if not where:
+        return {}
+    sets = df.groupBy(*sorted({c for c, _ in where.values()})).agg(F.count(F.lit(1)).alias("_n"))
+    return sets.agg(*[F.coalesce(F.sum(F.when(F.col(c).bitwiseAND(_bit(i)) != 0, F.col("_n"))), F.lit(0)).alias(k)
+                      for k, (c, i) in where.items()]).first().asDict()
+
+
 def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col: str = "INDEX",
                size_col: str | None = None, drop_empty_flags: bool = False) -> Preprocessed:
     spark = df.sparkSession
@@ -116,22 +153,19 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
     types = dict(stage.dtypes)
     numeric = [c for c in (roles.quantity, roles.rate, roles.amount) if c and c in stage.columns]
     numeric += [c for c in stage.columns if c not in numeric and any(t in c.lower() for t in NUMERIC_NAME_TOKENS)]
-    conv_specs = [V.IssueSpec(50 + i, "Numeric Conversion", "WARNING",
-                              F.count_if(_q(c).isNotNull() & T.to_number(_q(c)).isNull()),
-                              f"{c}: {{n}} values couldn't be converted")
-                  for i, c in enumerate(c for c in numeric if types[c] == "string")]
-    obs_conv = Observation("convert")
-    work = stage.observe(obs_conv, F.count(F.lit(1)).alias("rows"),
-                         *[sp.n.alias(f"i{sp.seq}") for sp in conv_specs]) if conv_specs else stage
+    texts = [c for c in numeric if types[c] == "string"]
+    work, given = marked(stage, {c: _q(c).isNotNull() for c in texts}, "_given")
     work = C.to_numeric_columns(work, numeric)
+    conv_specs = [V.IssueSpec(50 + i, "Numeric Conversion", "WARNING",
+                              (F.col(given[c][0]).bitwiseAND(_bit(given[c][1])) != 0) & _q(c).isNull(),
+                              f"{c}: {{n}} values couldn't be converted") for i, c in enumerate(texts)]
 
     date_col, choice = None, None
     if roles.date and roles.date in stage.columns:
         choice = choose_date_format(stage, roles.date)
         date_col = "date_parsed"
         # parsed once per distinct text (keys read from the stage, so no observation fires early)
-        work = parse_by_value(work, roles.date, choice.expr, date_col, keys_from=stage)
-        work = work.withColumns(time_dimensions(F.col(date_col)))
+        work = parse_by_value(work, roles.date, choice.expr, date_col, keys_from=stage, derived=time_dimensions)
     if roles.customer and roles.customer in stage.columns:
         work = C.normalize_text_column(work, roles.customer)
     size = size_col or ("SIZE" if "SIZE" in stage.columns else roles.size)
@@ -150,17 +184,22 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
     # ---- 6. sanitize -------------------------------------------------------
     str_cols = C.string_columns(work)
     sec_specs = V.security_issue_specs(str_cols)
-    obs_val = Observation("validate")
-    work = work.observe(obs_val, F.count(F.lit(1)).alias("rows"),
-                        *[sp.n.alias(f"i{sp.seq}") for sp in val_specs + sec_specs])
+    specs = conv_specs + val_specs + sec_specs
+    work = work.observe(Observation("validate"), F.count(F.lit(1)).alias("rows"))
+    work, where = marked(work, {f"i{sp.seq}": sp.when for sp in specs}, "_marks", apart=True)
+    work = work.drop(*{c for c, _ in given.values()})
     if date_col:
-        # E7 has nulled implausible dates: derive the time columns from the cleaned date
-        work = work.withColumns(time_dimensions(F.col(date_col)))
+        # E7 has nulled implausible dates: their time columns go too
+        work = work.withColumns({c: F.when(~F.col("flag_invalid_date"), F.col(c)) for c in TIME_COLUMNS})
         order = [c for c in work.columns if c not in TIME_COLUMNS]
         at = order.index(date_col) + 1
         work = work.select(*[_q(c) for c in order[:at] + list(TIME_COLUMNS) + order[at:]])
-    work = V.sanitize(work, C.string_columns(work))
+    work = V.sanitize(work, str_cols)
 
+    out_cols = [c for c in work.columns if c not in {m for m, _ in where.values()}]
+    work, more = marked(work, {**{f"null{i}": _q(c).isNull() for i, c in enumerate(out_cols)},
+                               **{f"flag{i}": F.col(f) for i, f in enumerate(flags)}}, "_found")
+    where.update(more)
     sum_aggs = [F.count(F.lit(1)).alias("rows")]
     if date_col:
         sum_aggs += [F.min(date_col).alias("date_start"), F.max(date_col).alias("date_end")]
@@ -168,19 +207,17 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
         a = _q(roles.amount)
         sum_aggs += [F.sum(a).alias("total_sales"), F.avg(a).alias("avg_transaction"),
                      F.max(a).alias("max_transaction"), F.min(a).alias("min_transaction")]
-    sum_aggs += [F.count_if(_q(c).isNull()).alias(f"null{i}") for i, c in enumerate(work.columns)]
-    sum_aggs += [F.count_if(F.col(f)).alias(f"flag{i}") for i, f in enumerate(flags)]
     obs_sum = Observation("summary")
-    out_cols = work.columns
     work = work.observe(obs_sum, *sum_aggs)
 
-    # ---- pass 4: write the result once, every count observed on the way ----
-    data = materialize(work, "preprocessed")
+    # ---- pass 4: write the result once, with the marks that are counted after it ----
+    written = materialize(work, "preprocessed")
+    data = written.select(*[_q(c) for c in out_cols])
     # one row per date format; it reads the stage, so it is fetched before the stage goes
     date_stats = spark.createDataFrame(choice.stats.collect(), choice.stats.schema) if choice else None
     discard(work)      # the de-duplicated stage and the date map were read for the last time
-    sv = obs_sum.get
-    counts = {**(obs_conv.get if conv_specs else {}), **obs_val.get}
+    counts = tally(written, where)
+    sv = {**obs_sum.get, **counts}
 
     if drop_empty_flags and flags:
         gone = [f for i, f in enumerate(flags) if sv[f"flag{i}"] == 0]
@@ -198,7 +235,7 @@ def preprocess(df: DataFrame, roles: Roles | None = None, as_of=None, index_col:
         rows.append((20, "Data Quality", f"Found {s1['junk']} rows with text in INDEX column", "WARNING"))
     if n_dups > 0:
         rows.append((30, "Duplicates", f"Found {n_dups} exact duplicate records", "WARNING"))
-    rows += V.issue_rows(conv_specs + val_specs + sec_specs, counts, max_year=now_year + 1)
+    rows += V.issue_rows(specs, counts, max_year=now_year + 1)
     issues = spark.createDataFrame(rows, V.ISSUE_SCHEMA)
 
     summary = {"total_rows_processed": sv["rows"], "columns": len(data.columns)}
