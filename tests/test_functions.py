@@ -131,6 +131,19 @@ def test_title_case_marks_only_before_characters_with_case(spark):
     assert {r.t: r.n for r in df.select("t", T.title_case("t").alias("n")).collect()} == rows
 
 
+def test_duplicate_count_groups_by_one_short_key(spark):
+    from tillpoint.operators.dedup import duplicate_count, row_key
+
+    rows = [("a", "b" * 70, 1), ("a", "b" * 70, 1), ("ab", "b" * 69, 1), ("a", None, 1), ("a", None, 1), (None, "a", 1),
+            ("a", "", 1), ("-", "1:a", 1), ("-1:a", "", 1), ("a", "b" * 70, 2), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "s string, t string, n int")
+    d = duplicate_count(df).first()
+    assert (d.duplicate_rows, d.total_rows) == (len(rows) - len(set(rows)), len(rows))
+    keys = df.select(*row_key(df, df.columns))
+    assert [t for _, t in keys.dtypes] == ["int", "binary"]
+    assert keys.agg(F.max(F.octet_length("_texts"))).first()[0] == 32
+
+
 def test_parse_by_value_derives_columns_once_per_text(spark):
     from tillpoint.functions.dates import parse_with
     from tillpoint.operators.dates import parse_by_value

@@ -46,11 +46,24 @@ def deduplicate(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def row_key(df: DataFrame, columns) -> list:
+    """Grouping keys that are equal exactly when all ``columns`` are: the binary strings
+    as one key of at most 32 bytes (their lengths and bytes one after the other, a null as
+    ``-``; if longer than 31 bytes its SHA-256), other types as they are.  A row of the
+    hash aggregate is then as small however many and however long the texts are."""
+    texts = [c for c in columns if binary_string(df.schema[c].dataType)]
+    keys = [F.col(f"`{c}`") for c in columns if c not in texts]
+    if texts:
+        row = F.concat(*[F.coalesce(F.concat(F.octet_length(F.col(f"`{c}`")).cast("string"), F.lit(":"), F.col(f"`{c}`")),
+                                    F.lit("-")) for c in texts]).cast("binary")
+        keys.append(F.when(F.octet_length(row) <= 31, row).otherwise(F.unhex(F.sha2(row, 256))).alias("_texts"))
+    return keys
+
+
 def duplicate_count(df: DataFrame, subset=None) -> DataFrame:
     """Rows after the first of each identical group, and their % of all rows."""
-    keys = [_key(df, c) for c in (subset or df.columns)]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.sum(F.col("n") - 1).cast("bigint").alias("duplicate_rows"),
-                 F.sum("n").cast("bigint").alias("total_rows")).select(
+    g = df.groupBy(*row_key(df, list(subset or df.columns))).agg(F.count(F.lit(1)).alias("_n"))
+    return g.agg(F.sum(F.col("_n") - 1).cast("bigint").alias("duplicate_rows"),
+                 F.sum("_n").cast("bigint").alias("total_rows")).select(
         "duplicate_rows", "total_rows",
         (F.try_divide(F.col("duplicate_rows"), F.col("total_rows")) * 100).alias("duplicate_pct"))
