@@ -157,3 +157,20 @@ def test_every_place_is_learned_from(spark):
     model, _, _ = lm_maxent.train(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
     for sl in lm_maxent.W.slices(lm_maxent.pa.array(texts)):
         assert (model.weights[model.tokens_of(sl)["features"]] != 0).any(-1).all()
+
+
+def test_run_sums_are_those_of_reduceat():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((1, 1), (40, 1), (500, 3), (3000, 900)):
+        z = rng.normal(size=(n, 7)).astype(np.float32)
+        flat = rng.integers(0, kinds, 4 * n).astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+        got, by = lm_maxent._run_sums(z, order % n, cut)
+        want = np.add.reduceat(z[order % n].astype(float), cut, axis=0)
+        assert sorted(by) == list(range(len(cut)))
+        np.testing.assert_allclose(got, want[by], rtol=1e-4, atol=1e-4)
+
+
+def test_feature_numbers_fit_16_bits():
+    assert lm_maxent.FEATURES <= 1 << 16

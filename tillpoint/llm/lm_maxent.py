@@ -34,6 +34,8 @@ FEATURES, HISTORY, KNOWN = 1 << 13, 1 << 11, 1 << 18
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
 BLOCK = 8192
 CHUNK = 256
+#: Rows of a run that are added with those of other runs.
+SHORT_RUN = 16
 _U = np.uint64
 _START = HISTORY + BUCKETS
 _END_WORD = _U(0xE4D0F7E87)     # stands for the end of a text
@@ -148,9 +150,9 @@ class Model:
         out = np.empty(len(cls))
         for lo in range(0, len(cls), BLOCK):
             f = features[lo:lo + BLOCK]
-            z = self.weights[f[:, 0]]
+            z = np.take(self.weights, f[:, 0], axis=0)
             for j in range(1, f.shape[1]):
-                z += self.weights[f[:, j]]
+                z += np.take(self.weights, f[:, j], axis=0)
             z += self.bias
             own = z[np.arange(len(f)), cls[lo:lo + BLOCK]].astype(float)
             top = z.max(1)
@@ -160,6 +162,25 @@ class Model:
         return out / np.log(10)
 
 
+def _run_sums(z: np.ndarray, rows: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``z[rows]`` over the runs that begin at ``cut``, long runs first, and the
+    runs' numbers in that order.
+
+    ``np.add.reduceat`` goes through each run column by column; here the k-th rows of all
+    short runs are added at once, and each long run by itself."""
+    size = np.diff(np.append(cut, len(rows)))
+    by = np.argsort(-size, kind="stable")
+    size, start = size[by], cut[by]
+    out = np.take(z, rows[start], axis=0)
+    long = int(np.count_nonzero(size > SHORT_RUN))
+    for i in range(long):
+        out[i] = np.take(z, rows[start[i]:start[i] + size[i]], axis=0).sum(0)
+    for k in range(1, SHORT_RUN):
+        more = int(np.count_nonzero(size > k))
+        out[long:more] += np.take(z, rows[start[long:more] + k], axis=0)
+    return out, by
+
+
 def _learn(model):
     """Gradient steps over a partition's documents; the change of the weights, by chunk."""
     def run(batches):
@@ -169,19 +190,19 @@ def _learn(model):
         steps = 0
 
         def step(features, cls):
-            z = weights[features[:, 0]]
+            z = np.take(weights, features[:, 0], axis=0)
             for j in range(1, features.shape[1]):
-                z += weights[features[:, j]]
+                z += np.take(weights, features[:, j], axis=0)
             z += m.bias
             z -= z.max(1)[:, None]
             np.exp(z, out=z)
             z /= z.sum(1)[:, None]
             z[np.arange(len(cls)), cls] -= 1
-            flat = features.T.ravel()
+            flat = features.T.ravel().astype(np.uint16)      # numbers of 16 bits are sorted by radix
             order = np.argsort(flat, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-            grad = np.add.reduceat(z[order % len(cls)], cut, axis=0)
-            row = flat[order][cut]
+            grad, by = _run_sums(z, order % len(cls), cut)
+            row = flat[order][cut][by]
             seen[row] += (grad * grad).sum(1)
             weights[row] -= (RATE / np.sqrt(seen[row]))[:, None] * grad
 
