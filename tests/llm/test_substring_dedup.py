@@ -134,3 +134,12 @@ def test_recall_of_edited_passages(spark):
     share = {e: np.mean([i in got for i, k in kind.items() if k == e]) for e in (6, 8, 10, 12, 15)}
     assert got <= set(kind) and all(v >= 0.9 for v in share.values()), share
     assert share[8] > 0.97 and share[10] > 0.99
+
+
+def test_sliding_is_the_extreme_of_every_window():
+    rng = np.random.default_rng(5)
+    for n, w in ((1, 1), (14, 14), (15, 14), (200, 14), (200, 16), (99, 7), (30, 2)):
+        h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        view = np.lib.stride_tricks.sliding_window_view(h, w)
+        assert (S.sliding(h, w, np.minimum) == view.min(axis=1)).all()
+        assert (S.sliding(h, w, np.maximum) == view.max(axis=1)).all()

@@ -56,6 +56,14 @@ GAP_COST = 0.05
 MISMATCH, DROP = 2, 12
 
 
+def sliding(h: np.ndarray, w: int, of) -> np.ndarray:
+    """``of`` (np.minimum or np.maximum) every ``w`` values in a row, by windows that double."""
+    size = 1
+    while 2 * size <= w:
+        h, size = of(h[:-size], h[size:]), 2 * size
+    return of(h[:size - w], h[w - size:]) if size < w else h
+
+
 def winnow(h: np.ndarray, w: int, share: int = 0) -> np.ndarray:
     """Places of the hashes that are least in one of the windows of ``w`` around them, and of
     one hash value in ``share``."""
@@ -65,9 +73,9 @@ def winnow(h: np.ndarray, w: int, share: int = 0) -> np.ndarray:
     if n <= w:
         chosen = h == h.min()
     else:
-        least = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
+        least = sliding(h, w, np.minimum)
         padded = np.concatenate([np.zeros(w - 1, h.dtype), least, np.zeros(w - 1, h.dtype)])
-        chosen = np.lib.stride_tricks.sliding_window_view(padded, w).max(axis=1) == h
+        chosen = sliding(padded, w, np.maximum) == h
     if share:
         chosen |= h % np.uint64(share) == 0
     # of a run of equal hashes (one word again and again) a few places will do
