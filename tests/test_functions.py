@@ -151,3 +151,44 @@ def test_parse_by_value_derives_columns_once_per_text(spark):
     got = parse_by_value(df, "d", parse_with("d", "yyyy-M-d"), "p", derived=time_dimensions)
     assert got.columns[:4] == ["d", "i", "p", "year"]
     assert sorted((r.i, r.year, r.month_name) for r in got.collect()) == [(1, 2021, "Jan-21"), (2, None, None), (3, None, None)]
+
+
+def test_common_texts_are_spared_translate_and_odd_ones_are_not(spark):
+    import re
+
+    odd = [*T._WS_CHARS, *T._CONTROL, "​", "⁠", "﻿", "\U0001f600", "₹", "£", "अ", ",", "$", "<", "a", "7"]
+    texts = ["", " ", "plain text", "customer#000000001", "o'neil 3rd", "ασ ασ\tα", "a\n", "\na", "₹ 1,234.50 "]
+    texts += [f"x{c}{c}y" for c in odd] + [f"{c}{a}z" for c in odd for a in odd[::7]]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    new = {"w": T.collapse_ws("t"), "c": T.strip_control("t"), "n": T.number_text("t")}
+    got = {r.t: r for r in df.select("t", *[e.alias(k) for k, e in new.items()]).collect()}
+    assert (got[None].w, got[None].c, got[None].n) == (None, None, None)
+    white, control = re.compile(f"[ {re.escape(T._WS_CHARS)}]+"), re.compile(f"[{re.escape(T._CONTROL)}]")
+    for t in texts:
+        assert got[t].w == white.sub(" ", t).strip(" "), repr(t)
+        assert got[t].c == control.sub("", t), repr(t)
+        assert got[t].n == white.sub("", re.sub(f"[{T.CURRENCY_CHARS}]", "", t)), repr(t)
+    plan = df.select(*new.values())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == len(re.findall(r"ELSE translate\(", plan)) > 0
+
+
+def test_normalized_text_equals_title_case_between_strip_and_collapse(spark):
+    from pyspark.sql import functions as F
+
+    ends, runs = f"^{T.WS_CLASS}+|{T.WS_CLASS}+$", T.WS_CLASS + "+"
+    texts = ["customer#000000001 building", " a  b\tc  d ", "o'neil 3rd", "12 ab", "ab 12", "ab12cd", "αΣ\tΣα", " \tb",
+             "İx ǆy", "\x1fA b\x85", "[x] y", "a-b", "", " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    marked = F.regexp_replace(F.regexp_replace("t", ends, ""), r"(\P{L}(?=[A-Za-z]|\P{ASCII})|\x{E000})", "$1" + T._MARK + " ")
+    plain = F.regexp_replace(F.replace(F.initcap(marked), F.lit(T._MARK + " "), F.lit("")), runs, " ")
+    for r in df.select("t", T.normalize_text("t").alias("a"), plain.alias("b")).collect():
+        assert r.a == r.b, repr(r.t)
+
+
+def test_header_words_are_found_in_any_case(spark):
+    from tillpoint.operators import clean as C
+
+    rows = {("x HeAdS", "Price"): True, ("heads", "prİce"): False, ("headS price", None): True, ("hea", "ds price"): False, ("₹ PRICE", "HEADS"): True}
+    df = spark.createDataFrame(list(rows), "a string, b string")
+    assert {(r.a, r.b): r.h for r in df.select("a", "b", C.header_like(df).alias("h")).collect()} == rows
+    assert "lower(" not in df.select(C.header_like(df))._jdf.queryExecution().optimizedPlan().toString()

@@ -78,13 +78,14 @@ def header_like(df: DataFrame) -> Column:
     """C3 predicate: some value contains 'heads' and some value contains
     'price' (case-insensitive).  "Some value contains x" equals "the values
     joined by a separator that cannot occur in x contain x", so this is two
-    ``contains`` on one lower-cased string, not a lambda per value.  Only text
-    columns can contain the words."""
+    searches in one string, not a lambda per value; no letter but the ASCII ones
+    has one of the words' letters as its lower case.  Only text columns can contain
+    the words."""
     cols = string_columns(df)
     if not cols:
         return F.lit(False)
-    joined = F.lower(F.concat_ws("\u0001", *[_q(c) for c in cols]))
-    return joined.contains("heads") & joined.contains("price")
+    joined = F.concat_ws("\u0001", *[_q(c) for c in cols])
+    return joined.rlike("[Hh][Ee][Aa][Dd][Ss]") & joined.rlike("[Pp][Rr][Ii][Cc][Ee]")
 
 
 def split_header_like(df: DataFrame) -> tuple[DataFrame, DataFrame]:
