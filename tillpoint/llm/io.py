@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,36 @@ from pyspark.sql import functions as F
 from tillpoint.session import checkpoint_dir
 
 
+#: Most bytes of an Arrow batch in the jobs of ``small_batches`` (one longer row is a batch).
+BATCH_BYTES = 2 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """The jobs that run inside hand texts to Python in batches of ``BATCH_BYTES``, not of
+    10,000 rows: a task holds a batch in the JVM and in its worker, beside what the JVM
+    sorts and joins.  The session's own limit holds again afterwards."""
+    before = spark.conf.get(_LIMIT, None)
+    spark.conf.set(_LIMIT, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_LIMIT)
+        else:
+            spark.conf.set(_LIMIT, before)
+
+
+def giving_back(run):
+    """``run``, for ``mapInArrow``, that leaves no freed batches with Arrow's memory pool:
+    a worker keeps them while it is idle, and a stage without Python needs that memory."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+    return whole
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"

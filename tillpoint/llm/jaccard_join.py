@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.llm import words as W
 from tillpoint.llm.components import components, near_labels
-from tillpoint.llm.io import bitmap, drop, stash
+from tillpoint.llm.io import bitmap, drop, giving_back, small_batches, stash
 
 SKETCH_BITS = 22
 CHUNK = 1 << 14
@@ -61,8 +61,10 @@ def _sketch_rows(k: int, bits: int):
         at = [c for c in range(0, 1 << bits, CHUNK) if total[c:c + CHUNK].any()]
         # more than 65535 in one task is common enough
         rows = [np.minimum(total[c:c + CHUNK], 65535).astype("<u2").tobytes() for c in at]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c // CHUNK for c in at], pa.int32()), pa.array(rows, pa.binary())], ["chunk", "counts"])
+        for i in range(0, len(at), 32):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c // CHUNK for c in at[i:i + 32]], pa.int32()), pa.array(rows[i:i + 32], pa.binary())],
+                ["chunk", "counts"])
     return run
 
 
@@ -83,9 +85,9 @@ def rarity(docs: DataFrame, k: int, text: str = "text", bits: int = SKETCH_BITS)
 
     The sketch has a fixed size, so what comes to the driver and what is broadcast
     (``2**bits`` bytes) do not grow with the input."""
-    part = docs.select(text).mapInArrow(_sketch_rows(k, bits), "chunk int, counts binary")
+    part = docs.select(text).mapInArrow(giving_back(_sketch_rows(k, bits)), "chunk int, counts binary")
     out = np.zeros(1 << bits, np.uint8)
-    for c, b in part.repartition("chunk").mapInArrow(_levels, "chunk int, levels binary").collect():
+    for c, b in part.repartition("chunk").mapInArrow(giving_back(_levels), "chunk int, levels binary").collect():
         out[c * CHUNK:(c + 1) * CHUNK] = np.frombuffer(bytes(b), np.uint8)
     return out
 
@@ -200,12 +202,17 @@ def links(docs: DataFrame, k: int = 5, percent: int = 75, id: str = "doc_id", te
 
     Documents without an id are left out; rows that repeat an id count as one
     document with several texts.  Empty input gives no edges."""
+    with small_batches(docs.sparkSession):
+        return _links(docs, k, percent, id, text)
+
+
+def _links(docs: DataFrame, k: int, percent: int, id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     own = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     level = spark.sparkContext.broadcast(rarity(own, k))
     prefixes = lambda: own.mapInArrow(
-        _prefix_rows(k, percent, level), f"shingle bigint, id {kind}, pos int, n int")
+        giving_back(_prefix_rows(k, percent, level)), f"shingle bigint, id {kind}, pos int, n int")
     shared = prefixes().groupBy("shingle").count().where("count > 1").select("shingle")
     rows, rows_at = stash(prefixes().join(shared.hint("shuffle_hash"), "shingle", "left_semi"), "prefix")
 
@@ -244,12 +251,12 @@ def _checked(own: DataFrame, pairs: DataFrame, k: int, percent: int, kind: str)
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
     mask = spark.sparkContext.broadcast(id_mask(ids))
     involved, involved_at = stash(own.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(
-        _involved_rows(k, mask), f"id {kind}, n int, hist binary, text string"), "involved")
+        giving_back(_involved_rows(k, mask)), f"id {kind}, n int, hist binary, text string"), "involved")
     side = lambda c, *cols: involved.select(F.col("id").alias(c), *(F.col(a).alias(b) for a, b in cols))
     close = (pairs.join(side("x", ("n", "nx"), ("hist", "hx")), "x").join(side("y", ("n", "ny"), ("hist", "hy")), "y")
-             .mapInArrow(_suffix_filter(percent), f"x {kind}, y {kind}").distinct())
+             .mapInArrow(giving_back(_suffix_filter(percent)), f"x {kind}, y {kind}").distinct())
     equal = (close.join(side("x", ("text", "tx")), "x").join(side("y", ("text", "ty")), "y")
-             .mapInArrow(_verify(k, percent), f"x {kind}, y {kind}").distinct()
+             .mapInArrow(giving_back(_verify(k, percent)), f"x {kind}, y {kind}").distinct()
              .select(F.col("x").alias("u"), F.col("y").alias("v")))
     out = stash(equal, "links")
     drop(spark, involved_at)
@@ -278,6 +285,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id: str =
             n = [len(s) for sl in W.slices(b.column(1)) for s in W.doc_shingles(sl, k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
 
-    base = docs.select(id, text).mapInArrow(sizes, f"doc_id {kind}, n_shingles bigint")
+    base = docs.select(id, text).mapInArrow(giving_back(sizes), f"doc_id {kind}, n_shingles bigint")
     return (base.join(label, base["doc_id"] == label["node"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))

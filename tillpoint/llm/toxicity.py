@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.llm import words as W
+from tillpoint.llm.io import giving_back
 
+#: Rows that are written at a time of a batch of whole documents.
+ROWS = 512
 #: Bound of the training sample, per class and fold.
 MAX_ROWS = 4000
 #: Bytes of a word's stems, longest first.
@@ -184,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         return docs.select(id, text).join(chosen, F.col(id) == F.col("_id")).select(text, F.col("_y").cast("int").alias("y"))
 
     grams = (of(False)
-             .mapInArrow(_count_rows, ", ".join(f"{c} bigint" for c in [*_ORDERS, "toxic", "ordinary"]))
+             .mapInArrow(giving_back(_count_rows), ", ".join(f"{c} bigint" for c in [*_ORDERS, "toxic", "ordinary"]))
              .groupBy(*_ORDERS).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow())
     model = Model([grams.column(c).to_numpy().view(_U) for c in _ORDERS],
                   np.stack([grams.column(c).to_numpy() for c in ("toxic", "ordinary")], 1))
@@ -195,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             x = features(shared.value, b.column(0))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), b.column(1)], ["a", "b", "c", "y"])
 
-    seen = of(True).mapInArrow(rows, "a double, b double, c double, y int").toArrow()
+    seen = of(True).mapInArrow(giving_back(rows), "a double, b double, c double, y int").toArrow()
     y = seen.column("y").to_numpy().astype(float)
     x = np.stack([*(seen.column(c).to_numpy() for c in "abc"), np.ones(len(y))], 1)
     if 0 < y.sum() < len(y):
@@ -221,7 +224,7 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
                                              ["doc_id", "held_out", "score", "predicted"])
 
     return (docs.select(id, text, _held_out(F.col(id)).alias("_out"))
-            .mapInArrow(rows, f"doc_id {kind}, held_out boolean, score double, predicted int"))
+            .mapInArrow(giving_back(rows), f"doc_id {kind}, held_out boolean, score double, predicted int"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -231,6 +234,8 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 
     def rows(batches):
         for b in batches:
-            yield b.filter(pa.array(curve(*shared.value, b.column(text)) < 0.5, pa.bool_()))
+            keep = pa.array(curve(*shared.value, b.column(text)) < 0.5, pa.bool_())
+            for i in range(0, b.num_rows, ROWS):       # no second copy of the whole batch
+                yield b.slice(i, ROWS).filter(keep.slice(i, ROWS))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(giving_back(rows), docs.schema)
