@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tillpoint.llm import io, jaccard_join, toxicity
+from tillpoint.llm import io, jaccard_join, substring_dedup, toxicity
 from tillpoint.llm.io import BATCH_BYTES, giving_back, small_batches
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -49,6 +49,23 @@ def test_every_job_of_the_join_takes_small_batches(spark, monkeypatch):
     assert spark.conf.get(LIMIT) == before
 
 
+def test_every_job_of_substring_dedup_takes_small_batches(spark, monkeypatch):
+    seen = []
+
+    def stash(df, name):
+        seen.append((name, spark.conf.get(LIMIT)))
+        return io.stash(df, name)
+
+    monkeypatch.setattr(substring_dedup, "stash", stash)
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id bigint, text string")
+    before = spark.conf.get(LIMIT)
+    assert [(r["doc_id"], r["source_id"]) for r in substring_dedup.repeated_passages(docs).collect()] == [(2, 1)]
+    assert {name for name, _ in seen} == {"seeds", "seams", "longer", "chains", "passages"}
+    assert {limit for _, limit in seen} == {str(BATCH_BYTES)}
+    assert spark.conf.get(LIMIT) == before
+
+
 def test_workers_give_back_after_the_last_batch(monkeypatch):
     done = []
 

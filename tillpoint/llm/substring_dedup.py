@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.llm import words as W
-from tillpoint.llm.io import drop, stash
+from tillpoint.llm.io import drop, giving_back, small_batches, stash
 
 K, WINDOW, MIN_WORDS = 6, 14, 50
 #: One in so many shingles is a seed by its own hash.
@@ -512,9 +512,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     than ``min_words`` words repeat nothing.  Rows without an id are left out; rows that
     repeat an id are one document (nothing repeats within a document) and each of its
     texts is compared.  Extra columns are ignored.  Empty input gives no rows."""
+    with small_batches(docs.sparkSession):
+        return _repeated(docs, min_words, k, window, id, text)
+
+
+def _repeated(docs: DataFrame, min_words: int, k: int, window: int, id: str, text: str) -> DataFrame:
     own = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    seeds = lambda: own.mapInArrow(_seed_rows(k, window), f"seed bigint, id {kind}, word int, byte int")
+    seeds = lambda: own.mapInArrow(giving_back(_seed_rows(k, window)), f"seed bigint, id {kind}, word int, byte int")
     first = (seeds().groupBy("seed").agg(F.min("id").alias("src"), F.max("id").alias("last"))
              .where("src <> last").select("seed", "src"))
     shared, shared_at = stash(seeds().join(first.hint("shuffle_hash"), "seed"), "seeds")
@@ -523,11 +528,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     columns = ["id", "src", "word", "sword", "byte", "sbyte"]
     placed = shared.join(origin(shared), "seed")
     seams, seams_at = stash(placed.repartition("id").sortWithinPartitions("id", "word").mapInArrow(
-        _seams(k + 1, max(window, SAME), min_words), f"seed bigint, id {kind}, word int, byte int, spans array<int>"), "seams")
+        giving_back(_seams(k + 1, max(window, SAME), min_words)), f"seed bigint, id {kind}, word int, byte int, spans array<int>"), "seams")
     spans = seams.where("spans is not null").select("id", "spans")
     longer = (seams.where("spans is null").drop("spans")
               .unionByName(spans.join(own, "id").select("id", "text", "spans").mapInArrow(
-                  _window_rows(min_words), f"seed bigint, id {kind}, word int, byte int")))
+                  giving_back(_window_rows(min_words)), f"seed bigint, id {kind}, word int, byte int")))
     longer, longer_at = stash(longer, "longer")
     least = (longer.groupBy("seed").agg(F.min("id").alias("src"), F.max("id").alias("last"))
              .where("src <> last").select("seed", "src"))
@@ -536,7 +541,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
                .unionByName(rest.join(origin(rest), "seed").where("id <> src").select(*columns))
                .repartition("id").sortWithinPartitions("id", "src", "word", "sword"))
     chain = "lo int, hi int, slo int, shi int, at array<int>, sat array<int>, sizes array<int>"
-    found, _ = stash(matches.mapInArrow(_chain_rows(k + 1), f"id {kind}, src {kind}, {chain}"), "chains")
+    found, _ = stash(matches.mapInArrow(giving_back(_chain_rows(k + 1)), f"id {kind}, src {kind}, {chain}"), "chains")
     drop(docs.sparkSession, shared_at, seams_at, longer_at)
 
     bytes_of = lambda lo, hi: F.expr(f"cast(substring(cast(text as binary), {lo} + 1, {hi} - {lo}) as string)")
@@ -546,7 +551,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
         sources = found.join(own.withColumnRenamed("id", "src"), "src").withColumn("spart", bytes_of("slo", "shi")).drop("text")
         both = sources.join(own, "id").withColumn("part", bytes_of("lo", "hi")).drop("text")
         made, _ = stash(both.mapInArrow(
-            _passage_rows(min_words),
+            giving_back(_passage_rows(min_words)),
             f"id {kind}, src {kind}, " + ", ".join(f"{c} int" for c in PASSAGE) + f", {chain}"), "passages")
         new = made.where("start_byte is not null").select(F.col("id").alias("doc_id"), F.col("src").alias("source_id"), *PASSAGE)
         passages = new if passages is None else passages.unionByName(new)
@@ -584,7 +589,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", te
     clean = joined.where("cuts is null").select(*docs.columns)
     other = [c for c in docs.columns if c not in (text, "n_chars")]
     cut = (joined.where("cuts is not null").select(*other, F.col(text).alias("text"), "cuts")
-           .mapInArrow(_cut, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other) + ", text string")
+           .mapInArrow(giving_back(_cut), ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other) + ", text string")
            .where("text is not null").withColumnRenamed("text", text))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
