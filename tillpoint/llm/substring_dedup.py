@@ -210,6 +210,9 @@ def _seams(k: int, w: int, min_words: int):
     go to different sources or diagonals (key in ``seed``), and in one row the ranges of
     places where a window of ``min_words`` words holds such a pair (``spans``).
 
+    A pair is one row, however often the document repeats it (one phrase again and again):
+    its first place, and word and byte of each later one in turn in ``also``.
+
     Seeds of an exact run lie at most ``w`` places apart, the first within ``w`` places of
     its start and the last within ``w`` of its last shingle; other places are left out."""
     def run(batches):
@@ -235,14 +238,20 @@ def _seams(k: int, w: int, min_words: int):
                 elif a < b:
                     spans += [a, b]
             keys = W.mix(seed.view(np.uint64)[pair] * np.uint64(3) + W.mix(seed.view(np.uint64)[pair + 1])).view(np.int64)
+            order = np.lexsort((byte[pair], at[pair], keys))
+            keys, pair = keys[order], pair[order]
+            opened = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            places = np.stack([at[pair], byte[pair]], axis=1)
+            also = [places[a + 1:b].ravel() if b - a > 1 else None for a, b in zip(opened, [*opened[1:], len(pair)])]
             one = lambda m: g.column("id").take(pa.array(np.zeros(m, np.int64)))
-            size = len(pair) + bool(spans)
-            none = [None] * (size - len(pair))
+            size = len(opened) + bool(spans)
+            none = [None] * (size - len(opened))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.tolist() + none, pa.int64()), one(size),
-                 *(pa.array(v[pair].tolist() + none, pa.int32()) for v in (at, byte)),
-                 pa.array([None] * len(pair) + [spans] * len(none), pa.list_(pa.int32()))],
-                ["seed", "id", "word", "byte", "spans"])
+                [pa.array(keys[opened].tolist() + none, pa.int64()), one(size),
+                 *(pa.array(v.tolist() + none, pa.int32()) for v in places[opened].T),
+                 pa.array(also + none, pa.list_(pa.int32())),
+                 pa.array([None] * len(opened) + [spans] * len(none), pa.list_(pa.int32()))],
+                ["seed", "id", "word", "byte", "also", "spans"])
     return run
 
 
@@ -303,6 +312,18 @@ def _clusters(found: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
     return [sorted(c) for c in out]
 
 
+def _matches(g: pa.RecordBatch) -> list[np.ndarray]:
+    """Words and bytes (document's and source's of each) of the matches of a group, those
+    at the places in ``also`` with the others."""
+    x, y, bx, by = (g.column(n).to_numpy().astype(np.int64) for n in ("word", "sword", "byte", "sbyte"))
+    also = g.column("also")
+    if also.null_count == len(also):
+        return [x, y, bx, by]
+    of = pc.list_parent_indices(also).to_numpy()[::2]
+    places = pc.list_flatten(also).to_numpy().astype(np.int64).reshape(-1, 2)
+    return [np.concatenate(v) for v in ((x, places[:, 0]), (y, y[of]), (bx, places[:, 1]), (by, by[of]))]
+
+
 def _chain_rows(k: int):
     """Clusters of chains of each (id, src), with the points of each chain; ``k`` is the words
     that a match spans."""
@@ -317,7 +338,7 @@ def _chain_rows(k: int):
                  *(pa.array(keep[n], pa.list_(pa.int32())) for n in ("at", "sat", "sizes"))], list(keep))
 
         for g in _groups(batches, 1):
-            x, y, bx, by = (g.column(n).to_numpy().astype(np.int64) for n in ("word", "sword", "byte", "sbyte"))
+            x, y, bx, by = _matches(g)
             found = []
             for chain in chains(x, y, k):
                 points = np.concatenate([b[[0, -1]] if len(b) > 1 else b for b in chain])
@@ -528,17 +549,17 @@ def _repeated(docs: DataFrame, min_words: int, k: int, window: int, id: str, tex
     columns = ["id", "src", "word", "sword", "byte", "sbyte"]
     placed = shared.join(origin(shared), "seed")
     seams, seams_at = stash(placed.repartition("id").sortWithinPartitions("id", "word").mapInArrow(
-        giving_back(_seams(k + 1, max(window, SAME), min_words)), f"seed bigint, id {kind}, word int, byte int, spans array<int>"), "seams")
+        giving_back(_seams(k + 1, max(window, SAME), min_words)), f"seed bigint, id {kind}, word int, byte int, also array<int>, spans array<int>"), "seams")
     spans = seams.where("spans is not null").select("id", "spans")
     longer = (seams.where("spans is null").drop("spans")
               .unionByName(spans.join(own, "id").select("id", "text", "spans").mapInArrow(
-                  giving_back(_window_rows(min_words)), f"seed bigint, id {kind}, word int, byte int")))
+                  giving_back(_window_rows(min_words)), f"seed bigint, id {kind}, word int, byte int"), allowMissingColumns=True))
     longer, longer_at = stash(longer, "longer")
     least = (longer.groupBy("seed").agg(F.min("id").alias("src"), F.max("id").alias("last"))
              .where("src <> last").select("seed", "src"))
     rest = longer.join(least.hint("shuffle_hash"), "seed")
     matches = (placed.where("id <> src").select(*columns)
-               .unionByName(rest.join(origin(rest), "seed").where("id <> src").select(*columns))
+               .unionByName(rest.join(origin(rest), "seed").where("id <> src").select(*columns, "also"), allowMissingColumns=True)
                .repartition("id").sortWithinPartitions("id", "src", "word", "sword"))
     chain = "lo int, hi int, slo int, shi int, at array<int>, sat array<int>, sizes array<int>"
     found, _ = stash(matches.mapInArrow(giving_back(_chain_rows(k + 1)), f"id {kind}, src {kind}, {chain}"), "chains")
